@@ -16,14 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpforest.llm.common import LOWER, SPACE, UPPER, WORD
+from kelpforest.llm.common import UPPER, WORD
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 #: Percent of the words that may stand in repeated windows.
 MAX_REPEATED = 30
-#: Function words of the corpus's languages, compared in lower case without outer punctuation.
+#: Function words of the corpus's languages; a word counts if it is one of them, or one with a capital.
 STOP_WORDS = tuple(
     "the of and to in is that it for on was as with be by are this "
     "le la les de des du un une et en que qui pour dans est sur au "
@@ -49,8 +49,7 @@ RULES = (
     Rule("word length", "word_chars", "n_words", low=2_000, high=15_000),
     Rule("symbols a word", "n_symbols", "n_words", high=150),
     Rule("exclamation marks a word", "n_exclaims", "n_words", high=500),
-    Rule("capitals a letter", "n_capitals", "n_letters", high=600),
-    Rule("wordless pieces", "n_plain", "n_words", low=650),
+    Rule("capitals a character", "n_capitals", "word_chars", high=500),
     Rule("stop words a word", "n_stop_words", "n_words", low=20, from_words=60),
     Rule("repeated lines", "n_dup_lines", "n_lines", high=500),
     Rule("words in repeated windows", "n_repeat_words", "n_words", high=10 * MAX_REPEATED),
@@ -58,7 +57,13 @@ RULES = (
 
 
 def _count(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """Occurrences of a regular expression's character class."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
+
+
+def _pairs(hashes: str, step: int) -> Column:
+    """Hashes of windows twice as wide, from those that start here and ``step`` words on."""
+    return F.zip_with(hashes, F.slice(hashes, step + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -66,14 +71,11 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
-    # Windows are told apart by a 64-bit hash; texts without an equal pair skip the sort.
-    out = docs.withColumn("_w", words).withColumn(
-        "_h",
-        F.when(
-            F.size("_w") >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW))),
-        ),
-    )
+    # Windows are told apart by a 64-bit hash, doubled from 1 to 8 words; texts without an equal pair skip the sort.
+    out = docs.withColumn("_w", words).withColumn("_h", F.when(F.size("_w") >= WINDOW, F.transform("_w", lambda x: F.xxhash64(x))))
+    for step in (1, 2, 4):
+        out = out.withColumn("_h", _pairs("_h", step))
+    out = out.withColumn("_h", F.slice("_h", 1, F.greatest(F.size("_w") - (WINDOW - 1), F.lit(0))))
     order = F.when(
         F.size(F.array_distinct("_h")) < F.size("_h"),
         F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
@@ -86,26 +88,27 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0),
         lambda total, x: total + x,
     )
-    bare = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     out = out.withColumn("_l", lines)
     return out.withColumn(
         "_m",
         F.struct(
             F.size("_w").cast("long").alias("n_words"),
-            F.length(F.regexp_replace(body, f"{SPACE}+", "")).cast("long").alias("word_chars"),
+            F.aggregate("_w", F.lit(0), lambda total, x: total + F.length(x)).cast("long").alias("word_chars"),
             _count(body, SYMBOLS).alias("n_symbols"),
             (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
             F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-            _count(body, "!").alias("n_exclaims"),
-            _count(body, UPPER).alias("n_capitals"),
-            _count(body, UPPER + LOWER).alias("n_letters"),
-            F.size(F.filter("_w", lambda w: w.rlike(r"[\p{L}]"))).cast("long").alias("n_plain"),
-            F.size(F.filter("_w", lambda w: bare(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            (F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
+            _count(body, "A-Z").alias("n_capitals"),
+            F.size(F.filter("_w", lambda w: w.isin(*_stop_forms()))).cast("long").alias("n_stop_words"),
             F.size("_l").cast("long").alias("n_lines"),
         ),
     ).drop("_w", "_h", "_s", "_p", "_l")
 
 
+def _stop_forms() -> list[str]:
+    return sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
+
+
 def _passes(rule: Rule) -> Column:
     measure, per = 1000 * F.col(f"_m.{rule.measure}"), F.col(f"_m.{rule.per}")
     good = F.lit(True)
@@ -155,7 +158,7 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
         )
         return f"({good[0]} OR ({' AND '.join(tests)}))"
 
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stop = ", ".join(f"'{w}'" for w in _stop_forms())
     count = lambda chars: f"length(t) - length(translate(t, '{chars}', ''))"
     base = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words)"
     broken = "CASE WHEN " + base + " THEN 'base' " + " ".join(f"WHEN NOT {passes(r)} THEN '{r.name}'" for r in rules) + " END"
@@ -170,8 +173,7 @@ r AS (SELECT rid, count(DISTINCT k) AS n_repeat_words FROM (SELECT rid, unnest(r
 m AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
   ({count(SYMBOLS)})::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, {count('!')} AS n_exclaims, {count(UPPER)} AS n_capitals,
-  {count(UPPER + LOWER)} AS n_letters, len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_plain,
-  len(list_filter(ws, lambda x: regexp_replace(lower(x), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') IN ({stop}))) AS n_stop_words,
+  len(list_filter(ws, lambda x: x IN ({stop}))) AS n_stop_words,
   len(ls) AS n_lines FROM w LEFT JOIN r ON w.rid = r.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed,
   (NOT {base} AND {' AND '.join(passes(r) for r in rules)}) AS kept, {broken} AS broken_rule FROM m"""
