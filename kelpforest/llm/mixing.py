@@ -32,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Rows that one task orders at a time, on average.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 #: Source tables up to this many rows are broadcast.
 BROADCAST_SOURCES = 20_000
 
