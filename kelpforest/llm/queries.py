@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforest.llm import mixing, packing, quality, simhash, urlgraph
+from kelpforest.llm import mixing, packing, parsing, quality, simhash, urlgraph
 from kelpforest.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
 
 
+def op5_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     ordered = planned.repartitionByRange("finish_time", "doc_id").sortWithinPartitions("finish_time", "doc_id")
