@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforest.llm import licenses, mixing, packing, parsing, quality, simhash, urlgraph, warc
+from kelpforest.llm import curves, licenses, mixing, packing, parsing, quality, simhash, urlgraph, warc
 from kelpforest.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
