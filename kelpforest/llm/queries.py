@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforest.llm import curves, licenses, mixing, packing, parsing, quality, simhash, urlgraph, warc
+from kelpforest.llm import curves, licenses, mixing, packing, parsing, quality, simhash, suffixtree, urlgraph, warc
 from kelpforest.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
 def op3_urlgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.judge(table(spark, sf_dir, "pages"))
 
