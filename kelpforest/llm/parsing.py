@@ -12,10 +12,11 @@ settled within the dictionary of distinct phrases.
 * Parse: every phrase occurrence is a row (gram, phrase, place).
 * Dictionary: occurrences are summed. Phrases that occur twice are repeated as
   a whole. A gram that occurs once, in all, holds nothing repeated.
-* Suffixes: distinct phrases that share a gram get their suffixes named by
-  prefix doubling (1, 2, 4 ... 128, then ``LENGTH`` bytes). Suffixes of a gram
+* Suffixes: of a gram with a few phrases, phrases are compared outwards from
+  the gram, which gives the ranges they share. Of a gram with more, suffixes are
+  named by prefix doubling (1, 2, 4 ... 128, then ``LENGTH`` bytes); suffixes
   with equal names stand next to each other in corpus order, which is what
-  counts; a suffix is repeated if two phrases have its name.
+  counts, and one is repeated if two phrases have its name. Both are exact.
 * Combination: repeated phrases and suffixes go back to their places, and each
   text is cut once.
 
@@ -40,10 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpforest.llm.common import stored
+from kelpforest.llm.common import forget, stored
 
 LENGTH = 200
 GRAM = 64
+#: Grams with up to so many phrases compare them in pairs; others by their suffixes' names.
+FEW = 12
 #: Bytes hashed at a time; longer texts go in overlapping pieces.
 SLICE = 1 << 18
 
@@ -148,7 +151,7 @@ def _slices(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield out()
 
 
-_PARSE = "gram long, phrase long, doc_id long, mark int, place int, places int"
+_PARSE = "gram long, phrase long, doc_id long, mark long, place int, places int"
 
 
 def _parsed(length: int):
@@ -176,7 +179,7 @@ def _parsed(length: int):
 
 def _marked(docs: DataFrame) -> DataFrame:
     """With ``mark``, which tells apart different texts of a repeated id."""
-    return docs.withColumn("_mark", F.hash("text"))
+    return docs.withColumn("_mark", F.xxhash64("text"))
 
 
 def parse(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -184,75 +187,142 @@ def parse(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _marked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).select("doc_id", "_mark", "text").mapInArrow(_parsed(length), _PARSE)
 
 
-_SUFFIX = "gram long, suffix long, doc_id long, mark int, place int, often boolean"
+_EDGE = "gram long, name long, doc_id long, mark long, place int, places int, often boolean, at int, body binary"
 
 
-def _named(length: int):
+def _edges(length: int):
+    """Phrases of small groups with their bytes and the gram's place in them; suffixes of large groups by name."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(
+            [
+                ("gram", pa.int64()),
+                ("name", pa.int64()),
+                ("doc_id", pa.int64()),
+                ("mark", pa.int64()),
+                ("place", pa.int32()),
+                ("places", pa.int32()),
+                ("often", pa.bool_()),
+                ("at", pa.int32()),
+                ("body", pa.binary()),
+            ]
+        )
         for batch in batches:
-            grams, suffixes, docs, marks, places, often = [], [], [], [], [], []
+            bodies, held = [], 0
             for doc, mark, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
+                doc, mark = doc.as_py(), mark.as_py()
                 for phrase in found.as_py():
-                    at, size = phrase["place"], phrase["places"]
-                    _, h128 = names(data[at : at + size + length - 1])
-                    suffix = string_names(h128, length)
-                    grams.append(np.full(size, phrase["gram"], np.int64))
-                    suffixes.append(suffix.view(np.int64))
-                    docs += [doc.as_py()] * size
-                    marks.append(np.full(size, mark.as_py(), np.int32))
-                    places.append(np.arange(at, at + size, dtype=np.int32))
-                    often.append(np.full(size, phrase["often"]))
-            if grams:
-                yield pa.record_batch(
-                    [
-                        pa.array(np.concatenate(grams)),
-                        pa.array(np.concatenate(suffixes)),
-                        pa.array(docs, pa.int64()),
-                        pa.array(np.concatenate(marks)),
-                        pa.array(np.concatenate(places)),
-                        pa.array(np.concatenate(often)),
-                    ],
-                    names=["gram", "suffix", "doc_id", "mark", "place", "often"],
-                )
+                    place, places = phrase["place"], phrase["places"]
+                    piece = data[place : place + places + length - 1]
+                    grams, h128 = names(piece)
+                    if phrase["few"]:
+                        at = places - 1 + int(np.argmax(grams[places - 1 :].view(np.int64) == phrase["gram"]))
+                        bodies.append((phrase["gram"], None, doc, mark, place, places, phrase["often"], at, piece.tobytes()))
+                    else:
+                        for i, name in enumerate(string_names(h128, length).view(np.int64).tolist()):
+                            bodies.append((phrase["gram"], name, doc, mark, place + i, 1, phrase["often"], None, None))
+                    if len(bodies) > 20_000:
+                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*bodies, strict=True), schema, strict=True)], schema=schema)
+                        bodies = []
+            if bodies:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*bodies, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    first = int(differ.argmax()) if n else 0
+    return first if n and differ[first] else n
+
+
+def _group_spans(members: list[tuple], length: int) -> Iterator[tuple]:
+    """Repeated ranges of the phrases that occur once, from the phrases of one gram: (doc_id, mark, place, places, often, at, body).
+
+    Sharing the gram, two phrases share the string around it; the strings of ``length`` in that are repeated.
+    """
+    bodies = [np.frombuffer(m[6], np.uint8) for m in members]
+    for i, (doc, mark, place, places, often, at, _) in enumerate(members):
+        if often:
+            continue
+        left, right = bodies[i][:at][::-1], bodies[i][at:]
+        ranges = set()
+        for j, other in enumerate(members):
+            if j != i:
+                there = other[5]
+                first = max(0, at - _common(left, bodies[j][:there][::-1]))
+                last = min(places - 1, at + _common(right, bodies[j][there:]) - length)
+                if first <= last:
+                    ranges.add((first, last))
+        for first, last in ranges:
+            yield doc, mark, place + first, place + last + length
+
+
+def _spans(length: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, members = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != gram:
+                    out.extend(_group_spans(members, length))
+                    gram, members = row[0], []
+                members.append(row[1:])
+            yield _span_batch(out)
+        yield _span_batch(list(_group_spans(members, length)))
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "mark", "a", "z"])
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, few: int = FEW) -> DataFrame:
     """(doc_id, mark, spans): byte ranges, unmerged, of the strings that start at two places or more."""
     parsed = stored(parse(docs, length), "parse")
-    # Grams that occur again, and whether in one phrase only.
-    grams = (
-        parsed.groupBy("gram")
-        .agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
-        .where("n > 1")
-        .select("gram", (F.col("low") == F.col("high")).alias("alike"))
-    )
+    # A gram that occurs once holds nothing repeated.
+    grams = parsed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     again = stored(parsed.join(grams, "gram"), "parse-again")
-    span = lambda first, size: F.struct(F.col(first).alias("a"), (F.col(first) + size + (length - 1)).alias("z"))
-    sure = again.where("alike").select("doc_id", "mark", span("place", F.col("places")).alias("s"))
-    # The dictionary where a gram has several phrases; a phrase is read at its first occurrence.
-    edge = again.where("NOT alike")
-    words = edge.groupBy("gram", "phrase").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "place", "places")).alias("at")
-    )
+    forget(parsed)
+    # The dictionary; a phrase is read at its first occurrence.
+    words = again.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "place", "places")).alias("at"))
     words = stored(words, "dictionary")
-    often = edge.join(words.where("n > 1").select("gram", "phrase"), ["gram", "phrase"]).select(
-        "doc_id", "mark", span("place", F.col("places")).alias("s")
+    often = again.join(words.where("n > 1").select("gram", "phrase"), ["gram", "phrase"]).select(
+        "doc_id", "mark", F.col("place").alias("a"), (F.col("place") + F.col("places") + (length - 1)).alias("z")
+    )
+    # Where a gram has several phrases, parts of those that occur once may be repeated.
+    kinds = words.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    read = words.join(kinds, "gram").select(
+        "at.doc_id", "at.mark", F.struct("at.place", "at.places", "gram", (F.col("n") > 1).alias("often"), (F.col("m") <= few).alias("few")).alias("p")
     )
-    read = words.select("at.doc_id", "at.mark", F.struct("at.place", "at.places", "gram", (F.col("n") > 1).alias("often")).alias("p"))
+    # Equal rows are read as often as they come: their phrases occur often, so nothing turns on it.
     read = read.groupBy("doc_id", "mark").agg(F.collect_list("p").alias("found"))
-    texts = _marked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).dropDuplicates(["doc_id", "_mark"])
+    texts = _marked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     at = texts.join(read, texts["doc_id"].eqNullSafe(read["doc_id"]) & (texts["_mark"] == read["mark"])).select(
         texts["doc_id"], "mark", F.col("text").cast("binary").alias("text"), "found"
     )
-    suffixes = stored(at.mapInArrow(_named(length), _SUFFIX), "suffixes")
-    twice = suffixes.groupBy("gram", "suffix").agg(F.count("*").alias("n")).where("n > 1").select("gram", "suffix")
-    single = suffixes.where("NOT often").join(twice, ["gram", "suffix"]).select(
-        "doc_id", "mark", span("place", F.lit(1)).alias("s")
+    edges = stored(at.mapInArrow(_edges(length), _EDGE), "edges")
+    small = (
+        edges.where("name IS NULL")
+        .select("gram", "doc_id", "mark", "place", "places", "often", "at", "body")
+        .repartition("gram")
+        .sortWithinPartitions("gram")
+        .mapInArrow(_spans(length), "doc_id long, mark long, a int, z int")
     )
-    return sure.unionByName(often).unionByName(single).groupBy("doc_id", "mark").agg(F.collect_list("s").alias("spans"))
+    suffixes = edges.where("name IS NOT NULL").select("gram", "name", "doc_id", "mark", "place", "often")
+    twice = suffixes.groupBy("gram", "name").agg(F.count("*").alias("n")).where("n > 1").select("gram", "name")
+    large = suffixes.where("NOT often").join(twice, ["gram", "name"]).select("doc_id", "mark", F.col("place").alias("a"), (F.col("place") + length).alias("z"))
+    spans = often.unionByName(small).unionByName(large)
+    out = stored(spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
+    for x in (again, words, edges):
+        forget(x)
+    return out
 
 
 def merged(spans) -> np.ndarray:
