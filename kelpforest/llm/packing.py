@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,31 +34,65 @@ DEPTH = 8
 END = 1
 BLOCK = 4_000_000
 #: Words whose ids a worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 300_000, 40
+CACHE_WORDS, CACHE_CHARS = 500_000, 40
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-class _Words(dict):
-    """Ids of a word as little-endian 16-bit numbers; words are white-space separated, which the vocabulary never crosses."""
+#: Words that are split here: printable ASCII and Latin letters, which lower-casing maps one to one. Others go through the whole tokenizer.
+_SIMPLE = regex.compile(r"(?:(?!<\|)[!-~\u00C0-\u012F\u0131-\u024F]){1,64}")
+#: The vocabulary's own way to cut a word, as its file gives it.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes: printable ones for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
+
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+class _Words:
+    """Ids of words as little-endian 32-bit numbers; words are white-space separated, which the vocabulary never crosses."""
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def token_ids(text: str | None, words: _Words) -> np.ndarray:
-    found = map(words.__getitem__, text.replace("\n", " ").split(" ")) if text else ()
-    return np.frombuffer(b"".join((*found, END.to_bytes(4, "little"))), "<u4")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            found = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled))
+            if len(self.pieces) > CACHE_WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
+
+    def _encode(self, word: str) -> bytes:
+        if _SIMPLE.fullmatch(word):
+            return b"".join(map(self._piece, _PIECES.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """A dictionary that holds ``words``; long ones aren't kept."""
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""}
+        found = {w: self._encode(w) for w in words.difference(self.known)}
+        self.known.update((w, x) for w, x in found.items() if len(w) <= CACHE_CHARS)
+        return self.known if all(len(w) <= CACHE_CHARS for w in found) else self.known | found
+
+
+def token_ids(texts: list[str | None], words: _Words) -> list[np.ndarray]:
+    # The vocabulary is lower case; sigma alone is lowered by its place in Python, and not in the tokenizer.
+    split = [(x if "\u03a3" in x else x.lower()).replace("\n", " ").split(" ") if x else [] for x in texts]
+    known = words.learn(set().union(*split))
+    end = END.to_bytes(4, "little")
+    return [np.frombuffer(b"".join((*map(known.__getitem__, x), end)), "<u4") for x in split]
 
 
 @cache
@@ -214,11 +249,12 @@ def _packed(path: str, window: int):
                 )
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = token_ids(text.as_py(), words)
-                names.append(name)
-                ids.append(found)
-                held += len(found)
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                found = token_ids(some.column(1).to_pylist(), words)
+                names += some.column(0).to_pylist()
+                ids += found
+                held += sum(map(len, found))
                 if held >= BLOCK:
                     yield from flush()
                     ids, names, held = [], [], 0
