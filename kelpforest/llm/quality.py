@@ -147,7 +147,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass; columns as they came."""
-    return measures(docs).where(verdict(rules)).select(*docs.columns)
+    # The row number keeps the optimizer from pushing the filter, and with it copies of all measures, down to the scan.
+    measured = measures(docs).withColumn("_n", F.monotonically_increasing_id())
+    return measured.where(verdict(rules) & (F.col("_n") >= 0)).select(*docs.columns)
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

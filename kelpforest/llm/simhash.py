@@ -165,5 +165,143 @@ def groups(docs: DataFrame) -> DataFrame:
     return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+# Near-duplicate documents: wide signatures, for a similarity of shingle sets.
+
+#: 64-bit words of a signature; the first ``INDEXED`` are indexed, by segments of 16 bits with one masked.
+WORDS, INDEXED, NARROW = 8, 3, 16
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Bits of one word by which likely pairs differ at most; others aren't compared in full.
+LIKELY = 18
+
+
+def most_bits(similarity: float, words: int = WORDS) -> int:
+    """Bits of a signature that sets of this Jaccard similarity differ in, on average, and half a deviation more."""
+    flip = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * words
+    return int(n * flip + 0.5 * np.sqrt(n * flip * (1 - flip)))
+
+
+def signature(words: list[bytes], width: int = SHINGLE) -> bytes:
+    """``WORDS`` SimHash words over the set of shingles, each from another mix of the shingles' hashes."""
+    hashes = np.unique(shingle_hashes(words, width))
+    out = []
+    for k in range(WORDS):
+        x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x5851F42D4C957F2D & (1 << 64) - 1 | 1)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        out.append(fingerprint(x))
+    return np.array(out, "<u8").tobytes()
+
+
+def plain_words(text: bytes | None) -> list[bytes]:
+    """Words in lower case without ASCII punctuation around them."""
+    return [w for w in (x.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in words_of(text)) if w]
+
+
+def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [signature(plain_words(x.as_py())) for x in batch.column(1).cast(pa.binary())]
+        yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["row", "signature"])
+
+
+def _narrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, near): masked segments; ``near`` is another word of the signature, to compare first."""
+    masks = np.array([(1 << NARROW) - 1 & ~(1 << b) for b in range(NARROW)], np.uint64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nodes = batch.column(0).to_numpy()
+        words = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
+        for k in range(INDEXED):
+            near = np.repeat(words[:, (k + 1) % WORDS], NARROW).view(np.int64)
+            for segment in range(64 // NARROW):
+                value = words[:, k] >> np.uint64(NARROW * segment) & np.uint64((1 << NARROW) - 1)
+                kind = (np.uint64((k * 4 + segment) * NARROW) + np.arange(NARROW, dtype=np.uint64)) << np.uint64(NARROW)
+                keys = (value[:, None] & masks | kind).ravel().view(np.int64)
+                yield pa.record_batch([pa.array(keys), pa.array(np.repeat(nodes, NARROW)), pa.array(near)], names=["key", "node", "near"])
+
+
+def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def found(keys, nodes, near):
+        left, right = [], []
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.r_[starts, len(keys)])
+        for i in np.flatnonzero(sizes > SMALL):
+            here = slice(starts[i], starts[i] + sizes[i])
+            prints, at = np.unique(near[here], return_index=True)
+            owner = nodes[here][at]
+            # Equal words link in a chain, others by the forest.
+            order = np.argsort(near[here], kind="stable")
+            same = np.flatnonzero(near[here][order][1:] == near[here][order][:-1])
+            left.append(nodes[here][order][same])
+            right.append(nodes[here][order][same + 1])
+            for x, y in forest(prints, LIKELY):
+                left.append(owner[np.searchsorted(prints, x)])
+                right.append(owner[np.searchsorted(prints, y)])
+        rest = np.repeat(sizes <= SMALL, sizes)
+        keys, nodes, near = keys[rest], nodes[rest], near[rest]
+        for step in range(1, min(SMALL, int(sizes.max(initial=0)))):
+            hit = np.flatnonzero((keys[step:] == keys[:-step]) & (np.bitwise_count(near[step:] ^ near[:-step]) <= LIKELY))
+            left.append(nodes[hit])
+            right.append(nodes[hit + step])
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        k, n, p = (batch.column(i).to_numpy() for i in range(3))
+        p = p.view(np.uint64)
+        if not len(k):
+            continue
+        last = int(np.searchsorted(k, k[-1]))
+        if last == 0 and (not held or held[0][0][0] == k[0]):
+            held.append((k, n, p))
+            continue
+        yield found(*(np.concatenate([*(h[i] for h in held), x[:last]]) for i, x in enumerate((k, n, p))))
+        held = [(k[last:], n[last:], p[last:])]
+    if held:
+        yield found(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+
+
+def _verified(most: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, WORDS) for i in (2, 3))
+            near = np.bitwise_count(x ^ y).sum(axis=1) <= most
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    return run
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without near-duplicates: of the documents that links connect, the one of the least id stays.
+
+    Two documents link if their sets of five-word shingles have a Jaccard
+    similarity of ``similarity`` by their 512-bit signatures. Texts without
+    words have one signature and are one group.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    prints = stored(rows.select(F.col("_row").alias("row"), F.col("text").cast("string")).mapInArrow(_signatures, "row long, signature binary"), "signatures")
+    named = prints.join(rows.select(F.col("_row").alias("row"), "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    classes = stored(named.groupBy("signature").agg(first), "classes")
+    nodes = classes.select(F.col("first.row").alias("node"), "signature")
+    keyed = nodes.mapInArrow(_narrow, "key long, node long, near long")
+    pairs = stored(
+        keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_likely, "a long, b long").distinct(), "pairs"
+    )
+    left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("y"))
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(most_bits(similarity)), "a long, b long")
+    roots = components(links)
+    best = classes.select(F.col("first.row").alias("node"), "first").join(roots, "node", "left")
+    kept = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("f")).select(F.col("f.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+
+
 def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
