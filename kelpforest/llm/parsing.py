@@ -287,9 +287,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, few: int = FEW) -> Dat
     """(doc_id, mark, spans): byte ranges, unmerged, of the strings that start at two places or more."""
     parsed = stored(parse(docs, length), "parse")
     # A gram that occurs once holds nothing repeated.
-    grams = parsed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written first, so that the join below starts at two exchanges and Spark can split a hot gram.
+    grams = stored(parsed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     again = stored(parsed.join(grams, "gram"), "parse-again")
     forget(parsed)
+    forget(grams)
     # The dictionary; a phrase is read at its first occurrence.
     words = again.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "place", "places")).alias("at"))
     words = stored(words, "dictionary")
