@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpforest.llm.common import stored
+from kelpforest.llm.common import forget, stored
 from kelpforest.llm.components import components
 
 WIDTH = 4
@@ -171,15 +171,15 @@ def groups(docs: DataFrame) -> DataFrame:
 WORDS, INDEXED, NARROW = 8, 3, 16
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits of one word by which likely pairs differ at most; others aren't compared in full.
+#: Bits of one word by which likely pairs differ at most (three deviations beyond the mean at 0.8); others aren't compared in full.
 LIKELY = 18
 
 
-def most_bits(similarity: float, words: int = WORDS) -> int:
-    """Bits of a signature that sets of this Jaccard similarity differ in, on average, and half a deviation more."""
+def bits_at(similarity: float, deviations: float, words: int = WORDS) -> int:
+    """Bits of a signature that sets of this Jaccard similarity differ in, on average, and some deviations more."""
     flip = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n = 64 * words
-    return int(n * flip + 0.5 * np.sqrt(n * flip * (1 - flip)))
+    return int(n * flip + deviations * np.sqrt(n * flip * (1 - flip)))
 
 
 def signature(words: list[bytes], width: int = SHINGLE) -> bytes:
@@ -267,12 +267,32 @@ def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(*(np.concatenate([h[i] for h in held]) for i in range(3)))
 
 
-def _verified(most: int):
+def _distances(most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, WORDS) for i in (2, 3))
-            near = np.bitwise_count(x ^ y).sum(axis=1) <= most
-            yield batch.select([0, 1]).filter(pa.array(near))
+            bits = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int32)
+            out = pa.record_batch([batch.column(0), batch.column(1), pa.array(bits)], names=["a", "b", "bits"])
+            yield out.filter(pa.array(bits <= most))
+
+    return run
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(shingle_hashes(plain_words(x.as_py()), SHINGLE)).tobytes() for x in batch.column(1).cast(pa.binary())]
+        yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["row", "shingles"])
+
+
+def _similar(least: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= least * (len(a) + len(b) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -281,24 +301,38 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of the documents that links connect, the one of the least id stays.
 
     Two documents link if their sets of five-word shingles have a Jaccard
-    similarity of ``similarity`` by their 512-bit signatures. Texts without
-    words have one signature and are one group.
+    similarity of ``similarity`` or more. Candidates share a masked 16-bit
+    segment of a signature. Their 512-bit signatures settle what is clearly
+    alike or different; for pairs in between that aren't connected otherwise,
+    the sets themselves are compared. Texts without words are one group.
     """
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    prints = stored(rows.select(F.col("_row").alias("row"), F.col("text").cast("string")).mapInArrow(_signatures, "row long, signature binary"), "signatures")
+    texts = rows.select(F.col("_row").alias("row"), F.col("text").cast("string"))
+    prints = stored(texts.mapInArrow(_signatures, "row long, signature binary"), "signatures")
     named = prints.join(rows.select(F.col("_row").alias("row"), "doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     classes = stored(named.groupBy("signature").agg(first), "classes")
     nodes = classes.select(F.col("first.row").alias("node"), "signature")
     keyed = nodes.mapInArrow(_narrow, "key long, node long, near long")
-    pairs = stored(
-        keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_likely, "a long, b long").distinct(), "pairs"
-    )
+    likely = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_likely, "a long, b long").distinct()
+    pairs = stored(likely, "pairs")
     left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(most_bits(similarity)), "a long, b long")
-    roots = components(links)
-    best = classes.select(F.col("first.row").alias("node"), "first").join(roots, "node", "left")
+    most = bits_at(similarity, 3)
+    scored = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_distances(most), "a long, b long, bits int")
+    scored = stored(scored, "distances")
+    forget(pairs)
+    sure = scored.where(F.col("bits") <= bits_at(similarity, -3)).select("a", "b")
+    roots = stored(components(sure), "sure-roots")
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+    open_ = scored.where(F.col("bits") > bits_at(similarity, -3)).join(root("a"), "a", "left").join(root("b"), "b", "left")
+    open_ = stored(open_.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "open-pairs")
+    asked = open_.select(F.col("a").alias("row")).unionByName(open_.select(F.col("b").alias("row"))).distinct()
+    sets = stored(texts.join(asked, "row", "left_semi").mapInArrow(_sets, "row long, shingles binary"), "shingle-sets")
+    of = lambda end, name: sets.select(F.col("row").alias(end), F.col("shingles").alias(name))
+    met = open_.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+    found = components(sure.unionByName(met))
+    best = classes.select(F.col("first.row").alias("node"), "first").join(found, "node", "left")
     kept = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("f")).select(F.col("f.row").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
