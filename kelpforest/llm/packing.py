@@ -74,6 +74,8 @@ class _Words:
         return found
 
     def _encode(self, word: str) -> bytes:
+        if word.isalpha() and (word.isascii() or _SIMPLE.fullmatch(word)):
+            return self._piece(word) if word.islower() else self._piece(word.lower())
         if _SIMPLE.fullmatch(word):
             return b"".join(map(self._piece, _PIECES.findall(word.lower())))
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
