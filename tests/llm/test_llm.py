@@ -323,7 +323,7 @@ def test_hilbert_keys_are_a_walk():
     assert sorted(keys) == list(range(512)) and (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
-def _simple_scores(texts, depth, share, least):
+def _simple_scores(texts, depth, share, least, margin):
     """The suffix tree by definition, over a dictionary of texts."""
     train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in texts}
     lines = {i: ["^", *t.lower().split(), "$"] for i, t in texts.items()}
@@ -350,7 +350,7 @@ def _simple_scores(texts, depth, share, least):
     for c in candidate:
         total = sum(after[c].values())
         gain = sum(n * math.log(n / total / p(c[1:], w)) for w, n in after[c].items())
-        if gain > 0.5 * len(after[c]) * math.log(max(total, 2)):
+        if gain - 0.5 * len(after[c]) * math.log(max(total, 2)) > margin * total:
             states |= {c[k:] for k in range(len(c))}
     out = {}
     for i, line in lines.items():
@@ -366,9 +366,9 @@ def test_suffix_tree(spark, tables, texts):
     docs = table(spark, tables, "documents")
     ascii_only = {i: t for i, t in texts.items() if t.isascii()}
     docs = docs.where(F.col("doc_id").isin(list(ascii_only)))
-    expected, states = _simple_scores(ascii_only, 2, 2e-4, 6)
+    expected, states = _simple_scores(ascii_only, 2, 2e-4, 6, 0.05)
     assert any(len(s) == 2 for s in states)
-    got = suffixtree.score(docs, share=2e-4, least=6).collect()
+    got = suffixtree.score(docs, share=2e-4, least=6, margin=0.05).collect()
     assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(expected, rel=1e-9)
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
