@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from kelpforest.constants import DUPLICATE_COSINE
 
+#: Queries that meet all rows at a time.
+QUERY_BLOCK = 10_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -35,20 +38,30 @@ def top_k(rows: DataFrame, key: str, vector: str, query: list[float], k: int, wh
     return rows.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def blocks(queries: DataFrame, key: str, size: int = QUERY_BLOCK) -> list[DataFrame]:
+    """The queries in hashed parts of about ``size`` rows, each small enough to be sent to every task."""
+    parts = max(1, -(-queries.count() // size))
+    return [F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) if parts > 1 else queries) for i in range(parts)]
+
+
 def batch_top_k(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): for each query (query_id, q[, same]) the nearest of rows (id, v[, same]), itself left out.
 
-    Queries are a stated set against all rows; the rank filter runs in each
-    partition before anything is shuffled.
+    Queries are a stated set against all rows, block by block; the rank filter
+    runs in each partition before anything is shuffled.
     """
     left = queries.select("query_id", unit(F.col("q")).alias("q"), *([F.col(same).alias("_s")] if same else []))
     right = rows.select("id", unit(F.col("v")).alias("v"), *([F.col(same).alias("_t")] if same else []))
     on = F.col("query_id") != F.col("id")
     if same:
         on &= F.col("_s") == F.col("_t")
-    scored = right.join(left, on).select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = None
+    for part in blocks(left, "query_id"):
+        scored = right.join(part, on).select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+        best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def duplicates(candidates: DataFrame, stored: DataFrame, least: float = DUPLICATE_COSINE) -> DataFrame:

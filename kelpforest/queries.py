@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -278,8 +279,11 @@ round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS r3, round(avg(coales
 )
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    # The golden set: a few hundred texts at most, compared with every document where it lies.
-    holds = docs.select("doc_id", F.col("text").alias("body")).join(F.broadcast(items), F.contains("body", "text")).select("item_id", "doc_id")
+    # The golden set meets every document where it lies, block by block.
+    holds = None
+    for part in vectors.blocks(items, "item_id"):
+        found = docs.select("doc_id", F.col("text").alias("body")).join(part, F.contains("body", "text")).select("item_id", "doc_id")
+        holds = found if holds is None else holds.unionByName(found)
     found = ranking.ranked(_lexical(spark, sf_dir), 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
     first = holds.join(found, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("rank"))
     return ranking.metrics(first)
@@ -513,4 +517,4 @@ def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), F.col("text").alias("content"))
     folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
-    return snapshots.import_notes(spark, snapshots.export_notes(docs, f"{folder}/backups"), docs.schema)[0]
+    return snapshots.import_notes(spark, snapshots.export_notes(docs, f"{folder}/backups-{uuid.uuid4().hex}"), docs.schema)[0]
