@@ -35,6 +35,10 @@ def chunker(path: Column) -> Column:
     return _looked_up(type_key(path), 0)
 
 
+def grammar(path: Column) -> Column:
+    return _looked_up(type_key(path), 1)
+
+
 def language(path: Column) -> Column:
     return _looked_up(type_key(path), 2)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kelpforest.functions import text as T
 from kelpforest.operators import chunking, classify, sync
 from kelpforest.sources.snapshots import Snapshots
-from kelpforest.sources.tree import SourceTree
+from kelpforest.sources.tree import SourceTree, head_commit
 
 SCHEMA_VERSION = 1
 DIM = 64
@@ -51,7 +51,7 @@ def files(spark: SparkSession, root: str, project: str, only: str = "", extra_di
         F.col("content").cast("string").alias("text"),
         classify.skip_reason(path, F.col("size"), F.col("content"), extra_dirs, F.col("ignored")).alias("skip_reason"),
         classify.chunker(path).alias("chunker"),
-        classify._looked_up(classify.type_key(path), 1).alias("grammar"),
+        classify.grammar(path).alias("grammar"),
         classify.language(path).alias("language"),
         classify.doc_type(path).alias("doc_type"),
         classify.collection(path).alias("collection"),
@@ -81,9 +81,9 @@ def chunks_of(found: DataFrame, now=None, embed=None) -> DataFrame:
     return rows.join(dense, "id").drop("embed_text")
 
 
-def index_project(spark: SparkSession, store: Snapshots, root: str, project: str, only_changed: bool = True) -> DataFrame:
+def index_project(spark: SparkSession, store: Snapshots, root: str, project: str, only_changed: bool = True, only: str = "") -> DataFrame:
     """Bring a project's chunks up to date; gives the counts of what was done."""
-    found = files(spark, root, project).where("skip_reason IS NULL").persist()
+    found = files(spark, root, project, only).where("skip_reason IS NULL").withColumn("git_commit", F.lit(head_commit(root)).cast("string")).persist()
     old = store.read("chunks")
     disk = found.select("collection", "path", "hash")
     if old is None:

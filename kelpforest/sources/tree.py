@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import subprocess
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -77,6 +78,15 @@ def ignored(path: str, folder: bool, rules: dict[str, IgnoreRules]) -> bool:
     return False
 
 
+def head_commit(root: str) -> str | None:
+    """The commit that is checked out, or None outside a repository."""
+    try:
+        said = subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=True)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    return said.stdout.strip() or None
+
+
 def walk(root: str, below: str = "", deep: bool = True) -> Iterator[tuple]:
     rules: dict[str, IgnoreRules] = {}
 
