@@ -173,6 +173,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of one word by which likely pairs differ at most (three deviations beyond the mean at 0.8); others aren't compared in full.
 LIKELY = 18
+#: Runs up to this length give all likely pairs, longer ones a forest of them.
+PAIRED = 6
 
 
 def bits_at(similarity: float, deviations: float, words: int = WORDS) -> int:
@@ -230,21 +232,25 @@ def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
-        for i in np.flatnonzero(sizes > SMALL):
-            here = slice(starts[i], starts[i] + sizes[i])
-            prints, at = np.unique(near[here], return_index=True)
-            owner = nodes[here][at]
-            # Equal words link in a chain, others by the forest.
-            order = np.argsort(near[here], kind="stable")
-            same = np.flatnonzero(near[here][order][1:] == near[here][order][:-1])
-            left.append(nodes[here][order][same])
-            right.append(nodes[here][order][same + 1])
-            for x, y in forest(prints, LIKELY):
-                left.append(owner[np.searchsorted(prints, x)])
-                right.append(owner[np.searchsorted(prints, y)])
-        rest = np.repeat(sizes <= SMALL, sizes)
-        keys, nodes, near = keys[rest], nodes[rest], near[rest]
-        for step in range(1, min(SMALL, int(sizes.max(initial=0)))):
+        for i in np.flatnonzero(sizes > PAIRED):
+            # Rows of a run come by node, so that runs of one group agree on the nodes that links start from.
+            own, pool = nodes[starts[i] : starts[i] + sizes[i]], near[starts[i] : starts[i] + sizes[i]]
+            queue: list[int] = []
+            rest = np.arange(len(own))
+            while len(rest):
+                if not queue:
+                    queue, rest = [int(rest[0])], rest[1:]
+                x = queue.pop(0)
+                close = np.bitwise_count(pool[rest] ^ pool[x]) <= LIKELY
+                if close.any():
+                    hit = rest[close]
+                    left.append(np.full(len(hit), own[x]))
+                    right.append(own[hit])
+                    queue += hit.tolist()
+                    rest = rest[~close]
+        short = np.repeat(sizes <= PAIRED, sizes)
+        keys, nodes, near = keys[short], nodes[short], near[short]
+        for step in range(1, min(PAIRED, int(sizes.max(initial=0)))):
             hit = np.flatnonzero((keys[step:] == keys[:-step]) & (np.bitwise_count(near[step:] ^ near[:-step]) <= LIKELY))
             left.append(nodes[hit])
             right.append(nodes[hit + step])
