@@ -173,7 +173,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of one word by which likely pairs differ at most (three deviations beyond the mean at 0.8); others aren't compared in full.
 LIKELY = 18
-#: Runs up to this length give all likely pairs, longer ones a forest of them.
+#: Runs and connected sets up to this size give all likely pairs; members of larger sets are compared by whole signatures, in one place.
 PAIRED = 6
 
 
@@ -225,29 +225,59 @@ def _narrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(keys), pa.array(np.repeat(nodes, NARROW)), pa.array(near)], names=["key", "node", "near"])
 
 
-def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+    """Batches' columns, cut anew so that no run of the first column is split."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(0).to_numpy()
+        last = int(np.searchsorted(k, k[-1]))
+        if last == 0 and (not held or held[0].column(0)[0].as_py() == k[0]):
+            held.append(batch)
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, last)]).columns
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).columns
+
+
+def _pieces(words: np.ndarray, most: int) -> np.ndarray:
+    """For each row of ``words`` (n, w) the first row that it reaches over rows which differ in ``most`` bits at most."""
+    first, rest = np.arange(len(words)), np.arange(len(words))
+    while len(rest):
+        queue, start, rest = [rest[0]], rest[0], rest[1:]
+        while queue and len(rest):
+            near = np.bitwise_count(words[rest] ^ words[queue.pop()]).sum(axis=1) <= most
+            if near.any():
+                first[rest[near]] = start
+                queue += rest[near].tolist()
+                rest = rest[~near]
+    return first
 
-    def found(keys, nodes, near):
-        left, right = [], []
+
+def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, a, b): likely pairs, without a set; members (a) of the sets of more than ``PAIRED`` that likely pairs connect."""
+    for columns in _runs(batches):
+        keys, nodes, near = (x.to_numpy() for x in columns)
+        near = near.view(np.uint64)
+        left, right, sets, members = [], [], [], []
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
         for i in np.flatnonzero(sizes > PAIRED):
-            # Rows of a run come by node, so that runs of one group agree on the nodes that links start from.
-            own, pool = nodes[starts[i] : starts[i] + sizes[i]], near[starts[i] : starts[i] + sizes[i]]
-            queue: list[int] = []
-            rest = np.arange(len(own))
-            while len(rest):
-                if not queue:
-                    queue, rest = [int(rest[0])], rest[1:]
-                x = queue.pop(0)
-                close = np.bitwise_count(pool[rest] ^ pool[x]) <= LIKELY
-                if close.any():
-                    hit = rest[close]
-                    left.append(np.full(len(hit), own[x]))
-                    right.append(own[hit])
-                    queue += hit.tolist()
-                    rest = rest[~close]
+            own, word = nodes[starts[i] : starts[i] + sizes[i]], near[starts[i] : starts[i] + sizes[i]]
+            first, where, n = np.unique(_pieces(word[:, None], LIKELY), return_inverse=True, return_counts=True)
+            for j in np.flatnonzero(n > 1):
+                at = np.flatnonzero(where == j)
+                if n[j] > PAIRED:
+                    # Rows of a run come by node, so equal sets of several keys have one name.
+                    sets.append(np.full(n[j], xxhash.xxh64_intdigest(own[at].tobytes()), np.uint64))
+                    members.append(own[at])
+                else:
+                    x, y = np.triu_indices(n[j], 1)
+                    hit = np.bitwise_count(word[at[x]] ^ word[at[y]]) <= LIKELY
+                    left.append(own[at[x[hit]]])
+                    right.append(own[at[y[hit]]])
         short = np.repeat(sizes <= PAIRED, sizes)
         keys, nodes, near = keys[short], nodes[short], near[short]
         for step in range(1, min(PAIRED, int(sizes.max(initial=0)))):
@@ -256,21 +286,33 @@ def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append(nodes[hit + step])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+        yield pa.record_batch([pa.nulls(len(pairs), pa.int64()), *(pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1))], names=["set", "a", "b"])
+        if sets:
+            of, who = np.concatenate(sets).view(np.int64), np.concatenate(members)
+            yield pa.record_batch([pa.array(of), pa.array(who), pa.nulls(len(who), pa.int64())], names=["set", "a", "b"])
 
-    for batch in batches:
-        k, n, p = (batch.column(i).to_numpy() for i in range(3))
-        p = p.view(np.uint64)
-        if not len(k):
-            continue
-        last = int(np.searchsorted(k, k[-1]))
-        if last == 0 and (not held or held[0][0][0] == k[0]):
-            held.append((k, n, p))
-            continue
-        yield found(*(np.concatenate([*(h[i] for h in held), x[:last]]) for i, x in enumerate((k, n, p))))
-        held = [(k[last:], n[last:], p[last:])]
-    if held:
-        yield found(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+
+def _verified(sure: int, most: int):
+    """(a, b, bits) within sets: a link of each member to the first that sure links connect it with, and all open pairs between what they leave apart."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches):
+            sets, nodes = (x.to_numpy() for x in columns[:2])
+            words = np.frombuffer(b"".join(columns[2].to_pylist()), "<u8").reshape(-1, WORDS)
+            starts = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]])
+            for i, j in zip(starts, np.r_[starts[1:], len(sets)], strict=True):
+                own, signed = nodes[i:j], words[i:j]
+                first = _pieces(signed, sure)
+                moved = np.flatnonzero(first != np.arange(j - i))
+                out = [(own[first[moved]], own[moved], np.zeros(len(moved), np.int32))]
+                for x in range(j - i if j - i > len(moved) + 1 else 0):
+                    apart = x + 1 + np.flatnonzero(first[x + 1 :] != first[x])
+                    bits = np.bitwise_count(signed[apart] ^ signed[x]).sum(axis=1).astype(np.int32)
+                    hit = bits <= most
+                    out.append((np.full(int(hit.sum()), own[x]), own[apart[hit]], bits[hit]))
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "bits"])
+
+    return run
 
 
 def _distances(most: int):
@@ -308,8 +350,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Two documents link if their sets of five-word shingles have a Jaccard
     similarity of ``similarity`` or more. Candidates share a masked 16-bit
-    segment of a signature. Their 512-bit signatures settle what is clearly
-    alike or different; for pairs in between that aren't connected otherwise,
+    segment of a signature. Only verified links take a candidate out of a run's
+    pool: 512-bit signatures settle what is clearly alike or different; for pairs in between that aren't connected otherwise,
     the sets themselves are compared. Texts without words are one group.
     """
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
@@ -320,13 +362,14 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = stored(named.groupBy("signature").agg(first), "classes")
     nodes = classes.select(F.col("first.row").alias("node"), "signature")
     keyed = nodes.mapInArrow(_narrow, "key long, node long, near long")
-    likely = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_likely, "a long, b long").distinct()
+    likely = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_likely, "set long, a long, b long").distinct()
     pairs = stored(likely, "pairs")
     left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("y"))
     most = bits_at(similarity, 3)
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_distances(most), "a long, b long, bits int")
-    scored = stored(scored, "distances")
+    scored = pairs.where("set IS NULL").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_distances(most), "a long, b long, bits int")
+    members = pairs.where("set IS NOT NULL").join(left, "a").select("set", "a", "x").repartition("set").sortWithinPartitions("set", "a")
+    scored = stored(scored.unionByName(members.mapInArrow(_verified(bits_at(similarity, -3), most), "a long, b long, bits int")).distinct(), "distances")
     forget(pairs)
     sure = scored.where(F.col("bits") <= bits_at(similarity, -3)).select("a", "b")
     roots = stored(components(sure), "sure-roots")

@@ -254,6 +254,35 @@ def test_one_of_each(spark, edge):
     assert kept.columns == edge.columns and kept.where("doc_id = 4").count() <= 1
 
 
+def _similar_groups(texts, least=0.8):
+    """Brute force: the first of each component of texts whose sets of five-word shingles have a Jaccard similarity of ``least``."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    return sorted(set(_groups(len(sets), links)))
+
+
+def test_one_of_each_in_long_runs(spark):
+    random = np.random.default_rng(2)
+    template = [f"t{i}" for i in range(300)]
+    texts = []
+    # Below 0.8 with each other, and with the near copies that follow.
+    for single in range(300):
+        at = int(random.integers(0, 268))
+        texts.append([*template[:at], *(f"s{single}x{i}" for i in range(32)), *template[at + 32 :]])
+    for pair in range(12):
+        at = 20 * pair
+        own = [*template[:at], *(f"p{pair}x{i}" for i in range(36)), *template[at + 36 :]]
+        texts += [own, [f"q{pair}" if i in (3, 250, 290) else w for i, w in enumerate(own)]]
+    # A large group of near copies.
+    texts += [[f"n{i}" if i != k else "other" for i in range(300)] for k in range(60)]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    expected = _similar_groups(texts)
+    assert len(expected) == 312
+    assert kept == expected
+
+
 def test_licenses(spark, edge, empty):
     rows = [(1, "x. Under the MIT-License! under the mit license"), (2, None), (3, "Licensed under the Apache License, Version 2.0."), (4, "the GNU General Public License, version 3"), (5, "a license for the mit under"), (6, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
