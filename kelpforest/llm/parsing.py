@@ -117,7 +117,10 @@ def phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     until = np.minimum(np.r_[at[1:], n], stops[text])
     size = until - at
     step = length - 128
-    whole = _mixed(_mixed(h128[at], h128[until - 1 + step]), _mixed(h128[at + step], size.astype(np.uint64)))
+    # The first ``length`` bytes, the last 128 and the 128 before those: no byte of a phrase is left out.
+    last = until - 1 + step
+    tail = _mixed(h128[last], h128[np.maximum(at, last - 128)])
+    whole = _mixed(_mixed(h128[at], tail), _mixed(h128[at + step], size.astype(np.uint64)))
     return text, at, size, least[at], whole
 
 

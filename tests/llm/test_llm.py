@@ -174,6 +174,24 @@ def test_repeats(spark, edge, monkeypatch, few):
     assert got == expected
 
 
+def test_phrase_names_read_every_byte():
+    random = np.random.default_rng(11)
+    long = 0
+    for _ in range(40):
+        text = random.integers(97, 123, 800).astype(np.uint8)
+        ends = np.array([800])
+        _, at, size, gram, whole = parsing.phrases(text, np.array([0]), ends)
+        for i in np.flatnonzero(size > 129):
+            long += 1
+            for offset in range(size[i] + 199):
+                other = text.copy()
+                other[at[i] + offset] ^= 1
+                _, at2, size2, gram2, whole2 = parsing.phrases(other, np.array([0]), ends)
+                same = (at2 == at[i]) & (size2 == size[i]) & (gram2 == gram[i])
+                assert whole[i] not in whole2[same]
+    assert long
+
+
 def test_cut_keeps_columns(edge, empty):
     assert parsing.cut_repeats(edge).columns == edge.columns
     assert parsing.digests(empty).count() == 0
