@@ -2,8 +2,9 @@
 
 The templates' words form a small fixed vocabulary. A first pass counts in how
 many documents each occurs; only counts of that vocabulary are gathered. The
-index maps a word to its postings (template, position). A document looks up its
-``RARE`` licence words of highest inverse document frequency; every occurrence
+index maps a word to its postings (template, position). Of each template, a
+document looks up the ``RARE`` words of highest inverse document frequency that
+it holds; every occurrence
 votes for the (template, shift) pairs that its postings give, and shifts that
 two words agree on are verified: the weight of the template's words that stand
 in place, and its key phrase word for word. Phrases that name a licence outright
@@ -86,6 +87,11 @@ class Index:
                 self.postings[word].append((number, place))
         self.weight = {w: math.log((documents + 1) / (found.get(w, 0) + 0.5)) + 1e-6 for w in self.postings}
         self.weight = {w: max(x, 1e-6) for w, x in self.weight.items()}
+        self.places: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in self.templates]
+        for word, found_at in self.postings.items():
+            for number, place in found_at:
+                self.places[number][word].append(place)
+        self.rarest = [sorted(x, key=lambda w: (-self.weight[w], w)) for x in self.places]
 
     def scan(self, words: list[bytes]) -> dict[str, float]:
         """Labels of verified templates with their scores."""
@@ -96,12 +102,14 @@ class Index:
                 places[word].append(at)
         if len(places) < 2:
             return {}
-        rare = sorted(places, key=lambda w: (-weight[w], w))[:RARE]
+        # Each template votes with its own rarest words that the document holds, so that none takes another's place.
         votes: dict[tuple[int, int], set] = defaultdict(set)
-        for word in rare:
-            for number, place in self.postings[word]:
-                for at in places[word]:
-                    votes[number, at - place].add(word)
+        for number, rarest in enumerate(self.rarest):
+            present = [w for w in rarest if w in places]
+            for word in present[:RARE] if len(present) > 1 else ():
+                for place in self.places[number][word]:
+                    for at in places[word]:
+                        votes[number, at - place].add(word)
         out: dict[str, float] = {}
         for (number, shift), voters in votes.items():
             if len(voters) < 2:

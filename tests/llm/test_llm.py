@@ -311,6 +311,16 @@ def test_licenses(spark, edge, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(edge).count() == len(_edge_rows())
 
 
+def test_licenses_beside_each_other(spark):
+    rows = [(i, f"{a.text} . {b.text}") for i, (a, b) in enumerate((a, b) for a in licenses.TEMPLATES for b in licenses.TEMPLATES)]
+    labels = [{a.label, b.label} for a in licenses.TEMPLATES for b in licenses.TEMPLATES]
+    stray = " ".join(w for t in licenses.TEMPLATES for w in reversed(t.text.split()))
+    rows += [(len(rows) + i, f"{stray} . {t.text} . {stray}") for i, t in enumerate(licenses.TEMPLATES)]
+    labels += [{t.label} for t in licenses.TEMPLATES]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(labels[i] <= got[i] for i in range(len(rows)))
+
+
 def test_license_phrases_match_sql(spark, tables):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet'")
