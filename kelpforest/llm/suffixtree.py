@@ -5,55 +5,92 @@ up to ``DEPTH`` preceding words (a mark stands before the first) and gives a
 distribution of the next word over the training vocabulary and one unknown
 kind, which is also what the base score ranges over.
 
-* Candidates are contexts whose share of the training tokens is ``SHARE`` or
-  more, found level by level: a longer context is a counted pair of a shorter
-  one and its successor. There are at most ``1 / SHARE`` of them per level,
-  whatever the corpus; this bounds all that is sent to tasks as a whole.
+* Candidates are all contexts that occur ``LEAST`` times or more, a fixed
+  number, so the tree grows with the corpus. They are found level by level: a
+  longer context is a counted pair of a shorter one and its successor.
+* Successors seen ``TWICE`` or more keep a probability of their own; the rest,
+  and the share that unseen ones are due (Witten and Bell), escape to the
+  distribution of the context's suffix. The root gives unknown words that share
+  as a whole.
 * A candidate is retained if its successors diverge from those of its suffix:
-  the log-likelihood gain over the suffix, less half the number of successors
-  times the log of its count (the Bayesian information criterion), must be
-  ``MARGIN`` an occurrence or more. Suffixes of states are states.
-* Distributions are smoothed by the suffix's, in the proportion of distinct
-  successors to occurrences (Witten and Bell). The root gives unknown words
-  that proportion as a whole.
-* A word is scored at the longest state that ends what precedes it; a
-  successor the state hasn't seen escapes to the state's suffix.
-
-Counts are combined in tasks and summed by shuffles. For scoring, documents are
-dealt into chunks of about ``CHUNK`` by a hash; a chunk sends its distinct
-words and (state, word) pairs, and gets counts and probabilities back, so a
-frequent word costs a row per chunk. Nothing of corpus size is gathered or
-broadcast.
+  the log-likelihood gain of its distribution over the suffix's must exceed
+  half the number of kept successors times the log of its count (the Bayesian
+  information criterion). Suffixes of states are states.
+* A word is scored at the longest state that ends what precedes it.
+
+Words, contexts and pairs are rows with 64-bit names: a word's is its XXH64, a
+pair's is that of the names of the context and of the pair one word shorter.
+The name of a pair is also the name of the context that it makes. (Two of a
+billion words share a name with a chance of 3%, which would add their counts.)
+Only two things of fixed size leave the tables: totals, and bitmaps of ``BITS``
+bits, by which tasks leave out names that no table holds. A bitmap that fills
+up lets more names through, to be dropped by the joins; it never loses one.
+
+Pairs are counted for a part of the contexts at a time (``PARTS``), and texts
+are scored in ``ROUNDS``, which bounds the disk that shuffles take. For
+scoring, documents are dealt into chunks of about ``CHUNK`` bytes; a chunk asks
+once for each name it holds, so a frequent word costs a row per chunk, and its
+answers come back by place. Documents are read more than once and must come in
+the same partitions each time, as tables do.
 
 Null and empty texts have the end alone. Rows with a null id train. Repeated
 rows count as often as they come. Without training documents every word is
-unknown, and scores are 0 as the unknown kind is all there is. Extra columns
-are ignored.
+unknown, and scores are 0 as the unknown kind is all there is. An empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpforest.llm.common import forget, stored
 
-DEPTH = 2
-SHARE = 2e-4
+DEPTH = 3
 LEAST = 16
-#: Nats an occurrence of a state must be worth, net of the criterion's price.
-MARGIN = 0.25
-CHUNK = 8192
-#: Pairs a task counts before it hands them on.
-HELD = 700_000
-#: Tokens that no word can equal: before the first word, and the end.
-START, END = b"\n", b"\x0b"
+TWICE = 2
+BITS = 1 << 26
+PARTS = (3, 2, 1)
+ROUNDS = 2
+CHUNK = 32 << 20
+#: Tokens that a task names at a time.
+BLOCK = 1 << 21
+
+_digest = xxhash.xxh64_intdigest
+#: Names that no word has: before the first word, and the end.
+START, END = np.uint64(_digest(b"\n")), np.uint64(_digest(b"\x0b"))
+
+# The primes of XXH64, and the seed that Spark's xxhash64 starts with.
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_SEED = 42
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    out = seed + (_P5 + np.uint64(8))
+    out ^= _turned(x * _P2, 31) * _P1
+    out = _turned(out, 27) * _P1 + _P4
+    out ^= out >> np.uint64(33)
+    out *= _P2
+    out ^= out >> np.uint64(29)
+    out *= _P3
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What Spark's ``xxhash64(a, b)`` gives for two longs."""
+    return _hash_long(b, _hash_long(a, np.full(len(a), _SEED, np.uint64)))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -64,231 +101,295 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _pairs(tokens: list[bytes], contexts: frozenset[bytes], lasts: frozenset[bytes], depth: int) -> Iterable[tuple[bytes, bytes]]:
-    """(context, next) wherever a context of ``depth`` words precedes; ``lasts`` are the contexts' last words."""
-    line = [START, *tokens]
-    if depth == 1:
-        return [x for x in zip(line, tokens, strict=False) if x[0] in contexts]
-    found = [(line[i] + b" " + x, tokens[i + 1]) for i, x in enumerate(tokens[:-1]) if x in lasts]
-    return [x for x in found if x[0] in contexts]
+def named(text: bytes | None) -> np.ndarray:
+    """Names of the start, the words and the end."""
+    words = words_of(text)
+    out = np.empty(len(words) + 2, np.uint64)
+    out[0], out[-1] = START, END
+    out[1:-1] = np.fromiter(map(_digest, words), np.uint64, len(words))
+    return out
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """Places of tokens in their texts, the start's being 0."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def _counting(contexts: frozenset[bytes] | None, depth: int):
+def ladder(names: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth from 1 (positions, contexts, shorter pairs) of the tokens that a context of that depth precedes."""
+    pair = names
+    for d in range(1, depth + 1):
+        at = np.flatnonzero(place >= d)
+        context, shorter = pair[at - 1], pair[at]
+        yield at, context, shorter
+        if d < depth:
+            pair = np.zeros_like(names)
+            pair[at] = paired(context, shorter)
+
+
+class Bitmap:
+    """Which names may be in a table: two bits for each, out of ``BITS``."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def of(keys: DataFrame, size: int = BITS) -> Bitmap:
+        """From the longs ``key``; the driver gets ``size / 64`` rows at most."""
+        mask = size - 1
+        spots = keys.select(F.explode(F.array(F.col("key").bitwiseAND(F.lit(mask)), F.shiftright("key", 32).bitwiseAND(F.lit(mask)))).alias("spot"))
+        words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 AS int)))").alias("bits"))
+        found = words.toArrow()
+        bits = np.zeros(size >> 6, np.uint64)
+        bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return Bitmap(bits)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        mask = np.uint64((len(self.bits) << 6) - 1)
+        out = np.ones(len(keys), bool)
+        for spot in (keys & mask, keys >> np.uint64(32) & mask):
+            out &= self.bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1) != 0
+        return out
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(names, places) of whole texts, about ``BLOCK`` tokens at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()):
+            held.append(named(text.as_py()))
+            size += len(held[-1])
+            if size >= BLOCK:
+                yield np.concatenate(held), places(np.array([len(x) for x in held]))
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held), places(np.array([len(x) for x in held]))
+
+
+def _rows(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_pydict({k: pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for k, v in columns.items()})
+    for i in range(0, whole.num_rows, 1 << 16):
+        yield whole.slice(i, 1 << 16)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(key, n): tokens, the end included."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        lasts = frozenset(c.rpartition(b" ")[2] for c in contexts or ())
-
-        def out():
-            keys = [(b"", k) for k in counts] if contexts is None else list(counts)
-            yield pa.record_batch(
-                [pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.binary()), pa.array(counts.values(), pa.int64())],
-                names=["context", "word", "n"],
-            )
-
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                tokens = [*words_of(text.as_py()), END]
-                counts.update(tokens if contexts is None else _pairs(tokens, contexts, lasts, depth))
-                if len(counts) > HELD:
-                    yield from out()
-                    counts.clear()
-        if counts:
-            yield from out()
+        for names, place in _blocks(batches):
+            key, n = np.unique(names[place > 0], return_counts=True)
+            yield from _rows({"key": key, "n": n})
 
-    return run
+    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(texts: DataFrame, depth: int, may: Bitmap, part: int, parts: int) -> DataFrame:
+    """(context, shorter, n) for the contexts of ``depth`` words that ``may`` holds, of one part of ``parts``.
+
+    ``shorter`` names the pair of the context's suffix and the same word; null stands for all that occur less than ``TWICE``.
+    """
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, place in _blocks(batches):
+            *_, (_, context, shorter) = ladder(names, place, depth)
+            keep = may.holds(context)
+            if parts > 1:
+                keep &= (context >> np.uint64(16)) % np.uint64(parts) == part
+            context, shorter = context[keep], shorter[keep]
+            _, at, n = np.unique(paired(context, shorter), return_index=True, return_counts=True)
+            yield from _rows({"context": context[at], "shorter": shorter[at], "n": n})
 
-def _counts(texts: DataFrame, contexts: frozenset[bytes] | None = None, depth: int = 0) -> DataFrame:
-    """(context, word, n) summed over ``texts``."""
-    found = texts.select("text").mapInArrow(_counting(contexts, depth), "context binary, word binary, n long")
-    return found.groupBy("context", "word").agg(F.sum("n").alias("n"))
+    found = texts.select("text").mapInArrow(run, "context long, shorter long, n long").groupBy("context", "shorter").agg(F.sum("n").alias("n"))
+    kept = F.when(F.col("n") >= TWICE, F.col("shorter"))
+    return found.groupBy("context", kept.alias("shorter")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
 
 
 class Model:
-    """Totals and states; ``escapes`` holds every state with the share it leaves to its suffix."""
-
-    def __init__(self, tokens: int, kinds: int, escapes: dict[bytes, float], rows: DataFrame):
-        self.tokens, self.kinds, self.escapes, self.rows = tokens, kinds, escapes, rows
-
-
-def _suffix(context: bytes) -> bytes:
-    return context.partition(b" ")[2]
-
-
-def _by_suffix(pairs: DataFrame, shorter: DataFrame | None, sums: dict[bytes, tuple[int, int]], root: DataFrame) -> DataFrame:
-    """``pairs`` (context, word, n) with ``p_up``, the smoothed probability of the word after the context's suffix."""
-    plain = pairs.join(root.select("word", "p"), "word")
-    if shorter is None:
-        return plain.withColumnRenamed("p", "p_up")
-    spark = pairs.sparkSession
-    # At most 1 / share rows.
-    known = spark.createDataFrame([(bytearray(c), *x) for c, x in sums.items()], "up binary, all_up long, kinds_up long")
-    # What follows the first space, in bytes.
-    plain = plain.withColumn("up", F.expr("unhex(regexp_replace(hex(context), '^(?:(?!20)..)*20', ''))"))
-    up = shorter.select(F.col("context").alias("up"), "word", F.col("n").alias("n_up"))
-    return (
-        plain.join(up, ["up", "word"])
-        .join(F.broadcast(known), "up")
-        .withColumn("p_up", (F.col("n_up") + F.col("kinds_up") * F.col("p")) / (F.col("all_up") + F.col("kinds_up")))
-        .drop("up", "n_up", "all_up", "kinds_up", "p")
-    )
-
-
-def train(texts: DataFrame, depth: int = DEPTH, share: float = SHARE, least: int = LEAST, margin: float = MARGIN) -> Model:
-    """``rows``: (context, word, n, p): words' counts at the empty context, probabilities at states."""
-    if depth > 2:
-        raise ValueError("contexts have two words at most")
+    """``rows``: (key, v, escape). ``v`` is a word's count, or a pair's probability at a state; ``escape`` is a state's share for its suffix."""
+
+    def __init__(self, tokens: int, kinds: int, rows: DataFrame | None, may: Bitmap | None):
+        self.tokens, self.kinds, self.rows, self.may = tokens, kinds, rows, may
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def train(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: float = 0.0) -> Model:
+    """The tree over ``texts``; ``margin`` asks for so many nats an occurrence beyond the criterion."""
+    if least < TWICE:
+        raise ValueError("a context must occur twice at least")
     spark = texts.sparkSession
-    totals = stored(_counts(texts).select("word", "n"), "word-totals")
-    row = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words = stored(word_counts(texts), "words")
+    row = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, kinds = int(row[0]), int(row[1])
-    needed = max(least, share * tokens)
-    root = totals.select("word", "n", (F.col("n") / max(tokens + kinds, 1)).alias("p"))
-    rows = root.select(F.lit(b"").alias("context"), "word", "n", "p")
-    frequent = totals.where((F.col("n") >= needed) & (F.col("word") != END)).select("word").collect()
-    contexts = frozenset([START, *(bytes(r["word"]) for r in frequent)])
-    escapes: dict[bytes, float] = {}
-    successors: dict[bytes, int] = {}
-    passed: set[bytes] = set()
-    levels: list[tuple] = []
-    shorter, sums = None, {}
+    if not tokens:
+        return Model(0, 0, None, None)
+    start = spark.createDataFrame([(int(START.view(np.int64)),)], "key long")
+    candidates = words.where(F.col("n") >= least).select("key").unionByName(start)
+    shorter = words.select("key", (F.col("n") / (tokens + kinds)).alias("p"))
+    levels: list[DataFrame] = []
+    passed: list[DataFrame] = []
     for d in range(1, depth + 1):
-        if not contexts:
-            break
-        pairs = stored(_counts(texts, contexts, d), f"pairs-{d}")
-        levels.append((pairs, shorter, sums))
-        with_up = _by_suffix(pairs, shorter, sums, root)
-        n = F.col("n")
-        # The gain over the suffix, taken apart into sums over successors.
-        tested = with_up.groupBy("context").agg(
-            F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum(n * F.log(n)).alias("own"), F.sum(n * F.log("p_up")).alias("up")
+        may = Bitmap.of(candidates)
+        parts = PARTS[min(d, len(PARTS)) - 1]
+        counted = [stored(pair_counts(texts, d, may, k, parts), f"pairs-{d}") for k in range(parts)]
+        pairs = _union(counted)
+        # A context that the bitmap lets through by chance is met with all its occurrences, too, so its count tells.
+        own = F.col("shorter").isNotNull()
+        sums = pairs.groupBy("context").agg(
+            F.sum("n").alias("all"), F.sum("kinds").alias("kinds"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("seen"), F.count("shorter").alias("kept")
         )
-        sums = {}
-        for r in tested.collect():
-            context, all_, k = bytes(r["context"]), r["all"], r["kinds"]
-            sums[context] = (all_, k)
-            escapes[context], successors[context] = k / (all_ + k), k
-            gain = r["own"] - all_ * math.log(all_) - r["up"] - 0.5 * k * math.log(max(all_, 2))
-            if gain > margin * all_:
-                passed.add(context)
-        longer = pairs.where((F.col("n") >= needed) & (F.col("word") != END)).select("context", "word").collect() if d < depth else []
-        contexts = frozenset(bytes(r["context"]) + b" " + bytes(r["word"]) for r in longer)
-        shorter = pairs
-    passed |= {_suffix(c) for c in passed if b" " in c}
-    states = {c: escapes[c] for c in passed}
-    if states:
-        found = [(bytearray(c), x, successors[c]) for c, x in states.items()]
-        known = F.broadcast(spark.createDataFrame(found, "context binary, escape double, kinds long"))
-        # n / (all + kinds) is n * escape / kinds.
-        p = F.col("n") * F.col("escape") / F.col("kinds") + F.col("escape") * F.col("p_up")
-        kept = None
-        for pairs, shorter, sums in levels:
-            here = _by_suffix(pairs.join(known, "context"), shorter, sums, root).select("context", "word", "n", p.alias("p"))
-            kept = here if kept is None else kept.unionByName(here)
-        rows = rows.unionByName(stored(kept, "states"))
-    for pairs, *_ in levels:
-        forget(pairs)
-    return Model(tokens, kinds, states, rows)
-
-
-def _chain(line: list[bytes], at: int, states: dict[bytes, float], depth: int) -> list[bytes]:
-    """States that end before line[at], longest first."""
-    out = []
-    for d in range(min(depth, at), 0, -1):
-        context = line[at - 1] if d == 1 else b" ".join(line[at - d : at])
-        if context in states:
-            out.append(context)
-    return out
-
-
-def _asked(states: dict[bytes, float], depth: int):
+        sums = sums.where(F.col("all") >= least).withColumn("escape", 1 - F.col("seen") / (F.col("all") + F.col("kinds")))
+        sums = stored(sums, f"contexts-{d}")
+        up = shorter.select(F.col("key").alias("shorter"), F.col("p").alias("p_up"))
+        # What occurs twice after a context does so after its suffix, hence has a row there.
+        smoothed = (
+            pairs.where(own).select("context", "shorter", "n").join(sums.select("context", "all", "kinds", "escape"), "context").join(up, "shorter")
+            .select("context", "shorter", "n", "p_up", (F.col("n") / (F.col("all") + F.col("kinds")) + F.col("escape") * F.col("p_up")).alias("p"))
+        )
+        level = stored(smoothed.select("context", "shorter", "n", "p", (F.col("n") * F.log(F.col("p") / F.col("p_up"))).alias("gain")), f"level-{d}")
+        for x in counted:
+            forget(x)
+        gains = sums.join(level.groupBy("context").agg(F.sum("gain").alias("gain")), "context", "left")
+        gain = F.coalesce("gain", F.lit(0.0)) + (F.col("all") - F.col("seen")) * F.log("escape")
+        worth = gain - 0.5 * F.col("kept") * F.log("all") > margin * F.col("all")
+        passed.append(stored(gains.withColumn("worth", worth).select("context", "escape", "worth"), f"tested-{d}"))
+        forget(sums)
+        levels.append(level)
+        name = F.xxhash64("context", "shorter").alias("key")
+        shorter = level.select(name, "p")
+        candidates = level.where(F.col("n") >= least).select(name)
+    # From the longest contexts down: states, and suffixes of states.
+    states: list[DataFrame] = []
+    suffixes: DataFrame | None = None
+    for d in range(depth, 0, -1):
+        tested = passed[d - 1]
+        chosen = tested.where("worth").select("context", "escape")
+        if suffixes is not None:
+            chosen = chosen.unionByName(tested.where("NOT worth").join(suffixes, "context", "left_semi").select("context", "escape"))
+        chosen = stored(chosen, f"states-{d}")
+        states.append(chosen)
+        if d > 1:
+            made = levels[d - 2].select(F.xxhash64("context", "shorter").alias("made"), F.col("shorter").alias("suffix"))
+            suffixes = chosen.join(made, F.col("context") == F.col("made")).select(F.col("suffix").alias("context")).distinct()
+    states.reverse()
+    none = F.lit(None).cast("double")
+    own_rows = [
+        levels[d].join(states[d].select("context"), "context", "left_semi").select(F.xxhash64("context", "shorter").alias("key"), F.col("p").alias("v"), none.alias("escape"))
+        for d in range(depth)
+    ]
+    state_rows = [s.select(F.col("context").alias("key"), none.alias("v"), "escape") for s in states]
+    rows = _union([words.select("key", F.col("n").cast("double").alias("v"), none.alias("escape")), *own_rows, *state_rows])
+    rows = stored(rows.groupBy("key").agg(F.max("v").alias("v"), F.max("escape").alias("escape")), "tree")
+    may = Bitmap.of(_union([x.select("key") for x in (*own_rows, *state_rows)]))
+    for x in (*levels, *passed, *states, words):
+        forget(x)
+    return Model(tokens, kinds, rows, may)
+
+
+def _asked_names(names: np.ndarray, place: np.ndarray, may: Bitmap, depth: int) -> np.ndarray:
+    """Sorted names that a chunk asks for: of its words, and of longer pairs that the tree may hold."""
+    found = [np.unique(names)]
+    for _, context, shorter in ladder(names, place, depth):
+        pair = paired(context, shorter)
+        found.append(np.unique(pair[may.holds(pair)]))
+    return np.unique(np.concatenate(found))
+
+
+def _chunk(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    held = [named(x.as_py()) for x in texts.cast(pa.binary())]
+    sizes = np.array([len(x) for x in held])
+    return np.concatenate(held), sizes
+
+
+def _asked(may: Bitmap, depth: int):
     def run(group: pa.Table) -> pa.Table:
-        asked: set[tuple[bytes, bytes]] = set()
-        words: set[bytes] = set()
-        for text in group.column("text").cast(pa.binary()):
-            tokens = [*words_of(text.as_py()), END]
-            words.update(tokens)
-            if states:
-                line = [START, *tokens]
-                # Suffixes of states are states, so the last word decides whether there is any.
-                for at in [i + 1 for i, x in enumerate(line[:-1]) if x in states]:
-                    asked.update((context, line[at]) for context in _chain(line, at, states, depth))
-        keys = [*((b"", w) for w in words), *asked]
+        names, sizes = _chunk(group.column("text"))
+        asked = _asked_names(names, places(sizes), may, depth)
         chunk = group.column("chunk")[0].as_py()
-        return pa.table(
-            {
-                "context": pa.array([k[0] for k in keys], pa.binary()),
-                "word": pa.array([k[1] for k in keys], pa.binary()),
-                "chunk": pa.array([chunk] * len(keys), pa.int64()),
-            }
-        )
+        return pa.table({"key": asked.view(np.int64), "slot": (chunk << 32) + np.arange(len(asked))})
 
     return run
 
 
-def _scored(tokens: int, kinds: int, states: dict[bytes, float], depth: int):
-    total = math.log10(tokens + kinds + 1)
-    unknown = math.log10(kinds / (tokens + kinds)) if kinds else 0.0
-    escapes = {c: math.log10(x) for c, x in states.items()}
+def _scored(model: Model, depth: int):
+    tokens, kinds, may = model.tokens, model.kinds, model.may
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        base: dict[bytes, float] = {}
-        root: dict[bytes, float] = {}
-        met: dict[tuple[bytes, bytes], float] = {}
-        contexts = answers.column("context").to_pylist()
-        words = answers.column("word").to_pylist()
-        bases = (np.log10(answers.column("n").to_numpy() + 1.0) - total).tolist()
-        logs = np.log10(answers.column("p").to_numpy()).tolist()
-        for c, w, b, p in zip(contexts, words, bases, logs, strict=True):
-            if c:
-                met[c, w] = p
-            else:
-                base[w], root[w] = b, p
-        rows = []
-        for text in docs.column("text").cast(pa.binary()):
-            line = [START, *words_of(text.as_py()), END]
-            asked = line[1:]
-            known = sum(map(base.__contains__, asked))
-            plain = [base.get(w, -total) for w in asked]
-            scores = [root.get(w, unknown) for w in asked]
-            for at in [i for i, x in enumerate(line[:-1]) if x in states]:
-                word, passed = line[at + 1], 0.0
-                for context in _chain(line, at + 1, states, depth):
-                    p = met.get((context, word))
-                    if p is not None:
-                        scores[at] = passed + p
-                        break
-                    passed += escapes[context]
-                else:
-                    scores[at] += passed
-            rows.append((len(line) - 1, known, math.fsum(plain), math.fsum(scores)))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        names, sizes = _chunk(docs.column("text"))
+        place = places(sizes)
+        starts = np.cumsum(sizes) - sizes
+        count, score = np.zeros(len(names)), np.zeros(len(names))
+        if may is not None:
+            asked = _asked_names(names, place, may, depth)
+            value, escape = np.full(len(asked), np.nan), np.full(len(asked), np.nan)
+            slot = answers.column("slot").to_numpy() & 0xFFFFFFFF
+            value[slot] = answers.column("v").to_numpy()
+            escape[slot] = answers.column("escape").to_numpy()
+            count = np.nan_to_num(value[np.searchsorted(asked, names)])
+            score = np.log10(np.where(count > 0, count, kinds) / (tokens + kinds))
+            spot = np.searchsorted(asked, names)
+            for at, context, shorter in ladder(names, place, depth):
+                # ``spot`` of the token before is where the context stands.
+                share = np.where(spot[at - 1] >= 0, escape[spot[at - 1]], np.nan)
+                state = np.flatnonzero(~np.isnan(share))
+                pair = paired(context, shorter)
+                spot = np.full(len(names), -1)
+                there = np.flatnonzero(may.holds(pair))
+                spot[at[there]] = np.searchsorted(asked, pair[there])
+                own = spot[at[state]]
+                p = np.where(own >= 0, value[own], np.nan)
+                score[at[state]] = np.where(np.isnan(p), score[at[state]] + np.log10(share[state]), np.log10(p))
+            score[place == 0] = 0
+        count[place == 0] = 0
+        base = np.log10((count + 1) / (tokens + kinds + 1))
+        base[place == 0] = 0
+        total = lambda x: np.add.reduceat(x, starts)
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
-                "held_out": pa.array([not x for x in docs.column("trains").to_pylist()], pa.bool_()),
-                "n_tokens": pa.array(columns[0], pa.int64()),
-                "n_known": pa.array(columns[1], pa.int64()),
-                "train_tokens": pa.array([tokens] * len(rows), pa.int64()),
-                "base_score": pa.array(columns[2], pa.float64()),
-                "score": pa.array(columns[3], pa.float64()),
+                "held_out": docs.column("held_out"),
+                "n_tokens": pa.array(sizes - 1, pa.int64()),
+                "n_known": pa.array(total((count > 0).astype(np.int64)), pa.int64()),
+                "train_tokens": pa.array(np.full(len(sizes), tokens), pa.int64()),
+                "base_score": pa.array(total(base), pa.float64()),
+                "score": pa.array(total(score), pa.float64()),
             }
         )
 
     return run
 
 
-def score(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, least: int = LEAST, margin: float = MARGIN) -> DataFrame:
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _no_answers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "slot long, v double, escape double")
+
+
+def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: float = 0.0, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model = train(rows.where(~held_out(F.col("doc_id"))), depth, share, least, margin)
-    chunks = max(1, -(-rows.count() // CHUNK))
-    dealt = rows.select(
-        "doc_id", "text", (~held_out(F.col("doc_id"))).alias("trains"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    )
-    asked = dealt.groupBy("chunk").applyInArrow(_asked(model.escapes, depth), "context binary, word binary, chunk long")
-    answers = asked.join(model.rows, ["context", "word"]).select("chunk", "context", "word", "n", "p")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _scored(model.tokens, model.kinds, model.escapes, depth),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+    model = train(rows.where(~held_out(F.col("doc_id"))), depth, least, margin)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+    chunks = max(1, math.ceil(size / CHUNK))
+    # The row number spreads equal rows.
+    chunk = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(chunks))
+    dealt = rows.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), chunk.alias("chunk"))
+    out = []
+    rounds = min(rounds, chunks)
+    for k in range(rounds):
+        some = dealt.where(F.col("chunk") % rounds == k)
+        answers = _no_answers(docs.sparkSession)
+        if model.rows is not None:
+            asked = some.select("text", "chunk").groupBy("chunk").applyInArrow(_asked(model.may, depth), "key long, slot long")
+            answers = stored(asked.join(model.rows, "key").select("slot", "v", "escape"), "answers")
+        dealt_answers = answers.withColumn("chunk", F.shiftright("slot", 32))
+        out.append(stored(some.groupBy("chunk").cogroup(dealt_answers.groupBy("chunk")).applyInArrow(_scored(model, depth), _SCORES), "scores"))
+        if model.rows is not None:
+            forget(answers)
+    if model.rows is not None:
+        forget(model.rows)
+    return _union(out)

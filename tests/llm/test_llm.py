@@ -380,34 +380,37 @@ def test_hilbert_keys_are_a_walk():
     assert sorted(keys) == list(range(512)) and (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
-def _simple_scores(texts, depth, share, least, margin):
+def _simple_scores(texts, depth, least):
     """The suffix tree by definition, over a dictionary of texts."""
     train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in texts}
-    lines = {i: ["^", *t.lower().split(), "$"] for i, t in texts.items()}
+    lines = {i: [b"^", *t.encode().lower().split(), b"$"] for i, t in texts.items()}
     counts = Counter(w for i, line in lines.items() if train[i] for w in line[1:])
     tokens, kinds = sum(counts.values()), len(counts)
-    needed = max(least, share * tokens)
     after = {}
     for d in range(1, depth + 1):
         for i, line in lines.items():
             if train[i]:
                 for at in range(d, len(line)):
                     after.setdefault(tuple(line[at - d : at]), Counter())[line[at]] += 1
-    candidate = {c for c in after if c == ("^",) or (len(c) == 1 and counts[c[0]] >= needed)}
-    for d in range(2, depth + 1):
-        candidate |= {c for c in after if len(c) == d and c[:-1] in candidate and after[c[:-1]][c[-1]] >= needed}
+    candidate = {c for c in after if c == (b"^",) or sum(after[c].values()) >= least}
+    candidate = {c for c in candidate if sum(after[c].values()) >= least}
+
+    def parts(context):
+        seen = after[context]
+        total, kept = sum(seen.values()), {w: n for w, n in seen.items() if n > 1}
+        return total, len(seen), kept, 1 - sum(kept.values()) / (total + len(seen))
 
     def p(context, word):
         if not context:
             return (counts[word] if word in counts else kinds) / (tokens + kinds)
-        seen = after[context]
-        return (seen[word] + len(seen) * p(context[1:], word)) / (sum(seen.values()) + len(seen))
+        total, n, kept, escape = parts(context)
+        return kept.get(word, 0) / (total + n) + escape * p(context[1:], word)
 
     states = set()
     for c in candidate:
-        total = sum(after[c].values())
-        gain = sum(n * math.log(n / total / p(c[1:], w)) for w, n in after[c].items())
-        if gain - 0.5 * len(after[c]) * math.log(max(total, 2)) > margin * total:
+        total, _, kept, escape = parts(c)
+        gain = sum(n * math.log(p(c, w) / p(c[1:], w)) for w, n in kept.items()) + (total - sum(kept.values())) * math.log(escape)
+        if gain - 0.5 * len(kept) * math.log(total) > 0:
             states |= {c[k:] for k in range(len(c))}
     out = {}
     for i, line in lines.items():
@@ -415,22 +418,37 @@ def _simple_scores(texts, depth, share, least, margin):
         for at in range(1, len(line)):
             context = next((tuple(line[at - d : at]) for d in range(min(depth, at), 0, -1) if tuple(line[at - d : at]) in states), ())
             total += math.log10(p(context, line[at]))
-        out[i] = total
+        base = sum(math.log10((counts[w] + 1) / (tokens + kinds + 1)) for w in line[1:])
+        out[i] = (len(line) - 1, sum(w in counts for w in line[1:]), base, total)
     return out, states
 
 
-def test_suffix_tree(spark, tables, texts):
-    docs = table(spark, tables, "documents")
-    ascii_only = {i: t for i, t in texts.items() if t.isascii()}
-    docs = docs.where(F.col("doc_id").isin(list(ascii_only)))
-    expected, states = _simple_scores(ascii_only, 2, 2e-4, 6, 0.05)
-    assert any(len(s) == 2 for s in states)
-    got = suffixtree.score(docs, share=2e-4, least=6, margin=0.05).collect()
-    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(expected, rel=1e-9)
+def test_suffix_tree(spark, tables, texts, monkeypatch):
+    monkeypatch.setattr(suffixtree, "CHUNK", 100_000)
+    monkeypatch.setattr(suffixtree, "BLOCK", 5000)
+    expected, states = _simple_scores(texts, 3, 8)
+    assert {len(s) for s in states} == {1, 2, 3}
+    got = suffixtree.score(table(spark, tables, "documents"), least=8).collect()
+    assert len(got) == len(expected)
+    for r in got:
+        n, known, base, score = expected[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"]) == (n, known)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_pair_names(spark):
+    random = np.random.default_rng(4)
+    a, b = (random.integers(-(1 << 63), (1 << 63) - 1, 50) for _ in range(2))
+    rows = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    got = suffixtree.paired(np.array([r["a"] for r in rows]).view(np.uint64), np.array([r["b"] for r in rows]).view(np.uint64))
+    assert got.view(np.int64).tolist() == [r["h"] for r in rows]
+    keys = spark.createDataFrame([(int(x),) for x in a], "key long")
+    may = suffixtree.Bitmap.of(keys, 1 << 16)
+    assert may.holds(a.view(np.uint64)).all() and not may.holds(b.view(np.uint64)).all()
+
+
 def test_suffix_tree_edges(edge, empty):
     rows = suffixtree.score(edge).collect()
     assert len(rows) == len(_edge_rows())
