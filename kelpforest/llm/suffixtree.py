@@ -18,20 +18,23 @@ kind, which is also what the base score ranges over.
   information criterion). Suffixes of states are states.
 * A word is scored at the longest state that ends what precedes it.
 
-Words, contexts and pairs are rows with 64-bit names: a word's is its XXH64, a
-pair's is that of the names of the context and of the pair one word shorter.
-The name of a pair is also the name of the context that it makes. (Two of a
-billion words share a name with a chance of 3%, which would add their counts.)
-Only two things of fixed size leave the tables: totals, and bitmaps of ``BITS``
-bits, by which tasks leave out names that no table holds. A bitmap that fills
-up lets more names through, to be dropped by the joins; it never loses one.
-
-Pairs are counted for a part of the contexts at a time (``PARTS``), and texts
-are scored in ``ROUNDS``, which bounds the disk that shuffles take. For
-scoring, documents are dealt into chunks of about ``CHUNK`` bytes; a chunk asks
-once for each name it holds, so a frequent word costs a row per chunk, and its
-answers come back by place. Documents are read more than once and must come in
-the same partitions each time, as tables do.
+Words, contexts and pairs have 64-bit names: a pair's is that of the names of
+the context and of the pair one word shorter. The name of a pair is also the
+name of the context that it makes. (Two of a billion words share a name with a
+chance of 3%, which would add their counts.) Only things of fixed size leave
+the tables: totals, the contexts that hold a thousandth of all tokens or more,
+and bitmaps of ``BITS`` bits, by which tasks leave out names that no table
+holds. A bitmap that fills up lets more names through, to be dropped by the
+joins; it never loses one.
+
+Names travel packed, a row of arrays for each bucket of names, since there are
+about as many of them as tokens. The successors of a context meet in a bucket;
+those of a context that holds a thousandth of all tokens are dealt out further.
+Buckets are cut so that a task holds about ``BUCKET`` names. For scoring,
+documents are dealt into chunks of about ``CHUNK`` bytes; a chunk asks each
+bucket once for the names it holds, and gets values back in the same order.
+``ROUNDS`` bounds the disk that this takes. Documents are read more than once
+and must come in the same partitions each time, as tables do.
 
 Null and empty texts have the end alone. Rows with a null id train. Repeated
 rows count as often as they come. Without training documents every word is
@@ -47,8 +50,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpforest.llm.common import forget, stored
@@ -57,11 +61,16 @@ DEPTH = 3
 LEAST = 16
 TWICE = 2
 BITS = 1 << 26
-PARTS = (3, 2, 1)
 ROUNDS = 2
 CHUNK = 32 << 20
-#: Tokens that a task names at a time.
-BLOCK = 1 << 21
+#: Names that a bucket holds on average.
+BUCKET = 1 << 20
+#: A context with this share of all tokens has its successors dealt out.
+HOT = 1e-3
+#: Bytes of text that are named at a time, and tokens that a task combines before it hands them on.
+SLICE, HELD = 1 << 18, 1 << 22
+#: Longer words are named one by one.
+SHORT = 64
 
 _digest = xxhash.xxh64_intdigest
 #: Names that no word has: before the first word, and the end.
@@ -76,40 +85,102 @@ def _turned(x: np.ndarray, by: int) -> np.ndarray:
     return x << np.uint64(by) | x >> np.uint64(64 - by)
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """XXH64's last steps, in place."""
+    x ^= x >> np.uint64(33)
+    x *= _P2
+    x ^= x >> np.uint64(29)
+    x *= _P3
+    x ^= x >> np.uint64(32)
+    return x
+
+
 def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
     out = seed + (_P5 + np.uint64(8))
     out ^= _turned(x * _P2, 31) * _P1
-    out = _turned(out, 27) * _P1 + _P4
-    out ^= out >> np.uint64(33)
-    out *= _P2
-    out ^= out >> np.uint64(29)
-    out *= _P3
-    out ^= out >> np.uint64(32)
-    return out
+    return _spread(_turned(out, 27) * _P1 + _P4)
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """What Spark's ``xxhash64(a, b)`` gives for two longs."""
-    return _hash_long(b, _hash_long(a, np.full(len(a), _SEED, np.uint64)))
+    return _hash_long(b, _hash_long(a, np.uint64(_SEED)))
+
 
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: a number for it (the same for a capital), and whether it is in a word; powers of an odd number and their inverses."""
+    low = np.arange(256)
+    low[65:91] += 32
+    values = _spread((low + 1).astype(np.uint64) * _P1)
+    word = np.ones(256, bool)
+    word[[*range(9, 14), 32]] = False
+    size = SLICE + SHORT + 1
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(size, _P4)])
+    inverse = np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(pow(int(_P4), -1, 1 << 64)))])
+    return values, word, powers, inverse
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+
+_VALUES, _IN_WORD, _POWERS, _INVERSE = _letters()
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def named(text: bytes | None) -> np.ndarray:
-    """Names of the start, the words and the end."""
-    words = words_of(text)
-    out = np.empty(len(words) + 2, np.uint64)
-    out[0], out[-1] = START, END
-    out[1:-1] = np.fromiter(map(_digest, words), np.uint64, len(words))
+def _word_names(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Names of the words data[a:z]: polynomials over their bytes, taken from prefix sums."""
+    out = np.empty(len(a), np.uint64)
+    for at in range(0, len(data), SLICE):
+        i, j = np.searchsorted(a, [at, at + SLICE])
+        if i == j:
+            continue
+        piece = data[at : at + SLICE + SHORT]
+        sums = np.empty(len(piece) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_VALUES[piece] * _POWERS[: len(piece)], out=sums[1:])
+        first, last = a[i:j] - at, np.minimum(z[i:j] - at, len(piece))
+        out[i:j] = _spread((sums[last] - sums[first]) * _INVERSE[first] + (last - first).astype(np.uint64))
+    for i in np.flatnonzero(z - a > SHORT):
+        out[i] = _digest(data[a[i] : z[i]].tobytes().lower(), _SEED)
     return out
 
 
+def named(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the start, the words and the end of each text data[offsets[i]:offsets[i + 1]], one after another; tokens in each."""
+    inside = _IN_WORD[data]
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    begins = offsets[:-1][offsets[:-1] < len(data)]
+    begin[begins] = inside[begins]
+    ends = offsets[1:][offsets[1:] > 0] - 1
+    end[ends] = inside[ends]
+    a, z = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    words = np.diff(np.searchsorted(a, offsets))
+    n = len(words)
+    out = np.empty(len(a) + 2 * n, np.uint64)
+    starts = np.cumsum(words + 2) - (words + 2)
+    out[starts] = START
+    out[starts + words + 1] = END
+    out[np.arange(len(a)) + 2 * np.repeat(np.arange(n), words) + 1] = _word_names(data, a, z)
+    return out, words + 2
+
+
+def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(names, tokens in each) of whole texts, about ``SLICE`` bytes at a time."""
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        chunk = pc.fill_null(chunk.cast(pa.large_binary()), b"")
+        if not len(chunk):
+            continue
+        _, offsets, body = chunk.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(body, np.uint8) if body is not None else np.empty(0, np.uint8)
+        at = 0
+        while at < len(chunk):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+            yield named(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            at = to
+
+
 def places(sizes: np.ndarray) -> np.ndarray:
     """Places of tokens in their texts, the start's being 0."""
     ends = np.cumsum(sizes)
@@ -129,7 +200,7 @@ def ladder(names: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[n
 
 
 class Bitmap:
-    """Which names may be in a table: two bits for each, out of ``BITS``."""
+    """Which names may be in a table: a bit for each, out of ``BITS``."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -137,34 +208,49 @@ class Bitmap:
     @staticmethod
     def of(keys: DataFrame, size: int = BITS) -> Bitmap:
         """From the longs ``key``; the driver gets ``size / 64`` rows at most."""
-        mask = size - 1
-        spots = keys.select(F.explode(F.array(F.col("key").bitwiseAND(F.lit(mask)), F.shiftright("key", 32).bitwiseAND(F.lit(mask)))).alias("spot"))
-        words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 AS int)))").alias("bits"))
+        spot = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("spot"))
+        words = spot.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 AS int)))").alias("bits"))
         found = words.toArrow()
         bits = np.zeros(size >> 6, np.uint64)
         bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
         return Bitmap(bits)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        mask = np.uint64((len(self.bits) << 6) - 1)
-        out = np.ones(len(keys), bool)
-        for spot in (keys & mask, keys >> np.uint64(32) & mask):
-            out &= self.bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1) != 0
-        return out
+        spot = keys & np.uint64((len(self.bits) << 6) - 1)
+        return self.bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1) != 0
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(names, places) of whole texts, about ``BLOCK`` tokens at a time."""
-    held, size = [], 0
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            held.append(named(text.as_py()))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield np.concatenate(held), places(np.array([len(x) for x in held]))
-                held, size = [], 0
-    if held:
-        yield np.concatenate(held), places(np.array([len(x) for x in held]))
+# Packed names: rows (bucket, owner, body), body being arrays that follow each other.
+_PACKED = "bucket long, owner long, body binary"
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return b"".join((np.array([len(arrays), *(len(x) for x in arrays)], np.int64).tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)))
+
+
+def _unpack(body: pa.Scalar, *kinds: str) -> list[np.ndarray]:
+    buffer, out, at = body.as_buffer(), [], 8 * (len(kinds) + 1)
+    for size, kind in zip(np.frombuffer(buffer, np.int64, len(kinds), 8).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(buffer, kind, size, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    bucket, owner, body = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.record_batch([pa.array(bucket, pa.int64()), pa.array(owner, pa.int64()), pa.array(body, pa.binary())], names=["bucket", "owner", "body"])
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of names, in their order."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of the buckets that sorted numbers name."""
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)):
+        yield int(b), int(edges[b]), int(edges[b + 1])
 
 
 def _rows(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -173,69 +259,168 @@ def _rows(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield whole.slice(i, 1 << 16)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def _met(packed: DataFrame) -> DataFrame:
+    """Rows of a bucket next to each other, by owner."""
+    return packed.repartition("bucket").sortWithinPartitions("bucket", "owner")
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, pa.Scalar]]]]:
+    """(bucket, [(owner, body)])."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, owner, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if bucket != now:
+                if held:
+                    yield now, held
+                now, held = bucket, []
+            held.append((owner, body))
+    if held:
+        yield now, held
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_counts=True)
+
+
+def _summed(order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of ``n`` over the runs, in this order, that start where ``first`` is true."""
+    return np.add.reduceat(n[order], np.flatnonzero(first)) if len(order) else n
+
+
+def word_counts(texts: DataFrame, buckets: int) -> DataFrame:
     """(key, n): tokens, the end included."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, place in _blocks(batches):
-            key, n = np.unique(names[place > 0], return_counts=True)
-            yield from _rows({"key": key, "n": n})
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        def out():
+            key, n = _counted(np.concatenate(held))
+            yield _packed_rows([(b, 0, _pack(key[i:j], n[i:j].astype(np.uint32))) for b, i, j in _cuts(_bucket_of(key, buckets), buckets)])
+            held.clear()
 
+        size = 0
+        for batch in batches:
+            for names, _ in blocks(batch.column(0)):
+                held.append(names[names != START])
+                size += len(held[-1])
+                if size >= HELD:
+                    yield from out()
+                    size = 0
+        if held:
+            yield from out()
 
-def pair_counts(texts: DataFrame, depth: int, may: Bitmap, part: int, parts: int) -> DataFrame:
-    """(context, shorter, n) for the contexts of ``depth`` words that ``may`` holds, of one part of ``parts``.
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, members in _groups(batches):
+            parts = [_unpack(body, "u8", "u4") for _, body in members]
+            key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(key)
+            key = key[order]
+            first = np.r_[True, key[1:] != key[:-1]]
+            yield from _rows({"key": key[first], "n": _summed(order, first, n.astype(np.int64))})
 
-    ``shorter`` names the pair of the context's suffix and the same word; null stands for all that occur less than ``TWICE``.
-    """
+    return _met(texts.select("text").mapInArrow(count, _PACKED)).mapInArrow(add, "key long, n long")
+
+
+def _by_pair(context: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by context and then shorter pair, half of either name deciding, and where new pairs start in it."""
+    order = np.argsort(context & np.uint64(0xFFFFFFFF00000000) | shorter >> np.uint64(32))
+    context, shorter = context[order], shorter[order]
+    return order, np.r_[True, (context[1:] != context[:-1]) | (shorter[1:] != shorter[:-1])] if len(order) else np.empty(0, bool)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, place in _blocks(batches):
-            *_, (_, context, shorter) = ladder(names, place, depth)
-            keep = may.holds(context)
-            if parts > 1:
-                keep &= (context >> np.uint64(16)) % np.uint64(parts) == part
-            context, shorter = context[keep], shorter[keep]
-            _, at, n = np.unique(paired(context, shorter), return_index=True, return_counts=True)
-            yield from _rows({"context": context[at], "shorter": shorter[at], "n": n})
 
-    found = texts.select("text").mapInArrow(run, "context long, shorter long, n long").groupBy("context", "shorter").agg(F.sum("n").alias("n"))
-    kept = F.when(F.col("n") >= TWICE, F.col("shorter"))
-    return found.groupBy("context", kept.alias("shorter")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+_PAIRS = "context long, shorter long, n long, kinds long"
+
+
+def pair_counts(texts: DataFrame, depth: int, may: Bitmap, hot: np.ndarray, buckets: int) -> DataFrame:
+    """(context, shorter, n, kinds) for the contexts of ``depth`` words that ``may`` holds.
+
+    ``shorter`` names the pair of the context's suffix and the same word; null stands for all ``kinds`` that occur less than ``TWICE``,
+    once for each bucket that a context is dealt to.
+    """
+
+    def out(context: np.ndarray, shorter: np.ndarray):
+        order, first = _by_pair(context, shorter)
+        n = np.diff(np.r_[np.flatnonzero(first), len(order)]).astype(np.uint32)
+        context, shorter = context[order[first]], shorter[order[first]]
+        bucket = _bucket_of(context, buckets)
+        dealt = np.isin(context, hot)
+        bucket[dealt] = _bucket_of(shorter[dealt], buckets)
+        if dealt.any():
+            again = np.argsort(bucket, kind="stable")
+            bucket, context, shorter, n = bucket[again], context[again], shorter[again], n[again]
+        rows = []
+        for b, i, j in _cuts(bucket, buckets):
+            # A context is named once for the run of its successors.
+            new = np.flatnonzero(np.r_[True, context[i + 1 : j] != context[i : j - 1]])
+            rows.append((b, 0, _pack(context[i:j][new], np.diff(np.r_[new, j - i]).astype(np.uint32), shorter[i:j], n[i:j])))
+        yield _packed_rows(rows)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for names, sizes in blocks(batch.column(0)):
+                *_, (_, context, shorter) = ladder(names, places(sizes), depth)
+                keep = may.holds(context)
+                held.append((context[keep], shorter[keep]))
+                size += len(held[-1][0])
+                if size >= HELD:
+                    yield from out(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if size:
+            yield from out(*map(np.concatenate, zip(*held, strict=True)))
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, members in _groups(batches):
+            parts = [_unpack(body, "u8", "u4", "u8", "u4") for _, body in members]
+            context = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+            shorter = np.concatenate([p[2] for p in parts])
+            order, first = _by_pair(context, shorter)
+            n = _summed(order, first, np.concatenate([p[3] for p in parts]).astype(np.int64))
+            context, shorter = context[order[first]], shorter[order[first]]
+            own = n >= TWICE
+            yield from _rows({"context": context[own], "shorter": shorter[own], "n": n[own], "kinds": np.ones(int(own.sum()), np.int64)})
+            single, kinds = _counted(context[~own])
+            rest = pa.record_batch(
+                [pa.array(single.view(np.int64)), pa.nulls(len(single), pa.int64()), pa.array(kinds * (TWICE - 1)), pa.array(kinds)],
+                names=["context", "shorter", "n", "kinds"],
+            )
+            yield rest
+
+    return _met(texts.select("text").mapInArrow(count, _PACKED)).mapInArrow(add, _PAIRS)
 
 
 class Model:
     """``rows``: (key, v, escape). ``v`` is a word's count, or a pair's probability at a state; ``escape`` is a state's share for its suffix."""
 
-    def __init__(self, tokens: int, kinds: int, rows: DataFrame | None, may: Bitmap | None):
-        self.tokens, self.kinds, self.rows, self.may = tokens, kinds, rows, may
+    def __init__(self, tokens: int, kinds: int, rows: DataFrame | None, may: Bitmap | None, buckets: int):
+        self.tokens, self.kinds, self.rows, self.may, self.buckets = tokens, kinds, rows, may, buckets
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def train(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: float = 0.0) -> Model:
-    """The tree over ``texts``; ``margin`` asks for so many nats an occurrence beyond the criterion."""
+def train(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: float = 0.0, size: int | None = None) -> Model:
+    """The tree over ``texts`` of ``size`` bytes; ``margin`` asks for so many nats an occurrence beyond the criterion."""
     if least < TWICE:
         raise ValueError("a context must occur twice at least")
     spark = texts.sparkSession
-    words = stored(word_counts(texts), "words")
+    # About six bytes a token.
+    buckets = max(1, math.ceil((_bytes(texts) if size is None else size) / 6 / BUCKET))
+    words = stored(word_counts(texts, buckets), "words")
     row = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, kinds = int(row[0]), int(row[1])
     if not tokens:
-        return Model(0, 0, None, None)
+        return Model(0, 0, None, None, buckets)
     start = spark.createDataFrame([(int(START.view(np.int64)),)], "key long")
-    candidates = words.where(F.col("n") >= least).select("key").unionByName(start)
+    candidates = words.where(F.col("n") >= least).select("key", "n").unionByName(start.withColumn("n", F.lit(tokens)))
     shorter = words.select("key", (F.col("n") / (tokens + kinds)).alias("p"))
     levels: list[DataFrame] = []
-    passed: list[DataFrame] = []
+    tests: list[DataFrame] = []
     for d in range(1, depth + 1):
         may = Bitmap.of(candidates)
-        parts = PARTS[min(d, len(PARTS)) - 1]
-        counted = [stored(pair_counts(texts, d, may, k, parts), f"pairs-{d}") for k in range(parts)]
-        pairs = _union(counted)
+        hot = candidates.where(F.col("n") >= max(HOT * tokens, 1)).select("key").toArrow().column("key").to_numpy().view(np.uint64)
+        pairs = stored(pair_counts(texts, d, may, hot, buckets), f"pairs-{d}")
         # A context that the bitmap lets through by chance is met with all its occurrences, too, so its count tells.
         own = F.col("shorter").isNotNull()
         sums = pairs.groupBy("context").agg(
@@ -250,29 +435,28 @@ def train(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: floa
             .select("context", "shorter", "n", "p_up", (F.col("n") / (F.col("all") + F.col("kinds")) + F.col("escape") * F.col("p_up")).alias("p"))
         )
         level = stored(smoothed.select("context", "shorter", "n", "p", (F.col("n") * F.log(F.col("p") / F.col("p_up"))).alias("gain")), f"level-{d}")
-        for x in counted:
-            forget(x)
+        forget(pairs)
         gains = sums.join(level.groupBy("context").agg(F.sum("gain").alias("gain")), "context", "left")
         gain = F.coalesce("gain", F.lit(0.0)) + (F.col("all") - F.col("seen")) * F.log("escape")
         worth = gain - 0.5 * F.col("kept") * F.log("all") > margin * F.col("all")
-        passed.append(stored(gains.withColumn("worth", worth).select("context", "escape", "worth"), f"tested-{d}"))
+        tests.append(stored(gains.withColumn("worth", worth).select("context", "escape", "worth"), f"tested-{d}"))
         forget(sums)
         levels.append(level)
         name = F.xxhash64("context", "shorter").alias("key")
         shorter = level.select(name, "p")
-        candidates = level.where(F.col("n") >= least).select(name)
+        candidates = level.where(F.col("n") >= least).select(name, "n")
     # From the longest contexts down: states, and suffixes of states.
     states: list[DataFrame] = []
     suffixes: DataFrame | None = None
     for d in range(depth, 0, -1):
-        tested = passed[d - 1]
+        tested = tests[d - 1]
         chosen = tested.where("worth").select("context", "escape")
         if suffixes is not None:
             chosen = chosen.unionByName(tested.where("NOT worth").join(suffixes, "context", "left_semi").select("context", "escape"))
         chosen = stored(chosen, f"states-{d}")
         states.append(chosen)
         if d > 1:
-            made = levels[d - 2].select(F.xxhash64("context", "shorter").alias("made"), F.col("shorter").alias("suffix"))
+            made = levels[d - 2].where(F.col("n") >= least).select(F.xxhash64("context", "shorter").alias("made"), F.col("shorter").alias("suffix"))
             suffixes = chosen.join(made, F.col("context") == F.col("made")).select(F.col("suffix").alias("context")).distinct()
     states.reverse()
     none = F.lit(None).cast("double")
@@ -281,81 +465,139 @@ def train(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: floa
         for d in range(depth)
     ]
     state_rows = [s.select(F.col("context").alias("key"), none.alias("v"), "escape") for s in states]
-    rows = _union([words.select("key", F.col("n").cast("double").alias("v"), none.alias("escape")), *own_rows, *state_rows])
-    rows = stored(rows.groupBy("key").agg(F.max("v").alias("v"), F.max("escape").alias("escape")), "tree")
-    may = Bitmap.of(_union([x.select("key") for x in (*own_rows, *state_rows)]))
-    for x in (*levels, *passed, *states, words):
+    longer = stored(_union([*own_rows, *state_rows]), "tree")
+    for x in (*levels, *tests, *states):
         forget(x)
-    return Model(tokens, kinds, rows, may)
+    plain = words.select("key", F.col("n").cast("double").alias("v"), none.alias("escape"))
+    return Model(tokens, kinds, plain.unionByName(longer), Bitmap.of(longer), buckets)
 
 
-def _asked_names(names: np.ndarray, place: np.ndarray, may: Bitmap, depth: int) -> np.ndarray:
+def _asked_names(found: Iterable[tuple[np.ndarray, np.ndarray]], may: Bitmap, depth: int) -> np.ndarray:
     """Sorted names that a chunk asks for: of its words, and of longer pairs that the tree may hold."""
-    found = [np.unique(names)]
-    for _, context, shorter in ladder(names, place, depth):
-        pair = paired(context, shorter)
-        found.append(np.unique(pair[may.holds(pair)]))
-    return np.unique(np.concatenate(found))
+    out: list[np.ndarray] = []
+    held, size = [], 0
+    for names, sizes in found:
+        held.append(names)
+        for _, context, shorter in ladder(names, places(sizes), depth):
+            pair = paired(context, shorter)
+            held.append(pair[may.holds(pair)])
+        size += sum(map(len, held[-depth - 1 :]))
+        if size >= HELD:
+            out.append(np.unique(np.concatenate(held)))
+            held, size = [], 0
+    out += held
+    return np.unique(np.concatenate(out))
+
+
+def _asked(may: Bitmap, depth: int, buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        asked = _asked_names(blocks(group.column("text")), may, depth)
+        chunk = group.column("chunk")[0].as_py()
+        return pa.Table.from_batches([_packed_rows([(b, chunk, _pack(asked[i:j])) for b, i, j in _cuts(_bucket_of(asked, buckets), buckets)])])
 
+    return run
 
-def _chunk(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    held = [named(x.as_py()) for x in texts.cast(pa.binary())]
-    sizes = np.array([len(x) for x in held])
-    return np.concatenate(held), sizes
 
+def _packed_model(model: Model) -> DataFrame:
+    """The tree's rows by bucket, without an owner, and so ahead of those who ask."""
+    buckets = model.buckets
 
-def _asked(may: Bitmap, depth: int):
-    def run(group: pa.Table) -> pa.Table:
-        names, sizes = _chunk(group.column("text"))
-        asked = _asked_names(names, places(sizes), may, depth)
-        chunk = group.column("chunk")[0].as_py()
-        return pa.table({"key": asked.view(np.int64), "slot": (chunk << 32) + np.arange(len(asked))})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(np.uint64)
+            order = np.argsort(key)
+            key = key[order]
+            v, escape = (batch.column(i).to_numpy(zero_copy_only=False)[order] for i in (1, 2))
+            yield _packed_rows([(b, -1, _pack(key[i:j], v[i:j], escape[i:j])) for b, i, j in _cuts(_bucket_of(key, buckets), buckets)])
+
+    return model.rows.select("key", "v", "escape").mapInArrow(run, _PACKED)
 
-    return run
+
+def _answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each that asks, values in the order of its names, and where it met states."""
+    now, parts, table = None, [], None
+
+    def merged():
+        if not parts:
+            return np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        key, v, escape = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key)
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        # A name's value and escape come from different rows.
+        return key[order[first]], *(np.fmax.reduceat(x[order], first) for x in (v, escape))
+
+    for batch in batches:
+        rows = []
+        for bucket, owner, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if bucket != now:
+                now, parts, table = bucket, [], None
+            if owner < 0:
+                parts.append([x.copy() for x in _unpack(body, "u8", "f8", "f8")])
+                continue
+            if table is None:
+                table, parts = merged(), []
+            key, v, escape = table
+            (asked,) = _unpack(body, "u8")
+            at = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
+            there = key[at] == asked if len(key) else np.zeros(len(asked), bool)
+            value = np.where(there, v[at], np.nan) if len(key) else np.full(len(asked), np.nan)
+            state = np.flatnonzero(there & ~np.isnan(escape[at])) if len(key) else np.empty(0, np.int64)
+            rows.append((owner, bucket, _pack(value, state.astype(np.uint32), escape[at[state]] if len(state) else np.empty(0))))
+        yield _packed_rows(rows).rename_columns(["chunk", "bucket", "body"])
 
 
 def _scored(model: Model, depth: int):
     tokens, kinds, may = model.tokens, model.kinds, model.may
 
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        names, sizes = _chunk(docs.column("text"))
+    def scores(names: np.ndarray, sizes: np.ndarray, asked: np.ndarray, value: np.ndarray, escape: np.ndarray):
+        """(counts, log10 probabilities) of tokens."""
         place = places(sizes)
-        starts = np.cumsum(sizes) - sizes
-        count, score = np.zeros(len(names)), np.zeros(len(names))
+        spot = np.searchsorted(asked, names)
+        count = np.nan_to_num(value[spot])
+        score = np.log10(np.where(count > 0, count, kinds) / (tokens + kinds))
+        for at, context, shorter in ladder(names, place, depth):
+            # The spot of the token before is where the context stands.
+            share = np.where(spot[at - 1] >= 0, escape[spot[at - 1]], np.nan)
+            state = np.flatnonzero(~np.isnan(share))
+            pair = paired(context, shorter)
+            spot = np.full(len(names), -1)
+            there = np.flatnonzero(may.holds(pair))
+            spot[at[there]] = np.searchsorted(asked, pair[there])
+            own = spot[at[state]]
+            p = np.where(own >= 0, value[own], np.nan)
+            score[at[state]] = np.where(np.isnan(p), score[at[state]] + np.log10(share[state]), np.log10(p))
+        return count, score
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        asked = value = escape = np.empty(0)
         if may is not None:
-            asked = _asked_names(names, place, may, depth)
-            value, escape = np.full(len(asked), np.nan), np.full(len(asked), np.nan)
-            slot = answers.column("slot").to_numpy() & 0xFFFFFFFF
-            value[slot] = answers.column("v").to_numpy()
-            escape[slot] = answers.column("escape").to_numpy()
-            count = np.nan_to_num(value[np.searchsorted(asked, names)])
-            score = np.log10(np.where(count > 0, count, kinds) / (tokens + kinds))
-            spot = np.searchsorted(asked, names)
-            for at, context, shorter in ladder(names, place, depth):
-                # ``spot`` of the token before is where the context stands.
-                share = np.where(spot[at - 1] >= 0, escape[spot[at - 1]], np.nan)
-                state = np.flatnonzero(~np.isnan(share))
-                pair = paired(context, shorter)
-                spot = np.full(len(names), -1)
-                there = np.flatnonzero(may.holds(pair))
-                spot[at[there]] = np.searchsorted(asked, pair[there])
-                own = spot[at[state]]
-                p = np.where(own >= 0, value[own], np.nan)
-                score[at[state]] = np.where(np.isnan(p), score[at[state]] + np.log10(share[state]), np.log10(p))
-            score[place == 0] = 0
-        count[place == 0] = 0
-        base = np.log10((count + 1) / (tokens + kinds + 1))
-        base[place == 0] = 0
-        total = lambda x: np.add.reduceat(x, starts)
+            asked = _asked_names(blocks(docs.column("text")), may, depth)
+            answers = answers.sort_by("bucket")
+            parts = [_unpack(body, "f8", "u4", "f8") for body in answers.column("body")]
+            value, escape, at = np.concatenate([p[0] for p in parts]), np.full(len(asked), np.nan), 0
+            for v, state, share in parts:
+                escape[at + state.astype(np.int64)] = share
+                at += len(v)
+            if len(value) != len(asked):
+                raise ValueError("the documents have changed between two readings")
+        out = []
+        for names, sizes in blocks(docs.column("text")):
+            starts = np.cumsum(sizes) - sizes
+            count, score = scores(names, sizes, asked, value, escape) if may is not None else (np.zeros(len(names)), np.zeros(len(names)))
+            count[starts] = 0
+            base = np.log10((count + 1) / (tokens + kinds + 1))
+            base[starts] = score[starts] = 0
+            out.append((sizes - 1, *(np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), base, score))))
+        n, known, base, score = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
                 "held_out": docs.column("held_out"),
-                "n_tokens": pa.array(sizes - 1, pa.int64()),
-                "n_known": pa.array(total((count > 0).astype(np.int64)), pa.int64()),
-                "train_tokens": pa.array(np.full(len(sizes), tokens), pa.int64()),
-                "base_score": pa.array(total(base), pa.float64()),
-                "score": pa.array(total(score), pa.float64()),
+                "n_tokens": pa.array(n, pa.int64()),
+                "n_known": pa.array(known, pa.int64()),
+                "train_tokens": pa.array(np.full(len(n), tokens), pa.int64()),
+                "base_score": pa.array(base, pa.float64()),
+                "score": pa.array(score, pa.float64()),
             }
         )
 
@@ -363,17 +605,19 @@ def _scored(model: Model, depth: int):
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ANSWERS = "chunk long, bucket long, body binary"
 
 
-def _no_answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "slot long, v double, escape double")
+def _bytes(texts: DataFrame) -> int:
+    return texts.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
 
 
 def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: float = 0.0, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model = train(rows.where(~held_out(F.col("doc_id"))), depth, least, margin)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+    size = _bytes(rows)
+    model = train(rows.where(~held_out(F.col("doc_id"))), depth, least, margin, size)
     chunks = max(1, math.ceil(size / CHUNK))
     # The row number spreads equal rows.
     chunk = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(chunks))
@@ -382,12 +626,11 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: float
     rounds = min(rounds, chunks)
     for k in range(rounds):
         some = dealt.where(F.col("chunk") % rounds == k)
-        answers = _no_answers(docs.sparkSession)
+        answers = spark.createDataFrame([], _ANSWERS)
         if model.rows is not None:
-            asked = some.select("text", "chunk").groupBy("chunk").applyInArrow(_asked(model.may, depth), "key long, slot long")
-            answers = stored(asked.join(model.rows, "key").select("slot", "v", "escape"), "answers")
-        dealt_answers = answers.withColumn("chunk", F.shiftright("slot", 32))
-        out.append(stored(some.groupBy("chunk").cogroup(dealt_answers.groupBy("chunk")).applyInArrow(_scored(model, depth), _SCORES), "scores"))
+            asked = some.select("text", "chunk").groupBy("chunk").applyInArrow(_asked(model.may, depth, model.buckets), _PACKED)
+            answers = stored(_met(_packed_model(model).unionByName(asked)).mapInArrow(_answered, _ANSWERS), "answers")
+        out.append(stored(some.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(model, depth), _SCORES), "scores"))
         if model.rows is not None:
             forget(answers)
     if model.rows is not None:

@@ -425,7 +425,8 @@ def _simple_scores(texts, depth, least):
 
 def test_suffix_tree(spark, tables, texts, monkeypatch):
     monkeypatch.setattr(suffixtree, "CHUNK", 100_000)
-    monkeypatch.setattr(suffixtree, "BLOCK", 5000)
+    monkeypatch.setattr(suffixtree, "BUCKET", 20_000)
+    monkeypatch.setattr(suffixtree, "HELD", 5000)
     expected, states = _simple_scores(texts, 3, 8)
     assert {len(s) for s in states} == {1, 2, 3}
     got = suffixtree.score(table(spark, tables, "documents"), least=8).collect()
@@ -438,6 +439,22 @@ def test_suffix_tree(spark, tables, texts, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_word_names(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["The the THE", None, "", " \t\n", "é É a" + "b" * 100 + " A" + "B" * 100, "x" * 3000 + " y " + "word " * 900, "the"]
+    whole = [np.concatenate([n for n, _ in suffixtree.blocks(pa.array(texts[i : i + 1], pa.string()))]) for i in range(len(texts))]
+    for text, names in zip(texts, whole, strict=True):
+        words = (text or "").encode().lower().split()
+        assert len(names) == len(words) + 2 and names[0] == suffixtree.START and names[-1] == suffixtree.END
+        assert len(set(names.tolist())) == len(set(words)) + 2
+    assert whole[0][1] == whole[6][1]
+    parts = list(suffixtree.blocks(pa.array([None, *texts], pa.string())[1:]))
+    assert np.concatenate([n for n, _ in parts]).tolist() == np.concatenate(whole).tolist()
+    monkeypatch.setattr(suffixtree, "SLICE", 128)
+    assert np.concatenate([n for n, _ in suffixtree.blocks(pa.array(texts, pa.string()))]).tolist() == np.concatenate(whole).tolist()
+
+
 def test_pair_names(spark):
     random = np.random.default_rng(4)
     a, b = (random.integers(-(1 << 63), (1 << 63) - 1, 50) for _ in range(2))
