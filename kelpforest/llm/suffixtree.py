@@ -61,7 +61,7 @@ DEPTH = 3
 LEAST = 16
 TWICE = 2
 BITS = 1 << 26
-ROUNDS = 2
+ROUNDS = 3
 CHUNK = 32 << 20
 #: Names that a bucket holds on average.
 BUCKET = 1 << 20
@@ -278,8 +278,23 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield now, held
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
+def _spots(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where keys stand in a sorted table; looked up in order, which is kinder to caches."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(table, keys[order])
+    return out
 
 
 def _summed(order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -390,7 +405,7 @@ def pair_counts(texts: DataFrame, depth: int, may: Bitmap, hot: np.ndarray, buck
 
 
 class Model:
-    """``rows``: (key, v, escape). ``v`` is a word's count, or a pair's probability at a state; ``escape`` is a state's share for its suffix."""
+    """``rows``: packed (key, v, escape). ``v`` is a word's count, or a pair's probability at a state; ``escape`` is a state's share for its suffix."""
 
     def __init__(self, tokens: int, kinds: int, rows: DataFrame | None, may: Bitmap | None, buckets: int):
         self.tokens, self.kinds, self.rows, self.may, self.buckets = tokens, kinds, rows, may, buckets
@@ -469,7 +484,11 @@ def train(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: floa
     for x in (*levels, *tests, *states):
         forget(x)
     plain = words.select("key", F.col("n").cast("double").alias("v"), none.alias("escape"))
-    return Model(tokens, kinds, plain.unionByName(longer), Bitmap.of(longer), buckets)
+    rows = stored(_packed_model(plain.unionByName(longer), buckets), "tree-packed")
+    may = Bitmap.of(longer)
+    forget(words)
+    forget(longer)
+    return Model(tokens, kinds, rows, may, buckets)
 
 
 def _asked_names(found: Iterable[tuple[np.ndarray, np.ndarray]], may: Bitmap, depth: int) -> np.ndarray:
@@ -483,10 +502,10 @@ def _asked_names(found: Iterable[tuple[np.ndarray, np.ndarray]], may: Bitmap, de
             held.append(pair[may.holds(pair)])
         size += sum(map(len, held[-depth - 1 :]))
         if size >= HELD:
-            out.append(np.unique(np.concatenate(held)))
+            out.append(_distinct(np.concatenate(held)))
             held, size = [], 0
     out += held
-    return np.unique(np.concatenate(out))
+    return _distinct(np.concatenate(out))
 
 
 def _asked(may: Bitmap, depth: int, buckets: int):
@@ -498,19 +517,22 @@ def _asked(may: Bitmap, depth: int, buckets: int):
     return run
 
 
-def _packed_model(model: Model) -> DataFrame:
-    """The tree's rows by bucket, without an owner, and so ahead of those who ask."""
-    buckets = model.buckets
+def _packed_model(rows: DataFrame, buckets: int) -> DataFrame:
+    """The tree's rows (key, v, escape) by bucket, without an owner, and so ahead of those who ask."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0).to_numpy().view(np.uint64)
+        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if table is not None:
+            key = table.column(0).to_numpy().view(np.uint64)
             order = np.argsort(key)
-            key = key[order]
-            v, escape = (batch.column(i).to_numpy(zero_copy_only=False)[order] for i in (1, 2))
-            yield _packed_rows([(b, -1, _pack(key[i:j], v[i:j], escape[i:j])) for b, i, j in _cuts(_bucket_of(key, buckets), buckets)])
+            key, v, escape = key[order], table.column(1).to_numpy()[order], table.column(2).to_numpy()[order]
+            rows = []
+            for b, i, j in _cuts(_bucket_of(key, buckets), buckets):
+                state = np.flatnonzero(~np.isnan(escape[i:j]))
+                rows.append((b, -1, _pack(key[i:j], v[i:j], state.astype(np.uint32), escape[i:j][state])))
+            yield _packed_rows(rows)
 
-    return model.rows.select("key", "v", "escape").mapInArrow(run, _PACKED)
+    return rows.select("key", "v", "escape").mapInArrow(run, _PACKED)
 
 
 def _answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,7 +554,10 @@ def _answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket != now:
                 now, parts, table = bucket, [], None
             if owner < 0:
-                parts.append([x.copy() for x in _unpack(body, "u8", "f8", "f8")])
+                key, v, state, share = _unpack(body, "u8", "f8", "u4", "f8")
+                escape = np.full(len(key), np.nan)
+                escape[state] = share
+                parts.append((key.copy(), v.copy(), escape))
                 continue
             if table is None:
                 table, parts = merged(), []
@@ -552,7 +577,7 @@ def _scored(model: Model, depth: int):
     def scores(names: np.ndarray, sizes: np.ndarray, asked: np.ndarray, value: np.ndarray, escape: np.ndarray):
         """(counts, log10 probabilities) of tokens."""
         place = places(sizes)
-        spot = np.searchsorted(asked, names)
+        spot = _spots(asked, names)
         count = np.nan_to_num(value[spot])
         score = np.log10(np.where(count > 0, count, kinds) / (tokens + kinds))
         for at, context, shorter in ladder(names, place, depth):
@@ -562,7 +587,7 @@ def _scored(model: Model, depth: int):
             pair = paired(context, shorter)
             spot = np.full(len(names), -1)
             there = np.flatnonzero(may.holds(pair))
-            spot[at[there]] = np.searchsorted(asked, pair[there])
+            spot[at[there]] = _spots(asked, pair[there])
             own = spot[at[state]]
             p = np.where(own >= 0, value[own], np.nan)
             score[at[state]] = np.where(np.isnan(p), score[at[state]] + np.log10(share[state]), np.log10(p))
@@ -629,7 +654,7 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: float
         answers = spark.createDataFrame([], _ANSWERS)
         if model.rows is not None:
             asked = some.select("text", "chunk").groupBy("chunk").applyInArrow(_asked(model.may, depth, model.buckets), _PACKED)
-            answers = stored(_met(_packed_model(model).unionByName(asked)).mapInArrow(_answered, _ANSWERS), "answers")
+            answers = stored(_met(model.rows.unionByName(asked)).mapInArrow(_answered, _ANSWERS), "answers")
         out.append(stored(some.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(model, depth), _SCORES), "scores"))
         if model.rows is not None:
             forget(answers)
