@@ -61,14 +61,14 @@ DEPTH = 3
 LEAST = 16
 TWICE = 2
 BITS = 1 << 26
-ROUNDS = 3
-CHUNK = 32 << 20
+ROUNDS = 2
+CHUNK = 16 << 20
 #: Names that a bucket holds on average.
 BUCKET = 1 << 20
 #: A context with this share of all tokens has its successors dealt out.
 HOT = 1e-3
 #: Bytes of text that are named at a time, and tokens that a task combines before it hands them on.
-SLICE, HELD = 1 << 18, 1 << 22
+SLICE, HELD = 1 << 18, 1 << 21
 #: Longer words are named one by one.
 SHORT = 64
 
@@ -343,14 +343,15 @@ def _by_pair(context: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.n
     return order, np.r_[True, (context[1:] != context[:-1]) | (shorter[1:] != shorter[:-1])] if len(order) else np.empty(0, bool)
 
 
-_PAIRS = "context long, shorter long, n long, kinds long"
+_PAIRS = "context long, shorter long, n long, all long, kinds long, seen long, kept long"
 
 
 def pair_counts(texts: DataFrame, depth: int, may: Bitmap, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(context, shorter, n, kinds) for the contexts of ``depth`` words that ``may`` holds.
+    """(context, shorter, n, all, kinds, seen, kept) for the contexts of ``depth`` words that ``may`` holds.
 
-    ``shorter`` names the pair of the context's suffix and the same word; null stands for all ``kinds`` that occur less than ``TWICE``,
-    once for each bucket that a context is dealt to.
+    ``shorter`` names the pair of the context's suffix and the same word, where that occurs ``TWICE`` or more. Each context has a
+    row without it, too. ``all`` counts what follows the context, ``kinds`` different words of that, ``seen`` and ``kept`` the same
+    for those that have rows: in the whole, or for hot contexts in the bucket, of which they have a row each.
     """
 
     def out(context: np.ndarray, shorter: np.ndarray):
@@ -393,13 +394,14 @@ def pair_counts(texts: DataFrame, depth: int, may: Bitmap, hot: np.ndarray, buck
             n = _summed(order, first, np.concatenate([p[3] for p in parts]).astype(np.int64))
             context, shorter = context[order[first]], shorter[order[first]]
             own = n >= TWICE
-            yield from _rows({"context": context[own], "shorter": shorter[own], "n": n[own], "kinds": np.ones(int(own.sum()), np.int64)})
-            single, kinds = _counted(context[~own])
-            rest = pa.record_batch(
-                [pa.array(single.view(np.int64)), pa.nulls(len(single), pa.int64()), pa.array(kinds * (TWICE - 1)), pa.array(kinds)],
-                names=["context", "shorter", "n", "kinds"],
-            )
-            yield rest
+            starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            total = lambda x: np.add.reduceat(x, starts)
+            kinds = np.diff(np.r_[starts, len(context)])
+            sums = {"all": total(n), "kinds": kinds, "seen": total(np.where(own, n, 0)), "kept": total(own.astype(np.int64))}
+            yield from _rows({"context": context[own], "shorter": shorter[own], "n": n[own]} | {k: np.repeat(x, kinds)[own] for k, x in sums.items()})
+            without = pa.nulls(len(starts), pa.int64())
+            columns = {"context": pa.array(context[starts].view(np.int64)), "shorter": without, "n": without}
+            yield pa.RecordBatch.from_pydict(columns | {k: pa.array(x) for k, x in sums.items()})
 
     return _met(texts.select("text").mapInArrow(count, _PACKED)).mapInArrow(add, _PAIRS)
 
@@ -438,17 +440,18 @@ def train(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, margin: floa
         pairs = stored(pair_counts(texts, d, may, hot, buckets), f"pairs-{d}")
         # A context that the bitmap lets through by chance is met with all its occurrences, too, so its count tells.
         own = F.col("shorter").isNotNull()
-        sums = pairs.groupBy("context").agg(
-            F.sum("n").alias("all"), F.sum("kinds").alias("kinds"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("seen"), F.count("shorter").alias("kept")
-        )
-        sums = sums.where(F.col("all") >= least).withColumn("escape", 1 - F.col("seen") / (F.col("all") + F.col("kinds")))
-        sums = stored(sums, f"contexts-{d}")
+        parts = ["all", "kinds", "seen", "kept"]
+        sums = pairs.where(~own).groupBy("context").agg(*(F.sum(c).alias(c) for c in parts)).where(F.col("all") >= least)
+        sums = stored(sums.withColumn("escape", 1 - F.col("seen") / (F.col("all") + F.col("kinds"))), f"contexts-{d}")
+        # At most 1 / HOT rows.
+        dealt = sums.join(F.broadcast(spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "context long")), "context", "left_semi")
+        dealt = dealt.select("context", *(F.col(c).alias(f"{c}_") for c in parts[:3]))
+        whole = pairs.where(own).join(F.broadcast(dealt), "context", "left")
+        whole = whole.select("context", "shorter", "n", *(F.coalesce(f"{c}_", c).alias(c) for c in parts[:3])).where(F.col("all") >= least)
         up = shorter.select(F.col("key").alias("shorter"), F.col("p").alias("p_up"))
+        due = F.col("all") + F.col("kinds")
         # What occurs twice after a context does so after its suffix, hence has a row there.
-        smoothed = (
-            pairs.where(own).select("context", "shorter", "n").join(sums.select("context", "all", "kinds", "escape"), "context").join(up, "shorter")
-            .select("context", "shorter", "n", "p_up", (F.col("n") / (F.col("all") + F.col("kinds")) + F.col("escape") * F.col("p_up")).alias("p"))
-        )
+        smoothed = whole.join(up, "shorter").withColumn("p", F.col("n") / due + (1 - F.col("seen") / due) * F.col("p_up"))
         level = stored(smoothed.select("context", "shorter", "n", "p", (F.col("n") * F.log(F.col("p") / F.col("p_up"))).alias("gain")), f"level-{d}")
         forget(pairs)
         gains = sums.join(level.groupBy("context").agg(F.sum("gain").alias("gain")), "context", "left")
