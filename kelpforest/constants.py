@@ -10,9 +10,14 @@ STOP_WORDS = tuple(
     """.split()
 )
 MIN_TOKEN, MAX_TOKENS, PART_WEIGHT = 2, 512, 0.5
+#: what stands between identifiers, and where compound ones are cut
+SEPARATOR = r"[^A-Za-z0-9_]+"
+PARTS = r"_|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
-# --- fixed values: chunk limits (characters, characters, lines) ---
+# --- fixed values: chunk limits (characters, characters, lines); headings and fences ---
 MAX_CHUNK, MIN_CHUNK, OVERLAP_LINES = 6000, 100, 8
+ATX_HEADING = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
+FENCE = r"^\s*(```|~~~)"
 
 # --- fixed values: ranking ---
 PREFETCH, RERANK_POOL, RRF_K = 4, 10, 60
@@ -79,6 +84,9 @@ TOKEN_PATTERNS = (
     r"\bAIza[A-Za-z0-9_-]{35}\b",
     r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
 )
+#: a text without any of these words holds no match of the pattern in the same place
+TOKEN_HINTS = (("A3T", "AKIA", "ASIA", "ABIA", "ACCA"), ("gh",), ("github_pat_",), ("sk-",), ("sk-ant-",), ("xox",), ("k_live_",), ("AIza",), ("eyJ",))
 SECRET_NAMES = r"secret|passwd|password|api[_-]?key|access[_-]?key|auth[_-]?token|private[_-]?key|client[_-]?secret"
+SECRET_ASSIGNMENT = rf"(?i)\b([A-Z0-9_.-]*(?:{SECRET_NAMES})[A-Z0-9_.-]*)(\s*[:=]\s*|\s*=>\s*)([\"'])([^\"'\n]{{8,}})\3"
 KEY_BOUNDARY = r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----"
 MASK = "[REDACTED]"

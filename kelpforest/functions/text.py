@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kelpforest.constants import KEY_BOUNDARY, MASK, MAX_TOKENS, MIN_TOKEN, PART_WEIGHT, SECRET_NAMES, STOP_WORDS, TOKEN_PATTERNS
+from kelpforest.constants import KEY_BOUNDARY, MASK, MAX_TOKENS, MIN_TOKEN, PART_WEIGHT, PARTS, SECRET_ASSIGNMENT, SECRET_NAMES, SEPARATOR, STOP_WORDS, TOKEN_HINTS, TOKEN_PATTERNS
 
 #: Namespace of derived row ids.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:kelpforest:chunks")
-_PARTS = r"_|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
 def _counts(token: Column) -> Column:
@@ -21,10 +20,10 @@ def _counts(token: Column) -> Column:
 
 def weighted_tokens(text: Column) -> Column:
     """array<struct<token, w>> in order: identifiers at 1, the parts of compound ones at 0.5; a stop word goes with its parts."""
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9_]+"), lambda r: _counts(F.lower(r)))
+    raw = F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATOR), lambda r: _counts(F.lower(r)))
 
     def one(r: Column) -> Column:
-        parts = F.split(r, _PARTS, -1)
+        parts = F.split(r, PARTS, -1)
         own = F.array(F.struct(F.lower(r).alias("token"), F.lit(1.0).alias("w")))
         of = F.transform(F.filter(F.transform(parts, lambda p: F.lower(p)), _counts), lambda p: F.struct(p.alias("token"), F.lit(PART_WEIGHT).alias("w")))
         return F.concat(own, F.when(F.size(parts) > 1, of).otherwise(F.slice(of, 1, 0)))
@@ -32,12 +31,29 @@ def weighted_tokens(text: Column) -> Column:
     return F.flatten(F.transform(raw, one))
 
 
+def _pieces(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, w, pos): as :func:`weighted_tokens`, a row each. Identifiers become rows first, so that all else runs on plain columns."""
+    each = rows.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), SEPARATOR)).alias("pos", "r"))
+    each = each.where(F.length("r") >= MIN_TOKEN).withColumn("token", F.lower("r")).where(~F.col("token").isin(*STOP_WORDS))
+    # Only a capital or an underscore can make a compound.
+    parts = F.when((F.col("r") != F.col("token")) | F.contains("r", F.lit("_")), F.split("r", PARTS, -1))
+    own = F.struct("token", F.lit(1.0).alias("w"))
+    of = F.transform("parts", lambda p: F.struct(F.lower(p).alias("token"), F.lit(PART_WEIGHT).alias("w")))
+    many = each.withColumn("parts", parts).withColumn("all", F.when(F.size("parts") > 1, F.concat(F.array(own), of)).otherwise(F.array(own)))
+    out = many.select(key, "pos", F.posexplode("all").alias("nth", "t"))
+    out = out.where((F.col("nth") == 0) | _counts(F.col("t.token")))
+    return out.select(key, F.col("t.token").alias("token"), F.col("t.w").alias("w"), (F.col("pos").cast("long") * (1 << 20) + F.col("nth")).alias("pos"))
+
+
+def all_tokens(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, tf, first): summed weights of all tokens of a row, and where each came first."""
+    return _pieces(rows, key, text).groupBy(key, "token").agg(F.sum("w").alias("tf"), F.min("pos").alias("first"))
+
+
 def postings(rows: DataFrame, key: str, text: str, cap: int = MAX_TOKENS) -> DataFrame:
     """(key, token, tf): summed weights, the ``cap`` heaviest tokens of a row, ties to the token that came first."""
-    each = rows.select(key, F.posexplode(weighted_tokens(F.col(text))).alias("pos", "t"))
-    summed = each.groupBy(key, F.col("t.token").alias("token")).agg(F.sum("t.w").alias("tf"), F.min("pos").alias("first"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("tf"), "first"))
-    return summed.withColumn("r", rank).where(F.col("r") <= cap).select(key, "token", "tf")
+    return all_tokens(rows, key, text).withColumn("r", rank).where(F.col("r") <= cap).select(key, "token", "tf")
 
 
 def feature_id(token: Column) -> Column:
@@ -75,32 +91,36 @@ def preview(content: Column, chars: int = 160) -> Column:
     return F.substring(content, 1, chars)
 
 
-def redact_tokens(text: Column) -> tuple[Column, Column]:
-    """Known token formats keep four characters; also how many there were. Patterns run in order, each over the last one's output."""
-    count = F.lit(0)
-    for pattern in TOKEN_PATTERNS:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = _keep_four(text, pattern)
-    return text, count
-
-
-def _keep_four(text: Column, pattern: str) -> Column:
-    # The first four characters stay: match the whole, then capture them by a look-ahead.
-    start = pattern.removeprefix(r"\b")
-    return F.regexp_replace(text, rf"\b(?=(.{{4}}))(?:{start})", "$1" + MASK)
+def _redact_one(rows: DataFrame, text: str, count: str, hint: Column, pattern: str, into: str) -> DataFrame:
+    """One pattern over the rows that have its hint; each step is a projection of its own, so that no step is evaluated twice."""
+    there = F.coalesce(hint, F.lit(False))
+    return rows.withColumns(
+        {
+            text: F.when(there, F.regexp_replace(text, pattern, into)).otherwise(F.col(text)),
+            count: F.col(count) + F.when(there, F.regexp_count(text, F.lit(pattern))).otherwise(0),
+        }
+    )
 
 
-_ASSIGNMENT = rf"(?i)\b([A-Z0-9_.-]*(?:{SECRET_NAMES})[A-Z0-9_.-]*)(\s*[:=]\s*|\s*=>\s*)([\"'])([^\"'\n]{{8,}})\3"
+def redact_tokens(rows: DataFrame, text: str, count: str) -> DataFrame:
+    """Known token formats keep four characters. Patterns run in order, each over the last one's output."""
+    for pattern, hints in zip(TOKEN_PATTERNS, TOKEN_HINTS, strict=True):
+        hint = F.lit(False)
+        for word in hints:
+            hint |= F.contains(text, F.lit(word))
+        # The first four characters stay: match the whole, then capture them by a look-ahead.
+        four = rf"\b(?=(.{{4}}))(?:{pattern.removeprefix(r'\b')})"
+        rows = _redact_one(rows, text, count, hint, four, "$1" + MASK)
+    return rows
 
 
-def redact_assignments(text: Column) -> tuple[Column, Column]:
+def redact_assignments(rows: DataFrame, text: str, count: str) -> DataFrame:
     """Quoted values of secret-named assignments go whole."""
-    return F.regexp_replace(text, _ASSIGNMENT, r"$1$2$3[REDACTED]$3"), F.regexp_count(text, F.lit(_ASSIGNMENT))
+    return _redact_one(rows, text, count, F.col(text).rlike(f"(?i){SECRET_NAMES}"), SECRET_ASSIGNMENT, rf"$1$2$3{MASK}$3")
 
 
-def redact_key_blocks(text: Column) -> tuple[Column, Column]:
+def redact_key_blocks(rows: DataFrame, text: str, count: str) -> DataFrame:
     """Lines between the BEGIN and END of a private key; the first boundary on a line decides."""
-    lines = F.split(text, "\n", -1)
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -112,15 +132,22 @@ def redact_key_blocks(text: Column) -> tuple[Column, Column]:
             F.concat(acc["out"], F.array(F.when(hide, F.lit(MASK)).otherwise(line))).alias("out"),
         )
 
-    done = F.aggregate(lines, start, step)
-    plain = ~text.rlike(KEY_BOUNDARY)
-    return F.when(plain, text).otherwise(F.array_join(done["out"], "\n")), F.when(plain, F.lit(0)).otherwise(done["n"])
+    blocks = F.contains(text, F.lit("-----")) & F.col(text).rlike(KEY_BOUNDARY)
+    done = f"{count}_done"
+    out = rows.withColumn(done, F.when(blocks, F.aggregate(F.split(text, "\n", -1), start, step)))
+    kept = F.when(F.col(done).isNull(), F.col(text)).otherwise(F.array_join(F.col(done)["out"], "\n"))
+    return out.withColumns({text: kept, count: F.col(count) + F.coalesce(F.col(done)["n"], F.lit(0))}).drop(done)
 
 
 def redacted(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` with the redacted text and ``n_redacted``; the number of lines never changes."""
-    out = rows.withColumn("_n", F.lit(0))
+    out = rows.withColumn("n_redacted", F.lit(0))
     for step in (redact_tokens, redact_assignments, redact_key_blocks):
-        body, count = step(F.col(text))
-        out = out.withColumns({text: body, "_n": F.col("_n") + F.coalesce(count, F.lit(0))})
-    return out.withColumnRenamed("_n", "n_redacted")
+        out = step(out, text, "n_redacted")
+    return out
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as there are cores, if they come in fewer, as from a file that can't be split."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kelpforest.constants import MAX_CHUNK, MIN_CHUNK, OVERLAP_LINES
+from kelpforest.constants import ATX_HEADING, FENCE, MAX_CHUNK, MIN_CHUNK, OVERLAP_LINES
 
 
 @dataclass
@@ -53,8 +53,7 @@ def line_windows(text: str, first: int = 1, most: int = MAX_CHUNK, least: int =
     return out
 
 
-_ATX = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
-_FENCE = re.compile(r"^\s*(```|~~~)")
+_ATX, _FENCE = re.compile(ATX_HEADING), re.compile(FENCE)
 
 
 def sections(text: str) -> list[tuple[list[str], int, int]]:

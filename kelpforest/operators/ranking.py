@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kelpforest.constants import PER_FILE, RECENCY_DAYS, RECENCY_FLOOR, RECENCY_SPAN, RRF_K
+from kelpforest.constants import PER_FILE, RECENCY_DAYS, RECENCY_FLOOR, RECENCY_SPAN, RRF_K, SEPARATOR
+from kelpforest.operators import vectors
 
 
 def idf_table(postings: DataFrame, n_rows: DataFrame) -> DataFrame:
@@ -93,6 +94,25 @@ def page(rows: DataFrame, newest: str, key: str, offset: int, limit: int) -> Dat
     return numbered.withColumn("has_more", more).where(F.col("_n") <= limit).drop("_n").crossJoin(F.broadcast(total))
 
 
+def holders(items: DataFrame, item: str, docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(item, doc) wherever a document's text holds an item's text.
+
+    A text that is held has its inner words in the document as whole words, so
+    the longest of them is an equality key, and only its documents are compared.
+    Items without an inner word are compared with all documents, block by block.
+    """
+    words = F.split(F.col("_body"), SEPARATOR)
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
+    longest = F.reduce(inner, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    asked = items.select(item, F.col(text).alias("_body")).withColumn("_word", longest)
+    keyed, short = asked.where("_word != ''"), asked.where("_word = ''")
+    met = docs.select(doc, F.explode(F.array_distinct(F.split(F.col(text), SEPARATOR))).alias("_word")).join(keyed.select(item, "_word"), "_word").select(item, doc)
+    found = met.join(keyed.select(item, "_body"), item).join(docs.select(doc, text), doc).where(F.contains(text, "_body")).select(item, doc)
+    for part in vectors.blocks(short.select(item, "_body"), item):
+        found = found.unionByName(docs.select(doc, text).join(part, F.contains(text, "_body")).select(item, doc))
+    return found
+
+
 def metrics(first_hit: DataFrame) -> DataFrame:
     """R@1, R@3 and MRR of (query, rank of the first hit or null)."""
     rank = F.col("rank")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from kelpforest import constants as C
 from kelpforest.functions import text as T
 from kelpforest.operators import chunking, classify, notes, ranking, sync, vectors
 from kelpforest.sources import snapshots
+from kelpforest.sources.folders import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +33,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, for work on each of them that is worth all cores."""
+    return T.spread(read(spark, sf_dir, "documents"))
+
+
 # --- tokens, postings, idf ---------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
@@ -55,7 +59,7 @@ post AS (SELECT id, token, tf FROM summed QUALIFY row_number() OVER (PARTITION B
 
 @query(f"WITH {_token_sql('documents', 'doc_id')} SELECT id AS doc_id, token, tf FROM post")
 def tf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return T.postings(documents(spark, sf_dir), "doc_id", "text")
 
 
 @query(
@@ -64,14 +68,14 @@ def tf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = ranking.idf_table(T.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n")))
+    out = ranking.idf_table(T.postings(T.spread(docs), "doc_id", "text"), docs.agg(F.count("*").alias("n")))
     return out.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     asked = T.postings(read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
-    posts = T.postings(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    posts = T.postings(T.spread(docs), "doc_id", "text").withColumnRenamed("doc_id", "id")
     # Only tokens that are asked for matter; counts are still over the whole collection.
     posts = posts.join(asked.select("token").distinct(), "token", "left_semi")
     idf = ranking.idf_table(posts, docs.agg(F.count("*").alias("n")))
@@ -96,7 +100,7 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def feature_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = T.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
+    posts = T.postings(documents(spark, sf_dir), "doc_id", "text")
     return posts.groupBy("doc_id", T.feature_id(F.col("token")).alias("feature")).agg(F.sum("tf").alias("weight"))
 
 
@@ -184,23 +188,28 @@ SELECT query_id, id, source, round(rerank, 4) AS score, row_number() OVER (PARTI
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
-    asked = T.postings(read(spark, sf_dir, "benchmark"), "item_id", "text").groupBy(F.col("item_id").alias("query_id")).agg(F.collect_list("token").alias("wanted"))
-    pool = _fused(spark, sf_dir).join(docs, "id").join(asked, "query_id", "left")
-    have = F.transform(T.weighted_tokens(F.col("text")), lambda t: t["token"])
-    met = F.coalesce(F.size(F.array_intersect("wanted", have)) / F.greatest(F.size("wanted"), F.lit(1)), F.lit(0.0))
+    asked = T.postings(read(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("item_id").alias("query_id"), "token")
+    fused = snapshots.stored(_fused(spark, sf_dir), "fused")
+    # Only what was fused is read again: a bounded number of documents for each query.
+    near = docs.join(F.broadcast(fused.select("id").distinct()), "id", "left_semi")
+    have = T.all_tokens(T.spread(near), "id", "text").select("id", "token")
+    both = fused.join(asked, "query_id").join(have, ["id", "token"]).groupBy("query_id", "id").agg(F.count("*").alias("met"))
+    size = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    pool = fused.join(docs.select("id", "source"), "id").join(both, ["query_id", "id"], "left").join(size, "query_id", "left")
+    met = F.coalesce(F.col("met") / F.col("wanted"), F.lit(0.0))
     hits = ranking.diversify(ranking.rerank(pool, met, C.RERANK_POOL), ["source"], 6)
     return hits.select("query_id", "id", "source", F.round("rerank", 4).alias("score"), "final")
 
 
 @query(
-    f"""WITH s AS (SELECT event_id, event_type, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS position FROM events QUALIFY position <= 50)
+    f"""WITH s AS (SELECT event_id, event_type, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS position FROM events)
 SELECT event_id, event_type, round((1.0 / position) * (0.85 + 0.15 * exp(-greatest(floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) / 86400), 0) / 90.0)), 9) AS score FROM s"""
 )
 def recency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))
-    first = read(spark, sf_dir, "events").withColumn("position", rank).where("position <= 50")
+    placed = read(spark, sf_dir, "events").withColumn("position", rank)
     score = ranking.recency(1.0 / F.col("position"), F.col("ts"), F.lit(NOW).cast("timestamp"))
-    return first.select("event_id", "event_type", F.round(score, 9).alias("score"))
+    return placed.select("event_id", "event_type", F.round(score, 9).alias("score"))
 
 
 @query(
@@ -217,11 +226,11 @@ def diversity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH n AS (SELECT *, lag(text) OVER w AS a, lag(turn) OVER w AS ta, lead(text) OVER w AS b, lead(turn) OVER w AS tb FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, concat_ws(chr(10) || chr(10), CASE WHEN ta = turn - 1 THEN a END, text, CASE WHEN tb = turn + 1 THEN b END) AS expanded,
-CASE WHEN ta = turn - 1 THEN ta ELSE turn END AS from_line, CASE WHEN tb = turn + 1 THEN tb ELSE turn END AS to_line FROM n WHERE turn % 3 = 0"""
+CASE WHEN ta = turn - 1 THEN ta ELSE turn END AS from_line, CASE WHEN tb = turn + 1 THEN tb ELSE turn END AS to_line FROM n"""
 )
 def neighbour_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").withColumns({"s": F.col("turn"), "e": F.col("turn")})
-    return ranking.neighbours(turns, F.col("turn") % 3 == 0, ["conv_id"], "turn", "text", "s", "e")
+    return ranking.neighbours(turns, F.lit(True), ["conv_id"], "turn", "text", "s", "e")
 
 
 @query(
@@ -279,11 +288,7 @@ round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS r3, round(avg(coales
 )
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    # The golden set meets every document where it lies, block by block.
-    holds = None
-    for part in vectors.blocks(items, "item_id"):
-        found = docs.select("doc_id", F.col("text").alias("body")).join(part, F.contains("body", "text")).select("item_id", "doc_id")
-        holds = found if holds is None else holds.unionByName(found)
+    holds = ranking.holders(items, "item_id", T.spread(docs), "doc_id", "text")
     found = ranking.ranked(_lexical(spark, sf_dir), 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
     first = holds.join(found, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("rank"))
     return ranking.metrics(first)
@@ -409,12 +414,12 @@ SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b([A-Z0-9_.-]*(?:secret
 )
 def redact_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\btoken = ", "auth_token = ").alias("text"))
-    return rows.select("doc_id", T.redact_assignments(F.col("text"))[0].alias("text"))
+    return T.redact_assignments(rows.withColumn("n", F.lit(0)), "text", "n").select("doc_id", "text")
 
 
 @query()
 def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.redacted(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return T.redacted(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 # --- chunks ---------------------------------------------------------------------------
@@ -516,5 +521,4 @@ def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS id, source AS project, text AS content FROM documents")
 def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), F.col("text").alias("content"))
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
-    return snapshots.import_notes(spark, snapshots.export_notes(docs, f"{folder}/backups-{uuid.uuid4().hex}"), docs.schema)[0]
+    return snapshots.import_notes(spark, snapshots.export_notes(docs, new_path(spark, "backups")), docs.schema)[0]

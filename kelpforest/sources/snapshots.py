@@ -8,10 +8,19 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpforest.sources.folders import new_path
+
 KEEP = 30
 DERIVED = ("code", "docs")
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` to the shared folder and read them back, which cuts their lineage."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Snapshots:
     """Tables under ``root`` on any file system that Spark reaches. A reader keeps the version that it has resolved."""
 
