@@ -61,7 +61,7 @@ DEPTH = 3
 LEAST = 16
 TWICE = 2
 BITS = 1 << 26
-ROUNDS = 2
+ROUNDS = 4
 CHUNK = 16 << 20
 #: Names that a bucket holds on average.
 BUCKET = 1 << 20
@@ -199,6 +199,18 @@ def ladder(names: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[n
             pair[at] = paired(context, shorter)
 
 
+def pairs_of(names: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each depth from 1 (positions, names of the pairs) of the tokens that a context of that depth precedes."""
+    pair = names
+    for d in range(1, depth + 1):
+        at = np.flatnonzero(place >= d)
+        found = paired(pair[at - 1], pair[at])
+        yield at, found
+        if d < depth:
+            pair = np.zeros_like(names)
+            pair[at] = found
+
+
 class Bitmap:
     """Which names may be in a table: a bit for each, out of ``BITS``."""
 
@@ -289,14 +301,6 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
-def _spots(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where keys stand in a sorted table; looked up in order, which is kinder to caches."""
-    order = np.argsort(keys)
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.searchsorted(table, keys[order])
-    return out
-
-
 def _summed(order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of ``n`` over the runs, in this order, that start where ``first`` is true."""
     return np.add.reduceat(n[order], np.flatnonzero(first)) if len(order) else n
@@ -500,9 +504,7 @@ def _asked_names(found: Iterable[tuple[np.ndarray, np.ndarray]], may: Bitmap, de
     held, size = [], 0
     for names, sizes in found:
         held.append(names)
-        for _, context, shorter in ladder(names, places(sizes), depth):
-            pair = paired(context, shorter)
-            held.append(pair[may.holds(pair)])
+        held += [pair[may.holds(pair)] for _, pair in pairs_of(names, places(sizes), depth)]
         size += sum(map(len, held[-depth - 1 :]))
         if size >= HELD:
             out.append(_distinct(np.concatenate(held)))
@@ -574,56 +576,77 @@ def _answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed_rows(rows).rename_columns(["chunk", "bucket", "body"])
 
 
+def _placed(found: Iterable[tuple[np.ndarray, np.ndarray]], may: Bitmap, depth: int):
+    """Of a chunk: sizes of texts, how many names it asks for, and for each depth from 0 the spot among them of every token's pair, or -1."""
+    sizes, keys, spots, total = [], [[] for _ in range(depth + 1)], [[] for _ in range(depth + 1)], 0
+    for names, own in found:
+        sizes.append(own)
+        keys[0].append(names)
+        for d, (at, pair) in enumerate(pairs_of(names, places(own), depth), 1):
+            there = may.holds(pair)
+            keys[d].append(pair[there])
+            spots[d].append(total + at[there])
+        total += len(names)
+    ends = np.cumsum([sum(map(len, k)) for k in keys])
+    line = np.concatenate([x for k in keys for x in k])
+    order = np.argsort(line)
+    first = np.r_[True, np.diff(line[order]) != 0] if len(line) else np.empty(0, bool)
+    rank = np.empty(len(line), np.int32)
+    rank[order] = np.cumsum(first) - 1
+    out = [rank[: ends[0]]]
+    for d in range(1, depth + 1):
+        spot = np.full(total, -1, np.int32)
+        spot[np.concatenate(spots[d])] = rank[ends[d - 1] : ends[d]]
+        out.append(spot)
+    return np.concatenate(sizes), int(first.sum()), out
+
+
 def _scored(model: Model, depth: int):
     tokens, kinds, may = model.tokens, model.kinds, model.may
 
-    def scores(names: np.ndarray, sizes: np.ndarray, asked: np.ndarray, value: np.ndarray, escape: np.ndarray):
+    def scores(place: np.ndarray, spots: list[np.ndarray], value: np.ndarray, escape: np.ndarray):
         """(counts, log10 probabilities) of tokens."""
-        place = places(sizes)
-        spot = _spots(asked, names)
-        count = np.nan_to_num(value[spot])
+        count = np.nan_to_num(value[spots[0]])
         score = np.log10(np.where(count > 0, count, kinds) / (tokens + kinds))
-        for at, context, shorter in ladder(names, place, depth):
-            # The spot of the token before is where the context stands.
-            share = np.where(spot[at - 1] >= 0, escape[spot[at - 1]], np.nan)
-            state = np.flatnonzero(~np.isnan(share))
-            pair = paired(context, shorter)
-            spot = np.full(len(names), -1)
-            there = np.flatnonzero(may.holds(pair))
-            spot[at[there]] = _spots(asked, pair[there])
-            own = spot[at[state]]
+        for d in range(1, depth + 1):
+            # The pair that ends before a token is its context.
+            before = np.r_[np.int32(-1), spots[d - 1][:-1]]
+            at = np.flatnonzero((place >= d) & (before >= 0))
+            share = escape[before[at]]
+            state = ~np.isnan(share)
+            at, share = at[state], share[state]
+            own = spots[d][at]
             p = np.where(own >= 0, value[own], np.nan)
-            score[at[state]] = np.where(np.isnan(p), score[at[state]] + np.log10(share[state]), np.log10(p))
+            score[at] = np.where(np.isnan(p), score[at] + np.log10(share), np.log10(p))
         return count, score
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        asked = value = escape = np.empty(0)
         if may is not None:
-            asked = _asked_names(blocks(docs.column("text")), may, depth)
+            sizes, asked, spots = _placed(blocks(docs.column("text")), may, depth)
             answers = answers.sort_by("bucket")
             parts = [_unpack(body, "f8", "u4", "f8") for body in answers.column("body")]
-            value, escape, at = np.concatenate([p[0] for p in parts]), np.full(len(asked), np.nan), 0
+            value, escape, at = np.concatenate([p[0] for p in parts]), np.full(asked, np.nan), 0
+            if len(value) != asked:
+                raise ValueError("the documents have changed between two readings")
             for v, state, share in parts:
                 escape[at + state.astype(np.int64)] = share
                 at += len(v)
-            if len(value) != len(asked):
-                raise ValueError("the documents have changed between two readings")
-        out = []
-        for names, sizes in blocks(docs.column("text")):
-            starts = np.cumsum(sizes) - sizes
-            count, score = scores(names, sizes, asked, value, escape) if may is not None else (np.zeros(len(names)), np.zeros(len(names)))
-            count[starts] = 0
-            base = np.log10((count + 1) / (tokens + kinds + 1))
-            base[starts] = score[starts] = 0
-            out.append((sizes - 1, *(np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), base, score))))
-        n, known, base, score = (np.concatenate(x) for x in zip(*out, strict=True))
+            count, score = scores(places(sizes), spots, value, escape)
+        else:
+            sizes = np.concatenate([x for _, x in blocks(docs.column("text"))])
+            count, score = np.zeros(int(sizes.sum())), np.zeros(int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        count[starts] = 0
+        base = np.log10((count + 1) / (tokens + kinds + 1))
+        base[starts] = score[starts] = 0
+        known, base, score = (np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), base, score))
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
                 "held_out": docs.column("held_out"),
-                "n_tokens": pa.array(n, pa.int64()),
+                "n_tokens": pa.array(sizes - 1, pa.int64()),
                 "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array(np.full(len(n), tokens), pa.int64()),
+                "train_tokens": pa.array(np.full(len(sizes), tokens), pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
                 "score": pa.array(score, pa.float64()),
             }
