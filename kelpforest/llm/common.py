@@ -3,39 +3,19 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpforest.sources.folders import new_path, shared_folder
+
 #: White space that separates words: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (a single machine, as in tests) a
-    temporary folder stands in for it.
-    """
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = f"file://{tempfile.mkdtemp(prefix='kelpforest-')}"
-    return _own_folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "all_of", "ascii_lower", "forget", "n_words", "new_path", "release", "shared_folder", "stored", "table", "unused"]
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a short lineage that outlives executors."""
@@ -61,6 +41,19 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: list[str]) -> str:
+    """A prefix that no column's name begins with, in any case, for columns that come and go within an operator."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def all_of(df: DataFrame, *but: str) -> list[Column]:
+    """The columns, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in but]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,17 +2,22 @@
 
 The templates' words form a small fixed vocabulary. A first pass counts in how
 many documents each occurs; only counts of that vocabulary are gathered. The
-index maps a word to its postings (template, position). Of each template, a
-document looks up the ``RARE`` words of highest inverse document frequency that
-it holds; every occurrence
-votes for the (template, shift) pairs that its postings give, and shifts that
-two words agree on are verified: the weight of the template's words that stand
-in place, and its key phrase word for word. Phrases that name a licence outright
-are found exactly, wherever they stand.
+index maps a word to postings (template, position), for the rarest positions of
+each template only: those of highest inverse document frequency, until they
+weigh more than what a match may miss (one less ``COVERAGE``) and the heaviest
+word together. At least two of them thus stand in place wherever the template
+matches, whatever else the document holds. Every occurrence of such a word votes
+for the (template, shift) pairs that its postings give, and shifts with two
+votes are verified: the weight of the template's words that stand in place, and
+its key phrase word for word. Nothing that a comparison of every template at
+every shift would find is left out. Phrases that name a licence outright are
+found exactly, wherever they stand.
 
 Nothing is joined or shuffled but the vocabulary's counts, and each document is
-read whole, on its own. Null and empty texts have no words, no labels and score
-0. Repeated rows are scanned like any other (each counts as a document).
+read whole, on its own, however long. Null and empty texts have no words, no
+labels and score 0; null ids don't matter. Repeated rows are scanned like any
+other (each counts as a document). Words of equal weight go by their letters.
+An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,6 @@ from pyspark.sql import functions as F
 
 #: Phrases that name a licence outright: (words, label).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-RARE = 8
 #: Least share of a template's weight that must stand in place.
 COVERAGE = 0.8
 
@@ -40,29 +44,79 @@ class Template:
     key: str
 
 
-#: Well-known notices, as words, with the phrase that each must hold.
+#: Sentences of well-known notices, as words, with the phrase that each must hold.
 TEMPLATES = (
     Template("mit", "released under the mit license", "the mit license"),
     Template(
         "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
         "permission is hereby granted free of charge",
     ),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
     Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
+    Template(
+        "apache-2",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "apache org licenses license 2 0",
+    ),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Template("cc-by", "licensed under cc by 4 0", "cc by 4"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    Template(
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+        "as published by the free software foundation either version 3 of the license or at your option any later version",
+        "gnu general public license as published by the free software foundation either version 3",
+    ),
     Template("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Template("lgpl-3", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license"),
+    Template(
+        "gpl-2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+        "as published by the free software foundation either version 2 of the license or at your option any later version",
+        "gnu general public license as published by the free software foundation either version 2",
+    ),
+    Template("lgpl-3", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3"),
+    Template(
+        "lgpl-2.1",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
+        "as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        "gnu lesser general public license as published by the free software foundation either version 2 1",
+    ),
     Template("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
+    Template(
+        "agpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license "
+        "as published by the free software foundation either version 3 of the license or at your option any later version",
+        "gnu affero general public license",
+    ),
     Template(
         "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "redistribution and use in source and binary forms",
     ),
+    Template(
+        "bsd-3",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission",
+        "endorse or promote products derived from this software",
+    ),
     Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+        "the above copyright notice and this permission notice appear in all copies",
+        "with or without fee",
+    ),
+    Template(
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and "
+        "redistribute it freely subject to the following restrictions",
+        "to alter it and redistribute it freely",
+    ),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 
 _LETTERS = bytes(
@@ -76,53 +130,49 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates, weighted by document frequency."""
+    """Postings of the templates' rarest places, weighted by document frequency."""
 
     def __init__(self, documents: int = 0, found: dict[bytes, int] | None = None, templates: tuple[Template, ...] = TEMPLATES):
         self.templates = [(t.label, t.text.encode().split(), t.key.encode().split()) for t in templates]
         found = found or {}
+        vocabulary = {w for _, words, _ in self.templates for w in words}
+        self.weight = {w: max(math.log((documents + 1) / (found.get(w, 0) + 0.5)), 1e-6) for w in vocabulary}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.needed: list[int] = []
         for number, (_, words, _) in enumerate(self.templates):
-            for place, word in enumerate(words):
-                self.postings[word].append((number, place))
-        self.weight = {w: math.log((documents + 1) / (found.get(w, 0) + 0.5)) + 1e-6 for w in self.postings}
-        self.weight = {w: max(x, 1e-6) for w, x in self.weight.items()}
-        self.places: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in self.templates]
-        for word, found_at in self.postings.items():
-            for number, place in found_at:
-                self.places[number][word].append(place)
-        self.rarest = [sorted(x, key=lambda w: (-self.weight[w], w)) for x in self.places]
+            weights = [self.weight[w] for w in words]
+            enough = (1 - COVERAGE) * sum(weights) + max(weights)
+            indexed = 0.0
+            for place in sorted(range(len(words)), key=lambda i: (-weights[i], words[i], i)):
+                self.postings[words[place]].append((number, place))
+                indexed += weights[place]
+                if indexed > enough * (1 + 1e-9):
+                    break
+            # Where one word outweighs all else, its vote alone must do.
+            self.needed.append(2 if indexed > enough * (1 + 1e-9) else 1)
+
+    def matches(self, number: int, shift: int, words: list[bytes]) -> float:
+        """The share of a template's weight that stands in place at a shift, or 0 where that or the key phrase doesn't suffice."""
+        _, template, key = self.templates[number]
+        start = max(shift, 0)
+        here = words[start : shift + len(template)]
+        met = sum(self.weight[w] for w, x in zip(template[start - shift :], here, strict=False) if w == x)
+        score = met / sum(self.weight[w] for w in template)
+        return min(score, 1.0) if score >= COVERAGE and _places(here, key) else 0.0
 
     def scan(self, words: list[bytes]) -> dict[str, float]:
         """Labels of verified templates with their scores."""
-        places = defaultdict(list)
-        weight = self.weight
+        postings = self.postings
+        votes: dict[tuple[int, int], int] = defaultdict(int)
         for at, word in enumerate(words):
-            if word in weight:
-                places[word].append(at)
-        if len(places) < 2:
-            return {}
-        # Each template votes with its own rarest words that the document holds, so that none takes another's place.
-        votes: dict[tuple[int, int], set] = defaultdict(set)
-        for number, rarest in enumerate(self.rarest):
-            present = [w for w in rarest if w in places]
-            for word in present[:RARE] if len(present) > 1 else ():
-                for place in self.places[number][word]:
-                    for at in places[word]:
-                        votes[number, at - place].add(word)
+            if word in postings:
+                for number, place in postings[word]:
+                    votes[number, at - place] += 1
         out: dict[str, float] = {}
-        for (number, shift), voters in votes.items():
-            if len(voters) < 2:
-                continue
-            label, template, key = self.templates[number]
-            start = max(shift, 0)
-            here = words[start : shift + len(template)]
-            aligned = template[start - shift :]
-            total = sum(weight[w] for w in template)
-            met = sum(weight[w] for w, x in zip(aligned, here, strict=False) if w == x)
-            score = met / total
-            if score >= COVERAGE and _places(here, key):
-                out[label] = max(out.get(label, 0.0), min(score, 1.0))
+        for (number, shift), n in votes.items():
+            if n >= self.needed[number] and (score := self.matches(number, shift, words)):
+                label = self.templates[number][0]
+                out[label] = max(out.get(label, 0.0), score)
         return out
 
 

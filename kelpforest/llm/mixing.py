@@ -1,44 +1,54 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Documents of a source are shuffled by a keyed digest and queue up; a document
-that starts behind ``before`` words of its source finishes at virtual time
-``(before + size) / target``. Sources are served side by side in proportion to
-their targets, the merged stream is ordered by virtual finish time, and it ends
-where the words served reach the budget. A source whose target exceeds its size
-queues again, at most ``MAX_EPOCHS`` times. The document in service at the end
-is cut, so every source's words match its share to the word.
-
-Prefix sums have two levels: sums of (source, digest bucket), then positions
-within a bucket. A hot source therefore spreads over many tasks, and the number
-of buckets follows the number of rows; it changes the plan, never the result.
+Documents of a source are shuffled by a keyed digest and queue up. A service of
+a document that starts behind ``before`` words of its source finishes at virtual
+time ``(before + size) / target``; a source queues ``MAX_EPOCHS`` times. The
+merged stream holds the services of all sources in the order of their finish,
+and ends where its words reach the budget, which is the size of all documents.
+The service at which it ends is cut; a source's words therefore come within a
+document's size of its target.
+
+Prefix sums within a source have two levels: sums of (source, digest bucket),
+then positions within a bucket. A hot source therefore spreads over many tasks,
+and the number of buckets follows the number of rows; it changes the plan, never
+the result. All that finishes by virtual time 1 is within the budget, as the
+targets add up to it. The words that finish later are summed by buckets of time
+that double away from 1, a few thousand whatever the corpus; only in the bucket
+where the budget is reached are services put in order one by one, which gives
+the last service and its words. That point then cuts the stream in a projection.
 
 Null and empty texts have size 0 and take 0. A null source is a source of its
-own, ordered last. Repeated rows queue one after another; rows that are equal in
-all of id, source and size may swap their places, which leaves the result the
-same as a set. Empty tables give an empty result. Extra columns are ignored.
+own, ordered last; documents with a null id queue by their texts. Repeated rows
+queue one after another; rows that are equal in all of id, size and text may
+swap their places, which changes nothing. Texts of any length are counted whole.
+Empty tables give an empty result. Extra columns are ignored by :func:`plan`
+and kept by :func:`mix`, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kelpforest.llm.common import n_words, stored
+from kelpforest.llm.common import all_of, n_words, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Rows that one task orders at a time, on average.
 BUCKET_ROWS = 512
+#: What counts as virtual time 1, for rounding, and time buckets for each doubling beyond it.
+NEAR, OCTAVE = 1e-9, 64
 #: Source tables up to this many rows are broadcast.
 BROADCAST_SOURCES = 20_000
 
 
-def queue_key(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def queue_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), unnamed)))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -73,6 +83,36 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     )
 
 
+def _services(max_epochs: int) -> Column:
+    """array<struct<at, epoch>>: when a document's services finish; none without words."""
+    at = lambda e: F.try_divide((e * F.col("source_size") + F.col("before") + F.col("size")).cast("double"), F.col("target"))
+    all_ = F.array(*(F.struct(at(e).alias("at"), F.lit(e).alias("epoch")) for e in range(max_epochs)))
+    return F.when(F.col("size") > 0, all_).otherwise(F.slice(all_, 1, 0))
+
+
+def _time_bucket(at: Column, rows: int) -> Column:
+    """0 up to virtual time 1 (less rounding), then buckets that widen with the distance from it; never falls as time goes on."""
+    beyond = at - (1 - NEAR)
+    return F.when(beyond <= 0, F.lit(0)).otherwise(1 + F.floor(OCTAVE * F.log2(1 + beyond * float(max(rows, 1)))).cast("int"))
+
+
+def _last_service(placed: DataFrame, rows: int, max_epochs: int):
+    """(at, r, epoch, words) of the service in which the stream reaches the budget, or None if there are no words."""
+    budget = placed.agg(F.sum("size")).first()[0] or 0
+    if not budget:
+        return None
+    services = placed.select("_r", "size", F.explode(_services(max_epochs)).alias("s"))
+    services = services.select("_r", "size", "s.at", "s.epoch", _time_bucket(F.col("s.at"), rows).alias("bucket"))
+    sums = services.groupBy("bucket").agg(F.sum("size").alias("words"))
+    until = F.sum("words").over(W.orderBy("bucket"))
+    found = sums.withColumn("until", until).where(F.col("until") >= budget).orderBy("bucket").first()
+    ahead = found["until"] - found["words"]
+    inside = F.sum("size").over(W.orderBy("at", "_r", "epoch").rowsBetween(W.unboundedPreceding, W.currentRow)) + ahead
+    last = services.where(F.col("bucket") == found["bucket"]).withColumn("until", inside).where(F.col("until") >= budget)
+    row = last.orderBy("until").first()
+    return row["at"], row["_r"], row["epoch"], row["size"] - (row["until"] - budget)
+
+
 def plan(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -80,15 +120,22 @@ def plan(
     seed: str = SEED,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, before, start_time, finish_time, taken, *keep).
+    """Rows (doc_id, source, size, source_size, target, before, finish_time, services, taken, *keep).
 
     ``before`` counts the words queued ahead in the document's source;
-    ``finish_time`` is that of its first service. ``taken`` sums its services
-    until the budget (the size of all documents) is spent.
+    ``finish_time`` is that of its first service. ``services`` holds (at, epoch,
+    words) of those before the stream's end, and ``taken`` sums their words.
     """
-    spark = docs.sparkSession
     sized = stored(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), queue_key(F.col("doc_id"), seed).alias("_key"), *keep), "mix"
+        docs.select(
+            "doc_id",
+            "source",
+            n_words(F.col("text")).alias("size"),
+            queue_key(F.col("doc_id"), F.col("text"), seed).alias("_key"),
+            F.xxhash64("text").alias("_text"),
+            *keep,
+        ),
+        "mix",
     )
     rows = sized.count()
     digits = max(0, min(8, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16)))) if rows > BUCKET_ROWS else 0
@@ -100,25 +147,36 @@ def plan(
     ).drop("_source")
     sums = queued.groupBy("_r", "_b").agg(F.sum("size").alias("_sum"))
     ahead = sums.select("_r", "_b", (F.sum("_sum").over(W.partitionBy("_r").orderBy("_b")) - F.col("_sum")).alias("_ahead"))
-    inside = W.partitionBy("_r", "_b").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = queued.withColumn("_inside", F.sum("size").over(inside) - F.col("size")).join(ahead, ["_r", "_b"])
-    placed = placed.withColumn("before", F.col("_ahead") + F.col("_inside"))
-    # The stream ends at virtual time 1: the targets add up to the budget.
-    due = F.round("target").cast("long")
-    served = [
-        F.greatest(F.lit(0), F.least(F.col("size"), due - (e * F.col("source_size") + F.col("before")))) for e in range(max_epochs)
-    ]
-    when = lambda words: F.when(F.col("target") > 0, words / F.col("target")).otherwise(F.lit(0.0))
-    return placed.select(
+    inside = W.partitionBy("_r", "_b").orderBy("_key", "doc_id", "size", "_text").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def placed(columns: tuple[str, ...]) -> DataFrame:
+        one = queued.select("source", "source_size", "target", "_r", "_b", "doc_id", "size", "_key", "_text", *columns)
+        one = one.withColumn("_inside", F.sum("size").over(inside) - F.col("size")).join(ahead, ["_r", "_b"])
+        return one.withColumn("before", F.col("_ahead") + F.col("_inside"))
+
+    last = _last_service(placed(()), rows, max_epochs)
+    if last is None:
+        words = lambda s: F.lit(0).cast("long")
+    else:
+        at, r, epoch, cut = last
+        place = lambda s: F.struct(s["at"].alias("at"), F.col("_r").alias("r"), s["epoch"].alias("epoch"))
+        end = F.struct(F.lit(at).alias("at"), F.lit(r).alias("r"), F.lit(epoch).alias("epoch"))
+        words = lambda s: F.when(place(s) < end, F.col("size")).when(place(s) == end, F.lit(cut)).otherwise(F.lit(0)).cast("long")
+    services = F.filter(
+        F.transform(_services(max_epochs), lambda s: F.struct(s["at"].alias("at"), s["epoch"].alias("epoch"), words(s).alias("words"))), lambda s: s["words"] > 0
+    )
+    first = F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
+    out = placed(keep).withColumn("services", services)
+    return out.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
         "before",
-        when(F.col("before")).alias("start_time"),
-        when(F.col("before") + F.col("size")).alias("finish_time"),
-        sum(served[1:], served[0]).cast("long").alias("taken"),
+        first.alias("finish_time"),
+        "services",
+        F.aggregate("services", F.lit(0).cast("long"), lambda total, s: total + s["words"]).alias("taken"),
         *keep,
     )
 
@@ -126,39 +184,28 @@ def plan(
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed stream: rows of ``docs``, one per service, globally ordered by virtual finish time.
 
-    A document that the end of the stream cuts keeps its first words; documents
-    that are not served are absent.
+    The document at which the stream ends keeps its first words; documents that
+    are not served are absent.
     """
     columns = docs.columns
-    extra = tuple(c for c in columns if c not in ("doc_id", "source"))
-    packed = docs.select("doc_id", "source", "text", F.struct(*(F.col(c) for c in extra)).alias("_row"))
-    planned = plan(packed, weights, max_epochs, seed, keep=("_row",))
-    due = F.round("target").cast("long")
-    epochs = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(max_epochs - 1)),
-            lambda e: F.struct(
-                ((e * F.col("source_size") + F.col("before") + F.col("size")) / F.greatest(F.col("target"), F.lit(1.0))).alias("at"),
-                F.greatest(F.lit(0), F.least(F.col("size"), due - (e * F.col("source_size") + F.col("before")))).alias("words"),
-            ),
-        ),
-        lambda s: s["words"] > 0,
-    )
-    served = planned.withColumn("_s", F.explode(epochs))
+    extra = [c for c in columns if c not in ("doc_id", "source")]
+    packed = docs.select("doc_id", "source", "text", F.struct(*all_of(docs, "doc_id", "source")).alias("_row"))
+    served = plan(packed, weights, max_epochs, seed, keep=("_row",)).withColumn("_s", F.explode("services"))
     pieces = F.regexp_extract_all(F.col("_row.text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     cut = F.when(F.col("_s.words") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("_s.words").cast("int")), "")).otherwise(
         F.col("_row.text")
     )
-    out = [F.col(c) if c in ("doc_id", "source") else cut.alias("text") if c == "text" else F.col(f"_row.{c}").alias(c) for c in columns]
+    field = {c: F.col("_row")[c].alias(c) for c in extra}
+    out = [F.col(c) if c in ("doc_id", "source") else cut.alias("text") if c == "text" else field[c] for c in columns]
     return served.repartitionByRange(F.col("_s.at"), F.col("doc_id")).sortWithinPartitions("_s.at", "doc_id").select(*out)
 
 
 def oracle_sql(weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> str:
+    """The stream as one window over all services."""
     case = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
-    served = " + ".join(f"greatest(0, least(size, round(target)::BIGINT - ({e} * source_size + before)))" for e in range(max_epochs))
     return f"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-  md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+WITH sized AS (SELECT row_number() OVER () AS rid, doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+  md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS r FROM s),
 v AS (SELECT *, (CASE r % {len(weights)} {case} END)::BIGINT AS weight, (source_size * {max_epochs})::BIGINT AS cap FROM k),
@@ -167,7 +214,10 @@ f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0))::BIGIN
   WINDOW p AS (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 o AS (SELECT *, weight * rest > cap * weights AS is_full FROM f),
 l AS (SELECT rest, weights FROM o WHERE NOT is_full ORDER BY cap / weight, r LIMIT 1),
-t AS (SELECT o.source, o.source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE weight * (SELECT rest FROM l)::DOUBLE / (SELECT weights FROM l) END AS target FROM o),
-q AS (SELECT sized.*, source_size, target, (sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS before FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, ({served})::BIGINT AS taken FROM q"""
+t AS (SELECT o.source, o.source_size, r, CASE WHEN is_full THEN cap::DOUBLE ELSE weight * (SELECT rest FROM l)::DOUBLE / (SELECT weights FROM l) END AS target FROM o),
+q AS (SELECT rid, doc_id, size, source_size, target, r, (sum(size) OVER (PARTITION BY r ORDER BY key, doc_id, size, md5(coalesce(text, ''))
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS before FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT rid, r, size, epoch, (epoch * source_size + before + size) / target AS done FROM q, (SELECT unnest(range({max_epochs})) AS epoch) WHERE size > 0),
+g AS (SELECT rid, greatest(0, least(size, (SELECT sum(size) FROM sized) - (sum(size) OVER (ORDER BY done, r, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size))) AS words FROM e),
+w AS (SELECT rid, sum(words) AS taken FROM g GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN w ON q.rid = w.rid"""

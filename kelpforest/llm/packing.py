@@ -2,14 +2,16 @@
 
 Every task packs its own documents in blocks of about ``BLOCK`` tokens, so
 nothing is shuffled, memory is bounded by a block, and a lost task is simply
-run again. In a block, whole windows of long documents go out as they are. The
-remainders are counted by length, rounded up to ``UNIT``. Combinations of at
-most ``DEPTH`` such lengths that fill a window exactly are enumerated; least
+run again. In a block, whole windows of long documents go out as they are.
+Combinations have at most ``DEPTH`` parts, so remainders shorter than a
+``DEPTH``-th of a window are first joined to parts of about that size, each time
+with the longest that still fits. Parts are counted by length, rounded up to
+``UNIT``. All combinations that fill a window exactly are enumerated; least
 squares with non-negative repeats fit them to the histogram; repeats are
-rounded down, and each combination takes documents of its lengths. What is
-left is packed greedily: it is cut to fill the slack of the combinations, then
-streams into windows of its own. The end of a task's stream is cut at powers
-of two, which need no padding.
+rounded down, and each combination takes parts of its lengths. What is left is
+packed greedily: it is cut to fill the slack of the combinations, then streams
+into windows of its own. The end of a task's stream is cut at powers of two,
+which need no padding.
 
 Null and empty texts have the end id only. Repeated rows are packed each on
 their own. Empty tables give an empty result, extra columns are ignored. A
@@ -18,6 +20,7 @@ token lies in one piece only, and pieces of a document have no overlap.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -148,12 +151,37 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
+def bundles(lengths: np.ndarray, most: int) -> list[list[int]]:
+    """Indices into ``lengths``, those of up to ``most`` joined: each bundle takes the longest that fits until none does."""
+    out = [[int(i)] for i in np.flatnonzero(lengths > most)]
+    order = np.argsort(-lengths, kind="stable")
+    queues: dict[int, list[int]] = {}
+    for i in order[lengths[order] <= most].tolist():
+        queues.setdefault(int(lengths[i]), []).append(i)
+    have = sorted(queues)
+    while have:
+        room, bundle = most, []
+        while room and (at := bisect_right(have, room)):
+            length = have[at - 1]
+            # As many of this length as fit.
+            queue, n = queues[length], room // length
+            bundle += queue[-n:]
+            room -= length * len(queue[-n:])
+            del queue[-n:]
+            if not queue:
+                del have[at - 1]
+        out.append(bundle)
+    return out
+
+
 def combine(lengths: np.ndarray, window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> list[list[int]]:
     """Sets of indices into ``lengths`` that each fit a window, by rounded least-squares repeats.
 
     Sets are given back from the end until what is left covers their slack.
     """
-    size = -(-lengths // unit)
+    parts = bundles(lengths, window // depth)
+    totals = np.array([int(lengths[p].sum()) for p in parts])
+    size = -(-totals // unit)
     bins = window // unit
     queues = [np.flatnonzero(size == q).tolist()[::-1] for q in range(1, bins + 1)]
     have = np.array([len(q) for q in queues])
@@ -167,12 +195,12 @@ def combine(lengths: np.ndarray, window: int = WINDOW, unit: int = UNIT, depth:
         have -= times * need
         for _ in range(times):
             out.append([queues[q].pop() for q in used for _ in range(need[q])])
-    left = sum(int(lengths[i]) for q in queues for i in q)
-    slack = sum(window - int(lengths[s].sum()) for s in out)
+    left = sum(int(totals[i]) for q in queues for i in q)
+    slack = sum(window - int(totals[s].sum()) for s in out)
     while out and left < slack:
-        back = int(lengths[out.pop()].sum())
+        back = int(totals[out.pop()].sum())
         left, slack = left + back, slack - (window - back)
-    return out
+    return [[i for p in s for i in parts[p]] for s in out]
 
 
 class Packer:

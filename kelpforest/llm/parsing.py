@@ -26,9 +26,11 @@ bytes of text) or per suffix of a phrase that is at the edge of a repetition;
 no group is gathered except the places of one document. A hot phrase is summed
 before it is shuffled, and joins by gram are such that Spark can split them.
 
-Null and empty texts have no bytes and lose none. Repeated rows are documents
-like any other, so each repeats the other. Texts shorter than ``LENGTH`` stay
-whole. Extra columns are kept by :func:`cut_repeats`.
+Null and empty texts have no bytes and lose none; documents with a null id are
+told apart by their texts. Repeated rows are documents like any other, so each
+repeats the other. Texts shorter than ``LENGTH`` stay whole, and long ones are
+hashed in overlapping pieces. Empty tables give an empty result. Extra columns
+are kept by :func:`cut_repeats`, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpforest.llm.common import forget, stored
+from kelpforest.llm.common import all_of, forget, stored, unused
 
 LENGTH = 200
 GRAM = 64
@@ -324,7 +326,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, few: int = FEW) -> Dat
     twice = suffixes.groupBy("gram", "name").agg(F.count("*").alias("n")).where("n > 1").select("gram", "name")
     large = suffixes.where("NOT often").join(twice, ["gram", "name"]).select("doc_id", "mark", F.col("place").alias("a"), (F.col("place") + length).alias("z"))
     spans = often.unionByName(small).unionByName(large)
-    out = stored(spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
+    # Rows that repeat one id and text have the same spans, which are kept once.
+    out = stored(spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "z")).alias("spans")), "spans")
     for x in (again, words, edges):
         forget(x)
     return out
@@ -349,10 +352,12 @@ def _ranges(column: pa.Array, row: int) -> np.ndarray:
     return merged(np.stack([inner.field("a").to_numpy(zero_copy_only=False), inner.field("z").to_numpy(zero_copy_only=False)], axis=1).astype(np.int64))
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    spans = repeated_spans(docs, length).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_m"), "spans")
-    left = _marked(docs)
-    return left.join(spans, left["doc_id"].cast("long").eqNullSafe(spans["_doc"]) & (left["_mark"] == spans["_m"]), "left")
+def _with_spans(docs: DataFrame, length: int, prefix: str = "_") -> DataFrame:
+    """``docs`` with a last column of spans, named ``prefix`` and ``spans``; no column may begin with ``prefix``."""
+    doc, mark = f"{prefix}doc", f"{prefix}m"
+    spans = repeated_spans(docs, length).select(F.col("doc_id").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(f"{prefix}spans"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(mark))
+    return docs.join(spans, on, "left").select(*all_of(docs), f"{prefix}spans")
 
 
 def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +383,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     return (
         _with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), length)
-        .select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+        .select("doc_id", F.col("text").cast("binary").alias("text"), "_spans")
         .mapInArrow(_digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 
@@ -403,12 +408,15 @@ def kept_text(text: str | None, cuts: np.ndarray) -> str | None:
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; other columns as they came."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("text")
             texts = [kept_text(x.as_py(), _ranges(batch.column(batch.num_columns - 1), i)) for i, x in enumerate(batch.column(at))]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.record_batch(columns, names=batch.schema.names[:-1])
 
-    return _with_spans(docs, length).select(*docs.columns, "spans").mapInArrow(run, docs.schema)
+    # Plain names on the way, as others need not be fit for it.
+    with_spans = _with_spans(docs, length, unused(docs.columns))
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    return with_spans.toDF(*plain, "spans").mapInArrow(run, docs.toDF(*plain).schema).toDF(*docs.columns)

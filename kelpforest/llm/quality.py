@@ -4,9 +4,11 @@ Every rule compares two whole numbers, ``1000 * measure`` against
 ``limit * per``, so that no rounding enters and any SQL engine gives the same
 verdict. Nothing is shuffled: the operator is a projection over the scan.
 
-Null and empty texts have no words and fail the base rule. Repeated rows are
-judged alike, each on its own; extra columns are left alone by
-:func:`filter_quality` and dropped by :func:`judge`.
+Null and empty texts have no words and fail the base rule; null ids don't
+matter. Repeated rows are judged alike, each on its own. Texts of any length
+are read whole, in one row's arrays. An empty table gives an empty result.
+Extra columns are left alone by :func:`filter_quality`, whatever their names,
+and dropped by :func:`judge`.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpforest.llm.common import UPPER, WORD
+from kelpforest.llm.common import UPPER, WORD, all_of, unused
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -66,68 +68,68 @@ def _pairs(hashes: str, step: int) -> Column:
     return F.zip_with(hashes, F.slice(hashes, step + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_m`` of whole-text measures."""
+def measures(docs: DataFrame, text: str = "text", prefix: str = "_") -> DataFrame:
+    """``docs`` with a struct of whole-text measures, named ``prefix`` and ``m``; no column may begin with ``prefix``."""
+    w, h, s, p, lines = (f"{prefix}{x}" for x in "whspl")
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
     # Windows are told apart by a 64-bit hash, doubled from 1 to 8 words; texts without an equal pair skip the sort.
-    out = docs.withColumn("_w", words).withColumn("_h", F.when(F.size("_w") >= WINDOW, F.transform("_w", lambda x: F.xxhash64(x))))
+    out = docs.withColumn(w, words).withColumn(h, F.when(F.size(w) >= WINDOW, F.transform(w, lambda x: F.xxhash64(x))))
     for step in (1, 2, 4):
-        out = out.withColumn("_h", _pairs("_h", step))
-    out = out.withColumn("_h", F.slice("_h", 1, F.greatest(F.size("_w") - (WINDOW - 1), F.lit(0))))
+        out = out.withColumn(h, _pairs(h, step))
+    out = out.withColumn(h, F.slice(h, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0))))
     order = F.when(
-        F.size(F.array_distinct("_h")) < F.size("_h"),
-        F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        F.size(F.array_distinct(h)) < F.size(h),
+        F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
     )
-    out = out.withColumn("_s", order)
-    twice = F.filter("_s", lambda x, j: F.coalesce(F.get("_s", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_s", j + 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn("_p", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    out = out.withColumn(s, order)
+    twice = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
+    out = out.withColumn(p, F.array_sort(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(
-        F.zip_with("_p", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))),
+        F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))),
         F.lit(0),
         lambda total, x: total + x,
     )
-    out = out.withColumn("_l", lines)
+    out = out.withColumn(lines, F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD)))
     return out.withColumn(
-        "_m",
+        f"{prefix}m",
         F.struct(
-            F.size("_w").cast("long").alias("n_words"),
-            F.aggregate("_w", F.lit(0), lambda total, x: total + F.length(x)).cast("long").alias("word_chars"),
+            F.size(w).cast("long").alias("n_words"),
+            F.aggregate(w, F.lit(0), lambda total, x: total + F.length(x)).cast("long").alias("word_chars"),
             _count(body, SYMBOLS).alias("n_symbols"),
-            (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
             (F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
             _count(body, "A-Z").alias("n_capitals"),
-            F.size(F.filter("_w", lambda w: w.isin(*_stop_forms()))).cast("long").alias("n_stop_words"),
-            F.size("_l").cast("long").alias("n_lines"),
+            F.size(F.filter(w, lambda x: x.isin(*_stop_forms()))).cast("long").alias("n_stop_words"),
+            F.size(lines).cast("long").alias("n_lines"),
         ),
-    ).drop("_w", "_h", "_s", "_p", "_l")
+    ).drop(w, h, s, p, lines)
 
 
 def _stop_forms() -> list[str]:
     return sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
 
 
-def _passes(rule: Rule) -> Column:
-    measure, per = 1000 * F.col(f"_m.{rule.measure}"), F.col(f"_m.{rule.per}")
+def _passes(rule: Rule, prefix: str = "_") -> Column:
+    measure, per = 1000 * F.col(f"{prefix}m.{rule.measure}"), F.col(f"{prefix}m.{rule.per}")
     good = F.lit(True)
     if rule.low is not None:
         good &= measure >= rule.low * per
     if rule.high is not None:
         good &= measure <= rule.high * per
-    return good | (F.col("_m.n_words") < rule.from_words)
+    return good | (F.col(f"{prefix}m.n_words") < rule.from_words)
 
 
-def base_failed() -> Column:
-    n = F.col("_m.n_words")
-    return (n < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > MAX_REPEATED * n)
+def base_failed(prefix: str = "_") -> Column:
+    n = F.col(f"{prefix}m.n_words")
+    return (n < MIN_WORDS) | (100 * F.col(f"{prefix}m.n_repeat_words") > MAX_REPEATED * n)
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    kept = ~base_failed()
+def verdict(rules: tuple[Rule, ...] = RULES, prefix: str = "_") -> Column:
+    kept = ~base_failed(prefix)
     for rule in rules:
-        kept &= _passes(rule)
+        kept &= _passes(rule, prefix)
     return kept
 
 
@@ -146,10 +148,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass; columns as they came."""
+    """The rows of ``docs`` that pass; columns as they came, whatever their names."""
+    prefix = unused(docs.columns)
     # The row number keeps the optimizer from pushing the filter, and with it copies of all measures, down to the scan.
-    measured = measures(docs).withColumn("_n", F.monotonically_increasing_id())
-    return measured.where(verdict(rules) & (F.col("_n") >= 0)).select(*docs.columns)
+    measured = measures(docs, prefix=prefix).withColumn(f"{prefix}n", F.monotonically_increasing_id())
+    return measured.where(verdict(rules, prefix) & (F.col(f"{prefix}n") >= 0)).select(*all_of(docs))
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

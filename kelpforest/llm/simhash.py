@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpforest.llm.common import forget, stored
+from kelpforest.llm.common import all_of, forget, stored, unused
 from kelpforest.llm.components import components
 
 WIDTH = 4
@@ -354,10 +354,11 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pool: 512-bit signatures settle what is clearly alike or different; for pairs in between that aren't connected otherwise,
     the sets themselves are compared. Texts without words are one group.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    texts = rows.select(F.col("_row").alias("row"), F.col("text").cast("string"))
+    own = unused(docs.columns) + "row"
+    rows = stored(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(own).alias("row"), F.col("text").cast("string"))
     prints = stored(texts.mapInArrow(_signatures, "row long, signature binary"), "signatures")
-    named = prints.join(rows.select(F.col("_row").alias("row"), "doc_id"), "row")
+    named = prints.join(rows.select(F.col(own).alias("row"), "doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     classes = stored(named.groupBy("signature").agg(first), "classes")
     nodes = classes.select(F.col("first.row").alias("node"), "signature")
@@ -382,8 +383,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = open_.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
     found = components(sure.unionByName(met))
     best = classes.select(F.col("first.row").alias("node"), "first").join(found, "node", "left")
-    kept = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("f")).select(F.col("f.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("f")).select(F.col("f.row").alias(own))
+    return rows.join(kept, own, "left_semi").select(*all_of(docs))
 
 
 def hexed(fp):
