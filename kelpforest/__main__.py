@@ -1,8 +1,9 @@
-"""Command line: ``python -m kelpforest sync|index|search|status|explain|chunks``."""
+"""Command line: ``python -m kelpforest sync|index|search|status|explain|chunks|briefing|backup|restore|recover|compact``."""
 
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from kelpforest.functions import text as T
 from kelpforest.operators import chunking, classify
 from kelpforest.plans import index, registry
-from kelpforest.plans.search import Searcher
-from kelpforest.sources.snapshots import Snapshots
+from kelpforest.plans.tools import Tools
+from kelpforest.sources.snapshots import export_notes
 
 
-def main(argv: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="kelpforest")
     parser.add_argument("--home", default=".kelpforest", help="folder of the registry and the tables")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -23,55 +24,92 @@ def main(argv: list[str] | None = None) -> int:
         own.add_argument("--project", action="append", help="all registered ones, if none is given")
         own.add_argument("--changed", action="store_true", default=name == "sync")
         own.add_argument("--reset", action="store_true")
+        own.add_argument("--limit", type=int, help="look at the first files only, and delete nothing")
     own = commands.add_parser("search")
     own.add_argument("query")
+    own.add_argument("--in", dest="where", choices=("code", "docs", "memory"), default="code")
     own.add_argument("--project")
     own.add_argument("--limit", type=int, default=6)
     own.add_argument("--expand", action="store_true")
-    commands.add_parser("status")
+    for name in ("status", "recover", "compact"):
+        commands.add_parser(name)
     for name in ("explain", "chunks"):
         own = commands.add_parser(name)
         own.add_argument("path")
         own.add_argument("-v", action="store_true")
-    args = parser.parse_args(argv)
+    commands.add_parser("briefing").add_argument("project")
+    for name in ("backup", "restore"):
+        own = commands.add_parser(name)
+        own.add_argument("folder")
+        own.add_argument("--name")
+        own.add_argument("--dry-run", action="store_true")
+    return parser
+
+
+def _index(tools: Tools, args) -> int:
+    with registry.writer_lock(f"{tools.local}/index.lock") as lock:
+        if not lock:
+            print("another process is indexing")
+            return 1
+        for p in tools.registry.projects():
+            if args.project and p["name"] not in args.project:
+                continue
+            if args.reset:
+                tools.store.commit_all({t: rows.where(F.col("project") != p["name"]) for t in ("chunks", "postings") if (rows := tools.store.read(t)) is not None}, {"postings": ["bucket"]})
+            index.index_project(
+                tools.spark, tools.store, p["root"], p["name"], args.changed, ",".join(p["only"]), args.limit or None, tools.embedder, lock.beat
+            ).show(truncate=False)
+    return 0
+
+
+def _look(spark: SparkSession, args) -> None:
+    with open(args.path, "rb") as f:
+        content = f.read()
+    file = spark.createDataFrame([(args.path, len(content), content)], "path string, size bigint, content binary")
+    p = F.col("path")
+    seen = file.select(
+        "path", classify.skip_reason(p, F.col("size"), F.col("content")).alias("skip_reason"), classify.chunker(p).alias("chunker"), classify.grammar(p).alias("grammar"),
+        classify.language(p).alias("language"), classify.doc_type(p).alias("doc_type"), classify.collection(p).alias("collection"), F.col("content").cast("string").alias("text"),
+    )
+    if args.command == "explain":
+        seen.drop("text").show(truncate=False)
+    else:
+        cut = chunking.chunk(T.redacted(seen).withColumn("key", p))
+        cut.select("chunk_index", "start_line", "end_line", "symbol_type", "symbol_name", "heading_path", "content" if args.v else T.preview(F.col("content"), 60).alias("content")).show(1000, truncate=False)
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    known, store = registry.Registry(f"{args.home}/projects.json"), Snapshots(spark, f"{args.home}/tables")
+    os.makedirs(args.home, exist_ok=True)
+    tools = Tools(spark, f"file://{os.path.abspath(args.home)}")
     if args.command in ("sync", "index"):
-        with registry.writer_lock(f"{args.home}/lock") as mine:
-            if not mine:
-                print("another process is indexing")
-                return 1
-            for p in known.projects():
-                if args.project and p["name"] not in args.project:
-                    continue
-                old = store.read("chunks")
-                if args.reset and old is not None:
-                    store.commit("chunks", old.where(F.col("project") != p["name"]))
-                index.index_project(spark, store, p["root"], p["name"], only_changed=args.changed, only=",".join(p["only"])).show()
-    elif args.command == "search":
-        chunks = store.read("chunks")
-        if chunks is None:
-            print("nothing is indexed yet")
+        return _index(tools, args)
+    if args.command == "search":
+        try:
+            if args.where == "memory":
+                found = tools.search_memory(args.query, args.project, limit=args.limit)
+            else:
+                found = (tools.search_code if args.where == "code" else tools.search_docs)(args.query, args.project, limit=args.limit, expand=args.expand)
+        except ValueError as e:
+            print(e)
             return 1
-        registry.check_versions(chunks, index.SCHEMA_VERSION)
-        Searcher(chunks, T.postings(chunks, "id", "content"), projects=known.names()).search(args.query, args.project, args.limit, expand=args.expand).show(truncate=100)
+        found.show(truncate=100)
     elif args.command == "status":
-        chunks = store.read("chunks")
-        (known.frame(spark) if chunks is None else registry.status(known.frame(spark), chunks)).show(truncate=False)
+        tools.status().show(truncate=False)
+    elif args.command == "recover":
+        print("dropped, to be indexed again:", tools.store.recover())
+    elif args.command == "compact":
+        tools.notes.compact()
+        tools.store.expire()
+    elif args.command == "briefing":
+        print(tools.briefing(args.project))
+    elif args.command == "backup":
+        print(export_notes(tools.notes.log().drop("dense"), args.folder))
+    elif args.command == "restore":
+        print(tools.notes.import_backup(args.folder, args.name, args.dry_run))
     else:
-        with open(args.path, "rb") as f:
-            content = f.read()
-        file = spark.createDataFrame([(args.path, len(content), content)], "path string, size bigint, content binary")
-        p = F.col("path")
-        seen = file.select(
-            "path", classify.skip_reason(p, F.col("size"), F.col("content")).alias("skip_reason"), classify.chunker(p).alias("chunker"), classify.grammar(p).alias("grammar"),
-            classify.language(p).alias("language"), classify.doc_type(p).alias("doc_type"), classify.collection(p).alias("collection"), F.col("content").cast("string").alias("text"),
-        )
-        if args.command == "explain":
-            seen.drop("text").show(truncate=False)
-        else:
-            cut = chunking.chunk(T.redacted(seen).withColumn("key", p))
-            cut.select("chunk_index", "start_line", "end_line", "symbol_type", "symbol_name", "heading_path", "content" if args.v else T.preview(F.col("content"), 60).alias("content")).show(1000, truncate=False)
+        _look(spark, args)
     return 0
 
 

@@ -24,6 +24,14 @@ PREFETCH, RERANK_POOL, RRF_K = 4, 10, 60
 RECENCY_FLOOR, RECENCY_SPAN, RECENCY_DAYS = 0.85, 0.15, 90.0
 DUPLICATE_COSINE, PER_FILE = 0.85, 2
 
+RERANK_SECONDS = 12.0
+
+# --- fixed values: embedding (texts in a call, characters of a text, seconds before tries anew, queries remembered) ---
+BATCH, EMBED_CHARS, RETRY_PAUSE, QUERY_CACHE = 32, 12288, (1.5, 3.0), 256
+
+# --- fixed values: seconds until a background sync counts as running; seconds until a lock is stale ---
+SYNC_GRACE, STALE_LOCK = 20.0, 300
+
 # --- fixed values: notes ---
 NOTE_TYPES = ("decision", "feature", "api", "bug", "deployment", "implementation", "design", "session")
 MIN_NOTE, MAX_NOTE = 40, 8000

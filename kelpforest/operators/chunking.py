@@ -42,10 +42,10 @@ def line_windows(text: str, first: int = 1, most: int = MAX_CHUNK, least: int =
             size += len(lines[until]) + 1
             until += 1
         body = "\n".join(lines[at:until])[:most]
-        if out and len(body.strip()) < least:
+        if out and len(body) < least:
             out[-1].content += "\n" + body
             out[-1].end = first + until - 1
-        elif body.strip():
+        else:
             out.append(Piece(body, first + at, first + until - 1))
         if until >= len(lines):
             break
@@ -137,43 +137,170 @@ def _python_symbols(text: str) -> list[Symbol]:
 #: Kinds by the word that introduces them, for languages with braces.
 _BRACED = re.compile(
     r"^(?P<indent>\s*)(?:(?:export|default|public|private|protected|internal|static|abstract|final|async|pub(?:\([a-z]+\))?|unsafe|sealed|partial|override)\s+)*"
-    r"(?:(?P<kind>class|interface|enum|struct|trait|impl|mod|record|namespace|type|function|fn|func|def)\b[\s*]*(?:\([^)]*\)\s*)?(?P<name>[A-Za-z_$][\w$]*)?"
+    r"(?:(?P<kind>class|interface|enum|struct|trait|impl|mod|record|namespace|type|function|fn|func)\b[\s*]*(?:<[^>]*>\s*)?(?P<receiver>\([^)]*\)\s*)?(?P<name>[A-Za-z_$][\w$]*)?"
     r"|(?P<const>const|let)\s+(?P<cname>[A-Za-z_$][\w$]*)\s*=)"
 )
-_KINDS = {"fn": "function", "func": "function", "def": "function", "mod": "module", "namespace": "module"}
+#: A name before a parenthesis, after types and modifiers; a body must follow.
+_CALLABLE = re.compile(r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?P<head>[\w$<>\[\],.?&*:\s~]*?)(?P<name>[A-Za-z_$~#][\w$]*)\s*\(")
+_NO_NAMES = frozenset("if for while switch catch return else do try new throw function sizeof using lock when match assert super this yield await foreach elif".split())
+_KINDS = {"fn": "function", "func": "function", "mod": "module", "namespace": "module"}
 _CONTAINERS = {"class", "impl", "trait", "module"}
+#: Grammars whose callables inside containers are methods, and those with callables outside of them that no word introduces.
+_METHODS = {"typescript", "tsx", "javascript", "java", "csharp", "php", "cpp", "go"}
+_FREE = {"c", "cpp", "bash"}
+
+
+def _bare(line: str) -> str:
+    """Without strings and comments to the line's end."""
+    return re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`|//.*", "", line)
+
+
+def _block_end(lines: list[str], i: int, z: int) -> tuple[int, bool]:
+    """The last line of what starts at line ``i``, and whether braces were seen: a balanced block, or up to a semicolon."""
+    depth, seen = 0, False
+    for j in range(i, z):
+        bare = _bare(lines[j])
+        depth += bare.count("{") - bare.count("}")
+        seen |= "{" in bare
+        if (seen and depth <= 0) or (not seen and bare.rstrip().endswith(";")):
+            return j, seen
+    return z - 1, seen
+
+
+def _callable(lines: list[str], i: int, z: int, typed: bool) -> str | None:
+    """The name of what a line defines, if a parameter list and a body in braces follow it."""
+    m = _CALLABLE.match(_bare(lines[i]))
+    if not m or m["name"] in _NO_NAMES or set(m["head"].split()) & _NO_NAMES or (typed and not m["head"].strip()) or "=" in m["head"]:
+        return None
+    depth = 0
+    for j in range(i, min(z, i + 20)):
+        for c in _bare(lines[j])[m.end() - 1 if j == i else 0 :]:
+            depth += (c == "(") - (c == ")")
+            if depth <= 0 and c in "{;=":
+                return m["name"] if c == "{" else None
+    return None
+
+
+def _braced_symbols(lines: list[str], a: int, z: int, grammar: str, inside: bool = False) -> list[Symbol]:
+    """Definitions by keyword, or by name and parameters, and balanced braces; a scanner, not a grammar."""
+    out, i = [], a
+    while i < z:
+        m = _BRACED.match(lines[i])
+        name = kind = None
+        if m and (m["kind"] or m["const"]) and not (grammar in ("c", "cpp") and m["kind"] == "struct" and "{" not in "".join(lines[i : i + 2])):
+            kind = _KINDS.get(m["kind"], m["kind"]) if m["kind"] else "const"
+            name = m["name"] or m["cname"] or ""
+            if kind == "function" and ((inside and grammar in _METHODS) or (grammar == "go" and m["receiver"])):
+                kind = "method"
+        elif (inside and grammar in _METHODS) or (not inside and grammar in _FREE):
+            name = _callable(lines, i, z, typed=not inside and grammar != "bash")
+            kind = "method" if inside and grammar != "cpp" else "function"
+        if name is None:
+            i += 1
+            continue
+        end, seen = _block_end(lines, i, z)
+        inner = tuple(_braced_symbols(lines, i + 1, end, grammar, True)) if kind in _CONTAINERS and seen else ()
+        out.append(Symbol(kind, name, i + 1, end + 1, inner[0].start if inner else end + 2, inner))
+        i = end + 1
+    return out
+
 
+_RUBY = re.compile(r"^(?P<indent>\s*)(?P<kind>def|class|module)\s+(?P<name>[A-Za-z_][\w.:]*[?!=]?)")
 
-def _braced_symbols(lines: list[str], a: int, z: int) -> list[Symbol]:
-    """Definitions by keyword and balanced braces; a scanner, not a grammar."""
+
+def _ruby_symbols(lines: list[str], a: int, z: int) -> list[Symbol]:
+    """Definitions from their word to the ``end`` that stands as far in."""
     out, i = [], a
     while i < z:
-        m = _BRACED.match(lines[i])
+        m = _RUBY.match(lines[i])
         if not m:
             i += 1
             continue
-        depth, seen, end = 0, False, i
-        for j in range(i, z):
-            bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*", "", lines[j])
-            depth += bare.count("{") - bare.count("}")
-            seen |= "{" in bare
+        closing = m["indent"] + "end"
+        end = i if re.search(r"\bend\s*$", lines[i]) else next((j for j in range(i + 1, z) if lines[j].rstrip() == closing), i)
+        kind = "method" if m["kind"] == "def" else m["kind"]
+        inner = tuple(_ruby_symbols(lines, i + 1, end)) if kind != "method" else ()
+        out.append(Symbol(kind, m["name"].removeprefix("self."), i + 1, end + 1, inner[0].start if inner else end + 2, inner))
+        i = end + 1
+    return out
+
+
+_SQL = re.compile(r"^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+|unlogged\s+|materialized\s+)*(table|view|function)\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)", re.I)
+
+
+def _sql_symbols(lines: list[str]) -> list[Symbol]:
+    """Statements up to their semicolon; a body in dollar quotes belongs to its statement."""
+    out, i = [], 0
+    while i < len(lines):
+        if not lines[i].strip() or lines[i].lstrip().startswith("--"):
+            i += 1
+            continue
+        quoted, end = False, i
+        for j in range(i, len(lines)):
+            quoted ^= len(re.findall(r"\$\w*\$", lines[j])) % 2 == 1
             end = j
-            if (seen and depth <= 0) or (not seen and bare.rstrip().endswith(";")):
+            if not quoted and lines[j].split("--")[0].rstrip().endswith(";"):
                 break
-        kind = _KINDS.get(m["kind"], m["kind"]) if m["kind"] else "const"
-        inner = tuple(_braced_symbols(lines, i + 1, end)) if kind in _CONTAINERS else ()
-        out.append(Symbol(kind, m["name"] or m["cname"] or "", i + 1, end + 1, inner[0].start if inner else end + 2, inner))
+        m = _SQL.match(" ".join(lines[i : min(end + 1, i + 3)]))
+        out.append(Symbol(m[1].lower() if m else "statement", m[2].strip('"`') if m else "", i + 1, end + 1))
         i = end + 1
     return out
 
 
-def symbol_chunks(text: str, grammar: str, most: int = MAX_CHUNK, least: int = MIN_CHUNK) -> list[Piece]:
-    """A chunk per definition, containers split into header and members, leftovers grouped as ``module``; windows if nothing is found."""
+def _css_symbols(lines: list[str]) -> list[Symbol]:
+    out, i = [], 0
+    while i < len(lines):
+        head = lines[i].split("{")[0].strip()
+        if not head or head.startswith(("/*", "//", "*", "@import", "@use", "$")) or "{" not in "".join(lines[i : i + 3]):
+            i += 1
+            continue
+        end, _ = _block_end(lines, i, len(lines))
+        kind = "media" if head.startswith("@media") else "mixin" if head.startswith("@mixin") else "rule"
+        out.append(Symbol(kind, head.split("(")[0].removeprefix("@mixin").strip() if kind == "mixin" else head, i + 1, end + 1))
+        i = end + 1
+    return out
+
+
+_TAG = re.compile(r"^\s*<([A-Za-z][\w-]*)")
+
+
+def _html_symbols(lines: list[str]) -> list[Symbol]:
+    """Elements that start a line outside of any other, up to their closing tag."""
+    out, i = [], 0
+    while i < len(lines):
+        m = _TAG.match(lines[i])
+        if not m:
+            i += 1
+            continue
+        depth, end = 0, i
+        for j in range(i, len(lines)):
+            depth += len(re.findall(rf"<{m[1]}\b(?![^>]*/>)", lines[j])) - len(re.findall(rf"</{m[1]}\s*>", lines[j]))
+            if depth <= 0:
+                end = j
+                break
+        out.append(Symbol("element", m[1], i + 1, end + 1))
+        i = end + 1
+    return out
+
+
+def symbols(text: str, grammar: str) -> list[Symbol]:
+    """Definitions of a file, nested in their containers; none where it can't be read."""
     lines = text.splitlines()
     try:
-        symbols = _python_symbols(text) if grammar == "python" else _braced_symbols(lines, 0, len(lines))
+        if grammar == "python":
+            return _python_symbols(text)
+        if grammar == "ruby":
+            return _ruby_symbols(lines, 0, len(lines))
+        if grammar in ("sql", "css", "scss", "html"):
+            return {"sql": _sql_symbols, "html": _html_symbols}.get(grammar, _css_symbols)(lines)
+        return _braced_symbols(lines, 0, len(lines), grammar)
     except (SyntaxError, ValueError, RecursionError):
-        symbols = []
+        return []
+
+
+def symbol_chunks(text: str, grammar: str, most: int = MAX_CHUNK, least: int = MIN_CHUNK) -> list[Piece]:
+    """A chunk per definition, containers split into header and members, leftovers grouped as ``module``; windows if nothing is found."""
+    lines = text.splitlines()
     claimed: set[int] = set()
     out: list[Piece] = []
 
@@ -194,7 +321,7 @@ def symbol_chunks(text: str, grammar: str, most: int = MAX_CHUNK, least: int = M
                 take(s.kind, name, s.start, s.body - 1)
                 walk(s.members, name + ".")
 
-    walk(symbols, "")
+    walk(symbols(text, grammar), "")
     if not out:
         return line_windows(text, 1, most, least)
     run: list[int] = []
@@ -224,6 +351,8 @@ def symbol_chunks(text: str, grammar: str, most: int = MAX_CHUNK, least: int = M
 def chunk_text(text: str | None, chunker: str | None, grammar: str | None) -> list[Piece]:
     if not text or not text.strip():
         return []
+    if chunker not in (None, "docs", "code", "text"):
+        raise ValueError(f"no chunker is named {chunker}")
     found = heading_sections(text) if chunker == "docs" else symbol_chunks(text, grammar or "") if chunker == "code" else line_windows(text)
     return found or line_windows(text)
 
@@ -231,19 +360,37 @@ def chunk_text(text: str | None, chunker: str | None, grammar: str | None) -> li
 SCHEMA = "key string, chunk_index int, chunk_total int, start_line int, end_line int, content string, symbol_type string, symbol_name string, heading_path string"
 
 
-def _chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = []
-            for key, text, kind, grammar in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                pieces = chunk_text(text, kind, grammar)
-                rows += [(key, i, len(pieces), p.start, p.end, p.content, p.symbol_type, p.symbol_name, p.heading_path) for i, p in enumerate(pieces)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
-def chunk(files: DataFrame) -> DataFrame:
-    """Chunks of files (key, text, chunker, grammar); see ``SCHEMA``."""
-    return files.select("key", "text", "chunker", "grammar").mapInArrow(_chunked, SCHEMA)
+def _chunked(carried: tuple[str, ...], catch: bool):
+    """Chunks of a batch of files; with ``catch``, a file that can't be cut is a row with its error."""
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
+    names = [*(f.split()[0] for f in SCHEMA.split(", ")[1:]), "error"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some, rows, of = batch.slice(at, 256), [], []
+                for i, (text, kind, grammar) in enumerate(zip(*(some.column(n).to_pylist() for n in ("text", "chunker", "grammar")), strict=True)):
+                    try:
+                        pieces = chunk_text(text, kind, grammar)
+                    except Exception as e:
+                        if not catch:
+                            raise
+                        rows.append((None,) * 8 + (f"{type(e).__name__}: {e}",))
+                        of.append(i)
+                        continue
+                    rows += [(k, len(pieces), p.start, p.end, p.content, p.symbol_type, p.symbol_name, p.heading_path, None) for k, p in enumerate(pieces)]
+                    of += [i] * len(pieces)
+                where = pa.array(of, pa.int64())
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+                yield pa.record_batch([*(some.column(c).take(where) for c in carried), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*carried, *names])
+
+    return run
+
+
+def chunk(files: DataFrame, carry: tuple[str, ...] = (), catch: bool = False) -> DataFrame:
+    """Chunks of files (key, text, chunker, grammar); see ``SCHEMA``. ``carry`` names columns of files to keep; ``catch`` adds ``error``."""
+    carried = ("key", *carry)
+    kept = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in carried)
+    rest = ", ".join(SCHEMA.split(", ")[1:])
+    out = files.select(*carried, *(c for c in ("text", "chunker", "grammar") if c not in carried)).mapInArrow(_chunked(carried, catch), f"{kept}, {rest}, error string")
+    return out if catch else out.drop("error")

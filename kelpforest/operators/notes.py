@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpforest.constants import MAX_NOTE, MIN_NOTE, NOTE_TYPES, STALE_DAYS, STALE_TYPES
+from kelpforest.functions.text import preview
+from kelpforest.sources.snapshots import stored
 
 
 def reject_reason(project: Column, kind: Column, title: Column, content: Column, projects: list[str] | None = None) -> Column:
@@ -75,22 +77,23 @@ def newest_active(notes: DataFrame, by: list[str], newest: str, key: str = "id")
 
 
 def chains(links: DataFrame, rounds: int = 32) -> DataFrame:
-    """(id, head, hops): the last successor of every note; links (id, next). Hops double each round, so 2 ** rounds suffice."""
+    """(id, head, hops): the last successor of every note; links (id, next). Hops double each round, so 2 ** rounds suffice. Rounds are written."""
     state = links.select("id", F.col("next").alias("head"), F.lit(1).alias("hops"))
     for _ in range(rounds):
         on = state.select(F.col("id").alias("head"), F.col("head").alias("_next"), F.col("hops").alias("_more"))
         stepped = state.join(on, "head", "left").select(
             "id", F.coalesce("_next", "head").alias("head"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_next").isNotNull().alias("moved")
-        ).persist()
-        more = stepped.where("moved").limit(1).count()
+        )
+        stepped = stored(stepped, "chains")
         state = stepped.drop("moved")
-        if not more:
+        if stepped.where("moved").first() is None:
             break
     return state
 
 
 def briefing(notes: DataFrame, now: Column) -> DataFrame:
-    """Per project: counts, the newest session, all decisions, and the ten newest others with a stale mark."""
+    """Per project: counts, and what there is to read, in order: the newest session and all decisions in full, the ten newest others by
+    preview, with a mark on those that may be stale. Each of ``session``, ``decision``, ``other`` is array<struct<r, line>>."""
     age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("created_at")) / 86400)
     active = notes.where("status = 'active'")
     newest = F.row_number().over(W.partitionBy("project").orderBy(F.desc("created_at"), "id"))
@@ -99,11 +102,15 @@ def briefing(notes: DataFrame, now: Column) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("project", "_k").orderBy(F.desc("created_at"), "id"))
     shown = recent.withColumn("_k", kind).withColumn("_r", nth)
     shown = shown.where("(_k = 'session' AND _r = 1) OR _k = 'decision' OR (_k = 'other' AND _r <= 10)")
-    line = F.concat(
-        F.col("title"), F.when((age > STALE_DAYS) & F.col("memory_type").isin(*STALE_TYPES), F.lit(" [stale]")).otherwise(F.lit(""))
+    stale = F.when((age > STALE_DAYS) & F.col("memory_type").isin(*STALE_TYPES), F.lit(f" [over {STALE_DAYS} days old, check it]")).otherwise(F.lit(""))
+    short = F.substring(F.col("id").cast("string"), 1, 8)
+    line = (
+        F.when(F.col("_k") == "session", F.col("content"))
+        .when(F.col("_k") == "decision", F.concat(F.lit("### "), "title", F.lit("\n"), "content"))
+        .otherwise(F.concat(F.lit("- ["), "memory_type", F.lit("] "), "title", F.lit(" ("), short, F.lit(")"), stale, F.lit("\n  "), preview(F.col("content"))))
     )
     listed = shown.groupBy("project").agg(
-        *(F.sort_array(F.collect_list(F.when(F.col("_k") == k, F.struct(F.col("_r"), line.alias("line"))))).alias(k) for k in ("session", "decision", "other"))
+        *(F.sort_array(F.collect_list(F.when(F.col("_k") == k, F.struct(F.col("_r").alias("r"), line.alias("line"))))).alias(k) for k in ("session", "decision", "other"))
     )
     counts = notes.groupBy("project").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "active", 1)).alias("n_active"))
     return counts.join(listed, "project", "left")

@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpforest.functions import text as T
 from kelpforest.operators import chunking, classify, sync
-from kelpforest.sources.snapshots import Snapshots
+from kelpforest.plans.models import Embedder
+from kelpforest.sources.snapshots import Snapshots, stored
 from kelpforest.sources.tree import SourceTree, head_commit
 
 SCHEMA_VERSION = 1
-DIM = 64
-
-
-def hashed_embedding(dim: int = DIM):
-    """The offline embedder: tokens hashed to signed components, at unit length. A stand-in, for want of a model."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        for batch in batches:
-            out = np.zeros((batch.num_rows, dim))
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for word in (text or "")[:12288].lower().split():
-                    code = zlib.crc32(word.encode())
-                    out[i, code % dim] += 1 if code >> 16 & 1 else -1
-            norm = np.linalg.norm(out, axis=1, keepdims=True)
-            out = (out / np.where(norm == 0, 1, norm)).astype(np.float32)
-            yield pa.record_batch([batch.column(0), pa.array(out.tolist(), pa.list_(pa.float32()))], names=["id", "dense"])
-
-    return run
+#: Partitions of the postings, by token, so that a query reads those of its tokens only.
+BUCKETS = 64
 
 
 def files(spark: SparkSession, root: str, project: str, only: str = "", extra_dirs: tuple[str, ...] = ()) -> DataFrame:
@@ -63,27 +42,61 @@ def explain(found: DataFrame) -> DataFrame:
     return found.groupBy(F.coalesce("skip_reason", F.lit("indexed")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def chunks_of(found: DataFrame, now=None, embed=None) -> DataFrame:
-    """Chunk rows of files: redacted before they are cut, with a header that is only embedded."""
-    clean = T.redacted(found).withColumn("key", F.col("path"))
-    cut = chunking.chunk(clean).withColumnRenamed("key", "path")
-    rows = cut.join(found.drop("text", "skip_reason"), "path")
+def chunks_of(found: DataFrame, now=None, embedder: Embedder | None = None) -> DataFrame:
+    """Chunk rows of files: redacted before they are cut, with a header that is only embedded. Files that can't be cut are rows with ``error``."""
+    embedder = embedder or Embedder()
+    clean = T.redacted(found).withColumn("key", F.col("path")).drop("skip_reason", "path", "n_redacted")
+    carry = tuple(c for c in clean.columns if c not in ("key", "text"))
+    cut = chunking.chunk(clean, carry, catch=True).withColumnRenamed("key", "path")
     head = T.header(F.col("path"), F.col("heading_path"), F.col("symbol_type"), F.col("symbol_name"))
-    rows = rows.withColumns(
+    rows = cut.withColumns(
         {
-            "id": T.chunk_id(F.col("project"), F.col("path"), F.col("chunk_index")),
-            "embed_text": T.embed_text(head, F.col("content")),
+            "id": T.chunk_id(F.col("project"), F.col("path"), F.coalesce("chunk_index", F.lit(0))),
             "indexed_at": F.current_timestamp() if now is None else now,
             "schema_version": F.lit(SCHEMA_VERSION),
+            "embed_text": F.when(F.col("error").isNull(), T.embed_text(head, F.col("content"))),
         }
     ).withColumnRenamed("path", "source_path")
-    dense = rows.select("id", "embed_text").mapInArrow(embed or hashed_embedding(), "id string, dense array<float>")
-    return rows.join(dense, "id").drop("embed_text")
-
-
-def index_project(spark: SparkSession, store: Snapshots, root: str, project: str, only_changed: bool = True, only: str = "") -> DataFrame:
-    """Bring a project's chunks up to date; gives the counts of what was done."""
-    found = files(spark, root, project, only).where("skip_reason IS NULL").withColumn("git_commit", F.lit(head_commit(root)).cast("string")).persist()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "embed_text")
+    return rows.mapInArrow(embedder.column("embed_text", "dense"), f"{schema}, dense array<float>")
+
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """(bucket, project, collection, id, token, tf): the lexical side of chunks, as it is stored."""
+    posts = T.postings(chunks, "id", "content").join(chunks.select("id", "project", "collection"), "id")
+    return posts.select(token_bucket(F.col("token")).alias("bucket"), "project", "collection", "id", "token", "tf")
+
+
+def token_bucket(token: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(token, "UTF-8")), F.lit(BUCKETS)).cast("int")
+
+
+def _write(store: Snapshots, chunks: DataFrame, kept_postings: DataFrame | None, fresh: DataFrame, base: int) -> None:
+    posts = postings_of(fresh)
+    posts = posts if kept_postings is None else kept_postings.select(*posts.columns).unionByName(posts)
+    store.commit_all({"chunks": chunks, "postings": posts.repartition("bucket").sortWithinPartitions("bucket", "token")}, {"postings": ["bucket"]}, base)
+
+
+def index_project(
+    spark: SparkSession,
+    store: Snapshots,
+    root: str,
+    project: str,
+    only_changed: bool = True,
+    only: str = "",
+    limit: int | None = None,
+    embedder: Embedder | None = None,
+    beat=lambda: None,
+) -> DataFrame:
+    """Bring a project's chunks up to date; gives the counts of what was done.
+
+    A file that can't be cut keeps the chunks it had and is listed in ``errors``. With ``limit`` only the first files are looked at, and
+    nothing is deleted. ``beat`` is called between steps, for those who hold a lock.
+    """
+    base, _ = store.current()
+    found = files(spark, root, project, only).where("skip_reason IS NULL").withColumn("git_commit", F.lit(head_commit(root)).cast("string"))
+    found = stored(found if limit is None else found.orderBy("path").limit(limit), "files")
+    beat()
     old = store.read("chunks")
     disk = found.select("collection", "path", "hash")
     if old is None:
@@ -93,14 +106,26 @@ def index_project(spark: SparkSession, store: Snapshots, root: str, project: str
         changes = sync.diff(disk, sync.ledger(mine))
         if not only_changed:
             changes = changes.withColumn("action", F.when(F.col("action") == "unchanged", "index").otherwise(F.col("action")))
-    fresh = chunks_of(found.join(changes.where("action = 'index'").select("collection", "path"), ["collection", "path"], "left_semi"))
-    counts = sync.statistics(changes, disk).persist()
-    counts.count()
+        if limit is not None:
+            changes = changes.where("action != 'delete'")
+    changes = stored(changes, "changes")
+    due = found.join(changes.where("action = 'index'").select("collection", "path"), ["collection", "path"], "left_semi")
+    cut = stored(chunks_of(due, embedder=embedder), "chunks-cut")
+    beat()
+    bad = cut.where("error IS NOT NULL")
+    fresh = cut.where("error IS NULL").drop("error")
+    fallback = F.countDistinct(F.when((F.col("chunker") == "code") & F.col("symbol_type").isNull(), F.col("source_path")))
+    sums = fresh.agg(F.count("*").alias("n_chunks"), F.count(F.when(F.col("collection") == "docs", 1)).alias("n_docs"), fallback.alias("fallback"))
+    errors = bad.agg(F.sort_array(F.collect_list(F.concat_ws(": ", "source_path", "error"))).alias("errors"))
+    counts = stored(sync.statistics(changes, disk).crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(errors)), "counts")
     if old is None:
-        store.commit("chunks", fresh)
+        _write(store, fresh, None, fresh, base)
     else:
         gone = changes.where("action != 'unchanged'").select("collection", F.col("path").alias("source_path"), F.lit(project).alias("project"))
+        gone = gone.join(bad.select("collection", "source_path"), ["collection", "source_path"], "left_anti")
         kept = old.join(gone, ["project", "collection", "source_path"], "left_anti")
-        store.commit("chunks", kept.unionByName(fresh))
-    found.unpersist()
+        posts = store.read("postings")
+        lost = old.join(gone, ["project", "collection", "source_path"], "left_semi").select("id")
+        posts = postings_of(old) if posts is None else posts
+        _write(store, kept.unionByName(fresh), posts.join(lost, "id", "left_anti"), fresh, base)
     return counts

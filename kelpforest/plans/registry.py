@@ -6,18 +6,20 @@ import contextlib
 import json
 import os
 import re
+import threading
 import time
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpforest.constants import STALE_LOCK
 from kelpforest.operators import classify
-from kelpforest.sources.snapshots import Snapshots
+from kelpforest.sources.snapshots import DERIVED, Snapshots
 
-# --- fixed values: names of projects; seconds until a lock is stale ---
+# --- fixed values: names of projects ---
 SLUG = re.compile(r"[a-z0-9][a-z0-9-]{0,49}")
-STALE_LOCK = 300
 
 
 class Registry:
@@ -59,9 +61,10 @@ class Registry:
     def unregister(self, name: str, store: Snapshots | None = None) -> None:
         """Drop a project and its derived rows; notes stay."""
         self._write([p for p in self.projects() if p["name"] != name])
-        chunks = store.read("chunks") if store else None
-        if chunks is not None:
-            store.commit("chunks", chunks.where(F.col("project") != name))
+        tables = {t: store.read(t) for t in DERIVED} if store else {}
+        left = {t: rows.where(F.col("project") != name) for t, rows in tables.items() if rows is not None}
+        if left:
+            store.commit_all(left, {"postings": ["bucket"]})
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(p["name"], p["root"], i) for i, p in enumerate(self.projects())]
@@ -86,19 +89,62 @@ def check_versions(chunks: DataFrame, version: int) -> None:
         raise ValueError(f"rows of schema version {other[0]} are left; index again")
 
 
+class Lock:
+    """A lock file that is touched while its holder works; only its own holder removes it."""
+
+    def __init__(self, path: str, stale: float):
+        self.path, self.stale, self.token = path, stale, uuid.uuid4().hex
+        self._over = threading.Event()
+
+    def _mine(self) -> bool:
+        try:
+            with open(self.path) as f:
+                return f.read() == self.token
+        except FileNotFoundError:
+            return False
+
+    def take(self) -> bool:
+        with contextlib.suppress(FileNotFoundError):
+            if time.time() - os.path.getmtime(self.path) > self.stale:
+                # Of several that find it stale, one gets to move it away.
+                aside = f"{self.path}.{self.token}"
+                os.rename(self.path, aside)
+                os.unlink(aside)
+        try:
+            with open(self.path, "x") as f:
+                f.write(self.token)
+        except FileExistsError:
+            return False
+        threading.Thread(target=self._keep, daemon=True).start()
+        return True
+
+    def _keep(self) -> None:
+        while not self._over.wait(self.stale / 4):
+            with contextlib.suppress(RuntimeError):
+                self.beat()
+
+    def beat(self) -> None:
+        """Touch the lock; an error if another has taken it over."""
+        if not self._mine():
+            self._over.set()
+            raise RuntimeError("another writer has taken the lock over")
+        os.utime(self.path)
+
+    def drop(self) -> None:
+        self._over.set()
+        if self._mine():
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(self.path)
+
+
 @contextlib.contextmanager
-def writer_lock(path: str, stale: float = STALE_LOCK) -> Iterator[bool]:
-    """True for the one writer; a lock that hasn't been touched for ``stale`` seconds is taken over."""
-    with contextlib.suppress(FileNotFoundError):
-        if time.time() - os.path.getmtime(path) > stale:
-            os.unlink(path)
-    try:
-        os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-    except FileExistsError:
-        yield False
+def writer_lock(path: str, stale: float = STALE_LOCK) -> Iterator[Lock | None]:
+    """The lock for the one writer, None for others; one that hasn't been touched for ``stale`` seconds is taken over."""
+    lock = Lock(path, stale)
+    if not lock.take():
+        yield None
         return
     try:
-        yield True
+        yield lock
     finally:
-        with contextlib.suppress(FileNotFoundError):
-            os.unlink(path)
+        lock.drop()

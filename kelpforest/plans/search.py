@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,9 @@ from kelpforest.constants import PER_FILE, PREFETCH, RERANK_POOL
 from kelpforest.functions import text as T
 from kelpforest.operators import ranking as R
 from kelpforest.operators import vectors as V
+from kelpforest.plans.index import BUCKETS
+from kelpforest.plans.models import Judge
+from kelpforest.sources.snapshots import stored
 
 
 def matches(filters: dict) -> Column:
@@ -37,25 +41,65 @@ def yes_share(yes: Column, no: Column) -> Column:
     return F.when(yes.isNull() & no.isNull(), F.lit(None).cast("double")).otherwise(y / (y + n))
 
 
-class Searcher:
-    """Queries over ``chunks`` (id, project, source_path, chunk_index, start_line, end_line, content, dense, ...) and its ``postings``.
+#: What a result tells beside its text, where the table has it.
+EXTRAS = ("title", "language", "symbol_type", "doc_type", "memory_type", "tags", "status", "created_at", "updated_at", "git_commit", "chunk_index", "chunk_total")
+_NEEDED = {"start_line": "int", "end_line": "int", "chunk_index": "int", "symbol_name": "string", "heading_path": "string", "dense": "array<float>"}
+
 
-    ``embed`` turns a query into a vector; without it, or where it fails, only
-    the lexical branch answers. ``projects`` lists the known tenants.
+class Searcher:
+    """Queries over one table (id, project, source_path, content, ...) and its ``postings`` (id, token, tf).
+
+    Columns of chunks or notes that the table lacks count as null. ``embed``
+    turns a query into a vector; without it, or where it fails, only the lexical
+    branch answers, and a query without tokens only has the dense one.
+    ``judge`` scores texts for a query; hits keep
+    the order of the fusion if it fails, and are scored by shared tokens if there is none.
+    ``projects`` lists the known tenants; ``recent`` prefers newer rows.
     """
 
-    def __init__(self, chunks: DataFrame, postings: DataFrame, embed: Callable[[str], list[float]] | None = None, projects: list[str] | None = None):
-        self.chunks, self.postings, self.embed, self.projects = chunks, postings, embed, projects
-        self._cache: dict[str, list[float]] = {}
+    def __init__(
+        self,
+        table: DataFrame,
+        postings: DataFrame,
+        embed: Callable[[str], list[float]] | None = None,
+        projects: list[str] | None = None,
+        judge: Judge | None = None,
+        recent: bool = False,
+        bucketed: bool = False,
+    ):
+        missing = {c: F.lit(None).cast(t) for c, t in _NEEDED.items() if c not in table.columns}
+        self.table, self.postings, self.embed, self.projects = table.withColumns(missing), postings, embed, projects
+        self.judge, self.recent, self.bucketed = judge, recent, bucketed
 
     def _vector(self, query: str) -> list[float] | None:
-        if self.embed is None:
+        try:
+            return self.embed(query) if self.embed else None
+        except Exception:
+            return None
+
+    def _lexical(self, query: str, inside: DataFrame, limit: int) -> DataFrame | None:
+        spark = self.table.sparkSession
+        asked = T.postings(spark.createDataFrame([(0, query)], "query_id int, text string"), "query_id", "text")
+        tokens = [r["token"] for r in asked.select("token").collect()]
+        if not tokens:
             return None
-        if query not in self._cache:
-            if len(self._cache) >= 256:
-                self._cache.pop(next(iter(self._cache)))
-            self._cache[query] = self.embed(query)
-        return self._cache[query]
+        posts = self.postings.where(F.col("token").isin(*tokens))
+        if self.bucketed:
+            posts = posts.where(F.col("bucket").isin(*{token_bucket_of(t) for t in tokens}))
+        idf = R.idf_table(posts, self.table.agg(F.count("*").alias("n")))
+        scores = R.lexical_scores(asked, posts.join(inside.select("id"), "id", "left_semi"), idf)
+        return R.ranked(scores, limit)
+
+    def _reranked(self, query: str, pool: DataFrame, first: int) -> DataFrame:
+        """``position`` and ``rerank``; the pool has 25 rows at most."""
+        if self.judge is None:
+            return R.rerank(pool, coverage(query, F.col("content")), first)
+        rows = pool.where(F.col("rank") <= first).select("id", "content").orderBy("rank").collect()
+        scores = self.judge.scores(query, [r["content"] for r in rows])
+        if scores is None:
+            return pool.withColumns({"rerank": F.lit(None).cast("double"), "position": F.col("rank")})
+        found = pool.sparkSession.createDataFrame([(r["id"], s if s is None else float(s)) for r, s in zip(rows, scores, strict=True)], "id string, _judged double")
+        return R.rerank(pool.join(F.broadcast(found), "id", "left"), F.col("_judged"), first).drop("_judged")
 
     def search(
         self,
@@ -70,41 +114,47 @@ class Searcher:
     ) -> DataFrame:
         if project is not None and self.projects is not None and project not in self.projects:
             raise ValueError(f"there is no project {project!r}")
-        spark, limit = self.chunks.sparkSession, min(max(limit, 1), 25)
-        inside = self.chunks.where(matches({"project": project} | (filters or {})))
+        limit = min(max(limit, 1), 25)
+        inside = self.table.where(matches({"project": project} | (filters or {})))
         branches = []
         vector = self._vector(query)
         if vector is not None:
-            near = inside.select(F.lit(0).alias("query_id"), "id", F.round(V.cosine(F.col("dense"), F.array(*map(F.lit, vector))), 9).alias("score"))
+            dense = V.checked(F.col("dense"), len(vector))
+            near = inside.where("dense IS NOT NULL").select(F.lit(0).alias("query_id"), "id", F.round(V.cosine(dense, F.array(*map(F.lit, vector))), 9).alias("score"))
             branches.append(R.ranked(near, limit * PREFETCH))
-        asked = T.postings(spark.createDataFrame([(0, query)], "query_id int, text string"), "query_id", "text")
-        n_rows = self.chunks.agg(F.count("*").alias("n"))
-        idf = R.idf_table(self.postings.join(F.broadcast(asked.select("token")), "token", "left_semi"), n_rows)
-        scores = R.lexical_scores(asked, self.postings.join(inside.select("id"), "id", "left_semi"), idf)
-        branches.append(R.ranked(scores, limit * PREFETCH))
-        pool = R.reciprocal_rank_fusion(branches, max(limit, RERANK_POOL if rerank else limit)).join(self.chunks, "id")
+        if (lexical := self._lexical(query, inside, limit * PREFETCH)) is not None:
+            branches.append(lexical)
+        candidates = self.judge.candidates if self.judge else RERANK_POOL
+        if branches:
+            fused = R.reciprocal_rank_fusion(branches, max(limit, candidates if rerank else limit))
+            pool = stored(fused.join(self.table, "id"), "pool")
+        else:
+            pool = self.table.limit(0).withColumns({"query_id": F.lit(0), "score": F.lit(0.0), "rank": F.lit(0)})
         if rerank:
-            pool = R.rerank(pool, coverage(query, F.col("content")), max(RERANK_POOL, limit))
+            pool = self._reranked(query, pool, max(candidates, limit))
         else:
             pool = pool.withColumns({"rerank": F.lit(None).cast("double"), "position": F.col("rank")})
-        if now is not None:
+        if self.recent:
             base = F.coalesce("rerank", 1.0 / F.col("position"))
-            stamp = F.coalesce("updated_at", "created_at") if "updated_at" in pool.columns else F.col("created_at")
-            pool = R.ranked_by(pool, R.recency(base, stamp, now))
+            stamps = [F.col(c) for c in ("updated_at", "created_at") if c in pool.columns] or [F.lit(None).cast("timestamp")]
+            pool = R.ranked_by(pool, R.recency(base, F.coalesce(*stamps), F.current_timestamp() if now is None else now))
         hits = R.diversify(pool, ["project", "source_path"], limit, max_per_file)
         if expand:
-            file, keys = ["project", "source_path"], [*self._file(), "chunk_index"]
-            wide = R.neighbours(self.chunks.join(hits.select(*file).distinct(), file, "left_semi"), F.lit(True), file, "chunk_index", "content", "start_line", "end_line")
+            file, keys = ["project", "source_path"], ["project", "source_path", "chunk_index"]
+            wide = R.neighbours(self.table.join(hits.select(*file).distinct(), file, "left_semi"), F.lit(True), file, "chunk_index", "content", "start_line", "end_line")
             hits = hits.join(wide, keys).withColumns({"content": F.col("expanded"), "start_line": F.col("from_line"), "end_line": F.col("to_line")})
         return hits.select(
             F.col("final").alias("rank"),
             "id",
-            F.round(F.coalesce("rerank", "score"), 4).alias("score"),
+            F.round("score", 4).alias("score"),
+            F.round("rerank", 4).alias("rerank"),
             "project",
             R.location(F.col("source_path"), F.col("start_line"), F.col("end_line")).alias("location"),
             "content",
+            F.coalesce("symbol_name", "heading_path").alias("symbol"),
+            *(c for c in EXTRAS if c in hits.columns),
         ).orderBy("rank")
 
-    @staticmethod
-    def _file() -> list[str]:
-        return ["project", "source_path"]
+
+def token_bucket_of(token: str) -> int:
+    return zlib.crc32(token.encode()) % BUCKETS

@@ -1,17 +1,24 @@
-"""Versioned tables: immutable snapshots and a small manifest that names the current one; JSON backups of notes."""
+"""Versioned tables: immutable snapshots under paths of their own, and manifests that name them; JSON backups of notes."""
 
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kelpforest.sources.folders import new_path
 
 KEEP = 30
-DERIVED = ("code", "docs")
+#: Tables that can be built again from the sources, and the one that can't.
+DERIVED, NOTES = ("chunks", "postings"), "memory"
+
+
+class Conflict(RuntimeError):
+    """Another writer has published a version meanwhile."""
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
@@ -22,49 +29,156 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
 
 
 class Snapshots:
-    """Tables under ``root`` on any file system that Spark reaches. A reader keeps the version that it has resolved."""
+    """Tables under ``root`` on any file system that Spark reaches.
+
+    A commit writes its tables to new paths and then publishes a manifest, a
+    numbered file that is created, never replaced: of two writers one fails with
+    :class:`Conflict` and leaves nothing behind. A reader keeps the version that
+    it has resolved.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def versions(self, table: str) -> list[int]:
-        """Versions whose write has been committed."""
-        folder = self._path(f"{self.root}/{table}")
+    def _manifest(self, number: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/_manifests/{number}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def numbers(self) -> list[int]:
+        folder = self._path(f"{self.root}/_manifests")
         if not self._fs.exists(folder):
             return []
-        names = [s.getPath() for s in self._fs.listStatus(folder)]
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and self._fs.exists(self._path(p, "_SUCCESS")))
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def current(self) -> tuple[int, dict]:
+        """The newest version's number and its tables: {name: {"path", "dim", "schema"}}."""
+        numbers = self.numbers()
+        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {})
+
+    def _publish(self, number: int, tables: dict) -> None:
+        path = self._path(f"{self.root}/_manifests/{number}.json")
+        try:
+            stream = self._fs.create(path, False)
+        except Exception as e:
+            raise Conflict(f"version {number} is there already") from e
+        stream.write(json.dumps(tables).encode())
+        stream.close()
 
     def read(self, table: str) -> DataFrame | None:
-        versions = self.versions(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/v={versions[-1]}") if versions else None
-
-    def commit(self, table: str, rows: DataFrame, partition_by: str = "project") -> int:
-        """Write the next version; readers see it when its ``_SUCCESS`` is there, so a failed write changes nothing."""
-        version = max(self.versions(table), default=0) + 1
-        by = [partition_by] if partition_by in rows.columns else []
-        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{table}/v={version}")
-        return version
-
-    def expire(self, table: str, keep: int = 2) -> None:
-        for version in self.versions(table)[:-keep]:
-            self._fs.delete(self._path(f"{self.root}/{table}/v={version}"), True)
-
-    def drop_derived(self) -> list[str]:
-        """For recovery: drop what can be built again; notes stay."""
-        gone = [t for t in DERIVED if self._fs.delete(self._path(f"{self.root}/{t}"), True)]
+        entry = self.current()[1].get(table)
+        return self._rows(entry) if entry else None
+
+    def _rows(self, entry: dict) -> DataFrame:
+        # The schema is kept, as a table without rows has no files that tell it.
+        return self.spark.read.schema(StructType.fromJson(entry["schema"])).parquet(entry["path"])
+
+    def commit_all(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, base: int | None = None) -> int:
+        """Write the tables and publish them as one version after ``base`` (the newest, if none is named)."""
+        number, now = self.current()
+        if base is not None and base != number:
+            raise Conflict(f"version {number} has come after {base}")
+        written = {}
+        try:
+            for name, rows in tables.items():
+                by = (partition_by or {}).get(name, ["project"] if "project" in rows.columns else [])
+                path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+                written[name] = {"path": path, "dim": now.get(name, {}).get("dim"), "schema": rows.schema.jsonValue()}
+                rows.write.partitionBy(*by).parquet(path)
+            self._publish(number + 1, now | written)
+        except BaseException:
+            for entry in written.values():
+                self._fs.delete(self._path(entry["path"]), True)
+            raise
+        return number + 1
+
+    def commit(self, table: str, rows: DataFrame) -> int:
+        return self.commit_all({table: rows})
+
+    def ensure(self, table: str, empty: DataFrame, dim: int | None = None) -> bool:
+        """Create a table if it isn't there (True); one whose vectors have another dimension is an error."""
+        number, now = self.current()
+        if table not in now:
+            self.commit_all({table: empty})
+            number, now = self.current()
+            self._publish(number + 1, now | {table: now[table] | {"dim": dim}})
+            return True
+        if dim is not None and now[table].get("dim") not in (None, dim):
+            raise ValueError(f"{table} has vectors of {now[table]['dim']} components, not of {dim}; index into a new table")
+        return False
+
+    def recreate(self, table: str, empty: DataFrame, dim: int | None = None) -> None:
+        """Start a derived table anew; notes and unknown tables are refused."""
+        if table not in DERIVED:
+            raise ValueError(f"{table} is not built from sources, so it isn't dropped")
+        self._drop([table])
+        self.ensure(table, empty, dim)
+
+    def status(self) -> list[dict]:
+        """Per table: rows and dimension."""
+        return [{"table": t, "rows": self._rows(e).count(), "dim": e.get("dim")} for t, e in self.current()[1].items()]
+
+    def expire(self, keep: int = 2) -> None:
+        """Delete all but the newest ``keep`` versions, and the paths that only those named."""
+        numbers = self.numbers()
+        gone, kept = numbers[:-keep], numbers[-keep:]
+        needed = {e["path"] for n in kept for e in self._manifest(n).values()}
+        for number in gone:
+            for entry in self._manifest(number).values():
+                if entry["path"] not in needed:
+                    self._fs.delete(self._path(entry["path"]), True)
+            self._fs.delete(self._path(f"{self.root}/_manifests/{number}.json"), False)
+
+    def _drop(self, tables: list[str]) -> None:
+        number, now = self.current()
+        self._publish(number + 1, {t: e for t, e in now.items() if t not in tables})
+        for t in tables:
+            if t in now:
+                self._fs.delete(self._path(now[t]["path"]), True)
+
+    def damaged(self) -> list[str]:
+        """Tables that can't be read to their end."""
+        bad = []
+        for t, entry in self.current()[1].items():
+            try:
+                self._rows(entry).write.format("noop").mode("overwrite").save()
+            except Exception:
+                bad.append(t)
+        return bad
+
+    def recover(self) -> list[str]:
+        """Where a derived table is damaged, drop all of them, to be indexed again; damaged notes are refused, and nothing is touched."""
+        bad = self.damaged()
+        if NOTES in bad:
+            raise ValueError("the notes are damaged; restore them from a backup first")
+        gone = [t for t in self.current()[1] if t in DERIVED] if bad else []
+        if gone:
+            self._drop(gone)
         return gone
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def backups(spark: SparkSession, path: str) -> list[str]:
+    """Names of the backups in a folder, oldest first."""
+    hadoop, fs = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(hadoop(path)) if s.isDirectory()) if fs.exists(hadoop(path)) else []
+
+
 def export_notes(notes: DataFrame, path: str, now: datetime | None = None, keep: int = KEEP) -> str:
     """Write today's backup (one JSON line per note and a manifest line); refuses to replace history by nothing."""
     spark = notes.sparkSession
     now = now or datetime.now(timezone.utc)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    days = sorted(s.getPath().getName() for s in fs.listStatus(hadoop(path)) if s.isDirectory()) if fs.exists(hadoop(path)) else []
+    hadoop, fs = _file_system(spark, path)
+    days = backups(spark, path)
     day, count = f"memory-{now:%Y-%m-%d}", notes.count()
     if not count:
         earlier = [d for d in days if d != day]
@@ -78,10 +192,10 @@ def export_notes(notes: DataFrame, path: str, now: datetime | None = None, keep:
     return f"{path}/{day}"
 
 
-def import_notes(spark: SparkSession, path: str, schema, projects: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Notes of a backup, and those of projects that aren't registered."""
+def import_notes(spark: SparkSession, path: str, schema, projects: DataFrame | None = None, check: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Notes of a backup, and those of projects that aren't registered. ``check`` refuses backups of anything else."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
-    if manifest["collection"] != "memory":
+    if check and manifest["collection"] != "memory":
         raise ValueError(f"a backup of {manifest['collection']} is no backup of notes")
     notes = spark.read.json(f"{path}/notes", schema=schema)
     orphans = None if projects is None else notes.join(projects.select("project").distinct(), "project", "left_anti")

@@ -1,9 +1,15 @@
 import os
+import threading
+import time
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from kelpforest.plans.memory import Notes, to_json
 from kelpforest.plans.registry import Registry, check_versions, status, writer_lock
+from kelpforest.plans.tools import Tools
+from kelpforest.sources.snapshots import export_notes
 
 BODY = "We keep the ledger in one table since readers need one version of it. "
 
@@ -36,6 +42,74 @@ def test_note_lifecycle(spark, tmp_path):
         store.get(second)
     assert "One ledger" not in to_json(store.listed("p"))
     assert store.briefing().first()["n_active"] == 1
+    n = len(store.log().inputFiles())
+    before = sorted(map(str, store.current().collect()))
+    store.compact()
+    assert len(store.log().inputFiles()) < n and sorted(map(str, store.current().collect())) == before
+
+
+def test_restore(spark, tmp_path):
+    embed = lambda text: [float(text.count(c)) for c in "abc"]
+    store = Notes(spark, f"file://{tmp_path}/log", lambda: ["p"], embed, lock=str(tmp_path / "notes.lock"))
+    kept = store.store("p", "decision", "One ledger", BODY, ["b"])
+    gone = store.store("p", "bug", "Retries", "The job retries without end when the queue is empty and the lock is held.", allow_duplicate=True)
+    folder = f"file://{tmp_path}/backups"
+    for day in (1, 2):
+        export_notes(store.log().drop("dense"), folder, datetime(2024, 1, day))
+    store.delete(gone)
+    listed = store.import_backup(folder, dry_run=True)
+    assert listed["titles"] == ["One ledger", "Retries"] and listed["backup"].endswith("memory-2024-01-02") and store.current().count() == 1
+    store.projects = lambda: []
+    told = store.import_backup(folder, "memory-2024-01-01")
+    assert (told["restored"], told["orphans"]) == (2, ["p"])
+    back = store.get(gone)
+    assert back["status"] == "active" and back["dense"] == embed("Retries\n\n" + back["content"]) and back["schema_version"] == 1
+    assert store.get(kept)["content"] == BODY
+    (tmp_path / "backups" / "memory-2024-01-02" / "manifest").joinpath("x.txt").write_text("")
+    spark.createDataFrame([('{"collection": "code"}',)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/memory-2024-01-02/manifest")
+    with pytest.raises(ValueError, match="backup of code"):
+        store.import_backup(folder)
+    assert store.import_backup(folder, dry_run=True)["notes"] == 2
+
+
+def test_tools(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "jobs.py").write_text("def retry_failed_job(queue):\n" + "    queue.wait()\n" * 10)
+    (root / "README.md").write_text("# Guide\n\n" + "How the scheduler retries a failed job. " * 10)
+    (tmp_path / "home").mkdir()
+    tools = Tools(spark, f"file://{tmp_path}/home")
+    with pytest.raises(ValueError, match="nothing is indexed"):
+        tools.search_code("retry", "p")
+    said = tools.register("p", str(root), "Jobs and queues")
+    said = tools.sync("p", grace=300) if said["state"] == "running" else said
+    assert said["state"] == "done" and said["errors"] == []
+    assert tools.search_code("retry_failed_job", "p", language="python", expand=True).first()["symbol"] == "retry_failed_job"
+    assert tools.search_code("retry_failed_job", "p", symbol_type="class").count() == 0
+    assert tools.search_docs("scheduler", "p", doc_type="readme").first()["doc_type"] == "readme"
+    with pytest.raises(ValueError, match="no project"):
+        tools.search_docs("scheduler", "q")
+    old = tools.notes.store("p", "decision", "Ledger", BODY)
+    new = tools.notes.update(old, content=BODY + "Now two versions.")
+    tools.notes.store("p", "bug", "Queue", "The queue stalls when all of its workers have lost their leases at once.")
+    assert [r["id"] for r in tools.search_memory("ledger table", "p", memory_type="decision").collect()] == [new]
+    assert {r["id"] for r in tools.search_memory("ledger table", include_superseded=True, memory_type="decision").collect()} == {old, new}
+    assert tools.browse().count() == 2 and tools.browse("stalls").first()["title"] == "Queue"
+    text = tools.briefing("p")
+    assert "Jobs and queues" in text and BODY + "Now two versions." in text and "[bug] Queue" in text and "1 code chunks, 1 doc chunks, 3 notes" in text
+    assert {r["model"] for r in tools.status().collect()} == {"hashed"}
+    # Newer notes come first among equals.
+    later = F.current_timestamp() + F.expr("INTERVAL 400 DAYS")
+    assert tools.search_memory("queue", "p", now=later).first()["title"] == "Queue"
+    # One job a project, which runs on in the background.
+    wait = threading.Event()
+    assert tools.sync("p", grace=0.05, run=lambda project, said: (wait.wait(10), said.update(state="done"))) == {"state": "running"}
+    job = tools._jobs["p"][0]
+    assert tools.sync("p", grace=0.05) == {"state": "running"} and tools._jobs["p"][0] is job
+    wait.set()
+    job.join()
+    tools.registry.unregister("p", tools.store)
+    assert tools.store.read("chunks").count() == 0 and tools.store.read("postings").count() == 0 and tools.notes.current().count() == 3
 
 
 def test_registry(spark, tmp_path):
@@ -63,7 +137,22 @@ def test_lock(tmp_path):
     with writer_lock(path) as mine:
         assert mine
         with writer_lock(path) as other:
-            assert not other
+            assert other is None
         os.utime(path, (0, 0))
         with writer_lock(path) as taken:
             assert taken
+            # The first has lost it, sees that, and leaves the other's lock alone.
+            with pytest.raises(RuntimeError):
+                mine.beat()
+            mine.drop()
+            assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_lock_is_kept_while_work_lasts(tmp_path):
+    path = str(tmp_path / "lock")
+    with writer_lock(path, stale=0.4) as mine:
+        time.sleep(1)
+        assert mine
+        with writer_lock(path, stale=0.4) as other:
+            assert other is None

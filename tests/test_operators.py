@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kelpforest.constants import MAX_CHUNK
 from kelpforest.functions import text as T
 from kelpforest.operators import chunking, notes, ranking, sync, vectors
-from kelpforest.plans import index
+from kelpforest.plans import index, models
 from kelpforest.plans.search import Searcher, matches, yes_share
 from kelpforest.sources import snapshots
 from kelpforest.sources.tree import IgnoreRules, ignored
@@ -181,8 +181,7 @@ def test_backup(spark, tmp_path):
         snapshots.export_notes(notes_.limit(0), f"file://{tmp_path}/b", datetime(2024, 1, 2))
 
 
-def test_index_and_search(spark, tmp_path):
-    root = tmp_path / "repo"
+def _tree(root):
     (root / "pkg").mkdir(parents=True)
     (root / "node_modules").mkdir()
     (root / ".gitignore").write_text("*.log\n")
@@ -190,6 +189,11 @@ def test_index_and_search(spark, tmp_path):
     (root / "README.md").write_text("# Guide\n\n" + "How the scheduler retries a failed job. " * 10)
     (root / "x.log").write_text("log")
     (root / "node_modules" / "a.js").write_text("x")
+
+
+def test_index_and_search(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    _tree(root)
     reasons = {r["reason"]: r["n"] for r in index.explain(index.files(spark, str(root), "p")).collect()}
     assert reasons["indexed"] == 2 and reasons["ignore rule"] == 1
     store = snapshots.Snapshots(spark, f"file://{tmp_path}/store")
@@ -197,13 +201,147 @@ def test_index_and_search(spark, tmp_path):
     assert index.index_project(spark, store, str(root), "p").first()["unchanged"] == 2
     (root / "README.md").rename(root / "GUIDE.md")
     again = index.index_project(spark, store, str(root), "p").first()
-    assert (again["index"], again["delete"], again["renamed"]) == (1, 1, 1)
-    chunks = store.read("chunks")
+    assert (again["index"], again["delete"], again["renamed"], again["errors"], again["fallback"]) == (1, 1, 1, [], 0)
+    chunks, posts = store.read("chunks"), store.read("postings")
     assert chunks.select("source_path").distinct().count() == 2
-    searcher = Searcher(chunks, T.postings(chunks, "id", "content"), projects=["p"])
+    expected = T.postings(chunks, "id", "content").collect()
+    assert sorted(map(tuple, posts.select("id", "token", "tf").collect())) == sorted(map(tuple, expected))
+    embedder = models.Embedder()
+    searcher = Searcher(chunks, posts, embedder.query, projects=["p"], bucketed=True)
     hit = searcher.search("refresh_token_cache", "p").first()
-    assert hit["location"].startswith("pkg/__init__.py:1-")
+    assert hit["location"].startswith("pkg/__init__.py:1-") and (hit["symbol"], hit["symbol_type"], hit["language"]) == ("refresh_token_cache", "function", "python")
     assert searcher.search("scheduler retries", "p", filters={"language": "markdown"}, expand=True).first()["location"].startswith("GUIDE.md")
+    # A query without tokens has the dense branch, a failing embedder leaves the lexical one; without both there is nothing.
+    assert searcher.search("???", "p").count() == 2
+
+    def fails(_):
+        raise RuntimeError("no model")
+
+    assert Searcher(chunks, posts, fails).search("scheduler").count() == 1 and Searcher(chunks, posts, fails).search("???").count() == 0
+    # Vectors of another dimension fail on the row.
+    with pytest.raises(Exception, match="of 3 components"):
+        Searcher(chunks, posts, lambda _: [0.0, 1.0, 0.0]).search("scheduler").collect()
+    # A file that can't be cut keeps what it had, and the others go on.
+    (root / "pkg" / "__init__.py").write_text("def other():\n" + "    value = compute(user)\n" * 10)
+    (root / "NEW.md").write_text("# New\n\n" + "Something else altogether. " * 10)
+    whole = index.files
+    torn = F.when(F.col("grammar").isNotNull(), F.lit("torn")).otherwise(F.col("chunker"))
+    monkeypatch.setattr(index, "files", lambda *a: whole(*a).withColumn("chunker", torn))
+    row = index.index_project(spark, store, str(root), "p").first()
+    monkeypatch.undo()
+    assert row["errors"] == ["pkg/__init__.py: ValueError: no chunker is named torn"] and row["index"] == 2
+    assert {r["symbol_name"] for r in store.read("chunks").where("collection = 'code'").collect()} == {"refresh_token_cache"}
+    assert store.read("chunks").where("source_path = 'NEW.md'").count() == 1
+    assert index.index_project(spark, store, str(root), "p").first()["index"] == 1
+    first = index.index_project(spark, snapshots.Snapshots(spark, f"file://{tmp_path}/few"), str(root), "p", limit=1).first()
+    assert (first["index"], first["delete"]) == (1, 0)
+
+
+def test_files_that_cannot_be_cut(spark):
+    rows = [("a", "x = 1\n" * 30, "torn", "python", 1), ("b", "# T\n" + "text " * 40, "docs", None, 2)]
+    files = spark.createDataFrame(rows, "key string, text string, chunker string, grammar string, n int")
+    got = {r["key"]: (r["n"], r["error"]) for r in chunking.chunk(files, ("n",), catch=True).collect()}
+    assert got == {"a": (1, "ValueError: no chunker is named torn"), "b": (2, None)}
+    with pytest.raises(Exception, match="no chunker"):
+        chunking.chunk(files).collect()
+
+
+def test_snapshots(spark, tmp_path):
+    store = snapshots.Snapshots(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([("p", 1)], "project string, v int")
+    assert store.read("chunks") is None and store.ensure("chunks", rows.limit(0), 64) and not store.ensure("chunks", rows, 64)
+    with pytest.raises(ValueError, match="64 components"):
+        store.ensure("chunks", rows, 32)
+    base, _ = store.current()
+    store.commit_all({"chunks": rows}, base=base)
+    with pytest.raises(snapshots.Conflict):
+        store.commit_all({"chunks": rows}, base=base)
+    with pytest.raises(snapshots.Conflict):
+        store._publish(store.current()[0], {})
+    store.commit("memory", rows)
+    store.commit("chunks", rows.unionByName(rows))
+    assert store.read("chunks").count() == 2 and {s["table"]: s["rows"] for s in store.status()} == {"chunks": 2, "memory": 1}
+    store.expire(1)
+    assert len(store.numbers()) == 1 and store.read("chunks").count() == 2 and store.damaged() == [] and store.recover() == []
+    with pytest.raises(ValueError):
+        store.recreate("memory", rows)
+    # Torn files: derived tables go together, notes never.
+    path = store.current()[1]["chunks"]["path"].removeprefix("file://")
+    next(p for p in (tmp_path / "s" / "chunks").rglob("*.parquet")).write_bytes(b"torn")
+    assert path and store.damaged() == ["chunks"] and store.recover() == ["chunks"] and store.read("chunks") is None
+    assert store.read("memory").count() == 1
+    next(p for p in (tmp_path / "s" / "memory").rglob("*.parquet")).write_bytes(b"torn")
+    with pytest.raises(ValueError, match="restore them"):
+        store.recover()
+
+
+def test_embedder():
+    calls = []
+
+    def call(texts):
+        calls.append(texts)
+        if len(calls) == 1:
+            raise OSError("busy")
+        return [[1.0, 2.0] for _ in texts]
+
+    embedder = models.Embedder(call, 2, "query: ", "text: ", batch=2, chars=3, pauses=(0, 0))
+    assert len(embedder.documents(["abcdef", None, "x"])) == 3
+    assert calls[1:] == [["text: abc", "text: "], ["text: x"]]
+    assert embedder.query("abcdef") == embedder.query("abcdef") == [1.0, 2.0] and calls[3:] == [["query: abc"]]
+    for bad in (lambda t: [], lambda t: [[1.0]] * len(t)):
+        with pytest.raises(models.EmbeddingError):
+            models.Embedder(bad, 2, pauses=()).query("x")
+    for i in range(300):
+        embedder.query(str(i))
+    assert len(embedder._cache) == 256
+    got = models.benchmark(models.Embedder(), {"a": "red apples", "b": "green pears"}, [("apples", "a"), ("green", "b"), ("red", "b")])
+    assert got["r1"] == pytest.approx(2 / 3) and got["mrr"] == pytest.approx(5 / 6) and got["dim"] == 64
+
+
+def test_judge(spark):
+    def missing(*_):
+        raise models.ModelMissing
+
+    gone = models.Judge(missing)
+    assert gone.scores("q", ["a", "b"]) is None and gone.off
+    slow = models.Judge(lambda q, t: __import__("time").sleep(1) or [0.0] * len(t), seconds=0.05)
+    assert slow.scores("q", ["a", "b"]) is None and not slow.off
+    rows = spark.createDataFrame([("1", "p", "f", "red apple"), ("2", "p", "g", "apple pie"), ("3", "p", "h", "apple")], "id string, project string, source_path string, content string")
+    posts = T.postings(rows, "id", "content")
+    judged = Searcher(rows, posts, judge=models.Judge(lambda q, texts: [None if t == "apple" else float("pie" in t) for t in texts]))
+    assert [(r["id"], r["rerank"]) for r in judged.search("apple").collect()] == [("2", 1.0), ("1", 0.0), ("3", -1.0)]
+    plain = [r["id"] for r in Searcher(rows, posts).search("apple", rerank=False).collect()]
+    assert [(r["id"], r["rerank"]) for r in Searcher(rows, posts, judge=gone).search("apple").collect()] == [(i, None) for i in plain]
+
+
+def test_duplicates_at_the_default(spark):
+    texts = ["we keep the ledger in one table", "we keep the ledger in a table", "retries wait three seconds"]
+    rows = [(i, "p", v) for i, v in enumerate(models.hashed(texts))] + [(3, "q", models.hashed(texts[:1])[0])]
+    stored = spark.createDataFrame(rows, "id long, tenant string, v array<float>")
+    asked = spark.createDataFrame([(10, "p", models.hashed(["we keep the ledger in one big table"])[0]), (11, "p", models.hashed(["nothing of this kind"])[0])], "query_id long, tenant string, q array<float>")
+    assert [(r["query_id"], r["duplicate_of"]) for r in vectors.duplicates(asked, stored).collect()] == [(10, 0)]
+
+
+PAD = "    x = compute(y);\n" * 8
+
+
+@pytest.mark.parametrize(
+    ("grammar", "text", "found"),
+    [
+        ("java", f"public class Shop extends Base {{\n    // {'c' * 120}\n    @Override\n    public List<String> names(Map<String, Integer> m) throws IOException {{\n{PAD}        if (x) {{ return y; }}\n    }}\n}}\n", [("class", "Shop"), ("method", "Shop.names")]),
+        ("typescript", f"export class Card {{\n  title: string = '{'t' * 110}';\n  render(props: Props): JSX {{\n{PAD}  }}\n\n  async load() {{\n{PAD}  }}\n}}\n", [("class", "Card"), ("method", "Card.render"), ("method", "Card.load")]),
+        ("c", f"static int add(int a,\n               int b)\n{{\n{PAD}}}\n\nint main(void) {{\n{PAD}    for (i = 0; i < 3; i++) {{ f(i); }}\n}}\n", [("function", "add"), ("function", "main")]),
+        ("ruby", f"class A < B\n  # {'d' * 110}\n  def m0\n{PAD}  end\n\n  def self.m1(x)\n    if x\n{PAD}    end\n  end\nend\n", [("class", "A"), ("method", "A.m0"), ("method", "A.m1")]),
+        ("bash", f"build() {{\n{PAD}}}\n\nfunction deploy {{\n{PAD}}}\n", [("function", "build"), ("function", "deploy")]),
+        ("sql", "CREATE TABLE IF NOT EXISTS users (\n" + "  col int,\n" * 20 + ");\n\nCREATE FUNCTION f() RETURNS int AS $$\n" + "  select 1;\n" * 20 + "$$ LANGUAGE sql;\n", [("table", "users"), ("function", "f")]),
+        ("go", f"func (s *Store) Get(k string) string {{\n{PAD}}}\n\nfunc New() *Store {{\n{PAD}}}\n", [("method", "Get"), ("function", "New")]),
+        ("php", f"<?php\nclass P {{\n  public $a = '{'q' * 110}';\n  public function go($x) {{\n{PAD}  }}\n}}\n", [("class", "P"), ("method", "P.go")]),
+        ("css", ".a .b {\n" + "  color: red;\n" * 12 + "}\n@media (max-width: 3px) {\n" + "  .c { color: blue; }\n" * 12 + "}\n", [("rule", ".a .b"), ("media", "@media (max-width: 3px)")]),
+        ("html", "<html>\n<body>\n" + "<p>text</p>\n" * 12 + "</body>\n</html>\n", [("element", "html")]),
+    ],
+)
+def test_symbols_by_grammar(grammar, text, found):
+    assert [(p.symbol_type, p.symbol_name) for p in chunking.symbol_chunks(text, grammar) if p.symbol_type != "module"] == found
 
 
 def test_streamed_sync(spark, tmp_path):
