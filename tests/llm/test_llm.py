@@ -487,10 +487,17 @@ def test_curves(spark):
     assert curves.nearest(vectors.limit(0)).count() == 0
     few = {r["query_id"]: r["rank"] for r in curves.nearest(vectors.where("vec_id < 3")).orderBy("rank").collect()}
     assert few == {0: 2}
-    # Many small blocks: recall stays high.
-    found = curves.nearest(vectors, block=150).collect()
+    # Many small blocks: recall stays high, and is whole where windows go on to the end.
     exact = {(q, v) for q, rs in got.items() for _, v, _ in rs}
-    assert len(exact & {(r["query_id"], r["vec_id"]) for r in found}) / len(exact) >= 0.9
+    for settle in (True, False):
+        found = curves.nearest(vectors, block=60, settle=settle).collect()
+        recall = len(exact & {(r["query_id"], r["vec_id"]) for r in found}) / len(exact)
+        assert recall >= 0.9 and (settle or recall == 1)
+    # Doubles, ids that are repeated, and queries that are all copies.
+    rows = [(i % 90, [float(x) for x in v]) for i, v in enumerate(d[:100])] + [(1000 + 50 * i, [1.0] * 16) for i in range(300)]
+    again = curves.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).collect()
+    assert {r["query_id"] for r in again} == {0, 50, *range(1000, 16000, 50)} and Counter(r["rank"] for r in again) == Counter({i: 302 for i in range(1, 6)})
+    assert {r["vec_id"] for r in again if r["query_id"] == 9000} == {1000, 1050, 1100, 1150, 1200}
 
 
 def test_hilbert_keys_are_a_walk():
