@@ -514,17 +514,17 @@ def note_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOLD = f"""WITH log AS (SELECT conv_id * 1000 + turn AS id, conv_id AS project, CASE WHEN role = 'user' THEN 'session' WHEN turn % 3 = 0 THEN 'bug' ELSE 'decision' END AS kind,
-  substr(text, 1, 20) AS title, text AS content, 1698800000 + turn * 86400 AS at, CASE WHEN turn % 5 = 4 THEN lag(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS supersedes FROM conversations),
+  substr(text, 1, 20) AS title, text AS content, 1698800000 + turn * 86400 AS born, CASE WHEN turn % 5 = 4 THEN lag(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS supersedes FROM conversations),
 cur AS (SELECT *, id NOT IN (SELECT supersedes FROM log WHERE supersedes IS NOT NULL) AS active FROM log),
-rec AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY at DESC, id) AS n FROM cur WHERE active QUALIFY n <= 100),
-shown AS (SELECT *, CASE WHEN kind IN ('session', 'decision') THEN kind ELSE 'other' END AS k, row_number() OVER (PARTITION BY project, k ORDER BY at DESC, id) AS r FROM rec),
+rec AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY born DESC, id) AS n FROM cur WHERE active QUALIFY n <= 100),
+shown AS (SELECT *, CASE WHEN kind IN ('session', 'decision') THEN kind ELSE 'other' END AS k, row_number() OVER (PARTITION BY project, k ORDER BY born DESC, id) AS r FROM rec),
 line AS (SELECT project, k, r, CASE k WHEN 'session' THEN content WHEN 'decision' THEN '### ' || title || chr(10) || content
-  ELSE '- [' || kind || '] ' || title || ' (' || substr(id::VARCHAR, 1, 8) || ')' || CASE WHEN (epoch(TIMESTAMP '{NOW}') - at) // 86400 > 90 THEN ' [over 90 days old, check it]' ELSE '' END || chr(10) || '  ' || substr(content, 1, 160) END AS line
+  ELSE '- [' || kind || '] ' || title || ' (' || substr(id::VARCHAR, 1, 8) || ')' || CASE WHEN floor((epoch(TIMESTAMP '{NOW}') - born) / 86400) > 90 THEN ' [over 90 days old, check it]' ELSE '' END || chr(10) || '  ' || substr(content, 1, 160) END AS txt
   FROM shown WHERE (k = 'session' AND r = 1) OR k = 'decision' OR (k = 'other' AND r <= 10))
 SELECT c.project, c.n, c.n_active, coalesce(session, '') AS session, coalesce(decisions, '') AS decisions, coalesce(others, '') AS others
 FROM (SELECT project, count(*) AS n, count(*) FILTER (active) AS n_active FROM cur GROUP BY project) c LEFT JOIN (SELECT project,
-  string_agg(line, chr(10) ORDER BY r) FILTER (k = 'session') AS session, string_agg(line, chr(10) ORDER BY r) FILTER (k = 'decision') AS decisions,
-  string_agg(line, chr(10) ORDER BY r) FILTER (k = 'other') AS others FROM line GROUP BY project) l ON c.project = l.project"""
+  string_agg(txt, chr(10) ORDER BY r) FILTER (k = 'session') AS session, string_agg(txt, chr(10) ORDER BY r) FILTER (k = 'decision') AS decisions,
+  string_agg(txt, chr(10) ORDER BY r) FILTER (k = 'other') AS others FROM line GROUP BY project) l ON c.project = l.project"""
 
 
 @query(_TOLD)
