@@ -98,7 +98,12 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(_lexical(spark, sf_dir), 10)
 
 
-@query()
+_CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+codes AS (SELECT token, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(token, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) & 2147483647 AS code FROM (SELECT DISTINCT token FROM post), crc)"""
+
+
+@query(f"WITH {_token_sql('documents', 'doc_id')}, {_CRC} SELECT id AS doc_id, code::INT AS feature, sum(tf) AS weight FROM post JOIN codes USING (token) GROUP BY id, code")
 def feature_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = T.postings(documents(spark, sf_dir), "doc_id", "text")
     return posts.groupBy("doc_id", T.feature_id(F.col("token")).alias("feature")).agg(F.sum("tf").alias("weight"))
@@ -417,9 +422,60 @@ def redact_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.redact_assignments(rows.withColumn("n", F.lit(0)), "text", "n").select("doc_id", "text")
 
 
-@query()
+_SECRETS = (
+    "'id AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || ' end'",
+    "'api_key = \"sk-proj-' || md5(doc_id::VARCHAR) || '\"'",
+    "'ghp_' || md5(doc_id::VARCHAR) || 'abcd'",
+    "'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || md5(doc_id::VARCHAR) || chr(10) || chr(10) || 'def' || chr(10) || '-----END RSA PRIVATE KEY-----' || chr(10) || 'after'",
+    "'xoxb-' || md5(doc_id::VARCHAR) || ' sk_live_' || md5(doc_id::VARCHAR) || ' AIza' || substr(md5(doc_id::VARCHAR) || 'abc', 1, 35)",
+    "'password: ''' || md5(doc_id::VARCHAR) || ''' eyJ' || md5(doc_id::VARCHAR) || '.eyJ' || md5(doc_id::VARCHAR) || '.' || md5(doc_id::VARCHAR)",
+)
+#: Token patterns with their first four characters as group 1, for engines without look-ahead.
+_FOUR = (
+    r"\b(A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}\b",
+    r"\b(gh[pousr]_)[A-Za-z0-9]{36,}\b",
+    r"\b(gith)ub_pat_[A-Za-z0-9_]{22,}\b",
+    r"\b(sk-[A-Za-z0-9_-])[A-Za-z0-9_-]{19,}\b",
+    r"\b(xox[baprs])-[A-Za-z0-9-]{10,}\b",
+    r"\b([sr]k_l)ive_[A-Za-z0-9]{20,}\b",
+    r"\b(AIza)[A-Za-z0-9_-]{35}\b",
+    r"\b(eyJ[A-Za-z0-9_-])[A-Za-z0-9_-]{9,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
+)
+
+
+def _redact_sql() -> str:
+    """Each step counts matches in the text before it replaces them."""
+    named = rf"(?i)\b([A-Z0-9_.-]*(?:{C.SECRET_NAMES})[A-Z0-9_.-]*)(\s*[:=]\s*|\s*=>\s*)"
+    steps = [(p, r"\1[REDACTED]") for p in _FOUR]
+    steps += [(named + q + r"[^\"''\n]{8,}" + q, r"\1\2" + q + "[REDACTED]" + q) for q in ('"', "''")]
+    out, last = "", "t"
+    for i, (pattern, into) in enumerate(steps):
+        out += f"s{i} AS (SELECT doc_id, n + len(regexp_extract_all(text, '{pattern}')) AS n, regexp_replace(text, '{pattern}', '{into}', 'g') AS text FROM {last}),\n"
+        last = f"s{i}"
+    case = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SECRETS))
+    return f"""WITH t AS (SELECT doc_id, 0 AS n, regexp_replace(text, '\\btoken = ', 'auth_token = ', 'g') || chr(10) || CASE doc_id % {len(_SECRETS)} {case} END AS text FROM documents),
+{out}l AS (SELECT doc_id, n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {last}),
+e AS (SELECT *, nullif(regexp_extract(line, '{C.KEY_BOUNDARY}', 1), '') AS edge FROM l),
+k AS (SELECT *, coalesce(last_value(edge IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') = 'BEGIN' AND edge IS NULL AND trim(line) <> '' AS hide FROM e)
+SELECT doc_id, string_agg(CASE WHEN hide THEN '[REDACTED]' ELSE line END, chr(10) ORDER BY i) AS text, (max(n) + count(*) FILTER (hide))::INT AS n_redacted FROM k GROUP BY doc_id"""
+
+
+@query(_redact_sql())
 def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.redacted(documents(spark, sf_dir).select("doc_id", "text"))
+    """Every text, with a secret of each kind put at its end in turn."""
+    docs = documents(spark, sf_dir)
+    known = F.md5(F.col("doc_id").cast("string"))
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    secrets = (
+        line("id AKIA", F.upper(F.substring(known, 1, 16)), " end"),
+        line('api_key = "sk-proj-', known, '"'),
+        line("ghp_", known, "abcd"),
+        line("-----BEGIN RSA PRIVATE KEY-----\n", known, "\n\ndef\n-----END RSA PRIVATE KEY-----\nafter"),
+        line("xoxb-", known, " sk_live_", known, " AIza", F.substring(F.concat(known, F.lit("abc")), 1, 35)),
+        line("password: '", known, "' eyJ", known, ".eyJ", known, ".", known),
+    )
+    own = F.element_at(F.array(*secrets), (F.col("doc_id") % len(secrets)).cast("int") + 1)
+    return T.redacted(docs.select("doc_id", F.concat(F.regexp_replace("text", r"\btoken = ", "auth_token = "), F.lit("\n"), own).alias("text")))
 
 
 # --- chunks ---------------------------------------------------------------------------
@@ -430,7 +486,19 @@ def _files(spark: SparkSession, sf_dir: str, chunker: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("key"), "text", F.lit(chunker).alias("chunker"), F.lit("python").alias("grammar"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, text, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM documents WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+l AS (SELECT doc_id, len(ls) AS lines, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d WHERE length(text) > {C.MAX_CHUNK}),
+c AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS cum FROM l),
+n AS (SELECT a.doc_id, a.lines, a.i AS a, greatest(a.i, coalesce(max(b.i) FILTER (b.cum - (a.cum - length(a.line) - 1) <= {C.MAX_CHUNK}), 0)) AS u FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i GROUP BY a.doc_id, a.lines, a.i),
+w AS (SELECT doc_id, lines, a, u FROM n WHERE a = 1 UNION ALL SELECT n.doc_id, n.lines, n.a, n.u FROM w JOIN n ON n.doc_id = w.doc_id AND n.a = greatest(w.u - {C.OVERLAP_LINES - 1}, w.a + 1) WHERE w.u < w.lines),
+b AS (SELECT w.doc_id, w.a, w.u, substr(string_agg(l.line, chr(10) ORDER BY l.i), 1, {C.MAX_CHUNK}) AS body FROM w JOIN l ON l.doc_id = w.doc_id AND l.i BETWEEN w.a AND w.u GROUP BY w.doc_id, w.a, w.u),
+g AS (SELECT *, sum(CASE WHEN length(body) >= {C.MIN_CHUNK} OR a = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS nth FROM b),
+f AS (SELECT doc_id, nth, min(a) AS a, max(u) AS z, string_agg(body, chr(10) ORDER BY a) AS content FROM g GROUP BY doc_id, nth
+  UNION ALL SELECT doc_id, 1, 1, len(ls), text FROM d WHERE length(text) <= {C.MAX_CHUNK})
+SELECT doc_id::VARCHAR AS key, (nth - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS chunk_total, a::INT AS start_line, z::INT AS end_line, content,
+  NULL::VARCHAR AS symbol_type, NULL::VARCHAR AS symbol_name, NULL::VARCHAR AS heading_path FROM f"""
+)
 def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(_files(spark, sf_dir, "text"))
 
