@@ -173,8 +173,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of one word by which likely pairs differ at most (three deviations beyond the mean at 0.8); others aren't compared in full.
 LIKELY = 18
-#: Runs and connected sets up to this size give all likely pairs; members of larger sets are compared by whole signatures, in one place.
+#: Sets that likely pairs connect give all those pairs up to this size; members of larger sets are compared by whole signatures, in one place.
 PAIRED = 6
+#: Runs up to this size are compared step by step, all at once.
+STEPS = 64
+#: Open pairs are settled in layers, from the likeliest of each member on; each layer reaches so many times as far as the last.
+LAYER = 16
 
 
 def bits_at(similarity: float, deviations: float, words: int = WORDS) -> int:
@@ -242,18 +246,34 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
         yield pa.Table.from_batches(held).columns
 
 
-def _pieces(words: np.ndarray, most: int) -> np.ndarray:
-    """For each row of ``words`` (n, w) the first row that it reaches over rows which differ in ``most`` bits at most."""
-    first, rest = np.arange(len(words)), np.arange(len(words))
+def _forest(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of ``words`` (n, w) that differ in ``most`` bits at most, one for each row that any such links reach from an earlier one."""
+    left, right, rest = [], [], np.arange(len(words))
     while len(rest):
-        queue, start, rest = [rest[0]], rest[0], rest[1:]
+        queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
-            near = np.bitwise_count(words[rest] ^ words[queue.pop()]).sum(axis=1) <= most
+            now = queue.pop()
+            near = np.bitwise_count(words[rest] ^ words[now]).sum(axis=1) <= most
             if near.any():
-                first[rest[near]] = start
-                queue += rest[near].tolist()
+                found = rest[near]
+                left.append(np.full(len(found), now))
+                right.append(found)
+                queue += found.tolist()
                 rest = rest[~near]
-    return first
+    return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+
+
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least that links between places i and j connect it with."""
+    label = np.arange(n)
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return label
 
 
 def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,56 +281,105 @@ def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for columns in _runs(batches):
         keys, nodes, near = (x.to_numpy() for x in columns)
         near = near.view(np.uint64)
-        left, right, sets, members = [], [], [], []
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
-        for i in np.flatnonzero(sizes > PAIRED):
-            own, word = nodes[starts[i] : starts[i] + sizes[i]], near[starts[i] : starts[i] + sizes[i]]
-            first, where, n = np.unique(_pieces(word[:, None], LIKELY), return_inverse=True, return_counts=True)
-            for j in np.flatnonzero(n > 1):
-                at = np.flatnonzero(where == j)
-                if n[j] > PAIRED:
-                    # Rows of a run come by node, so equal sets of several keys have one name.
-                    sets.append(np.full(n[j], xxhash.xxh64_intdigest(own[at].tobytes()), np.uint64))
-                    members.append(own[at])
-                else:
-                    x, y = np.triu_indices(n[j], 1)
-                    hit = np.bitwise_count(word[at[x]] ^ word[at[y]]) <= LIKELY
-                    left.append(own[at[x[hit]]])
-                    right.append(own[at[y[hit]]])
-        short = np.repeat(sizes <= PAIRED, sizes)
-        keys, nodes, near = keys[short], nodes[short], near[short]
-        for step in range(1, min(PAIRED, int(sizes.max(initial=0)))):
-            hit = np.flatnonzero((keys[step:] == keys[:-step]) & (np.bitwise_count(near[step:] ^ near[:-step]) <= LIKELY))
-            left.append(nodes[hit])
-            right.append(nodes[hit + step])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        left, right = [], []
+        for i in np.flatnonzero(sizes > STEPS):
+            for side, x in zip((left, right), _forest(near[starts[i] : starts[i] + sizes[i], None], LIKELY), strict=True):
+                side.append(starts[i] + x)
+        short = np.flatnonzero(np.repeat(sizes <= STEPS, sizes))
+        k, w = keys[short], near[short]
+        for step in range(1, min(STEPS, int(sizes.max(initial=0)))):
+            same = k[step:] == k[:-step]
+            if not same.any():
+                break
+            hit = np.flatnonzero(same & (np.bitwise_count(w[step:] ^ w[:-step]) <= LIKELY))
+            left.append(short[hit])
+            right.append(short[hit + step])
+        i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        label = _joined(len(keys), i, j)
+        size = np.bincount(label, minlength=len(keys))
+        # All likely pairs of small sets; a long run has given a forest only, so its small sets are compared anew.
+        again = np.flatnonzero((size[label] > 1) & (size[label] <= PAIRED) & np.repeat(sizes > STEPS, sizes))
+        again = again[np.argsort(label[again], kind="stable")]
+        x, y = [i[size[label[i]] <= PAIRED]], [j[size[label[i]] <= PAIRED]]
+        for step in range(1, PAIRED):
+            same = np.flatnonzero(label[again[step:]] == label[again[:-step]])
+            p, q = again[same], again[same + step]
+            hit = np.bitwise_count(near[p] ^ near[q]) <= LIKELY
+            x.append(p[hit])
+            y.append(q[hit])
+        a, b = nodes[np.concatenate(x)], nodes[np.concatenate(y)]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        yield pa.record_batch([pa.nulls(len(pairs), pa.int64()), *(pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1))], names=["set", "a", "b"])
-        if sets:
-            of, who = np.concatenate(sets).view(np.int64), np.concatenate(members)
-            yield pa.record_batch([pa.array(of), pa.array(who), pa.nulls(len(who), pa.int64())], names=["set", "a", "b"])
+        yield pa.record_batch([pa.nulls(len(pairs), pa.int64()), *(pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1))], names=["set", "a", "b"])
+        large = np.flatnonzero(size[label] > PAIRED)
+        large = large[np.argsort(label[large], kind="stable")]
+        if len(large):
+            edges = np.flatnonzero(np.r_[True, np.diff(label[large]) != 0, True])
+            # Rows of a run come by node, so equal sets of several keys have one name.
+            of = [xxhash.xxh64_intdigest(nodes[large[p:q]].tobytes()) for p, q in zip(edges[:-1], edges[1:], strict=True)]
+            sets = np.repeat(np.array(of, np.uint64), np.diff(edges)).view(np.int64)
+            yield pa.record_batch([pa.array(sets), pa.array(nodes[large]), pa.nulls(len(large), pa.int64())], names=["set", "a", "b"])
+
+
+def _each_set(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(nodes, signatures, other columns) of every set."""
+    for columns in _runs(batches):
+        sets, nodes = (x.to_numpy() for x in columns[:2])
+        words = np.frombuffer(b"".join(columns[2].to_pylist()), "<u8").reshape(-1, WORDS)
+        others = [x.to_numpy() for x in columns[3:]]
+        starts = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]])
+        for i, j in zip(starts, np.r_[starts[1:], len(sets)], strict=True):
+            yield nodes[i:j], words[i:j], [x[i:j] for x in others]
+
+
+def _link_batch(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (list(zip(*rows, strict=True)) or [(), ()]))
+    return pa.record_batch([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], names=["a", "b"])
+
+
+def _near_links(sure: int):
+    """(a, b): of each set, a forest of links that are within ``sure`` bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for nodes, words, _ in _each_set(batches):
+            i, j = _forest(words, sure)
+            rows.append((nodes[i], nodes[j]))
+        yield _link_batch(rows)
+
+    return run
 
 
-def _verified(sure: int, most: int):
-    """(a, b, bits) within sets: a link of each member to the first that sure links connect it with, and all open pairs between what they leave apart."""
+def layer_pairs(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, now: np.ndarray, most: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Open pairs of a set that are among the ``low``-th to ``high``-th likeliest of either end, and not connected by now.
 
+    Open are pairs of ``most`` bits at most that ``first`` roots don't connect; their order is by bits and node, the same in every layer.
+    """
+    left, right = [], []
+    for root in np.unique(first):
+        mine, others = np.flatnonzero(first == root), np.flatnonzero(first != root)
+        if not len(others):
+            break
+        rows = max(1, (1 << 20) // len(others))
+        for at in range(0, len(mine), rows):
+            some = mine[at : at + rows]
+            bits = np.zeros((len(some), len(others)), np.int32)
+            for k in range(words.shape[1]):
+                bits += np.bitwise_count(words[some, k][:, None] ^ words[others, k][None, :])
+            i, j = np.nonzero(bits <= most)
+            order = np.lexsort((nodes[others[j]], bits[i, j], i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            due = (rank >= low) & (rank < high) & (now[some[i]] != now[others[j]])
+            left.append(nodes[some[i[due]]])
+            right.append(nodes[others[j[due]]])
+    return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+
+
+def _layer(most: int, low: int, high: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(batches):
-            sets, nodes = (x.to_numpy() for x in columns[:2])
-            words = np.frombuffer(b"".join(columns[2].to_pylist()), "<u8").reshape(-1, WORDS)
-            starts = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]])
-            for i, j in zip(starts, np.r_[starts[1:], len(sets)], strict=True):
-                own, signed = nodes[i:j], words[i:j]
-                first = _pieces(signed, sure)
-                moved = np.flatnonzero(first != np.arange(j - i))
-                out = [(own[first[moved]], own[moved], np.zeros(len(moved), np.int32))]
-                for x in range(j - i if j - i > len(moved) + 1 else 0):
-                    apart = x + 1 + np.flatnonzero(first[x + 1 :] != first[x])
-                    bits = np.bitwise_count(signed[apart] ^ signed[x]).sum(axis=1).astype(np.int32)
-                    hit = bits <= most
-                    out.append((np.full(int(hit.sum()), own[x]), own[apart[hit]], bits[hit]))
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "bits"])
+        yield _link_batch([tuple(layer_pairs(nodes, words, *roots, most, low, high)) for nodes, words, roots in _each_set(batches)])
 
     return run
 
@@ -345,14 +414,66 @@ def _similar(least: float):
     return run
 
 
+def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all that ``pairs`` (set, a, b), likely ones, hold of pairs with this similarity."""
+    sure_bits, most = bits_at(similarity, -3), bits_at(similarity, 3)
+    signed = lambda end, name: nodes.select(F.col("node").alias(end), F.col("signature").alias(name))
+    met = pairs.where("set IS NULL").select("a", "b").join(signed("a", "x"), "a").join(signed("b", "y"), "b").select("a", "b", "x", "y")
+    scored = stored(met.mapInArrow(_distances(most), "a long, b long, bits int"), "distances")
+    members = stored(pairs.where("set IS NOT NULL").select("set", "a").join(signed("a", "x"), "a").select("set", "a", "x"), "set-members")
+    dealt = members.repartition("set").sortWithinPartitions("set", "a")
+    ends = members.select(F.col("a").alias("row")).unionByName(scored.select(F.explode(F.array("a", "b")).alias("row"))).distinct()
+    sets = stored(texts.join(ends, "row", "left_semi").mapInArrow(_sets, "row long, shingles binary"), "shingle-sets")
+    of = lambda end, name: sets.select(F.col("row").alias(end), F.col("shingles").alias(name))
+
+    def alike(found: DataFrame) -> DataFrame:
+        return found.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+
+    # Copies with few changes first, by a forest: what it connects leaves few open pairs.
+    near = scored.where(F.col("bits") <= sure_bits).select("a", "b").unionByName(dealt.mapInArrow(_near_links(sure_bits), "a long, b long")).distinct()
+    links = stored(alike(stored(near, "near-links")), "near-alike")
+    first = roots = stored(components(links), "near-roots")
+    largest = members.groupBy("set").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    low, high = 0, 2
+    while True:
+        root = lambda table, end, name: table.select(F.col("node").alias(end), F.col("root").alias(name))
+        open_ = members.join(root(first, "a", "_f"), "a", "left").join(root(roots, "a", "_n"), "a", "left")
+        open_ = open_.select("set", "a", "x", F.coalesce("_f", "a").alias("f"), F.coalesce("_n", "a").alias("n"))
+        found = open_.repartition("set").sortWithinPartitions("set", "a").mapInArrow(_layer(most, low, high), "a long, b long")
+        if low == 0:
+            small = scored.join(root(roots, "a", "_a"), "a", "left").join(root(roots, "b", "_b"), "b", "left")
+            found = found.unionByName(small.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
+        found = stored(found.distinct(), "open-pairs")
+        # What is connected so far goes on as a star.
+        links = stored(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b").unionByName(alike(found)), "links-so-far")
+        if high >= largest:
+            break
+        roots = stored(components(links), "roots-so-far")
+        forget(found)
+        low, high = high, high * LAYER
+    for x in (scored, members, sets):
+        forget(x)
+    return links
+
+
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of the documents that links connect, the one of the least id stays.
 
     Two documents link if their sets of five-word shingles have a Jaccard
     similarity of ``similarity`` or more. Candidates share a masked 16-bit
-    segment of a signature. Only verified links take a candidate out of a run's
-    pool: 512-bit signatures settle what is clearly alike or different; for pairs in between that aren't connected otherwise,
-    the sets themselves are compared. Texts without words are one group.
+    segment of a signature and are likely by another word of it; 512-bit
+    signatures set aside what is clearly different, and the sets themselves
+    decide on every link. Where likely pairs connect many documents, that is
+    done in layers: a forest of copies with few changes, then the pairs nearest
+    to each document, then those further off, always between documents that
+    nothing connects yet. Each open pair has its turn in one of the layers, and
+    only pairs of documents that are connected anyway are spared, so groups of
+    near copies cost about a row a document, and no link is lost.
+
+    Texts that are null, empty or without words are one group. Of equal ids the
+    first row stays; rows with a null id stay only where their group has no
+    other. Texts of any length are read whole. An empty table gives an empty
+    result; columns come back as they were, whatever their names.
     """
     own = unused(docs.columns) + "row"
     rows = stored(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
@@ -361,28 +482,12 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = prints.join(rows.select(F.col(own).alias("row"), "doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     classes = stored(named.groupBy("signature").agg(first), "classes")
+    forget(prints)
     nodes = classes.select(F.col("first.row").alias("node"), "signature")
     keyed = nodes.mapInArrow(_narrow, "key long, node long, near long")
     likely = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_likely, "set long, a long, b long").distinct()
-    pairs = stored(likely, "pairs")
-    left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-    most = bits_at(similarity, 3)
-    scored = pairs.where("set IS NULL").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_distances(most), "a long, b long, bits int")
-    members = pairs.where("set IS NOT NULL").join(left, "a").select("set", "a", "x").repartition("set").sortWithinPartitions("set", "a")
-    scored = stored(scored.unionByName(members.mapInArrow(_verified(bits_at(similarity, -3), most), "a long, b long, bits int")).distinct(), "distances")
-    forget(pairs)
-    sure = scored.where(F.col("bits") <= bits_at(similarity, -3)).select("a", "b")
-    roots = stored(components(sure), "sure-roots")
-    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
-    open_ = scored.where(F.col("bits") > bits_at(similarity, -3)).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    open_ = stored(open_.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "open-pairs")
-    asked = open_.select(F.col("a").alias("row")).unionByName(open_.select(F.col("b").alias("row"))).distinct()
-    sets = stored(texts.join(asked, "row", "left_semi").mapInArrow(_sets, "row long, shingles binary"), "shingle-sets")
-    of = lambda end, name: sets.select(F.col("row").alias(end), F.col("shingles").alias(name))
-    met = open_.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
-    found = components(sure.unionByName(met))
-    best = classes.select(F.col("first.row").alias("node"), "first").join(found, "node", "left")
+    links = _links_within(stored(likely, "pairs"), nodes, texts, similarity)
+    best = classes.select(F.col("first.row").alias("node"), "first").join(components(links), "node", "left")
     kept = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("f")).select(F.col("f.row").alias(own))
     return rows.join(kept, own, "left_semi").select(*all_of(docs))
 

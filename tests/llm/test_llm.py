@@ -372,6 +372,24 @@ def test_one_of_each_in_long_runs(spark):
     assert kept == expected
 
 
+def test_layers_hold_every_open_pair():
+    random = np.random.default_rng(6)
+    nodes = np.sort(random.choice(1000, 70, replace=False))
+    words = random.integers(0, 1 << 63, 8, dtype=np.uint64) ^ (random.integers(0, 1 << 63, (70, 8), dtype=np.uint64) & random.integers(0, 1 << 63, (70, 8), dtype=np.uint64))
+    sure = random.integers(0, 40, 70)
+    bits = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2)
+    most = int(np.median(bits))
+    expected = {(nodes[i], nodes[j]) for i in range(70) for j in range(i) if sure[i] != sure[j] and bits[i, j] <= most}
+    found, low, high = set(), 0, 2
+    while low < 70:
+        a, b = simhash.layer_pairs(nodes, words, sure, np.arange(70), most, low, high)
+        found |= {(max(p, q), min(p, q)) for p, q in zip(a, b, strict=True)}
+        low, high = high, high * 4
+    assert found == expected
+    joined = simhash._joined(8, np.array([5, 1, 6]), np.array([1, 7, 2]))
+    assert joined.tolist() == [0, 1, 2, 3, 4, 1, 2, 1]
+
+
 def test_one_of_each_around_the_limit(spark):
     random = np.random.default_rng(8)
     texts = []
