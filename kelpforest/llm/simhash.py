@@ -151,7 +151,10 @@ def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough of them to connect all that lie within the distance."""
-    return variants(prints.select("fp").distinct()).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
+    # Dealt out anew, as a few small partitions would make all variants.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.select("fp").distinct().repartition(parts)
+    return variants(distinct).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -177,6 +180,8 @@ LIKELY = 18
 PAIRED = 6
 #: Runs up to this size are compared step by step, all at once.
 STEPS = 64
+#: Rounds in which roots join before open pairs are looked at, at most.
+NEAR_ROUNDS = 4
 #: Open pairs are settled in layers, from the likeliest of each member on; each layer reaches so many times as far as the last.
 LAYER = 16
 
@@ -339,28 +344,36 @@ def _link_batch(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _near_links(sure: int):
-    """(a, b): of each set, a forest of links that are within ``sure`` bits."""
+    """(low, root, a, b): of each set, a forest of links that are within ``sure`` bits, where it joins different roots."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for nodes, words, _ in _each_set(batches):
+        for nodes, words, (root,) in _each_set(batches):
+            if (root == root[0]).all():
+                continue
             i, j = _forest(words, sure)
-            rows.append((nodes[i], nodes[j]))
-        yield _link_batch(rows)
+            new = root[i] != root[j]
+            i, j = i[new], j[new]
+            rows.append((np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), nodes[i], nodes[j]))
+        columns = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 4
+        yield pa.record_batch([pa.array(x.astype(np.int64)) for x in columns], names=["low", "root", "a", "b"])
 
     return run
 
 
 def layer_pairs(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, now: np.ndarray, most: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Open pairs of a set that are among the ``low``-th to ``high``-th likeliest of either end, and not connected by now.
+    """Open pairs of a set that are among the ``low``-th to ``high``-th likeliest of the end that owns them, and not connected by now.
 
-    Open are pairs of ``most`` bits at most that ``first`` roots don't connect; their order is by bits and node, the same in every layer.
+    Open are pairs of ``most`` bits at most that ``first`` roots don't connect. The end in the smaller group owns a pair, so a large group
+    has no row for each member where one document is open to all of them. A document's pairs go by bits and node, alike in every layer.
     """
     left, right = [], []
-    for root in np.unique(first):
-        mine, others = np.flatnonzero(first == root), np.flatnonzero(first != root)
+    roots, where, sizes = np.unique(first, return_inverse=True, return_counts=True)
+    size = sizes[where]
+    for root, n in zip(roots, sizes, strict=True):
+        mine, others = np.flatnonzero(first == root), np.flatnonzero((size > n) | ((size == n) & (first > root)))
         if not len(others):
-            break
+            continue
         rows = max(1, (1 << 20) // len(others))
         for at in range(0, len(mine), rows):
             some = mine[at : at + rows]
@@ -416,12 +429,11 @@ def _similar(least: float):
 
 def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links that connect all that ``pairs`` (set, a, b), likely ones, hold of pairs with this similarity."""
-    sure_bits, most = bits_at(similarity, -3), bits_at(similarity, 3)
+    near_bits, most = bits_at(similarity, -3), bits_at(similarity, 3)
     signed = lambda end, name: nodes.select(F.col("node").alias(end), F.col("signature").alias(name))
     met = pairs.where("set IS NULL").select("a", "b").join(signed("a", "x"), "a").join(signed("b", "y"), "b").select("a", "b", "x", "y")
     scored = stored(met.mapInArrow(_distances(most), "a long, b long, bits int"), "distances")
     members = stored(pairs.where("set IS NOT NULL").select("set", "a").join(signed("a", "x"), "a").select("set", "a", "x"), "set-members")
-    dealt = members.repartition("set").sortWithinPartitions("set", "a")
     ends = members.select(F.col("a").alias("row")).unionByName(scored.select(F.explode(F.array("a", "b")).alias("row"))).distinct()
     sets = stored(texts.join(ends, "row", "left_semi").mapInArrow(_sets, "row long, shingles binary"), "shingle-sets")
     of = lambda end, name: sets.select(F.col("row").alias(end), F.col("shingles").alias(name))
@@ -429,23 +441,37 @@ def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similari
     def alike(found: DataFrame) -> DataFrame:
         return found.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
 
-    # Copies with few changes first, by a forest: what it connects leaves few open pairs.
-    near = scored.where(F.col("bits") <= sure_bits).select("a", "b").unionByName(dealt.mapInArrow(_near_links(sure_bits), "a long, b long")).distinct()
-    links = stored(alike(stored(near, "near-links")), "near-alike")
-    first = roots = stored(components(links), "near-roots")
+    def rooted(*tables: DataFrame) -> DataFrame:
+        """Members with their roots by each table, in sets."""
+        out = members
+        for k, table in enumerate(tables):
+            out = out.join(table.select(F.col("node").alias("a"), F.col("root").alias(f"_{k}")), "a", "left")
+        out = out.select("set", "a", "x", *(F.coalesce(f"_{k}", "a").alias(f"r{k}") for k in range(len(tables))))
+        return out.repartition("set").sortWithinPartitions("set", "a")
+
+    def grown(roots: DataFrame, found: DataFrame) -> DataFrame:
+        """Links of what is connected so far, as a star, and of those found that are alike."""
+        star = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b")
+        return stored(star.unionByName(alike(found)), "links-so-far")
+
+    # Copies with few changes first: each root joins the least that a forest over its sets gives it, until no root has one to join.
+    # Whatever this leaves apart is open.
+    roots = texts.sparkSession.createDataFrame([], "node long, root long")
+    for _ in range(NEAR_ROUNDS):
+        near = rooted(roots).mapInArrow(_near_links(near_bits), "low long, root long, a long, b long")
+        near = stored(near.groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("m")).select("m.a", "m.b"), "near-links")
+        if near.first() is None:
+            break
+        roots = stored(components(grown(roots, near)), "near-roots")
+    first = roots
     largest = members.groupBy("set").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     low, high = 0, 2
     while True:
-        root = lambda table, end, name: table.select(F.col("node").alias(end), F.col("root").alias(name))
-        open_ = members.join(root(first, "a", "_f"), "a", "left").join(root(roots, "a", "_n"), "a", "left")
-        open_ = open_.select("set", "a", "x", F.coalesce("_f", "a").alias("f"), F.coalesce("_n", "a").alias("n"))
-        found = open_.repartition("set").sortWithinPartitions("set", "a").mapInArrow(_layer(most, low, high), "a long, b long")
+        found = rooted(first, roots).mapInArrow(_layer(most, low, high), "a long, b long")
         if low == 0:
-            small = scored.join(root(roots, "a", "_a"), "a", "left").join(root(roots, "b", "_b"), "b", "left")
-            found = found.unionByName(small.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
+            found = found.unionByName(scored.select("a", "b"))
         found = stored(found.distinct(), "open-pairs")
-        # What is connected so far goes on as a star.
-        links = stored(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b").unionByName(alike(found)), "links-so-far")
+        links = grown(roots, found)
         if high >= largest:
             break
         roots = stored(components(links), "roots-so-far")

@@ -245,6 +245,15 @@ def test_repeats(spark, edge, monkeypatch, few):
     assert got == expected
 
 
+def test_rows_that_repeat_have_their_spans_once(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, text)] * 300 + [(None, text[:900])] * 20 + [(2, "else " + text[500:800])], "doc_id long, text string")
+    spans = parsing.repeated_spans(docs)
+    sizes = {r["doc_id"]: r["n"] for r in spans.select("doc_id", F.size("spans").alias("n")).collect()}
+    assert sizes[1] <= len(text) // 20
+    assert {(r["doc_id"], r["n_removed"]) for r in parsing.digests(docs).collect()} == {(1, len(text)), (None, 900), (2, 300)}
+
+
 def test_phrase_names_read_every_byte():
     random = np.random.default_rng(11)
     long = 0
