@@ -321,9 +321,8 @@ def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = large[np.argsort(label[large], kind="stable")]
         if len(large):
             edges = np.flatnonzero(np.r_[True, np.diff(label[large]) != 0, True])
-            # Rows of a run come by node, so equal sets of several keys have one name.
-            of = [xxhash.xxh64_intdigest(nodes[large[p:q]].tobytes()) for p, q in zip(edges[:-1], edges[1:], strict=True)]
-            sets = np.repeat(np.array(of, np.uint64), np.diff(edges)).view(np.int64)
+            # Sets of several keys that begin with the same node are one set: most of those that a group of near copies makes.
+            sets = np.repeat(nodes[large[edges[:-1]]], np.diff(edges))
             yield pa.record_batch([pa.array(sets), pa.array(nodes[large]), pa.nulls(len(large), pa.int64())], names=["set", "a", "b"])
 
 
