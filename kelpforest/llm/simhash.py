@@ -182,8 +182,8 @@ PAIRED = 6
 STEPS = 64
 #: Rounds in which roots join before open pairs are looked at, at most.
 NEAR_ROUNDS = 4
-#: Open pairs are settled in layers, from the likeliest of each member on; each layer reaches so many times as far as the last.
-LAYER = 16
+#: Open pairs are settled in layers, from the likeliest of each member on: so many at first; each layer reaches so many times as far as the last.
+FIRST_LAYER, LAYER = 4, 8
 
 
 def bits_at(similarity: float, deviations: float, words: int = WORDS) -> int:
@@ -464,7 +464,7 @@ def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similari
         roots = stored(components(grown(roots, near)), "near-roots")
     first = roots
     largest = members.groupBy("set").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    low, high = 0, 2
+    low, high = 0, FIRST_LAYER
     while True:
         found = rooted(first, roots).mapInArrow(_layer(most, low, high), "a long, b long")
         if low == 0:
