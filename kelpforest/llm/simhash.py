@@ -182,8 +182,9 @@ PAIRED = 6
 STEPS = 64
 #: Rounds in which roots join before open pairs are looked at, at most.
 NEAR_ROUNDS = 4
-#: Open pairs are settled in layers, from the likeliest of each member on: so many at first; each layer reaches so many times as far as the last.
-FIRST_LAYER, LAYER = 4, 8
+#: Open pairs are settled in layers, from the likeliest of each member on: up to so many each, then so many times as far as the last.
+#: The first layers are small, as they connect most of what there is to connect.
+LAYERS, LAYER = (2, 4, 8, 16), 16
 
 
 def bits_at(similarity: float, deviations: float, words: int = WORDS) -> int:
@@ -464,7 +465,7 @@ def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similari
         roots = stored(components(grown(roots, near)), "near-roots")
     first = roots
     largest = members.groupBy("set").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    low, high = 0, FIRST_LAYER
+    low, high = 0, LAYERS[0]
     while True:
         found = rooted(first, roots).mapInArrow(_layer(most, low, high), "a long, b long")
         if low == 0:
@@ -475,7 +476,7 @@ def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similari
             break
         roots = stored(components(links), "roots-so-far")
         forget(found)
-        low, high = high, high * LAYER
+        low, high = high, next((x for x in LAYERS if x > high), high * LAYER)
     for x in (scored, members, sets):
         forget(x)
     return links
