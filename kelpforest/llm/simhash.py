@@ -183,8 +183,7 @@ STEPS = 64
 #: Rounds in which roots join before open pairs are looked at, at most.
 NEAR_ROUNDS = 4
 #: Open pairs are settled in layers, from the likeliest of each member on: up to so many each, then so many times as far as the last.
-#: The first layers are small, as they connect most of what there is to connect.
-LAYERS, LAYER = (2, 4, 8, 16), 16
+LAYERS, LAYER = (4,), 8
 
 
 def bits_at(similarity: float, deviations: float, words: int = WORDS) -> int:
