@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforest.llm import curves, licenses, mixing, packing, parsing, quality, simhash, suffixtree, urlgraph, warc
+from kelpforest.llm import curves, infill, licenses, mixing, packing, parsing, quality, simhash, suffixtree, urlgraph, warc
 from kelpforest.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -60,4 +64,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality": quality.oracle_sql(),
         "op3_urlgraph": urlgraph.oracle_sql(),
         "op6_mixing": mixing.oracle_sql(),
+        "op13_infill": infill.oracle_sql(),
     }
