@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforest.llm import curves, infill, licenses, mixing, packing, parsing, quality, simhash, spelling, suffixtree, urlgraph, warc
+from kelpforest.llm import curves, infill, langid, licenses, mixing, packing, parsing, quality, simhash, spelling, suffixtree, urlgraph, warc
 from kelpforest.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
