@@ -12,7 +12,8 @@ shard of the sample runs follow-the-regularised-leader with per-coordinate rates
 and elastic-net penalties (``L1`` leaves weights of rare or common n-grams at
 zero), in the order of the hash; after each pass the shards' states are averaged,
 language by language. A fifth of the sample is kept out and sets the temperature:
-that of a grid with the least log loss, languages weighed as in the corpus.
+that of a grid with the least log loss, languages weighed as in the corpus and targets
+short of 1 by the rule of succession.
 Sums there are of whole numbers, so reruns give the same model.
 
 The driver and each task hold ``FEATURES`` numbers a language, 4 bytes each (24 with
@@ -239,17 +240,20 @@ def fit(rows: DataFrame, n_langs: int) -> np.ndarray:
 def calibrated(rows: DataFrame, model: Model, langs: dict[str, int]) -> float:
     """The temperature of the grid with the least log loss over rows that weren't learnt from; 1 if there are none."""
     scores = model.scores
-    total = sum(langs.values())
+    total, k = sum(langs.values()), len(model.langs)
     share = np.array([langs[lang] / total for lang in model.langs])
+    # However many rows are right, one more could be wrong: the rule of succession keeps scores short of 1.
+    doubt = 1 / (sum(min(n, PER_LANG) for n in langs.values()) / KEPT_OUT + 2) if k > 1 else 0.0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, n = np.zeros((len(share), len(GRID)), np.int64), np.zeros(len(share), np.int64)
         for batch in batches:
             for lang, kinds, weights in _unpacked(batch):
                 s = scores(kinds, weights).astype(np.float64)
-                chance = softmax(s[None, :] / GRID[:, None])[:, lang]
+                logs = np.log(np.maximum(softmax(s[None, :] / GRID[:, None]), 1e-30))
+                due = (1 - doubt) * logs[:, lang] + doubt * (logs.sum(axis=1) - logs[:, lang]) / max(k - 1, 1)
                 # Whole millionths add up to the same sum in any order.
-                loss[lang] += np.rint(-np.log(np.maximum(chance, 1e-12)) * 1e6).astype(np.int64)
+                loss[lang] += np.rint(-due * 1e6).astype(np.int64)
                 n[lang] += 1
         lang, t = (a.ravel() for a in np.indices(loss.shape))
         yield pa.record_batch([pa.array(lang, pa.int32()), pa.array(t, pa.int32()), pa.array(loss.ravel()), pa.array(np.repeat(n, len(GRID)))], names=["lang", "t", "loss", "n"])
