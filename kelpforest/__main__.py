@@ -54,10 +54,8 @@ def _index(tools: Tools, args) -> int:
         for p in tools.registry.projects():
             if args.project and p["name"] not in args.project:
                 continue
-            if args.reset:
-                tools.store.commit_all({t: rows.where(F.col("project") != p["name"]) for t in ("chunks", "postings") if (rows := tools.store.read(t)) is not None}, {"postings": ["bucket"]})
             index.index_project(
-                tools.spark, tools.store, p["root"], p["name"], args.changed, ",".join(p["only"]), args.limit or None, tools.embedder, lock.beat
+                tools.spark, tools.store, p["root"], p["name"], args.changed, ",".join(p["only"]), args.limit or None, tools.embedder, lock.beat, args.reset
             ).show(truncate=False)
     return 0
 
@@ -101,6 +99,8 @@ def main(argv: list[str] | None = None) -> int:
         print("dropped, to be indexed again:", tools.store.recover())
     elif args.command == "compact":
         tools.notes.compact()
+        for table in tools.store.current()[1]:
+            tools.store.compact(table, everything=True)
         tools.store.expire()
     elif args.command == "briefing":
         print(tools.briefing(args.project))

@@ -23,6 +23,10 @@ FENCE = r"^\s*(```|~~~)"
 PREFETCH, RERANK_POOL, RRF_K = 4, 10, 60
 RECENCY_FLOOR, RECENCY_SPAN, RECENCY_DAYS = 0.85, 0.15, 90.0
 DUPLICATE_COSINE, PER_FILE = 0.85, 2
+#: hits that a search gives at the most, and the list of notes
+MOST_HITS, MOST_BROWSED = 25, 100
+#: what a result tells beside its text, where the table has it
+EXTRAS = ("title", "language", "symbol_type", "doc_type", "memory_type", "tags", "status", "created_at", "updated_at", "git_commit", "chunk_index", "chunk_total")
 
 RERANK_SECONDS = 12.0
 

@@ -12,7 +12,11 @@ from kelpforest.operators import vectors
 
 def idf_table(postings: DataFrame, n_rows: DataFrame) -> DataFrame:
     """(token, df, idf) over the whole collection; ``n_rows`` is a one-row frame (n)."""
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    return idf_of(postings.groupBy("token").agg(F.count("*").alias("df")), n_rows)
+
+
+def idf_of(df: DataFrame, n_rows: DataFrame) -> DataFrame:
+    """(token, df, idf) from counts that are kept."""
     return df.crossJoin(F.broadcast(n_rows)).select("token", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 

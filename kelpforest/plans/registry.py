@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from kelpforest.constants import STALE_LOCK
 from kelpforest.operators import classify
-from kelpforest.sources.snapshots import DERIVED, Snapshots
+from kelpforest.plans import index
+from kelpforest.sources.snapshots import Snapshots
 
 # --- fixed values: names of projects ---
 SLUG = re.compile(r"[a-z0-9][a-z0-9-]{0,49}")
@@ -61,10 +62,8 @@ class Registry:
     def unregister(self, name: str, store: Snapshots | None = None) -> None:
         """Drop a project and its derived rows; notes stay."""
         self._write([p for p in self.projects() if p["name"] != name])
-        tables = {t: store.read(t) for t in DERIVED} if store else {}
-        left = {t: rows.where(F.col("project") != name) for t, rows in tables.items() if rows is not None}
-        if left:
-            store.commit_all(left, {"postings": ["bucket"]})
+        if store:
+            index.remove(store, name)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(p["name"], p["root"], i) for i, p in enumerate(self.projects())]
@@ -82,6 +81,12 @@ def status(registry: DataFrame, chunks: DataFrame) -> DataFrame:
     return registry.select("project").join(found, "project", "left").select("project", "collection", F.coalesce("n", F.lit(0)).alias("n"), "last_indexed")
 
 
+def sized(registry: DataFrame, sizes: DataFrame) -> DataFrame:
+    """As :func:`status`, of the sizes that commits keep: no chunk is read."""
+    found = sizes.groupBy("project", "collection").agg(F.sum("n").alias("n"), F.max("indexed_at").alias("last_indexed"))
+    return registry.select("project").join(found, "project", "left").select("project", "collection", F.coalesce("n", F.lit(0)).alias("n"), "last_indexed")
+
+
 def check_versions(chunks: DataFrame, version: int) -> None:
     """An error where rows of another schema version are left."""
     other = chunks.where(F.col("schema_version") != version).select("schema_version").first()
@@ -109,12 +114,22 @@ class Lock:
                 # Of several that find it stale, one gets to move it away.
                 aside = f"{self.path}.{self.token}"
                 os.rename(self.path, aside)
+                if time.time() - os.path.getmtime(aside) <= self.stale:
+                    # It was a fresh one by then: it goes back, unless a third one has come.
+                    with contextlib.suppress(FileExistsError):
+                        os.link(aside, self.path)
+                    os.unlink(aside)
+                    return False
                 os.unlink(aside)
+        # Written aside and linked, so that a lock is never seen without its holder's token.
+        with open(f"{self.path}.{self.token}.new", "w") as f:
+            f.write(self.token)
         try:
-            with open(self.path, "x") as f:
-                f.write(self.token)
+            os.link(f.name, self.path)
         except FileExistsError:
             return False
+        finally:
+            os.unlink(f.name)
         threading.Thread(target=self._keep, daemon=True).start()
         return True
 

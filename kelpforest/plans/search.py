@@ -8,13 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpforest.constants import PER_FILE, PREFETCH, RERANK_POOL
+from kelpforest.constants import EXTRAS, MOST_HITS, PER_FILE, PREFETCH, RERANK_POOL
 from kelpforest.functions import text as T
 from kelpforest.operators import ranking as R
 from kelpforest.operators import vectors as V
 from kelpforest.plans.index import BUCKETS
 from kelpforest.plans.models import Judge
-from kelpforest.sources.snapshots import stored
 
 
 def matches(filters: dict) -> Column:
@@ -41,8 +40,6 @@ def yes_share(yes: Column, no: Column) -> Column:
     return F.when(yes.isNull() & no.isNull(), F.lit(None).cast("double")).otherwise(y / (y + n))
 
 
-#: What a result tells beside its text, where the table has it.
-EXTRAS = ("title", "language", "symbol_type", "doc_type", "memory_type", "tags", "status", "created_at", "updated_at", "git_commit", "chunk_index", "chunk_total")
 _NEEDED = {"start_line": "int", "end_line": "int", "chunk_index": "int", "symbol_name": "string", "heading_path": "string", "dense": "array<float>"}
 
 
@@ -51,7 +48,9 @@ class Searcher:
 
     Columns of chunks or notes that the table lacks count as null. ``embed``
     turns a query into a vector; without it, or where it fails, only the lexical
-    branch answers, and a query without tokens only has the dense one.
+    branch answers, and a query without tokens, or one whose lexical branch fails, only has the dense one.
+    ``frequencies`` (token, df[, bucket]) and ``size`` (n, one row) are kept counts of the whole collection; without them postings and
+    rows are counted. Postings that have a project are filtered by it, and joined with rows for other filters only.
     ``judge`` scores texts for a query; hits keep
     the order of the fusion if it fails, and are scored by shared tokens if there is none.
     ``projects`` lists the known tenants; ``recent`` prefers newer rows.
@@ -66,10 +65,12 @@ class Searcher:
         judge: Judge | None = None,
         recent: bool = False,
         bucketed: bool = False,
+        frequencies: DataFrame | None = None,
+        size: DataFrame | None = None,
     ):
         missing = {c: F.lit(None).cast(t) for c, t in _NEEDED.items() if c not in table.columns}
         self.table, self.postings, self.embed, self.projects = table.withColumns(missing), postings, embed, projects
-        self.judge, self.recent, self.bucketed = judge, recent, bucketed
+        self.judge, self.recent, self.bucketed, self.frequencies, self.size = judge, recent, bucketed, frequencies, size
 
     def _vector(self, query: str) -> list[float] | None:
         try:
@@ -77,18 +78,29 @@ class Searcher:
         except Exception:
             return None
 
-    def _lexical(self, query: str, inside: DataFrame, limit: int) -> DataFrame | None:
+    def _lexical(self, query: str, inside: DataFrame, limit: int, project: str | None = None, filtered: bool = True) -> DataFrame | None:
         spark = self.table.sparkSession
-        asked = T.postings(spark.createDataFrame([(0, query)], "query_id int, text string"), "query_id", "text")
-        tokens = [r["token"] for r in asked.select("token").collect()]
+        asked = T.postings(spark.createDataFrame([(0, query)], "query_id int, text string"), "query_id", "text").collect()
+        tokens = [r["token"] for r in asked]
         if not tokens:
             return None
-        posts = self.postings.where(F.col("token").isin(*tokens))
-        if self.bucketed:
-            posts = posts.where(F.col("bucket").isin(*{token_bucket_of(t) for t in tokens}))
-        idf = R.idf_table(posts, self.table.agg(F.count("*").alias("n")))
-        scores = R.lexical_scores(asked, posts.join(inside.select("id"), "id", "left_semi"), idf)
-        return R.ranked(scores, limit)
+        asked = spark.createDataFrame(asked, "query_id int, token string, tf double")
+
+        def of_tokens(rows: DataFrame) -> DataFrame:
+            rows = rows.where(F.col("token").isin(*tokens))
+            return rows.where(F.col("bucket").isin(*{token_bucket_of(t) for t in tokens})) if self.bucketed and "bucket" in rows.columns else rows
+
+        posts = of_tokens(self.postings)
+        size = self.table.agg(F.count("*").alias("n")) if self.size is None else self.size
+        idf = R.idf_table(posts, size) if self.frequencies is None else R.idf_of(of_tokens(self.frequencies), size)
+        if project is not None and "project" in posts.columns:
+            posts = posts.where(F.col("project") == project)
+        elif project is not None:
+            filtered = True
+        if filtered:
+            posts = posts.join(inside.select("id"), "id", "left_semi")
+        best = R.ranked(R.lexical_scores(asked, posts, idf), limit)
+        return spark.createDataFrame(best.collect(), best.schema)
 
     def _reranked(self, query: str, pool: DataFrame, first: int) -> DataFrame:
         """``position`` and ``rerank``; the pool has 25 rows at most."""
@@ -111,10 +123,12 @@ class Searcher:
         max_per_file: int = PER_FILE,
         expand: bool = False,
         now: Column | None = None,
+        most: int = MOST_HITS,
     ) -> DataFrame:
+        """The ``limit`` best hits, ``most`` at the most."""
         if project is not None and self.projects is not None and project not in self.projects:
             raise ValueError(f"there is no project {project!r}")
-        limit = min(max(limit, 1), 25)
+        limit = min(max(limit, 1), most)
         inside = self.table.where(matches({"project": project} | (filters or {})))
         branches = []
         vector = self._vector(query)
@@ -122,12 +136,21 @@ class Searcher:
             dense = V.checked(F.col("dense"), len(vector))
             near = inside.where("dense IS NOT NULL").select(F.lit(0).alias("query_id"), "id", F.round(V.cosine(dense, F.array(*map(F.lit, vector))), 9).alias("score"))
             branches.append(R.ranked(near, limit * PREFETCH))
-        if (lexical := self._lexical(query, inside, limit * PREFETCH)) is not None:
+        filtered = any(value is not None for value in (filters or {}).values())
+        try:
+            lexical = self._lexical(query, inside, limit * PREFETCH, project, filtered)
+        except Exception:
+            if not branches:
+                raise
+            lexical = None
+        if lexical is not None:
             branches.append(lexical)
         candidates = self.judge.candidates if self.judge else RERANK_POOL
         if branches:
             fused = R.reciprocal_rank_fusion(branches, max(limit, candidates if rerank else limit))
-            pool = stored(fused.join(self.table, "id"), "pool")
+            # A bounded number of rows, on which all that follows works.
+            pool = fused.join(self.table, "id")
+            pool = pool.sparkSession.createDataFrame(pool.collect(), pool.schema)
         else:
             pool = self.table.limit(0).withColumns({"query_id": F.lit(0), "score": F.lit(0.0), "rank": F.lit(0)})
         if rerank:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforest.constants import SYNC_GRACE
+from kelpforest.constants import MOST_BROWSED, MOST_HITS, SYNC_GRACE
 from kelpforest.functions import text as T
 from kelpforest.operators import notes
 from kelpforest.plans import index, registry
@@ -31,25 +31,29 @@ class Tools:
         self._jobs: dict[str, tuple[threading.Thread, dict]] = {}
         self._guard = threading.Lock()
 
-    def _chunks(self, collection: str) -> Searcher:
-        chunks, posts = self.store.read("chunks"), self.store.read("postings")
-        if chunks is None or posts is None:
+    def _chunks(self, collection: str, project: str | None = None) -> Searcher:
+        entry = self.store.current()[1].get("chunks")
+        if entry is None:
             raise ValueError("nothing is indexed yet")
-        registry.check_versions(chunks, index.SCHEMA_VERSION)
-        mine = F.col("collection") == collection
-        return Searcher(chunks.where(mine), posts.where(mine), self.embedder.query, self.registry.names(), self.judge, bucketed=True)
+        if entry["version"] != index.SCHEMA_VERSION:
+            raise ValueError(f"rows of schema version {entry['version']} are left; index again")
+        mine = {"collection": collection} | ({} if project is None else {"project": project})
+        chunks, posts = self.store.read("chunks", **mine), self.store.read("postings", **mine)
+        frequencies = self.store.read("frequencies", collection=collection)
+        size = self.store.read("sizes", collection=collection).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        return Searcher(chunks, posts, self.embedder.query, self.registry.names(), self.judge, bucketed=True, frequencies=frequencies, size=size)
 
     def search_code(self, query: str, project: str, language: str | None = None, symbol_type: str | None = None, limit: int = 6, expand: bool = False) -> DataFrame:
-        return self._chunks("code").search(query, project, limit, {"language": language, "symbol_type": symbol_type}, expand=expand)
+        return self._chunks("code", project).search(query, project, limit, {"language": language, "symbol_type": symbol_type}, expand=expand)
 
     def search_docs(self, query: str, project: str, doc_type: str | None = None, limit: int = 6, expand: bool = False) -> DataFrame:
-        return self._chunks("docs").search(query, project, limit, {"doc_type": doc_type}, expand=expand)
+        return self._chunks("docs", project).search(query, project, limit, {"doc_type": doc_type}, expand=expand)
 
     def search_memory(
-        self, query: str, project: str | None = None, memory_type: str | None = None, include_superseded: bool = False, limit: int = 6, rerank: bool = True, now: Column | None = None
+        self, query: str, project: str | None = None, memory_type: str | None = None, include_superseded: bool = False, limit: int = 6, rerank: bool = True, now: Column | None = None, most: int = MOST_HITS
     ) -> DataFrame:
         return self.notes_searcher().search(
-            query, project, limit, {"memory_type": memory_type, "status": None if include_superseded else "active"}, rerank=rerank, now=now
+            query, project, limit, {"memory_type": memory_type, "status": None if include_superseded else "active"}, rerank=rerank, now=now, most=most
         )
 
     def notes_searcher(self) -> Searcher:
@@ -59,16 +63,15 @@ class Tools:
         """Active notes: the newest without a query, else by a search without rerank; 1 to 100."""
         if not query.strip():
             return self.notes.listed(project, memory_type, limit=limit)
-        return self.search_memory(query, project, memory_type, limit=min(max(limit, 1), 100), rerank=False)
+        return self.search_memory(query, project, memory_type, limit=limit, rerank=False, most=MOST_BROWSED)
 
     def briefing(self, project: str, now: Column | None = None) -> str:
         """What one needs to go on with a project: counts, the last session, all decisions in full, the newest others."""
         known = {p["name"]: p for p in self.registry.projects()}
         if project not in known:
             raise ValueError(f"there is no project {project!r}")
-        chunks = self.store.read("chunks")
-        counted = chunks.where(F.col("project") == project).groupBy("collection").count().collect() if chunks is not None else []
-        n = {r["collection"]: r["count"] for r in counted}
+        sizes = self.store.read("sizes", project=project)
+        n = {r["collection"]: r["n"] for r in sizes.groupBy("collection").agg(F.sum("n").alias("n")).collect()} if sizes is not None else {}
         mine = self.notes.current().where(F.col("project") == project)
         row = notes.briefing(mine, F.current_timestamp() if now is None else now).first()
         lines = [f"# {project}", "", known[project]["description"], "", f"{n.get('code', 0)} code chunks, {n.get('docs', 0)} doc chunks, {row['n'] if row else 0} notes", ""]
@@ -80,8 +83,8 @@ class Tools:
 
     def status(self) -> DataFrame:
         """Per project and collection: chunks and when they were last indexed, with the embedding model's name."""
-        chunks, known = self.store.read("chunks"), self.registry.frame(self.spark)
-        rows = known.select("project") if chunks is None else registry.status(known, chunks)
+        sizes, known = self.store.read("sizes"), self.registry.frame(self.spark)
+        rows = known.select("project") if sizes is None else registry.sized(known, sizes)
         return rows.withColumn("model", F.lit(getattr(self.embedder.call, "__name__", "model")))
 
     def register(self, name: str, root: str, description: str, only: list[str] | None = None) -> dict:

@@ -611,3 +611,6 @@ def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), F.col("text").alias("content"))
     return snapshots.import_notes(spark, snapshots.export_notes(docs, new_path(spark, "backups")), docs.schema)[0]
+
+
+from kelpforest import store_queries  # noqa: E402,F401 (it registers its queries here)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
 
@@ -31,3 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` to the shared folder and read them back, which cuts their lineage; :func:`forget` deletes them again."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`stored` wrote and that no later plan reads."""
+    for rows in tables:
+        spark = rows.sparkSession if rows is not None else None
+        for folder in {name.rsplit("/", 1)[0] for name in rows.inputFiles()} if spark else ():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
