@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpforest import queries as Q
 from kelpforest.functions import text as T
+from kelpforest.operators import cells
 from kelpforest.plans import index
 from kelpforest.plans.search import Searcher
 from kelpforest.sources.folders import forget, new_path, stored
@@ -84,3 +85,21 @@ def search_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
         hits = searcher.search(item["text"], "src3", 10, rerank=False, max_per_file=0).select(F.lit(item["item_id"]).alias("query_id"), "rank", "id", "score", "project")
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+@Q.query(f"WITH {Q._dense_sql(10, 100)} SELECT query_id, id, score, rank FROM dense")
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dense_topk, by an index of cells in its exact mode: cells out of reach are left out by their bound alone."""
+    e = Q.read(spark, sf_dir, "embeddings")
+    found = cells.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), new_path(spark, "cells"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return found.search(asked, 10, recall=None).select("query_id", "id", "score", "rank")
+
+
+@Q.query(f"WITH {Q._dense_sql(10, 100, 'AND q.label = r.label')} SELECT query_id, id, score, rank FROM dense")
+def ann_topk_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dense_topk_tenant, within the cells that hold rows of the tenant."""
+    e = Q.read(spark, sf_dir, "embeddings")
+    found = cells.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("tenant")), new_path(spark, "cells"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("tenant"))
+    return found.search(asked, 10, recall=None).select("query_id", "id", "score", "rank")
