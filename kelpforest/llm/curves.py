@@ -9,15 +9,16 @@ cosine of the original vectors; the windows of all curves merge to the nearest
 per query.
 
 Windows then widen, a round doubling the distance, for each query whose nearest
-still change: a query settles when a ring of blocks as wide as all before it has
+still change: a query settles when ``PATIENCE`` rounds in a row, each as wide as all before it, have
 brought nothing better on any curve, or when the curves are at their end. Data
-that lie in clusters settle at once, whatever the table's size; data without
-any structure cost what an exact search costs. ``settle=False`` makes it that:
+that lie in clusters settle after those rounds, whatever the table's size; data without
+any structure settle late or at the end. That a quiet round means the nearest are found is no
+certainty; how often it holds was measured, see the README. With ``settle=False``
 every query goes on to the end of its curves, and the answer is exact.
 
 Only keys travel while the order is made. Blocks are written once, a row of
 arrays each with their vectors as they came; all have the same size whatever the
-data, so no group is hot. Equal vectors stand in for each other: of a group of
+data, and the queries that meet in one are dealt in parts of ``ASKING``, so no group is hot. Equal vectors stand in for each other: of a group of
 copies only the ``k + 1`` least ids can be among anyone's ``k`` nearest (ties go
 to the smaller id), so only those are members, however large the group; all of
 its queries are answered.
@@ -27,7 +28,7 @@ most, or that hold null or non-finite components take no part. Repeated rows
 with one id count once per query, by their best score. Empty tables give an
 empty result, extra columns are ignored.
 
-The README has the recall measured against brute force, also where a window is
+The README has the recall measured against brute force, also where a first window is
 a small share of the table.
 """
 
@@ -49,6 +50,8 @@ BLOCK = 8192
 DIRECTIONS, BITS = 9, 7
 NEAREST = 5
 EVERY = 50
+#: Quiet rounds before a query settles, and queries that meet a block in one task.
+PATIENCE, ASKING = 3, 4096
 SEED = 20240601
 
 
@@ -227,12 +230,16 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, curves: in
     end = asked.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]
     texts = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best, open_, inner, outer = None, asked, -1, 1
+    best, open_, inner, outer = None, asked.withColumn("quiet", F.lit(0)), -1, 1
     while True:
         low, high = F.greatest(F.col("block") - outer, F.lit(0)), F.least(F.col("block") + outer, F.col("last"))
         near = F.filter(F.sequence(low, high), lambda b: F.abs(b - F.col("block")) > inner)
-        met = open_.select("curve", "row", F.explode(near).alias("block")).join(texts, "row").drop("row")
-        found = met.groupBy("curve", "block").cogroup(blocks.groupBy("curve", "block")).applyInArrow(_reranked(k, kind), "query_id long, vec_id long, score double")
+        met = open_.select("curve", "row", F.explode(near).alias("block"))
+        parts = met.groupBy("curve", "block").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
+        asking = met.join(parts, ["curve", "block"]).withColumn("part", F.pmod(F.hash("row"), F.col("parts"))).join(texts, "row").drop("row", "parts")
+        members = blocks.join(parts, ["curve", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        by = ["curve", "block", "part"]
+        found = asking.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(_reranked(k, kind), "query_id long, vec_id long, score double")
         found = found if best is None else found.unionByName(best.drop("rank"))
         merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         now = stored(merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
@@ -241,8 +248,9 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEAREST, curves: in
         if best is not None:
             if settle:
                 moved = now.join(best, ["query_id", "vec_id"], "left_anti").select("query_id").distinct()
-                moved = texts.join(moved, "query_id", "left_semi").select("row")
-                open_ = stored(open_.join(moved, "row", "left_semi"), "curve-open")
+                moved = texts.join(moved, "query_id", "left_semi").select("row", F.lit(True).alias("moved"))
+                quiet = F.when(F.col("moved"), 0).otherwise(F.col("quiet") + 1)
+                open_ = stored(open_.join(moved, "row", "left").withColumn("quiet", quiet).drop("moved").where(F.col("quiet") < PATIENCE), "curve-open")
                 if open_.first() is None:
                     return now
             forget(best)
