@@ -1,4 +1,4 @@
-"""Command line: ``python -m kelpforest sync|index|search|status|explain|chunks|briefing|backup|restore|recover|compact``."""
+"""Command line: ``python -m kelpforest sync|index|search|status|explain|chunks|briefing|evaluate|backup|restore|recover|compact``."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kelpforest.functions import text as T
 from kelpforest.operators import chunking, classify
-from kelpforest.plans import index, registry
+from kelpforest.plans import evaluate, index, registry
 from kelpforest.plans.tools import Tools
 from kelpforest.sources.snapshots import export_notes
 
@@ -38,6 +38,7 @@ def _parser() -> argparse.ArgumentParser:
         own.add_argument("path")
         own.add_argument("-v", action="store_true")
     commands.add_parser("briefing").add_argument("project")
+    commands.add_parser("evaluate").add_argument("golden", help="JSON: [{project, collection, query, expect}]")
     for name in ("backup", "restore"):
         own = commands.add_parser(name)
         own.add_argument("folder")
@@ -102,6 +103,11 @@ def main(argv: list[str] | None = None) -> int:
         for table in tools.store.current()[1]:
             tools.store.compact(table, everything=True)
         tools.store.expire()
+    elif args.command == "evaluate":
+        found = evaluate.evaluate(tools, evaluate.golden(tools, args.golden)).collect()
+        for r in found:
+            print(f"{'with' if r['rerank'] else 'without'} rerank: {r['n']} queries, R@1 {r['r1']}, R@3 {r['r3']}, MRR {r['mrr']}")
+        return 0 if found[1]["r3"] >= evaluate.LEAST_R3 else 1
     elif args.command == "briefing":
         print(tools.briefing(args.project))
     elif args.command == "backup":

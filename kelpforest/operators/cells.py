@@ -150,7 +150,18 @@ class CellIndex:
         kind = self.vectors().schema["id"].dataType.simpleString()
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, f"query_id long, id {kind}, score double")
 
-    def _probes(self, asked: DataFrame, k: int, recall: float | None, beats: tuple[str, ...]) -> DataFrame:
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        cells = self.spark.read.parquet(f"{self.path}/cells")
+        near = cells.groupBy("tenant").agg(F.collect_list(F.struct("cell", "n", "least", "mean")).alias("near"))
+        tenant = F.col("tenant") if self.tenants else F.lit(0)
+        return usable(queries.select(F.col("query_id").cast("long").alias("query_id"), "q", tenant.alias("tenant")), "q").join(near, "tenant")
+
+    @staticmethod
+    def _best(found: DataFrame, k: int) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.where(F.col("query_id").cast("string") != F.col("id").cast("string")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def _probes(self, asked: DataFrame, k: int, recall: float | None, beats: tuple[str, ...], nearest: bool = True) -> DataFrame:
         """(query_id, q, tenant, cell, n) of a round; asked: (query_id, q, tenant, near array<struct<cell, n, least, mean>>) and the scores to beat after each earlier round."""
         centroids, spread = self.centroids, self.spread
 
@@ -163,7 +174,7 @@ class CellIndex:
                 for i, near in enumerate(batch.column("near")):
                     cell, n, least, mean = (near.values.field(c).to_numpy(zero_copy_only=False) for c in ("cell", "n", "least", "mean"))
                     probe = Probes(np.clip(seen[i, cell], -1, 1), n, least, mean, spread, k, recall)
-                    order = probe.nearest()
+                    order = probe.nearest() if nearest else None
                     for number, column in enumerate(known):
                         order = probe.worth(column[i], foresee=number == 0)
                     which.append(np.full(len(order), i))
@@ -181,15 +192,7 @@ class CellIndex:
 
         ``where`` filters rows within the search. ``recall=None`` is exact.
         """
-        cells = self.spark.read.parquet(f"{self.path}/cells")
-        near = cells.groupBy("tenant").agg(F.collect_list(F.struct("cell", "n", "least", "mean")).alias("near"))
-        tenant = F.col("tenant") if self.tenants else F.lit(0)
-        asked = usable(queries.select(F.col("query_id").cast("long").alias("query_id"), "q", tenant.alias("tenant")), "q").join(near, "tenant")
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-
-        def best(found: DataFrame) -> DataFrame:
-            return found.where(F.col("query_id").cast("string") != F.col("id").cast("string")).withColumn("rank", rank).where(F.col("rank") <= k)
-
+        asked, best = self._asked(queries), lambda rows: self._best(rows, k)
         found, beats, tables = None, (), []
         for _ in range(3):
             probes = stored(self._probes(asked, k, recall, beats), "probes")
@@ -206,6 +209,16 @@ class CellIndex:
         return found if found is not None else self.vectors().limit(0).select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
 
 
+    def within(self, queries: DataFrame, least: float, k: int, where=None) -> DataFrame:
+        """(query_id, id, score, rank): of each query the ``k`` best rows with a cosine of ``least`` or more; exact, and one round: only cells
+        whose bound reaches ``least`` are looked at."""
+        asked = self._asked(queries).withColumn("beat", F.lit(float(least)))
+        probes = stored(self._probes(asked, k, None, ("beat",), nearest=False), "probes")
+        found = stored(self._best(self._meet(probes, where, k).where(F.col("score") >= least), k), "found")
+        forget(probes)
+        return found
+
+
 class Probes:
     """One query's cells: which to take in each round. ``left`` are those not taken yet."""
 

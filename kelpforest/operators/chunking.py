@@ -150,16 +150,76 @@ _METHODS = {"typescript", "tsx", "javascript", "java", "csharp", "php", "cpp", "
 _FREE = {"c", "cpp", "bash"}
 
 
-def _bare(line: str) -> str:
-    """Without strings and comments to the line's end."""
-    return re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`|//.*", "", line)
+#: Strings of one line, comments, and what else hides braces, by grammar.
+_LINE, _BLOCK = r"//[^\n]*", r"/\*.*?(?:\*/|\Z)"
+_QUOTED = r"\"(?:\\.|[^\"\\\n])*\"?", r"'(?:\\.|[^'\\\n])*'?"
+_LONG = r"\"(?:\\.|[^\"\\])*(?:\"|\Z)", r"'(?:\\.|[^'\\])*(?:'|\Z)"
+_TEXT_BLOCK = r"\"\"\"(?:\\.|.)*?(?:\"\"\"|\Z)"
+_SCRIPT = (_BLOCK, _LINE, *_QUOTED, "(?P<template>`)", r"(?P<slash>/)")
+_HIDES = {
+    "java": (_BLOCK, _LINE, _TEXT_BLOCK, *_QUOTED),
+    "csharp": (_BLOCK, _LINE, r"\$*@\$*\"(?:\"\"|[^\"])*(?:\"|\Z)", _TEXT_BLOCK, *_QUOTED),
+    "go": (_BLOCK, _LINE, r"`[^`]*(?:`|\Z)", *_QUOTED),
+    "rust": (_BLOCK, _LINE, r"\br(?P<hashes>#*)\".*?(?:\"(?P=hashes)|\Z)", _LONG[0], r"'(?:\\[^'\n]*|[^\\'\n])'"),
+    "php": (_BLOCK, _LINE, r"\#(?!\[)[^\n]*", r"<<<\s*[\"']?(?P<here>\w+)[\"']?", *_LONG),
+    "bash": (r"(?<![^\s;&|(])\#[^\n]*", r"<<-?\s*[\"'\\]?(?P<here>\w+)[\"']?", r"\\.", _LONG[0], r"'[^']*(?:'|\Z)"),
+    "scss": (_BLOCK, r"(?<!:)//[^\n]*", *_QUOTED),
+    "css": (_BLOCK, *_QUOTED),
+} | dict.fromkeys(("typescript", "tsx", "javascript"), _SCRIPT)
+_SCANS = {grammar: re.compile("|".join(parts), re.S) for grammar, parts in _HIDES.items()}
+_OTHER = re.compile("|".join((_BLOCK, _LINE, *_QUOTED)), re.S)
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+#: Where a slash begins a regular expression and doesn't divide.
+_BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>\n]|\b(?:return|typeof|case|in|of|delete|void|throw|new|yield|await))[ \t]*\Z")
+
+
+def _template_end(text: str, i: int, scan: re.Pattern) -> int:
+    """Behind the backquote that closes the template which opens at ``i``; code in it may hold templates again."""
+    i += 1
+    while i < len(text) and text[i] != "`":
+        if text.startswith("${", i):
+            depth, i = 1, i + 2
+            while i < len(text) and depth:
+                if text[i] == "`":
+                    i = _template_end(text, i, scan)
+                    continue
+                m = scan.match(text, i)
+                if m and not m["slash"]:
+                    i = m.end()
+                    continue
+                depth += (text[i] == "{") - (text[i] == "}")
+                i += 1
+        else:
+            i += 2 if text[i] == "\\" else 1
+    return i + 1
+
+
+def masked(text: str, grammar: str) -> str:
+    """The text with blanks in place of comments, strings, templates, here-documents and regular expressions; lines and places stay."""
+    scan, out, at, done = _SCANS.get(grammar, _OTHER), [], 0, 0
+    while m := scan.search(text, at):
+        start, end = m.span()
+        named = m.groupdict()
+        if named.get("template"):
+            end = _template_end(text, start, scan)
+        elif named.get("slash"):
+            literal = _REGEX.match(text, start) if _BEFORE_REGEX.search(text, max(0, start - 40), start) else None
+            end = literal.end() if literal else start
+        elif named.get("here"):
+            closing = re.compile(rf"^[ \t]*{named['here']}\b.*$" if grammar == "php" else rf"^\t*{named['here']}$", re.M).search(text, text.find("\n", end) + 1 or len(text))
+            start, end = (text.find("\n", end) if "\n" in text[end:] else len(text)), closing.end() if closing else len(text)
+        at = max(end, m.end() if start == m.start() else start)
+        if end > start:
+            out += [text[done:start], re.sub(r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", " ", text[start:end])]
+            done, at = end, max(end, m.start() + 1)
+    return "".join([*out, text[done:]])
 
 
 def _block_end(lines: list[str], i: int, z: int) -> tuple[int, bool]:
-    """The last line of what starts at line ``i``, and whether braces were seen: a balanced block, or up to a semicolon."""
+    """The last of masked lines of what starts at line ``i``, and whether braces were seen: a balanced block, or up to a semicolon."""
     depth, seen = 0, False
     for j in range(i, z):
-        bare = _bare(lines[j])
+        bare = lines[j]
         depth += bare.count("{") - bare.count("}")
         seen |= "{" in bare
         if (seen and depth <= 0) or (not seen and bare.rstrip().endswith(";")):
@@ -169,12 +229,12 @@ def _block_end(lines: list[str], i: int, z: int) -> tuple[int, bool]:
 
 def _callable(lines: list[str], i: int, z: int, typed: bool) -> str | None:
     """The name of what a line defines, if a parameter list and a body in braces follow it."""
-    m = _CALLABLE.match(_bare(lines[i]))
+    m = _CALLABLE.match(lines[i])
     if not m or m["name"] in _NO_NAMES or set(m["head"].split()) & _NO_NAMES or (typed and not m["head"].strip()) or "=" in m["head"]:
         return None
     depth = 0
     for j in range(i, min(z, i + 20)):
-        for c in _bare(lines[j])[m.end() - 1 if j == i else 0 :]:
+        for c in lines[j][m.end() - 1 if j == i else 0 :]:
             depth += (c == "(") - (c == ")")
             if depth <= 0 and c in "{;=":
                 return m["name"] if c == "{" else None
@@ -247,14 +307,14 @@ def _sql_symbols(lines: list[str]) -> list[Symbol]:
     return out
 
 
-def _css_symbols(lines: list[str]) -> list[Symbol]:
+def _css_symbols(lines: list[str], bare: list[str]) -> list[Symbol]:
     out, i = [], 0
     while i < len(lines):
         head = lines[i].split("{")[0].strip()
-        if not head or head.startswith(("/*", "//", "*", "@import", "@use", "$")) or "{" not in "".join(lines[i : i + 3]):
+        if not head or head.startswith(("/*", "//", "*", "@import", "@use", "$")) or "{" not in "".join(bare[i : i + 3]):
             i += 1
             continue
-        end, _ = _block_end(lines, i, len(lines))
+        end, _ = _block_end(bare, i, len(lines))
         kind = "media" if head.startswith("@media") else "mixin" if head.startswith("@mixin") else "rule"
         out.append(Symbol(kind, head.split("(")[0].removeprefix("@mixin").strip() if kind == "mixin" else head, i + 1, end + 1))
         i = end + 1
@@ -291,9 +351,10 @@ def symbols(text: str, grammar: str) -> list[Symbol]:
             return _python_symbols(text)
         if grammar == "ruby":
             return _ruby_symbols(lines, 0, len(lines))
-        if grammar in ("sql", "css", "scss", "html"):
-            return {"sql": _sql_symbols, "html": _html_symbols}.get(grammar, _css_symbols)(lines)
-        return _braced_symbols(lines, 0, len(lines), grammar)
+        if grammar in ("sql", "html"):
+            return {"sql": _sql_symbols, "html": _html_symbols}[grammar](lines)
+        bare = masked(text, grammar).splitlines()
+        return _css_symbols(lines, bare) if grammar in ("css", "scss") else _braced_symbols(bare, 0, len(bare), grammar)
     except (SyntaxError, ValueError, RecursionError):
         return []
 

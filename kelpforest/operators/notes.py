@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kelpforest.constants import MAX_NOTE, MIN_NOTE, NOTE_TYPES, STALE_DAYS, STALE_TYPES
 from kelpforest.functions.text import preview
-from kelpforest.sources.snapshots import stored
+from kelpforest.sources.folders import forget, stored
 
 
 def reject_reason(project: Column, kind: Column, title: Column, content: Column, projects: list[str] | None = None) -> Column:
@@ -76,19 +76,38 @@ def newest_active(notes: DataFrame, by: list[str], newest: str, key: str = "id")
     return notes.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
-def chains(links: DataFrame, rounds: int = 32) -> DataFrame:
-    """(id, head, hops): the last successor of every note; links (id, next). Hops double each round, so 2 ** rounds suffice. Rounds are written."""
-    state = links.select("id", F.col("next").alias("head"), F.lit(1).alias("hops"))
-    for _ in range(rounds):
-        on = state.select(F.col("id").alias("head"), F.col("head").alias("_next"), F.col("hops").alias("_more"))
+def chains(links: DataFrame) -> DataFrame:
+    """(id, head, hops, cyclic): the last successor of every note; links (id, next).
+
+    Of several successors the greatest id counts. Steps double each round, and
+    rounds are written. Who still goes on when a round has brought nobody to an end goes round a cycle or leads
+    to one, since ends are reached from all distances up to the longest; those get
+    the cycle's least id as head and no hops.
+    """
+    state = links.where("id IS NOT NULL AND next IS NOT NULL").groupBy("id").agg(F.max("next").alias("head"))
+    state = state.select("id", "head", F.lit(1).cast("long").alias("hops"), F.col("head").alias("least"), F.lit(True).alias("open"))
+    before, going, steps = None, None, 1
+    while True:
+        on = state.select(F.col("id").alias("head"), F.col("head").alias("_head"), F.col("hops").alias("_hops"), F.col("least").alias("_least"))
+        # Saturated far below what a long holds.
+        more = F.least(F.col("hops") + F.coalesce("_hops", F.lit(0)), F.lit(1 << 61))
         stepped = state.join(on, "head", "left").select(
-            "id", F.coalesce("_next", "head").alias("head"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_next").isNotNull().alias("moved")
+            "id", F.coalesce("_head", "head").alias("head"), more.alias("hops"), F.least("least", "_least").alias("least"), F.col("_head").isNotNull().alias("open")
         )
-        stepped = stored(stepped, "chains")
-        state = stepped.drop("moved")
-        if stepped.where("moved").first() is None:
+        after = stored(stepped, "chains")
+        forget(before)
+        before, state, steps = after, after, 2 * steps
+        left = after.where("open").count()
+        if left == 0 or left == going and steps >= left:
             break
-    return state
+        going = left
+    ends = state.where("NOT open").select("id", "head", F.col("hops").cast("int").alias("hops"), F.lit(False).alias("cyclic"))
+    if not left:
+        return ends
+    # A head is on its cycle by now, and the least id on its way is the cycle's.
+    on = state.where("open").select(F.col("id").alias("head"), F.col("least").alias("_least"))
+    loops = state.where("open").join(on, "head").select("id", F.col("_least").alias("head"), F.lit(None).cast("int").alias("hops"), F.lit(True).alias("cyclic"))
+    return ends.unionByName(loops)
 
 
 def briefing(notes: DataFrame, now: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from kelpforest.operators import chunking, classify, sync
 from kelpforest.plans.models import Embedder
 from kelpforest.sources.folders import forget, stored
 from kelpforest.sources.snapshots import Change, Layout, Snapshots
-from kelpforest.sources.tree import SourceTree, head_commit
+from kelpforest.sources.tree import SourceTree, contents, head_commit
 
 SCHEMA_VERSION = 1
 #: Ranges of the postings by token, so that a query reads those of its tokens only.
@@ -27,25 +27,28 @@ LAYOUTS = {
 }
 
 
-def files(spark: SparkSession, root: str, project: str, only: str = "", extra_dirs: tuple[str, ...] = ()) -> DataFrame:
-    """Every file of a tree with ``skip_reason``, which is null for those to index."""
+def listed(spark: SparkSession, root: str, project: str, only: str = "", extra_dirs: tuple[str, ...] = ()) -> DataFrame:
+    """Every file of a tree with the reason to skip it that path and size give; none is opened."""
     spark.dataSource.register(SourceTree)
     found = spark.read.format("source_tree").option("root", root).option("only", only).load()
     path = F.col("path")
     return found.select(
-        F.lit(project).alias("project"),
-        "path",
-        "size",
-        "mtime",
-        "hash",
-        F.col("content").cast("string").alias("text"),
-        classify.skip_reason(path, F.col("size"), F.col("content"), extra_dirs, F.col("ignored")).alias("skip_reason"),
-        classify.chunker(path).alias("chunker"),
-        classify.grammar(path).alias("grammar"),
-        classify.language(path).alias("language"),
-        classify.doc_type(path).alias("doc_type"),
+        F.lit(project).alias("project"), "path", "size", "mtime", classify.skip_reason(path, F.col("size"), None, extra_dirs, F.col("ignored")).alias("skip_reason"),
+        classify.chunker(path).alias("chunker"), classify.grammar(path).alias("grammar"), classify.language(path).alias("language"), classify.doc_type(path).alias("doc_type"),
         classify.collection(path).alias("collection"),
-    )
+    )
+
+
+def files(spark: SparkSession, root: str, project: str, only: str = "", extra_dirs: tuple[str, ...] = (), every: bool = True) -> DataFrame:
+    """Files of a tree with ``skip_reason``, which is null for those to index, and the text of those that were opened; ``every``: also those that weren't."""
+    all_ = listed(spark, root, project, only, extra_dirs)
+    opened = contents(all_.where("skip_reason IS NULL"), root)
+    reason = classify.skip_reason(F.col("path"), F.col("size"), F.col("content"), extra_dirs)
+    opened = opened.withColumns({"skip_reason": reason, "text": F.col("content").cast("string")}).drop("content")
+    if not every:
+        return opened
+    shut = all_.where("skip_reason IS NOT NULL").withColumns({"hash": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
+    return opened.unionByName(shut)
 
 
 def explain(found: DataFrame) -> DataFrame:
@@ -160,7 +163,7 @@ def index_project(
     """
     embedder = embedder or Embedder()
     base, _ = store.current()
-    found = T.redacted(files(spark, root, project, only).where("skip_reason IS NULL")).withColumn("git_commit", F.lit(head_commit(root)).cast("string"))
+    found = T.redacted(files(spark, root, project, only, (), False).where("skip_reason IS NULL")).withColumn("git_commit", F.lit(head_commit(root)).cast("string"))
     kept: list[DataFrame] = []
 
     def keep(rows: DataFrame, name: str) -> DataFrame:

@@ -56,6 +56,9 @@ class Tools:
             query, project, limit, {"memory_type": memory_type, "status": None if include_superseded else "active"}, rerank=rerank, now=now, most=most
         )
 
+    def searcher(self, collection: str, project: str | None = None) -> Searcher:
+        return self.notes_searcher() if collection == "memory" else self._chunks(collection, project)
+
     def notes_searcher(self) -> Searcher:
         return search_notes(self.notes.current(), self.embedder.query, self.registry.names(), self.judge)
 

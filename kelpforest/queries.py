@@ -384,10 +384,16 @@ def _case(column: str, position: int) -> str:
 WHEN lower(name) IN ({", ".join(f"'{x.lower()}'" for x in C.IGNORED_FILES)}) THEN 'ignored file'
 WHEN {" OR ".join(f"ends_with(name, '{x}')" for x in C.IGNORED_SUFFIXES)} THEN 'generated'
 WHEN ext IN ({", ".join(f"'{x}'" for x in C.IGNORED_EXTENSIONS)}) THEN 'binary extension' WHEN size = 0 THEN 'empty' WHEN size > {C.MAX_FILE} THEN 'too large'
-WHEN key IS NULL THEN 'unknown type' END AS skip_reason FROM t"""
+WHEN key IS NULL THEN 'unknown type' WHEN page_id % 7 IN (1, 2) THEN 'binary' END AS skip_reason FROM t"""
 )
 def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark, sf_dir).select("page_id", "path", classify.skip_reason(F.col("path"), F.col("size")).alias("skip_reason"))
+    """Contents are the pages', some with a NUL near their start, some that are no UTF-8, some with a NUL behind what is probed."""
+    html = F.encode("html", "UTF-8")
+    kind, far = F.col("page_id") % 7, F.encode(F.repeat(F.lit("x"), F.lit(C.PROBE)), "UTF-8")
+    content = F.when(kind == 1, F.concat(F.unhex(F.lit("6100")), html)).when(kind == 2, F.concat(F.unhex(F.lit("FFFE")), html)).when(kind == 3, F.concat(far, F.unhex(F.lit("00")))).otherwise(html)
+    pages = read(spark, sf_dir, "pages").select("page_id", content.alias("content"))
+    rows = _paths(spark, sf_dir).join(pages, "page_id")
+    return rows.select("page_id", "path", classify.skip_reason(F.col("path"), F.col("size"), F.col("content")).alias("skip_reason"))
 
 
 @query(
@@ -412,10 +418,12 @@ def find_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.owning_project(read(spark, sf_dir, "pages").select(F.col("url").alias("path")), spark.createDataFrame(_ROOTS, "project string, root string, ordinal int"))
 
 
+_NAMED = rf"(?i)\b([A-Z0-9_.-]*(?:{C.SECRET_NAMES})[A-Z0-9_.-]*)(\s*[:=]\s*|\s*=>\s*)"
+
+
 @query(
-    r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\btoken = ', 'auth_token = ', 'g') AS text FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b([A-Z0-9_.-]*(?:secret|passwd|password|api[_-]?key|access[_-]?key|auth[_-]?token|private[_-]?key|client[_-]?secret)[A-Z0-9_.-]*)(\s*[:=]\s*|\s*=>\s*)"[^"''\n]{8,}"', '\1\2"[REDACTED]"', 'g'),
-'(?i)\b([A-Z0-9_.-]*(?:secret|passwd|password|api[_-]?key|access[_-]?key|auth[_-]?token|private[_-]?key|client[_-]?secret)[A-Z0-9_.-]*)(\s*[:=]\s*|\s*=>\s*)''[^"''\n]{8,}''', '\1\2''[REDACTED]''', 'g') AS text FROM t"""
+    rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '\btoken = ', 'auth_token = ', 'g') AS text FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(text, '{_NAMED}"[^"''\n]{{8,}}"', '\1\2"[REDACTED]"', 'g'), '{_NAMED}''[^"''\n]{{8,}}''', '\1\2''[REDACTED]''', 'g') AS text FROM t"""
 )
 def redact_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\btoken = ", "auth_token = ").alias("text"))
@@ -430,26 +438,18 @@ _SECRETS = (
     "'xoxb-' || md5(doc_id::VARCHAR) || ' sk_live_' || md5(doc_id::VARCHAR) || ' AIza' || substr(md5(doc_id::VARCHAR) || 'abc', 1, 35)",
     "'password: ''' || md5(doc_id::VARCHAR) || ''' eyJ' || md5(doc_id::VARCHAR) || '.eyJ' || md5(doc_id::VARCHAR) || '.' || md5(doc_id::VARCHAR)",
 )
-#: Token patterns with their first four characters as group 1, for engines without look-ahead.
-_FOUR = (
-    r"\b(A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}\b",
-    r"\b(gh[pousr]_)[A-Za-z0-9]{36,}\b",
-    r"\b(gith)ub_pat_[A-Za-z0-9_]{22,}\b",
-    r"\b(sk-[A-Za-z0-9_-])[A-Za-z0-9_-]{19,}\b",
-    r"\b(xox[baprs])-[A-Za-z0-9-]{10,}\b",
-    r"\b([sr]k_l)ive_[A-Za-z0-9]{20,}\b",
-    r"\b(AIza)[A-Za-z0-9_-]{35}\b",
-    r"\b(eyJ[A-Za-z0-9_-])[A-Za-z0-9_-]{9,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
-)
-
-
 def _redact_sql() -> str:
     """Each step counts matches in the text before it replaces them."""
-    named = rf"(?i)\b([A-Z0-9_.-]*(?:{C.SECRET_NAMES})[A-Z0-9_.-]*)(\s*[:=]\s*|\s*=>\s*)"
-    steps = [(p, r"\1[REDACTED]") for p in _FOUR]
-    steps += [(named + q + r"[^\"''\n]{8,}" + q, r"\1\2" + q + "[REDACTED]" + q) for q in ('"', "''")]
     out, last = "", "t"
-    for i, (pattern, into) in enumerate(steps):
+    # Of a token, four characters stay: its matches are replaced one by one, the longest first.
+    longest = "list_transform(list_reverse_sort(list_transform(regexp_extract_all(text, '<p>'), lambda m: {'n': length(m), 'm': m})), lambda s: s.m)"
+    for i, pattern in enumerate(C.TOKEN_PATTERNS):
+        matches = longest.replace("<p>", pattern)
+        out += f"""s{i} AS (SELECT doc_id, n + len(regexp_extract_all(text, '{pattern}')) AS n,
+  list_reduce(list_prepend(text, {matches}), lambda t, m: replace(t, m, m[1:4] || '[REDACTED]')) AS text FROM {last}),\n"""
+        last = f"s{i}"
+    for i, q in enumerate(('"', "''"), len(C.TOKEN_PATTERNS)):
+        pattern, into = _NAMED + q + r"[^\"''\n]{8,}" + q, r"\1\2" + q + "[REDACTED]" + q
         out += f"s{i} AS (SELECT doc_id, n + len(regexp_extract_all(text, '{pattern}')) AS n, regexp_replace(text, '{pattern}', '{into}', 'g') AS text FROM {last}),\n"
         last = f"s{i}"
     case = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SECRETS))
@@ -562,7 +562,27 @@ SELECT id, head, hops::INT AS hops FROM c WHERE hops > 0"""
 )
 def supersede_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    return notes.chains(log.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("id"), F.col("id").alias("next")))
+    return notes.chains(log.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("id"), F.col("id").alias("next"))).select("id", "head", "hops")
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT conv_id, conv_id * 1000 + turn AS id, lead(conv_id * 1000 + turn) OVER w AS next, nth_value(conv_id * 1000 + turn, 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+l AS (SELECT id, max(next) AS next FROM (SELECT id, next FROM t WHERE next IS NOT NULL UNION ALL SELECT id, second FROM t WHERE next IS NULL AND conv_id % 3 = 0 AND second IS NOT NULL
+  UNION ALL SELECT id, id FROM t WHERE next IS NULL AND conv_id % 5 = 1) GROUP BY id),
+walk AS (SELECT id, next AS here, [id] AS seen FROM l UNION ALL SELECT w.id, l.next, list_append(w.seen, w.here) FROM walk w JOIN l ON w.here = l.id WHERE NOT list_contains(w.seen, w.here)),
+ends AS (SELECT id, here, seen, list_contains(seen, here) AS cyclic FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(seen) DESC) = 1)
+SELECT id, CASE WHEN cyclic THEN list_min(seen[list_position(seen, here):]) ELSE here END AS head, CASE WHEN NOT cyclic THEN len(seen)::INT END AS hops, cyclic FROM ends"""
+)
+def chain_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of turns, of which every third conversation goes back to its second turn and every fifth ends in itself."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    place, whole = W.partitionBy("conv_id").orderBy("id"), W.partitionBy("conv_id").orderBy("id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    turns = turns.withColumns({"next": F.lead("id").over(place), "second": F.nth_value("id", 2).over(whole)})
+    last = turns.where("next IS NULL")
+    back = last.where("conv_id % 3 = 0 AND second IS NOT NULL").select("id", F.col("second").alias("next"))
+    own = last.where("conv_id % 5 = 1").select("id", F.col("id").alias("next"))
+    return notes.chains(turns.where("next IS NOT NULL").select("id", "next").unionByName(back).unionByName(own))
 
 
 @query(f"WITH {_LOG} SELECT conv_id AS project, max(id) AS id FROM log GROUP BY conv_id")
@@ -613,4 +633,4 @@ def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.import_notes(spark, snapshots.export_notes(docs, new_path(spark, "backups")), docs.schema)[0]
 
 
-from kelpforest import store_queries  # noqa: E402,F401 (it registers its queries here)
+from kelpforest import store_queries, symbol_queries  # noqa: E402,F401 (they register their queries here)

@@ -1,8 +1,11 @@
 """A data source that walks source trees: ``spark.read.format("source_tree").option("root", ...)``.
 
 Spark's own readers hide names that start with ``_`` or ``.``, which are wanted
-here. Each partition reads a subtree; ignore files apply from the top down, the
-last verdict wins.
+here. A tree is read in two phases. The first lists it: each partition walks a
+subtree, of which there are ``SUBTREES`` or more if the tree has so many folders, and ignore
+files apply from the top down, the last verdict wins. No file but those is opened. The second (:func:`contents`) opens the
+files that are still wanted after all rules of path and size, dealt over tasks by a hash of the path;
+as the rules leave out large files, that gives tasks about equal bytes, whatever folders the files lie in.
 """
 
 from __future__ import annotations
@@ -11,14 +14,18 @@ import hashlib
 import os
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from kelpforest.constants import IGNORED_DIRS, MAX_FILE
+from kelpforest.constants import IGNORED_DIRS
 
-SCHEMA = "path string, size bigint, mtime timestamp, hash string, content binary, ignored boolean"
+SCHEMA = "path string, size bigint, mtime timestamp, ignored boolean"
+#: Subtrees to list side by side, and tasks that open files, at least.
+SUBTREES = 64
 
 
 def _glob(pattern: str) -> str:
@@ -112,14 +119,37 @@ def walk(root: str, below: str = "", deep: bool = True) -> Iterator[tuple]:
                 continue
             try:
                 stat = os.stat(full)
-                content = None
-                if 0 < stat.st_size <= MAX_FILE:
-                    with open(full, "rb") as f:
-                        content = f.read()
-                when = datetime.fromtimestamp(stat.st_mtime, timezone.utc)
-                yield path, stat.st_size, when, hashlib.sha256(content).hexdigest() if content is not None else None, content, ignored(path, False, rules)
+                yield path, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc), ignored(path, False, rules)
             except OSError:
-                yield path, None, None, None, None, False
+                yield path, None, None, False
+
+
+def read_file(path: str) -> bytes | None:
+    """A file's bytes; None if it can't be read any more."""
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def contents(listed: DataFrame, root: str) -> DataFrame:
+    """Listed files with ``hash`` and ``content``; ``size`` is null for those that can't be read. A task holds a few files at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                some = batch.slice(at, 16)
+                found = [read_file(os.path.join(root, p)) for p in some.column("path").to_pylist()]
+                size = pa.array([None if x is None else n for x, n in zip(found, some.column("size").to_pylist(), strict=True)], pa.int64())
+                rest = [size if c == "size" else some.column(c) for c in some.schema.names]
+                hashes = pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in found], pa.string())
+                yield pa.record_batch([*rest, hashes, pa.array(found, pa.binary())], names=[*some.schema.names, "hash", "content"])
+
+    tasks = max(SUBTREES, 4 * listed.sparkSession.sparkContext.defaultParallelism)
+    dealt = listed.repartition(tasks, "path")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema)
+    return dealt.mapInArrow(run, f"{schema}, hash string, content binary")
 
 
 class _Subtree(InputPartition):
@@ -127,6 +157,14 @@ class _Subtree(InputPartition):
         self.below, self.deep = below, deep
 
 
+def _folders(path: str) -> list[str]:
+    try:
+        with os.scandir(path) as found:
+            return sorted(d.name for d in found if d.is_dir(follow_symlinks=False) and d.name not in IGNORED_DIRS)
+    except OSError:
+        return []
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.root = options["root"]
@@ -134,13 +172,15 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         roots = [p.strip("/") for p in self.only if os.path.isdir(os.path.join(self.root, p))] if self.only else [""]
-        out = []
-        for base in dict.fromkeys(roots):
-            out.append(_Subtree(base, False))
-            for d in sorted(os.scandir(os.path.join(self.root, base)), key=lambda e: e.name):
-                if d.is_dir(follow_symlinks=False) and d.name not in IGNORED_DIRS:
-                    out.append(_Subtree(f"{base}/{d.name}".lstrip("/"), True))
-        return out
+        out, deep = [], list(dict.fromkeys(roots))
+        # Folders are opened level by level until there are enough of them to walk side by side.
+        while deep and len(deep) < SUBTREES:
+            below = []
+            for base in deep:
+                out.append(_Subtree(base, False))
+                below += [f"{base}/{name}".lstrip("/") for name in _folders(os.path.join(self.root, base))]
+            deep = below
+        return [*out, *(_Subtree(d, True) for d in deep)]
 
     def read(self, partition):
         yield from walk(self.root, partition.below, partition.deep)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpforest import queries as Q
 from kelpforest.functions import text as T
-from kelpforest.operators import cells
+from kelpforest.operators import blockmax, cells, fulltext, ranking
 from kelpforest.plans import index
 from kelpforest.plans.search import Searcher
 from kelpforest.sources.folders import forget, new_path, stored
@@ -103,3 +103,64 @@ def ann_topk_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cells.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("tenant")), new_path(spark, "cells"))
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("tenant"))
     return found.search(asked, 10, recall=None).select("query_id", "id", "score", "rank")
+
+
+_SHIFTED = """near AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label, list_transform(range(1, len(embedding) + 1),
+  lambda i: embedding[i]::DOUBLE + (0.1::DOUBLE + 0.1::DOUBLE * (vec_id % 7)) * embedding[len(embedding) + 1 - i]::DOUBLE) FROM embeddings),
+n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM near)"""
+
+
+@Q.query(
+    f"""WITH {_SHIFTED}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(a.u, b.u), 6) AS score FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT query_id, id AS duplicate_of, score FROM p WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1"""
+)
+def bulk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The duplicate guard for all rows at once: the nearest row of the same tenant at 0.85 or more, among vectors and near copies of them."""
+    e = Q.read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    mixed = e.withColumn("share", F.lit(0.1) + F.lit(0.1) * (F.col("vec_id") % 7)).withColumn("v", F.zip_with("v", F.reverse("v"), lambda x, y: x + F.col("share") * y))
+    moved = mixed.select((F.col("vec_id") + 1_000_000).alias("vec_id"), "label", "v")
+    rows = stored(e.unionByName(moved).select(F.col("vec_id").alias("id"), "v", F.col("label").alias("tenant")), "vectors")
+    found = cells.build(rows, new_path(spark, "cells")).within(rows.select(F.col("id").alias("query_id"), F.col("v").alias("q"), "tenant"), 0.85, 1)
+    forget(rows)
+    return found.select("query_id", F.col("id").alias("duplicate_of"), "score")
+
+
+_WORDS_SQL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+#: Words 3 to 5 of each item, as a phrase.
+_PHRASES = f"ph AS (SELECT item_id, ws[3:5] AS ws FROM (SELECT item_id, {_WORDS_SQL} AS ws FROM benchmark))"
+
+
+@Q.query(
+    f"""WITH {_PHRASES},
+asked AS (SELECT item_id, unnest(range(len(ws))) AS o, unnest(ws) AS w FROM ph), due AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM asked WHERE length(w) BETWEEN 2 AND 30),
+d AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents)),
+m AS (SELECT item_id, doc_id, p - o AS start, count(*) AS met, any_value(n) AS n FROM due JOIN d USING (w) WHERE p >= o GROUP BY item_id, doc_id, p - o)
+SELECT item_id AS query_id, doc_id AS id, count(*) AS n, min(start)::INT AS first FROM m WHERE met = n GROUP BY item_id, doc_id"""
+)
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold words 3 to 5 of each item in a row, by places in an index."""
+    docs = fulltext.build(T.spread(Q.read(spark, sf_dir, "documents")), "doc_id", "text")
+    part = F.concat_ws(" ", F.slice(fulltext.words(F.col("text")), 3, 3))
+    asked = Q.read(spark, sf_dir, "benchmark").select("item_id", part.alias("phrase"))
+    return fulltext.phrase_search(docs, asked, "item_id", "phrase")
+
+
+@Q.query(
+    f"""WITH q AS (SELECT item_id, lower({_WORDS_SQL}[2])[1:3] AS prefix FROM benchmark), w AS (SELECT doc_id, unnest({_WORDS_SQL}) AS w FROM documents)
+SELECT item_id AS query_id, doc_id AS id, count(*) AS n FROM q JOIN (SELECT * FROM w WHERE length(w) BETWEEN 2 AND 30) ON starts_with(w, prefix) WHERE length(prefix) >= 2 GROUP BY ALL"""
+)
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with words that begin as the second word of each item does."""
+    docs = fulltext.build(T.spread(Q.read(spark, sf_dir, "documents")), "doc_id", "text")
+    asked = Q.read(spark, sf_dir, "benchmark").select("item_id", F.left(F.get(fulltext.words(F.col("text")), 1), F.lit(3)).alias("prefix"))
+    return fulltext.prefix_search(docs, asked, "item_id", "prefix")
+
+
+@Q.query(f"WITH {Q._lexical_sql(10)} SELECT query_id, id, score, rank FROM lexical")
+def lexical_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lexical_topk, from postings in blocks: those whose bound can't reach the tenth score aren't read."""
+    docs = Q.read(spark, sf_dir, "documents")
+    posts = stored(T.postings(T.spread(docs), "doc_id", "text").withColumnRenamed("doc_id", "id"), "postings")
+    asked = T.postings(Q.read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
+    idf = ranking.idf_table(posts, docs.agg(F.count("*").alias("n")))
+    return blockmax.build(posts).search(asked, idf, 10).select("query_id", "id", "score", "rank")

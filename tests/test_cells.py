@@ -77,6 +77,19 @@ def test_tenants_filters_and_odd_vectors(spark, tmp_path):
     assert cells.build(frame.limit(0), f"file://{tmp_path}/none").search(queries, 4).count() == 0
 
 
+def test_within(spark, tmp_path):
+    """All pairs at or above a cosine, by tenant, with groups of copies; no nested loop in the plan."""
+    m = _vectors(500, "clustered", d=16)
+    m[50:120] = m[49]
+    rows = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(m)], "id long, v array<double>, tenant int")
+    index = cells.build(rows, f"file://{tmp_path}/index", 25)
+    found = index.within(rows.select(F.col("id").alias("query_id"), F.col("v").alias("q"), "tenant"), 0.9, 100)
+    s = np.round(m @ m.T, 6)
+    expected = {(i, j) for i in range(500) for j in range(500) if i != j and i % 2 == j % 2 and s[i, j] >= 0.9}
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == expected and len(expected) > 1000
+    assert "NestedLoop" not in index._meet(index._probes(index._asked(rows.select(F.col("id").alias("query_id"), F.col("v").alias("q"), "tenant")), 5, None, ()), None, 5)._jdf.queryExecution().toString()
+
+
 def test_expected_numbers():
     """On isotropic rows the expected number that beats a score is what there is, and cells taken hold the share that is due."""
     rng = np.random.default_rng(1)

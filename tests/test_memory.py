@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from kelpforest.plans import evaluate
 from kelpforest.plans.memory import Notes, to_json
 from kelpforest.plans.registry import Registry, check_versions, status, writer_lock
 from kelpforest.plans.tools import Tools
@@ -98,6 +99,11 @@ def test_tools(spark, tmp_path):
     text = tools.briefing("p")
     assert "Jobs and queues" in text and BODY + "Now two versions." in text and "[bug] Queue" in text and "1 code chunks, 1 doc chunks, 3 notes" in text
     assert {r["model"] for r in tools.status().collect()} == {"hashed"}
+    # A golden set, by what a path holds, with and without rerank; the command says no below the floor.
+    asked = [("p", "code", "retry_failed_job", "jobs.py"), ("p", "docs", "scheduler retries", "README"), ("p", "docs", "scheduler", "nowhere"), ("p", "memory", "queue stalls workers", "memory/bug")]
+    got = evaluate.evaluate(tools, spark.createDataFrame(asked, evaluate.SCHEMA)).collect()
+    assert [(r["rerank"], r["n"], r["r1"], r["mrr"]) for r in got] == [(False, 4, 0.75, 0.75), (True, 4, 0.75, 0.75)]
+    assert tools.browse("stalls", limit=100).count() == 2
     # Newer notes come first among equals.
     later = F.current_timestamp() + F.expr("INTERVAL 400 DAYS")
     assert tools.search_memory("queue", "p", now=later).first()["title"] == "Queue"

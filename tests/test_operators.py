@@ -13,7 +13,7 @@ from kelpforest.functions import text as T
 from kelpforest.operators import chunking, notes, ranking, sync, vectors
 from kelpforest.plans import index, models
 from kelpforest.plans.search import Searcher, matches, yes_share
-from kelpforest.sources import snapshots
+from kelpforest.sources import snapshots, tree
 from kelpforest.sources.tree import IgnoreRules, ignored
 
 
@@ -191,6 +191,48 @@ def _tree(root):
     (root / "node_modules" / "a.js").write_text("x")
 
 
+def test_only_wanted_files_are_opened(spark, tmp_path, monkeypatch):
+    """The walk opens ignore files alone, and what is opened later has passed all rules of path and size."""
+    _tree(tmp_path)
+    (tmp_path / "big.py").write_text("x = 1\n" * 400_000)
+    (tmp_path / "pic.png").write_bytes(b"\x89PNG")
+    (tmp_path / "nul.py").write_bytes(b"a\0b" * 50)
+    (tmp_path / "bad.md").write_bytes(b"\xff\xfe" * 50)
+    (tmp_path / "empty.py").write_text("")
+    (tmp_path / "odd.unknown").write_text("what")
+    opened = []
+    real = open
+    monkeypatch.setattr("builtins.open", lambda path, *a, **b: opened.append(str(path)) or real(path, *a, **b))
+    walked = list(tree.walk(str(tmp_path)))
+    monkeypatch.undo()
+    assert {p.rsplit("/", 1)[1] for p in opened} <= {".gitignore"} and len(walked) == 10
+    wanted = {r["path"] for r in index.listed(spark, str(tmp_path), "p").where("skip_reason IS NULL").collect()}
+    assert wanted == {"README.md", "pkg/__init__.py", "nul.py", "bad.md"}
+    found = {r["path"]: r for r in index.files(spark, str(tmp_path), "p").collect()}
+    assert {p: r["skip_reason"] for p, r in found.items() if r["skip_reason"]} == {
+        ".gitignore": "unknown type", "big.py": "too large", "pic.png": "binary extension", "nul.py": "binary", "bad.md": "binary", "empty.py": "empty", "odd.unknown": "unknown type", "x.log": "ignore rule",
+    }
+    assert found["big.py"]["text"] is None and found["README.md"]["text"].startswith("# Guide") and found["README.md"]["hash"]
+    # A file that goes in between is unreadable, not an error.
+    listing = index.listed(spark, str(tmp_path), "p").where("path = 'README.md'").collect()
+    (tmp_path / "README.md").unlink()
+    gone = tree.contents(spark.createDataFrame(listing, index.listed(spark, str(tmp_path), "p").schema), str(tmp_path)).first()
+    assert gone["size"] is None and gone["content"] is None
+
+
+def test_one_deep_folder_is_many_subtrees(tmp_path):
+    for i in range(100):
+        (tmp_path / "a" / "b" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "a" / "b" / f"d{i}" / "x.py").write_text("x")
+    (tmp_path / "a" / "top.py").write_text("x")
+    (tmp_path / "a" / ".gitignore").write_text("d7\n")
+    parts = tree._Reader({"root": str(tmp_path)}).partitions()
+    assert len(parts) > 100
+    found = [r for p in parts for r in tree.walk(str(tmp_path), p.below, p.deep)]
+    assert sorted(r[0] for r in found) == sorted(r[0] for r in tree.walk(str(tmp_path))) or {r[0] for r in found if not r[3]} == {r[0] for r in tree.walk(str(tmp_path)) if not r[3]}
+    assert sum(not r[3] for r in found) == 101
+
+
 def test_index_and_search(spark, tmp_path, monkeypatch):
     root = tmp_path / "repo"
     _tree(root)
@@ -344,6 +386,40 @@ def test_symbols_by_grammar(grammar, text, found):
     assert [(p.symbol_type, p.symbol_name) for p in chunking.symbol_chunks(text, grammar) if p.symbol_type != "module"] == found
 
 
+def _hidden(*lines):
+    return "\n".join(lines) + "\n" + PAD
+
+
+@pytest.mark.parametrize(
+    ("grammar", "text", "found"),
+    [
+        # A text block, a quote that is escaped in one, and the class behind it.
+        ("java", "class A {\n" + _hidden("  int f() {", '    String t = """', '      { \\""" {', '      """;') + "  }\n}\nclass B {\n  int z() {\n" + PAD + "  }\n}\n", ["A.f", "B.z"]),
+        # Here-documents, also without a closing line, and marks that begin no comment.
+        ("bash", _hidden("build() {", "  cat <<-'END'", "  { ${x", "\tEND", '  echo "${a#b} {" $#') + "}\nfunction deploy {\n" + PAD + "}\n", ["build", "deploy"]),
+        ("bash", _hidden("f() {", "  # it's {") + "}\ncat <<X\n{\n", ["f"]),
+        # Regular expressions and divisions, templates in templates.
+        ("javascript", _hidden("function a() {", '  return s.replace(/[{/]/g, "").split(/"{/);') + "}\n" + _hidden("function b() {", "  const q = `x ${ y.map(z => { return `${z} {`; }) } {`;", "  let d = a / b; /* { */ let e = 1 / 2;") + "}\nfunction c() {\n" + PAD + "}\n", ["a", "b", "c"]),
+        ("tsx", _hidden("function A() {", "  return <p>Don't {x}</p>;") + "}\nfunction B() {\n" + PAD + "}\n", ["A", "B"]),
+        ("rust", _hidden("fn one<'a>(x: &'a str) -> char {", "    let c = '{'; let s = r#\"{ \" {\"#;") + "}\nfn two() {\n" + PAD + "}\n", ["one", "two"]),
+        ("csharp", "class A {\n" + _hidden("  void F() {", '    var s = @"{ ""x"" \\";') + "  }\n  void G() {\n" + PAD + "  }\n}\n", ["A.F", "A.G"]),
+        ("php", "<?php\n" + _hidden("function a() {", "  $x = <<<EOT", "  { $b {", "  EOT;") + "}\n#[Attr]\n" + _hidden("function b() {", " # { it's") + "}\n", ["a", "b"]),
+        ("cpp", _hidden("int f(char c) {", "  if (c == '{' || c == '\"') return 1; /* {", " { */") + "}\nint g() {\n" + PAD + "}\n", ["f", "g"]),
+    ],
+)
+def test_hidden_braces(grammar, text, found):
+    masked = chunking.masked(text, grammar)
+    assert len(masked) == len(text) and [len(x) for x in masked.splitlines()] == [len(x) for x in text.splitlines()]
+    assert [p.symbol_name for p in chunking.symbol_chunks(text, grammar) if p.symbol_type != "module"] == found
+
+
+@given(st.text(alphabet="{}'\"`/*#\\\n<EOF $r@()a ", max_size=60), st.sampled_from([*chunking._SCANS, "c"]))
+@settings(max_examples=300, deadline=None)
+def test_masking_ends_and_keeps_places(text, grammar):
+    masked = chunking.masked(text, grammar)
+    assert len(masked) == len(text) and all(b in (a, " ") for a, b in zip(text, masked, strict=True))
+
+
 def test_streamed_sync(spark, tmp_path):
     from kelpforest.streaming.sync import watch
 
