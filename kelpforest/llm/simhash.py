@@ -493,7 +493,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     to each document, then those further off, always between documents that
     nothing connects yet. Each open pair has its turn in one of the layers, and
     only pairs of documents that are connected anyway are spared, so groups of
-    near copies cost about a row a document, and no link is lost.
+    near copies cost about a row a document. What is lost are links that aren't
+    candidates: by calculation about one in fifty of those at exactly 0.8, one
+    in a thousand at 0.9 (at sf0.01 one of five links between different texts).
 
     Texts that are null, empty or without words are one group. Of equal ids the
     first row stays; rows with a null id stay only where their group has no
