@@ -177,7 +177,8 @@ class Snapshots:
         first = order[0] if order else None
         try:
             if rows is not None:
-                dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+                # Either way small partitions are put together, and none is written empty.
+                dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows.hint("rebalance")
                 dealt.write.parquet(to)
                 low, high = (F.min(first), F.max(first)) if first else (F.lit(None), F.lit(None))
                 each = self.spark.read.schema(rows.schema).parquet(to).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("rows"), low.alias("low"), high.alias("high"))

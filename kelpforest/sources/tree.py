@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from kelpforest.constants import IGNORED_DIRS
 
 SCHEMA = "path string, size bigint, mtime timestamp, ignored boolean"
-#: Subtrees to list side by side, and tasks that open files, at least.
+#: Subtrees to list side by side, at least.
 SUBTREES = 64
 
 
@@ -146,8 +146,7 @@ def contents(listed: DataFrame, root: str) -> DataFrame:
                 hashes = pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in found], pa.string())
                 yield pa.record_batch([*rest, hashes, pa.array(found, pa.binary())], names=[*some.schema.names, "hash", "content"])
 
-    tasks = max(SUBTREES, 4 * listed.sparkSession.sparkContext.defaultParallelism)
-    dealt = listed.repartition(tasks, "path")
+    dealt = listed.repartition(4 * listed.sparkSession.sparkContext.defaultParallelism, "path")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema)
     return dealt.mapInArrow(run, f"{schema}, hash string, content binary")
 
