@@ -184,6 +184,10 @@ STEPS = 64
 NEAR_ROUNDS = 4
 #: Open pairs are settled in layers, from the likeliest of each member on: up to so many each, then so many times as far as the last.
 LAYERS, LAYER = (4,), 8
+#: Shingles that a task holds, about, to tell which of them only one member of open sets has.
+SLICE = 1 << 20
+#: In place of a shingle's owner: several rows have it.
+SEVERAL = -1
 
 
 def bits_at(similarity: float, deviations: float, words: int = WORDS) -> int:
@@ -426,6 +430,49 @@ def _similar(least: float):
     return run
 
 
+def _dealt(slices: int):
+    """(slice, hashes, owners): a batch's shingles by slices, those of several of its rows once and without an owner."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
+            if not sum(map(len, found)):
+                continue
+            owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            hashes, at, times = np.unique(np.concatenate(found), return_index=True, return_counts=True)
+            owners, part = np.where(times > 1, SEVERAL, owners[at]), (hashes % np.uint64(slices)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            parts, starts = np.unique(part[order], return_index=True)
+            cut = lambda x: pa.array([y.tobytes() for y in np.split(x[order], starts[1:])], pa.binary())
+            yield pa.record_batch([pa.array(parts), cut(hashes), cut(owners)], names=["slice", "hashes", "owners"])
+
+    return run
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """(row, n): how many of a slice's shingles only this row has."""
+    hashes, owners = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("hashes", "<u8"), ("owners", "<i8")))
+    _, at, times = np.unique(hashes, return_index=True, return_counts=True)
+    own = owners[at[times == 1]]
+    rows, n = np.unique(own[own != SEVERAL], return_counts=True)
+    return pa.table({"row": rows.astype(np.int64), "n": n.astype(np.int64)})
+
+
+def can_link(sets: DataFrame, similarity: float) -> DataFrame:
+    """(row,) of ``sets`` (row, shingles) without those that are like no other one.
+
+    A set with this similarity to another shares at least that part of its
+    shingles, so one with more shingles that no other set has can't link.
+    """
+    sized = sets.withColumn("size", F.octet_length("shingles") / 8)
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0.0))).first()[0]
+    slices = int(total) // SLICE + 1
+    dealt = sets.select("row", "shingles").mapInArrow(_dealt(slices), "slice long, hashes binary, owners binary")
+    alone = dealt.groupBy("slice").applyInArrow(_alone, "row long, n long").groupBy("row").agg(F.sum("n").alias("n"))
+    shared = F.col("size") - F.coalesce("n", F.lit(0))
+    return sized.join(alone, "row", "left").where(shared >= F.lit(similarity) * F.col("size") - 1e-6).select("row")
+
+
 def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links that connect all that ``pairs`` (set, a, b), likely ones, hold of pairs with this similarity."""
     near_bits, most = bits_at(similarity, -3), bits_at(similarity, 3)
@@ -463,6 +510,14 @@ def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similari
             break
         roots = stored(components(grown(roots, near)), "near-roots")
     first = roots
+    # Of sets that aren't connected yet, members without enough shingles in common with any other one are done: nothing is like them.
+    mixed = rooted(first).groupBy("set").agg(F.min("r0").alias("low"), F.max("r0").alias("high")).where("low < high").select("set")
+    unsettled = stored(members.join(mixed, "set", "left_semi"), "open-members")
+    rows = unsettled.select(F.col("a").alias("row")).distinct()
+    able = can_link(sets.join(rows, "row", "left_semi"), similarity)
+    forget(members)
+    members = stored(unsettled.join(able.withColumnRenamed("row", "a"), "a", "left_semi").select("set", "a", "x"), "able-members")
+    forget(unsettled)
     largest = members.groupBy("set").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     low, high = 0, LAYERS[0]
     while True:
@@ -492,8 +547,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     done in layers: a forest of copies with few changes, then the pairs nearest
     to each document, then those further off, always between documents that
     nothing connects yet. Each open pair has its turn in one of the layers, and
-    only pairs of documents that are connected anyway are spared, so groups of
-    near copies cost about a row a document. What is lost are links that aren't
+    only pairs of documents that are connected anyway are spared, as are
+    documents more than a fifth of whose shingles no other open one has, so
+    groups of near copies cost about a row a document. What is lost are links that aren't
     candidates: by calculation about one in fifty of those at exactly 0.8, one
     in a thousand at 0.9 (at sf0.01 one of five links between different texts).
 

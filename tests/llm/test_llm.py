@@ -399,6 +399,21 @@ def test_layers_hold_every_open_pair():
     assert joined.tolist() == [0, 1, 2, 3, 4, 1, 2, 1]
 
 
+def test_can_link(spark, monkeypatch):
+    """Equals counting by hand, whatever the number of slices and batches; a link is never given up."""
+    rng = np.random.default_rng(7)
+    base = np.arange(1000, 1040, dtype="<u8")
+    sets = [base, base, base[:0], *(np.unique(np.r_[base[k % 9 :], rng.integers(1 << 60, size=k, dtype="u8")]).astype("<u8") for k in range(60))]
+    count = Counter(x for s in sets for x in s.tolist())
+    due = {i for i, s in enumerate(sets) if sum(count[x] > 1 for x in s.tolist()) >= 0.8 * len(s)}
+    linked = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len(a) and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))}
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "row long, shingles binary").repartition(3)
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(simhash, "SLICE", size)
+        assert {r["row"] for r in simhash.can_link(rows, 0.8).collect()} == due >= linked
+    assert len(linked) > 5 and len(due) < len(sets) and simhash.can_link(rows.limit(0), 0.8).count() == 0
+
+
 def test_one_of_each_around_the_limit(spark):
     random = np.random.default_rng(8)
     texts = []
