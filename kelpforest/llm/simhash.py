@@ -364,10 +364,11 @@ def _near_links(sure: int):
     return run
 
 
-def layer_pairs(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, now: np.ndarray, most: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+def layer_pairs(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, now: np.ndarray, most: int, low: int, high: int, counts: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Open pairs of a set that are among the ``low``-th to ``high``-th likeliest of the end that owns them, and not connected by now.
 
-    Open are pairs of ``most`` bits at most that ``first`` roots don't connect. The end in the smaller group owns a pair, so a large group
+    Open are pairs of ``most`` bits at most that ``first`` roots don't connect and, with ``counts`` (shared, sizes, similarity), whose ends both
+    share enough shingles with others. The end in the smaller group owns a pair, so a large group
     has no row for each member where one document is open to all of them. A document's pairs go by bits and node, alike in every layer.
     """
     left, right = [], []
@@ -383,7 +384,12 @@ def layer_pairs(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, now: np
             bits = np.zeros((len(some), len(others)), np.int32)
             for k in range(words.shape[1]):
                 bits += np.bitwise_count(words[some, k][:, None] ^ words[others, k][None, :])
-            i, j = np.nonzero(bits <= most)
+            open_ = bits <= most
+            if counts:
+                shared, sized, similarity = counts
+                both = np.minimum(shared[some][:, None], shared[others][None, :])
+                open_ &= (1 + similarity) * both >= similarity * (sized[some][:, None] + sized[others][None, :]) - 1e-6
+            i, j = np.nonzero(open_)
             order = np.lexsort((nodes[others[j]], bits[i, j], i))
             i, j = i[order], j[order]
             rank = np.arange(len(i)) - np.searchsorted(i, i)
@@ -393,9 +399,10 @@ def layer_pairs(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, now: np
     return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
 
 
-def _layer(most: int, low: int, high: int):
+def _layer(similarity: float, most: int, low: int, high: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield _link_batch([tuple(layer_pairs(nodes, words, *roots, most, low, high)) for nodes, words, roots in _each_set(batches)])
+        sets = _each_set(batches)
+        yield _link_batch([tuple(layer_pairs(nodes, words, first, now, most, low, high, (*counts, similarity))) for nodes, words, (first, now, *counts) in sets])
 
     return run
 
@@ -459,18 +466,18 @@ def _alone(table: pa.Table) -> pa.Table:
 
 
 def can_link(sets: DataFrame, similarity: float) -> DataFrame:
-    """(row,) of ``sets`` (row, shingles) without those that are like no other one.
+    """(row, shared, size) of ``sets`` (row, shingles), with the number of shingles that others have too, without those that are like no other one.
 
     A set with this similarity to another shares at least that part of its
     shingles, so one with more shingles that no other set has can't link.
     """
-    sized = sets.withColumn("size", F.octet_length("shingles") / 8)
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0.0))).first()[0]
+    sized = sets.select("row", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("size"))
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     slices = int(total) // SLICE + 1
     dealt = sets.select("row", "shingles").mapInArrow(_dealt(slices), "slice long, hashes binary, owners binary")
     alone = dealt.groupBy("slice").applyInArrow(_alone, "row long, n long").groupBy("row").agg(F.sum("n").alias("n"))
-    shared = F.col("size") - F.coalesce("n", F.lit(0))
-    return sized.join(alone, "row", "left").where(shared >= F.lit(similarity) * F.col("size") - 1e-6).select("row")
+    counted = sized.join(alone, "row", "left").select("row", (F.col("size") - F.coalesce("n", F.lit(0))).alias("shared"), "size")
+    return counted.where(F.col("shared") >= F.lit(similarity) * F.col("size") - 1e-6)
 
 
 def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -492,7 +499,7 @@ def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similari
         out = members
         for k, table in enumerate(tables):
             out = out.join(table.select(F.col("node").alias("a"), F.col("root").alias(f"_{k}")), "a", "left")
-        out = out.select("set", "a", "x", *(F.coalesce(f"_{k}", "a").alias(f"r{k}") for k in range(len(tables))))
+        out = out.select("set", "a", "x", *(F.coalesce(f"_{k}", "a").alias(f"r{k}") for k in range(len(tables))), *(c for c in ("shared", "size") if c in members.columns))
         return out.repartition("set").sortWithinPartitions("set", "a")
 
     def grown(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -516,12 +523,12 @@ def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similari
     rows = unsettled.select(F.col("a").alias("row")).distinct()
     able = can_link(sets.join(rows, "row", "left_semi"), similarity)
     forget(members)
-    members = stored(unsettled.join(able.withColumnRenamed("row", "a"), "a", "left_semi").select("set", "a", "x"), "able-members")
+    members = stored(unsettled.join(able.withColumnRenamed("row", "a"), "a").select("set", "a", "x", "shared", "size"), "able-members")
     forget(unsettled)
     largest = members.groupBy("set").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     low, high = 0, LAYERS[0]
     while True:
-        found = rooted(first, roots).mapInArrow(_layer(most, low, high), "a long, b long")
+        found = rooted(first, roots).mapInArrow(_layer(similarity, most, low, high), "a long, b long")
         if low == 0:
             found = found.unionByName(scored.select("a", "b"))
         found = stored(found.distinct(), "open-pairs")
