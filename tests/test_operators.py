@@ -1,4 +1,5 @@
 import math
+import time
 import uuid
 import zlib
 from datetime import datetime
@@ -429,3 +430,21 @@ def test_streamed_sync(spark, tmp_path):
     seen = []
     watch(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), lambda: old, lambda rows, n: seen.extend(rows.collect()), f"{tmp_path}/cp").awaitTermination()
     assert {(r["path"], r["action"]) for r in seen} == {("a", "index"), ("b", "unchanged")}
+
+
+def test_long_blank_lines_cost_their_length():
+    """A comment of 40,000 characters is a line of blanks once it is masked; a name is looked for in it, too."""
+    began = time.process_time()
+    for grammar, opening in (("c", "// "), ("cpp", "/* */"), ("bash", "# ")):
+        bare = [" " * 40_000, "a " * 20_000 + "+ (", "x" * 40_000 + ")"]
+        assert [chunking._callable(bare, i, 3, grammar != "bash") for i in range(3)] == [None] * 3
+        text = opening + "x " * 20_000 + "\nint f(int a) {\n" + "    x = compute(y);\n" * 8 + "}\n"
+        assert ("function", "f") in {(p.symbol_type, p.symbol_name) for p in chunking.symbol_chunks(text, grammar)} or grammar == "bash"
+    assert time.process_time() - began < 5
+
+
+def test_names_before_parentheses():
+    of = chunking._named_call
+    assert of("  @A(x) static int  *f (int a)") == ("static int  *", "f", 23)
+    assert of("~C()") == ("", "~C", 2) and of("9ab(") == ("9", "ab", 3) and of("a #b(") is not None
+    assert of("x = 1") is None and of("(a) b(") is None and of("a; b(") is None and of("9(") is None
