@@ -448,3 +448,18 @@ def test_names_before_parentheses():
     assert of("  @A(x) static int  *f (int a)") == ("static int  *", "f", 23)
     assert of("~C()") == ("", "~C", 2) and of("9ab(") == ("9", "ab", 3) and of("a #b(") is not None
     assert of("x = 1") is None and of("(a) b(") is None and of("a; b(") is None and of("9(") is None
+
+
+def test_postings_shuffle_texts_only(spark):
+    """Tokens are counted where their text lies: one exchange, and keys that come twice are one row's."""
+    rows = [(1, "fooBar foo_bar XMLHttp the x aB"), (2, None), (3, "b1 a1 a1 c1"), (3, "c1 zz"), (None, "lost"), (4, "é__a b_c_ __dunder__ HTTPServer2Go")]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    made = T.postings(frame, "id", "text", 2)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r["id"], r["token"], r["tf"]) for r in made.where("id = 3 OR id IS NULL").collect()} == {(3, "a1", 2.0), (3, "c1", 2.0), (None, "lost", 1.0)}
+    for row in rows:
+        expected = {}
+        for t in frame.limit(0).unionByName(spark.createDataFrame([row], frame.schema)).select(F.explode(T.weighted_tokens(F.col("text"))).alias("t")).select("t.*").collect():
+            expected[t["token"]] = expected.get(t["token"], 0.0) + t["w"]
+        found = T.postings(spark.createDataFrame([row], frame.schema), "id", "text").collect()
+        assert {r["token"]: r["tf"] for r in found} == expected
