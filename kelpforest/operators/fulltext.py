@@ -30,12 +30,24 @@ def _indexed(word: Column) -> Column:
     return F.length(word).between(LEAST_CHARS, MOST_CHARS)
 
 
-def build(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, word, places): a row for each word of a text, places in order."""
+def build(rows: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(id, word, places): a row for each word of a text, places in order.
+
+    For one set of queries, ``only`` names their words (word) or the beginnings of them (prefix); other words count as places but get no rows.
+    """
     each = rows.select(F.col(key).alias("id"), F.posexplode(words(F.col(text))).alias("place", "word")).where(_indexed(F.col("word")))
+    if only is not None and "prefix" in only.columns:
+        begins = only.select(_lead(F.col("prefix")).alias("_lead"), F.col("prefix").alias("_prefix")).distinct()
+        each = each.join(F.broadcast(begins), (_lead(F.col("word")) == F.col("_lead")) & F.startswith("word", F.col("_prefix")), "left_semi")
+    elif only is not None:
+        each = each.join(F.broadcast(only.select("word").distinct()), "word", "left_semi")
     return each.groupBy("id", "word").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
+def _lead(word: Column) -> Column:
+    return F.left(word, F.lit(LEAST_CHARS))
+
+
 def frequencies(index: DataFrame) -> DataFrame:
     """(word, df)."""
     return index.groupBy("word").agg(F.count("*").alias("df"))
@@ -54,7 +66,7 @@ def phrase_search(index: DataFrame, queries: DataFrame, key: str, text: str, df:
     rarest = F.row_number().over(W.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "offset"))
     ranked = asked.join(df, "word", "left").withColumn("nth", rarest)
     anchor = ranked.where("nth = 1").select("query_id", "word", F.col("offset").alias("by"), "due")
-    starts = index.join(anchor, "word").select("query_id", "id", "due", F.explode(F.transform("places", lambda p: p - F.col("by"))).alias("start")).where("start >= 0")
+    starts = index.join(F.broadcast(anchor), "word").select("query_id", "id", "due", F.explode(F.transform("places", lambda p: p - F.col("by"))).alias("start")).where("start >= 0")
     others = ranked.where("nth > 1").select("query_id", "word", "offset")
     near = starts.select("query_id", "id").distinct().join(others, "query_id")
     met = index.join(near, ["id", "word"]).select("query_id", "id", F.explode(F.transform("places", lambda p: p - F.col("offset"))).alias("start"))
@@ -73,8 +85,13 @@ def all_words(index: DataFrame, queries: DataFrame, key: str, text: str) -> Data
 
 def prefix_search(index: DataFrame, queries: DataFrame, key: str, prefix: str) -> DataFrame:
     """(query_id, id, n): rows with words that begin with a prefix, and how many occurrences. Prefixes meet words by their first two characters."""
-    asked = queries.select(F.col(key).alias("query_id"), F.lower(F.col(prefix)).alias("prefix")).where(F.length("prefix") >= LEAST_CHARS)
-    lead = lambda c: F.left(c, F.lit(LEAST_CHARS))
-    known = index.select("word").distinct().withColumn("lead", lead(F.col("word")))
-    wanted = known.join(asked.withColumn("lead", lead(F.col("prefix"))), "lead").where(F.startswith("word", F.col("prefix"))).select("query_id", "word")
-    return index.join(wanted, "word").groupBy("query_id", "id").agg(F.sum(F.size("places")).alias("n"))
+    asked = prefixes(queries, key, prefix)
+    known = index.select("word").distinct().withColumn("lead", _lead(F.col("word")))
+    wanted = known.join(asked.select("prefix", _lead(F.col("prefix")).alias("lead")).distinct(), "lead").where(F.startswith("word", F.col("prefix"))).select("prefix", "word")
+    # Once for all queries of a prefix.
+    return index.join(wanted, "word").groupBy("prefix", "id").agg(F.sum(F.size("places")).alias("n")).join(F.broadcast(asked), "prefix").select("query_id", "id", "n")
+
+
+def prefixes(queries: DataFrame, key: str, prefix: str) -> DataFrame:
+    """(query_id, prefix): those that are long enough, in lower case."""
+    return queries.select(F.col(key).alias("query_id"), F.lower(F.col(prefix)).alias("prefix")).where(F.length("prefix") >= LEAST_CHARS)

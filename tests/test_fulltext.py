@@ -35,6 +35,20 @@ def test_search(spark):
     assert set(map(tuple, found)) == {(q, i, n) for q, p in prefixes if p and len(p) > 1 for i, body in texts if (n := sum(w.startswith(p.lower()) and len(w) <= 30 for w in _words(body)))}
 
 
+def test_an_index_of_asked_words_alone(spark):
+    """Places count all words, rows are of asked ones only; found is what the whole index finds."""
+    texts = spark.createDataFrame([(i, f"to be or w{i} not été bee beer x to be") for i in range(20)] + [(50, None)], "k long, body string")
+    asked = spark.createDataFrame([(1, "to be or"), (2, "w3 not"), (3, "x"), (4, "été bee")], "q int, t string")
+    whole, some = fulltext.build(texts, "k", "body"), fulltext.build(texts, "k", "body", fulltext.phrases(asked, "q", "t"))
+    assert some.select("word").distinct().count() == 7 < whole.select("word").distinct().count()
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    assert rows(fulltext.phrase_search(some, asked, "q", "t")) == rows(fulltext.phrase_search(whole, asked, "q", "t")) != []
+    begins = spark.createDataFrame([(1, "be"), (2, "BEE"), (3, "w1"), (4, None), (5, "be")], "q int, p string")
+    some = fulltext.build(texts, "k", "body", fulltext.prefixes(begins, "q", "p"))
+    assert {r["word"] for r in some.select("word").collect()} == {"be", "bee", "beer", "w1"} | {f"w{i}" for i in range(10, 20)}
+    assert rows(fulltext.prefix_search(some, begins, "q", "p")) == rows(fulltext.prefix_search(whole, begins, "q", "p")) != []
+
+
 def test_chains(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(100, 140)] + [(200, 201), (201, 202), (202, 200), (210, 211), (211, 201), (300, 300), (301, 300), (400, 401), (400, 402), (402, 403), (None, 1), (7, None)]
