@@ -210,3 +210,13 @@ def test_no_secret_is_written(spark, tmp_path):
     index.remove(store, "p")
     assert store.read("chunks").count() == 0 and store.read("frequencies").count() == 0 and store.read("sizes").count() == 0
     assert R.idf_of(store.read("frequencies"), store.read("sizes").agg(F.lit(0).alias("n"))).count() == 0
+
+
+def test_postings_meet_no_chunks_again(spark):
+    """A chunk's names travel with its text: one exchange, of the texts, and no join; the rows are those of a join."""
+    chunks = spark.createDataFrame([_chunk("p", "a.py", i, f"{w} retry {w} fooBar") for i, w in enumerate(WORDS)] + [_chunk("q", "b.md", 0, None)], CHUNK)
+    made = index.postings_of(chunks)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    joined = T.postings(chunks, "id", "content").join(chunks.select("id", "project", "collection"), "id")
+    assert _rows(made, "project", "collection", "id", "token", "tf") == _rows(joined, "project", "collection", "id", "token", "tf") != []
