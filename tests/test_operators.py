@@ -463,3 +463,19 @@ def test_postings_shuffle_texts_only(spark):
             expected[t["token"]] = expected.get(t["token"], 0.0) + t["w"]
         found = T.postings(spark.createDataFrame([row], frame.schema), "id", "text").collect()
         assert {r["token"]: r["tf"] for r in found} == expected
+
+
+def test_queries_go_to_postings_and_items_to_texts(spark, tmp_path):
+    """However small a stored table of postings is, it isn't what is sent to all tasks; no text is shuffled to meet an item."""
+    spark.range(1000).select(F.lit("tok").alias("token"), "id", F.lit(1.0).alias("tf")).write.parquet(f"{tmp_path}/posts")
+    posts = spark.read.parquet(f"{tmp_path}/posts")
+    asked = spark.createDataFrame([(1, "tok", 2.0)], "query_id int, token string, tf double")
+    idf = spark.createDataFrame([("tok", 1, 0.5)], "token string, df long, idf double")
+    scores = ranking.lexical_scores(asked, posts, idf)
+    assert "BuildRight" in scores._jdf.queryExecution().executedPlan().toString().split("FileScan")[0] and scores.count() == 1000
+    docs = spark.range(50).select("id", F.concat(F.lit("say some words here "), F.col("id").cast("string")).alias("text"))
+    items = spark.createDataFrame([(1, "some words here 7"), (2, "me wor"), (3, "y some w")], "item int, text string")
+    held = ranking.holders(items, "item", docs, "id", "text")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, held.where("item = 1").collect())) == [(1, 7)] and held.where("item <> 1").count() == 100
