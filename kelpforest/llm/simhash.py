@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpforest.llm.common import all_of, forget, stored, unused
@@ -182,8 +182,10 @@ PAIRED = 6
 STEPS = 64
 #: Rounds in which roots join before open pairs are looked at, at most.
 NEAR_ROUNDS = 4
-#: Open pairs are settled in layers, from the likeliest of each member on: up to so many each, then so many times as far as the last.
+#: A task compares open pairs in layers, from the likeliest of each member on: up to so many each, then so many times as far as the last.
 LAYERS, LAYER = (4,), 8
+#: Members of a set that a task compares by signatures are cut into parts of about so many, and those it compares by shingles into parts of about so many shingles; every two parts meet.
+PART, PART_SHINGLES = 1 << 12, 1 << 20
 #: Shingles that a task holds, about, to tell which of them only one member of open sets has.
 SLICE = 1 << 20
 #: In place of a shingle's owner: several rows have it.
@@ -364,14 +366,8 @@ def _near_links(sure: int):
     return run
 
 
-def layer_pairs(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, now: np.ndarray, most: int, low: int, high: int, counts: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Open pairs of a set that are among the ``low``-th to ``high``-th likeliest of the end that owns them, and not connected by now.
-
-    Open are pairs of ``most`` bits at most that ``first`` roots don't connect and, with ``counts`` (shared, sizes, similarity), whose ends both
-    share enough shingles with others. The end in the smaller group owns a pair, so a large group
-    has no row for each member where one document is open to all of them. A document's pairs go by bits and node, alike in every layer.
-    """
-    left, right = [], []
+def _open(words: np.ndarray, first: np.ndarray, most: int, counts: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(some, others, bits, open) of a set, about a million pairs at a time: members, those that they meet, bits between them and whether the pair is open."""
     roots, where, sizes = np.unique(first, return_inverse=True, return_counts=True)
     size = sizes[where]
     for root, n in zip(roots, sizes, strict=True):
@@ -389,24 +385,100 @@ def layer_pairs(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, now: np
                 shared, sized, similarity = counts
                 both = np.minimum(shared[some][:, None], shared[others][None, :])
                 open_ &= (1 + similarity) * both >= similarity * (sized[some][:, None] + sized[others][None, :]) - 1e-6
-            i, j = np.nonzero(open_)
-            order = np.lexsort((nodes[others[j]], bits[i, j], i))
-            i, j = i[order], j[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            due = (rank >= low) & (rank < high) & (now[some[i]] != now[others[j]])
-            left.append(nodes[some[i[due]]])
-            right.append(nodes[others[j[due]]])
+            yield some, others, bits, open_
+
+
+def layer_pairs(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, now: np.ndarray, most: int, low: int, high: int, counts: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Open pairs of a set that are among the ``low``-th to ``high``-th likeliest of the end that owns them, and not connected by now.
+
+    Open are pairs of ``most`` bits at most that ``first`` roots don't connect and, with ``counts`` (shared, sizes, similarity), whose ends both
+    share enough shingles with others. The end in the smaller group owns a pair, so a large group
+    has no row for each member where one document is open to all of them. A document's pairs go by bits and node, alike in every layer.
+    """
+    left, right = [], []
+    for some, others, bits, open_ in _open(words, first, most, counts):
+        i, j = np.nonzero(open_)
+        order = np.lexsort((nodes[others[j]], bits[i, j], i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        due = (rank >= low) & (rank < high) & (now[some[i]] != now[others[j]])
+        left.append(nodes[some[i[due]]])
+        right.append(nodes[others[j[due]]])
     return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
 
 
-def _layer(similarity: float, most: int, low: int, high: int):
+def _open_ends(similarity: float, most: int):
+    """(set, a): the members that an open pair names."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = _each_set(batches)
-        yield _link_batch([tuple(layer_pairs(nodes, words, first, now, most, low, high, (*counts, similarity))) for nodes, words, (first, now, *counts) in sets])
+        sets, ends = [], []
+        for nodes, words, (first, shared, size, own) in _each_set(batches):
+            named = np.zeros(len(nodes), bool)
+            for some, others, _, open_ in _open(words, first, most, (shared, size, similarity)):
+                named[some[open_.any(axis=1)]] = True
+                named[others[open_.any(axis=0)]] = True
+            sets.append(own[named])
+            ends.append(nodes[named])
+        yield pa.record_batch([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (sets, ends)], names=["set", "a"])
 
     return run
 
 
+def _alike(i: np.ndarray, j: np.ndarray, shingles: list[np.ndarray], mark: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of ``shingles`` (numbers under ``len(mark)``) have this similarity; ``i`` in runs, ``mark`` false before and after."""
+    keep = np.zeros(len(i), bool)
+    edges = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.empty(0, np.int64)
+    for at, to in zip(edges[:-1], edges[1:], strict=True):
+        own, others = shingles[i[at]], [shingles[x] for x in j[at:to]]
+        sizes = np.array([len(x) for x in others])
+        mark[own] = True
+        both = np.bincount(np.repeat(np.arange(to - at), sizes), mark[np.concatenate(others)], to - at)
+        mark[own] = False
+        keep[at:to] = both >= similarity * (len(own) + sizes - both)
+    return keep
+
+
+def open_links(nodes: np.ndarray, words: np.ndarray, first: np.ndarray, counts: tuple, shingles: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the sorted ``nodes`` as ``first`` roots and all of their open pairs that are alike do: one for each root at most."""
+    n, similarity = len(nodes), counts[2]
+    kinds, numbers = np.unique(np.concatenate(shingles), return_inverse=True)
+    numbers, mark = np.split(numbers, np.cumsum([len(x) for x in shingles])[:-1]), np.zeros(len(kinds), bool)
+    _, start = np.unique(first, return_inverse=True)
+    begin = np.unique(start, return_index=True)[1][start]
+    now, low, high = begin, 0, LAYERS[0]
+    while True:
+        a, b = layer_pairs(nodes, words, first, now, most, low, high, counts)
+        i, j = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+        good = _alike(i, j, numbers, mark, similarity)
+        now = _joined(n, np.r_[np.arange(n), i[good]], np.r_[now, j[good]])
+        if high >= n:
+            break
+        low, high = high, next((x for x in LAYERS if x > high), high * LAYER)
+    new = np.unique(begin[now != begin])
+    return nodes[now[new]], nodes[new]
+
+
+def _open_links(similarity: float, most: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for nodes, words, (first, shared, size, _, bodies) in _each_set(batches):
+            rows.append(open_links(nodes, words, first, (shared, size, similarity), [np.frombuffer(x, "<u8") for x in bodies], most))
+        yield _link_batch(rows)
+
+    return run
+
+
+def _met(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Members with the ``place``, after which they are sorted, where they meet: sets are cut into parts of about ``most``, and each two parts have a place."""
+    parts = members.groupBy("set").agg(F.ceil(F.sum(weight) / most).cast("int").alias("parts")).where("parts > 1")
+    # As many rows as the input has such parts, at most.
+    cut = members.join(F.broadcast(parts), "set", "left")
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    others = F.transform(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), part), lambda x: F.xxhash64("set", F.least(x, part), F.greatest(x, part)))
+    places = F.when(F.col("parts") > 1, others).otherwise(F.array("set"))
+    return cut.withColumn("place", F.explode(places)).drop("parts").repartition("place").sortWithinPartitions("place", "a")
+
+
 def _distances(most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -494,18 +566,15 @@ def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similari
     def alike(found: DataFrame) -> DataFrame:
         return found.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
 
-    def rooted(*tables: DataFrame) -> DataFrame:
-        """Members with their roots by each table, in sets."""
-        out = members
-        for k, table in enumerate(tables):
-            out = out.join(table.select(F.col("node").alias("a"), F.col("root").alias(f"_{k}")), "a", "left")
-        out = out.select("set", "a", "x", *(F.coalesce(f"_{k}", "a").alias(f"r{k}") for k in range(len(tables))), *(c for c in ("shared", "size") if c in members.columns))
-        return out.repartition("set").sortWithinPartitions("set", "a")
+    def rooted(roots: DataFrame) -> DataFrame:
+        """Members with their roots, in sets."""
+        out = members.join(roots.select(F.col("node").alias("a"), F.col("root").alias("r0")), "a", "left")
+        return out.select("set", "a", "x", F.coalesce("r0", "a").alias("r0")).repartition("set").sortWithinPartitions("set", "a")
 
     def grown(roots: DataFrame, found: DataFrame) -> DataFrame:
         """Links of what is connected so far, as a star, and of those found that are alike."""
         star = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b")
-        return stored(star.unionByName(alike(found)), "links-so-far")
+        return star.unionByName(alike(found))
 
     # Copies with few changes first: each root joins the least that a forest over its sets gives it, until no root has one to join.
     # Whatever this leaves apart is open.
@@ -515,30 +584,25 @@ def _links_within(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similari
         near = stored(near.groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("m")).select("m.a", "m.b"), "near-links")
         if near.first() is None:
             break
-        roots = stored(components(grown(roots, near)), "near-roots")
-    first = roots
+        roots = stored(components(stored(grown(roots, near), "links-so-far")), "near-roots")
     # Of sets that aren't connected yet, members without enough shingles in common with any other one are done: nothing is like them.
-    mixed = rooted(first).groupBy("set").agg(F.min("r0").alias("low"), F.max("r0").alias("high")).where("low < high").select("set")
+    mixed = rooted(roots).groupBy("set").agg(F.min("r0").alias("low"), F.max("r0").alias("high")).where("low < high").select("set")
     unsettled = stored(members.join(mixed, "set", "left_semi"), "open-members")
     rows = unsettled.select(F.col("a").alias("row")).distinct()
     able = can_link(sets.join(rows, "row", "left_semi"), similarity)
     forget(members)
-    members = stored(unsettled.join(able.withColumnRenamed("row", "a"), "a").select("set", "a", "x", "shared", "size"), "able-members")
+    root = roots.select(F.col("node").alias("a"), F.col("root").alias("r0"))
+    able = unsettled.join(able.withColumnRenamed("row", "a"), "a").join(root, "a", "left")
+    members = stored(able.select("set", "a", "x", F.coalesce("r0", "a").alias("r0"), "shared", "size"), "able-members")
     forget(unsettled)
-    largest = members.groupBy("set").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    low, high = 0, LAYERS[0]
-    while True:
-        found = rooted(first, roots).mapInArrow(_layer(similarity, most, low, high), "a long, b long")
-        if low == 0:
-            found = found.unionByName(scored.select("a", "b"))
-        found = stored(found.distinct(), "open-pairs")
-        links = grown(roots, found)
-        if high >= largest:
-            break
-        roots = stored(components(links), "roots-so-far")
-        forget(found)
-        low, high = high, next((x for x in LAYERS if x > high), high * LAYER)
-    for x in (scored, members, sets):
+    # Signatures tell which members have open pairs; these meet again with their shingles, and pairs are settled where they meet.
+    by_signs = _met(members, F.lit(1), PART).select("place", "a", "x", "r0", "shared", "size", "set")
+    ends = stored(by_signs.mapInArrow(_open_ends(similarity, most), "set long, a long").distinct(), "open-ends")
+    due = members.join(ends, ["set", "a"], "left_semi").join(of("a", "y"), "a")
+    by_sets = _met(due, F.col("size"), PART_SHINGLES).select("place", "a", "x", "r0", "shared", "size", "set", "y")
+    settled = by_sets.mapInArrow(_open_links(similarity, most), "a long, b long")
+    links = stored(grown(roots, scored.select("a", "b")).unionByName(settled), "links-so-far")
+    for x in (scored, members, sets, ends):
         forget(x)
     return links
 
@@ -550,13 +614,13 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     similarity of ``similarity`` or more. Candidates share a masked 16-bit
     segment of a signature and are likely by another word of it; 512-bit
     signatures set aside what is clearly different, and the sets themselves
-    decide on every link. Where likely pairs connect many documents, that is
-    done in layers: a forest of copies with few changes, then the pairs nearest
-    to each document, then those further off, always between documents that
-    nothing connects yet. Each open pair has its turn in one of the layers, and
-    only pairs of documents that are connected anyway are spared, as are
-    documents more than a fifth of whose shingles no other open one has, so
-    groups of near copies cost about a row a document. What is lost are links that aren't
+    decide on every link. Where likely pairs connect many documents, a forest
+    of copies with few changes comes first. Documents with pairs that it leaves
+    open meet again with their shingles, in parts of bounded size, each part
+    with every other; a task decides on the pairs of two parts and returns a
+    link for each document at most, so open pairs are never rows. Spared are
+    only pairs of documents that are connected anyway, and documents more than
+    a fifth of whose shingles no other open one has. What is lost are links that aren't
     candidates: by calculation about one in fifty of those at exactly 0.8, one
     in a thousand at 0.9 (at sf0.01 one of five links between different texts).
 

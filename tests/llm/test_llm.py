@@ -432,6 +432,58 @@ def test_one_of_each_around_the_limit(spark):
     assert set(expected) <= set(kept) and len(texts) - len(kept) >= 0.97 * due > 200
 
 
+def test_open_pairs_make_no_rows(spark, monkeypatch):
+    """Members that are almost alike never connect, so all of their pairs are open; none of them is a row."""
+    template, rows = [f"t{i}" for i in range(300)], Counter()
+    stretch = lambda name: [f"{name}x{i}" for i in range(34)]
+    texts = [" ".join([*template[:60], *stretch(f"a{i}"), *template[94:200], *stretch(f"b{j}"), *template[234:]]) for i in range(14) for j in range(14)]
+    plain, n = simhash.stored, len(texts)
+
+    def counted(df, name):
+        out = plain(df, name)
+        if {"a", "b"} <= set(out.columns):
+            rows["distances" if name == "distances" else "links" if out.columns == ["a", "b"] else name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.one_of_each(docs).count() == n == len(_similar_groups(texts))
+    # Sets of a few have a row for each pair; there are no more such rows of larger ones.
+    assert 0 < rows["distances"] and rows["links"] < 2 * n
+
+
+def test_parts_of_sets_meet(spark, monkeypatch):
+    """However small the parts that sets are cut into, what they find is the same."""
+    random = np.random.default_rng(10)
+    texts = []
+    for member in range(120):
+        size, template = int(random.integers(4, 40)), [f"w{i}" for i in range(240)]
+        at = int(random.integers(0, 240 - size))
+        texts.append(" ".join([*template[:at], *(f"y{member}z{i}" for i in range(size)), *template[at + size :]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = lambda: sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    expected = kept()
+    monkeypatch.setattr(simhash, "PART", 25)
+    monkeypatch.setattr(simhash, "PART_SHINGLES", 3000)
+    assert kept() == expected and 1 < len(expected) < 110
+
+
+def test_open_links():
+    """Connect what brute force over all open pairs connects, by a link for each root at most."""
+    random = np.random.default_rng(11)
+    sets = [np.unique(np.r_[np.arange(int(x), int(x) + 50), random.integers(1000, 2000, 4)]).astype("<u8") for x in np.sort(random.integers(0, 200, 60))] + [np.empty(0, "<u8")]
+    n = len(sets)
+    nodes, words = np.arange(n) * 3 + 1, np.zeros((n, 8), np.uint64)
+    first = nodes.copy()
+    first[[5, 40]] = first[2]
+    sizes = np.array([len(x) for x in sets])
+    a, b = simhash.open_links(nodes, words, first, (sizes, sizes, 0.8), sets, 512)
+    alike = [(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    same = [(2, 5), (2, 40)]
+    assert _groups(n, [*same, *((x // 3, y // 3) for x, y in zip(a.tolist(), b.tolist(), strict=True))]) == _groups(n, [*same, *alike])
+    assert 0 < len(a) < len(set(first)) and 1 < len(set(_groups(n, alike))) < 50
+
+
 def test_licenses(spark, edge, empty):
     rows = [(1, "x. Under the MIT-License! under the mit license"), (2, None), (3, "Licensed under the Apache License, Version 2.0."), (4, "the GNU General Public License, version 3"), (5, "a license for the mit under"), (6, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
