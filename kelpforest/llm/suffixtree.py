@@ -62,7 +62,7 @@ LEAST = 16
 TWICE = 2
 BITS = 1 << 26
 ROUNDS = 4
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Names that a bucket holds on average.
 BUCKET = 1 << 20
 #: A context with this share of all tokens has its successors dealt out.
@@ -291,7 +291,8 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
-    keys = np.sort(keys)
+    """Sorts ``keys`` in place."""
+    keys.sort()
     return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
 
 
@@ -510,7 +511,10 @@ def _asked_names(found: Iterable[tuple[np.ndarray, np.ndarray]], may: Bitmap, de
             out.append(_distinct(np.concatenate(held)))
             held, size = [], 0
     out += held
-    return _distinct(np.concatenate(out))
+    whole = np.concatenate(out)
+    out.clear()
+    held.clear()
+    return _distinct(whole)
 
 
 def _asked(may: Bitmap, depth: int, buckets: int):
@@ -585,20 +589,39 @@ def _placed(found: Iterable[tuple[np.ndarray, np.ndarray]], may: Bitmap, depth:
         for d, (at, pair) in enumerate(pairs_of(names, places(own), depth), 1):
             there = may.holds(pair)
             keys[d].append(pair[there])
-            spots[d].append(total + at[there])
+            spots[d].append((total + at[there]).astype(np.int32))
         total += len(names)
     ends = np.cumsum([sum(map(len, k)) for k in keys])
     line = np.concatenate([x for k in keys for x in k])
-    order = np.argsort(line)
-    first = np.r_[True, np.diff(line[order]) != 0] if len(line) else np.empty(0, bool)
-    rank = np.empty(len(line), np.int32)
-    rank[order] = np.cumsum(first) - 1
+    keys.clear()
+    # Names are spread evenly, so a 16th of their range at a time is sorted, in order.
+    share, rank, asked = (line >> np.uint64(60)).astype(np.uint8), np.empty(len(line), np.int32), 0
+    for k in range(16):
+        at = np.flatnonzero(share == k)
+        own = line[at]
+        order = np.argsort(own)
+        own = own[order]
+        first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.empty(0, bool)
+        rank[at[order]] = np.cumsum(first) + (asked - 1)
+        asked += int(first.sum())
+    del line, share
     out = [rank[: ends[0]]]
     for d in range(1, depth + 1):
         spot = np.full(total, -1, np.int32)
         spot[np.concatenate(spots[d])] = rank[ends[d - 1] : ends[d]]
+        spots[d].clear()
         out.append(spot)
-    return np.concatenate(sizes), int(first.sum()), out
+    return np.concatenate(sizes), asked, out
+
+
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(from, to, first token, last token + 1) of texts of these sizes, about ``SLICE`` tokens at a time."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        start = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + SLICE, side="right")))
+        yield at, to, start, int(ends[to - 1])
+        at = to
 
 
 def _scored(model: Model, depth: int):
@@ -623,23 +646,25 @@ def _scored(model: Model, depth: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if may is not None:
             sizes, asked, spots = _placed(blocks(docs.column("text")), may, depth)
-            answers = answers.sort_by("bucket")
-            parts = [_unpack(body, "f8", "u4", "f8") for body in answers.column("body")]
+            body = answers.column("body")
+            parts = [_unpack(body[int(i)], "f8", "u4", "f8") for i in np.argsort(answers.column("bucket").to_numpy())]
             value, escape, at = np.concatenate([p[0] for p in parts]), np.full(asked, np.nan), 0
             if len(value) != asked:
                 raise ValueError("the documents have changed between two readings")
             for v, state, share in parts:
                 escape[at + state.astype(np.int64)] = share
                 at += len(v)
-            count, score = scores(places(sizes), spots, value, escape)
         else:
             sizes = np.concatenate([x for _, x in blocks(docs.column("text"))])
-            count, score = np.zeros(int(sizes.sum())), np.zeros(int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        count[starts] = 0
-        base = np.log10((count + 1) / (tokens + kinds + 1))
-        base[starts] = score[starts] = 0
-        known, base, score = (np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), base, score))
+        sums = []
+        for i, j, a, z in _pieces(sizes):
+            count, score = (np.zeros(z - a), np.zeros(z - a)) if may is None else scores(places(sizes[i:j]), [x[a:z] for x in spots], value, escape)
+            starts = np.cumsum(sizes[i:j]) - sizes[i:j]
+            count[starts] = 0
+            base = np.log10((count + 1) / (tokens + kinds + 1))
+            base[starts] = score[starts] = 0
+            sums.append([np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), base, score)])
+        known, base, score = map(np.concatenate, zip(*sums, strict=True))
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),

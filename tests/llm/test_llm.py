@@ -687,6 +687,41 @@ def test_pair_names(spark):
     assert may.holds(a.view(np.uint64)).all() and not may.holds(b.view(np.uint64)).all()
 
 
+def test_scoring_memory():
+    """What scoring a chunk takes beside its texts and answers, in bytes a token."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    random = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in random.zipf(1.3, int(random.integers(0, 800))) % 50_000) for _ in range(600)]
+    docs = pa.table({"doc_id": pa.array(range(len(texts))), "held_out": pa.array([False] * len(texts)), "text": pa.array(texts)})
+    may = suffixtree.Bitmap(np.full(1 << 10, -1, np.int64).view(np.uint64))
+    asked = suffixtree._asked_names(suffixtree.blocks(docs.column("text")), may, 3)
+    key = (asked % np.uint64(97)).astype(np.float64)
+    rows = []
+    for b, i, j in suffixtree._cuts(suffixtree._bucket_of(asked, 5), 5):
+        state = np.flatnonzero(key[i:j] < 30)
+        rows.append((0, b, suffixtree._pack(np.where(key[i:j] < 90, (key[i:j] + 1) / 100, np.nan), state.astype(np.uint32), (key[i:j][state] + 1) / 99)))
+    chunk, bucket, body = zip(*rows[::-1], strict=True)
+    answers = pa.table({"chunk": pa.array(chunk), "bucket": pa.array(bucket), "body": pa.array(body, pa.binary())})
+    run = suffixtree._scored(suffixtree.Model(1000, 100, None, may, 5), 3)
+    tracemalloc.start()
+    got = run(docs, answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tokens = sum(got.column("n_tokens").to_pylist()) + len(texts)
+    assert tokens > 200_000 and got.num_rows == len(texts)
+    assert peak < 150 * tokens
+    # Texts on their own get the same scores.
+    for i in (0, 7, 599):
+        mine = suffixtree._asked_names(suffixtree.blocks(docs.column("text").slice(i, 1)), may, 3)
+        at = np.searchsorted(asked, mine)
+        state = np.flatnonzero(key[at] < 30)
+        one = pa.table({"chunk": [0], "bucket": [0], "body": pa.array([suffixtree._pack(np.where(key[at] < 90, (key[at] + 1) / 100, np.nan), state.astype(np.uint32), (key[at][state] + 1) / 99)], pa.binary())})
+        assert run(docs.slice(i, 1), one).to_pylist()[0] == pytest.approx(got.slice(i, 1).to_pylist()[0])
+
+
 def test_suffix_tree_edges(edge, empty):
     rows = suffixtree.score(edge).collect()
     assert len(rows) == len(_edge_rows())
